@@ -100,3 +100,23 @@ SELECT doc_id, source, size, source_size, target,
        (floor(start + rate * pos) - floor(start + rate * (pos - 1)))::BIGINT AS copies,
        ((floor(start + rate * pos) - floor(start + rate * (pos - 1))) * size)::BIGINT AS taken FROM rated
 """
+
+
+def emit_copies(docs: DataFrame, max_repeat: int = MAX_REPEAT, salts: int = SALTS) -> DataFrame:
+    """docs with a row for each copy that the mix takes.
+
+    Sizes, order and copies are those of mix_sources. A document of no words
+    counts for nothing in a mix of words and is kept as it is. The copies of
+    rows with one doc_id, source and size are handed out among them.
+    """
+    mixed = mix_sources(docs, max_repeat, salts).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies_"), F.count("*").alias("rows_"))
+    own = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    d = docs.withColumn("size_", own).alias("d")
+    joined = d.join(mixed.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.size_") == F.col("m.size")))
+    names = [F.col(f"d.{c}") for c in docs.columns]
+    once = joined.filter("rows_ = 1").select(*names, "size_", "copies_")
+    at = F.row_number().over(W.partitionBy("d.doc_id", "d.source", "size_").orderBy(F.lit(1)))
+    share = F.floor(F.col("copies_") * F.col("at_") / F.col("rows_")) - F.floor(F.col("copies_") * (F.col("at_") - 1) / F.col("rows_"))
+    more = joined.filter("rows_ > 1").select(*names, "size_", "copies_", "rows_", at.alias("at_")).withColumn("copies_", share).drop("rows_", "at_")
+    every = once.unionByName(more).withColumn("copies_", F.when(F.col("size_") == 0, 1).otherwise(F.col("copies_")))
+    return every.filter("copies_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_")))).drop("copy_", "copies_", "size_")

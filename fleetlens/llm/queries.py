@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, near_dedup, quality, sharding, toxicity, url_filter
+from . import decontam, fingerprints, lm_score, mixing, near_dedup, quality, sharding, suffix_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,22 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -43,11 +55,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprints, op2_mixing, op4_near_dedup, op7_sharding, op8_quality, op9_toxicity, op10_url_filter)
+    f.__name__: f
+    for f in (
+        op1_fingerprints, op2_mixing, op3_suffix_dedup, op4_near_dedup, op5_lm_score,
+        op6_decontamination, op7_sharding, op8_quality, op9_toxicity, op10_url_filter,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing.MIX_SQL.format(docs="documents"),
+    "op5_lm_score": lm_score.LM_SQL.format(docs="documents"),
     "op7_sharding": sharding.SHARD_SQL.format(docs="documents", limit=sharding.LIMIT_BYTES),
     "op10_url_filter": url_filter.URL_SQL,
 }

@@ -48,7 +48,8 @@ def assign_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, keep: list[st
     """
     spark = docs.sparkSession
     keep = [c for c in (keep or []) if c != "doc_id"]
-    sized = docs.select("doc_id", *keep, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), hash_key().alias("hash_key_"))
+    carried = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("int")
+    sized = docs.select("doc_id", carried.alias("kept_"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), hash_key().alias("hash_key_"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(HASH_BITS - 1, max(8, math.ceil(math.log2(max(total, 1) / limit_bytes + 1)) + 6))
     sized = sized.withColumn("cell", F.shiftright("hash_key_", HASH_BITS - bits))
@@ -71,11 +72,11 @@ def assign_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, keep: list[st
         .withColumn("shard_bytes", F.when(fits, F.col("shard_bytes")).otherwise(F.col("on_page") * F.col("n_bytes")))
         .withColumn("depth", F.coalesce("depth", F.lit(HASH_BITS)))
     )
-    columns = ["doc_id", *keep, "n_bytes", "hash_key_", "depth", "page", "shard_bytes", "shard_docs"]
+    columns = ["doc_id", "kept_", "n_bytes", "hash_key_", "depth", "page", "shard_bytes", "shard_docs"]
     both = done.select(*columns).unionByName(rest.select(*columns))
     prefix = F.call_function("substring", F.lpad(F.bin("hash_key_"), HASH_BITS, "0"), F.lit(1), F.col("depth"))
     shard = F.concat(prefix, F.coalesce(F.concat(F.lit("#"), F.col("page").cast("string")), F.lit("")))
-    return both.select("doc_id", *keep, "n_bytes", shard.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs", (F.col("n_bytes") > limit_bytes).alias("oversize"))
+    return both.select("doc_id", *[F.col(f"kept_.{c}").alias(c) for c in keep], F.col("n_bytes"), shard.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs", (F.col("n_bytes") > limit_bytes).alias("oversize"))
 
 
 SHARD_SQL = """
