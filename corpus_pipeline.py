@@ -26,8 +26,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; the model learns from the documents table and its labels."""
     model = toxicity.train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, keep=docs.columns)
-    return scored.filter(F.col("score") < TOXIC_AT).select(*docs.columns)
+    scored = toxicity.score(docs, model, keep=docs.columns, as_score="toxic_score_")
+    return scored.filter(F.col("toxic_score_") < TOXIC_AT).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,10 +15,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import ship
 from .sampling import labelled_sample
@@ -198,28 +199,37 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, max_terms: int = MAX_TERM
     they are 2 % of the toxic ones. A stem gives way to a longer one, or to a
     word, with 0.8 of its texts.
     """
-    families: dict[tuple[int, bool], set[str]] = {}
-    for text, bad in zip(texts, toxic, strict=True):
+    def terms(text: str) -> set[str]:
         data, offsets = lowered([text])
         whole = text.lower()
         if not len(data):
-            continue
+            return set()
         s, e, _ = word_spans(data, offsets)
-        found = {whole[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)}
-        name = min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in found), default=0)
-        mine = families.setdefault((name, bool(bad)), set())
-        mine |= found
-        mine.update(w[:k] + "*" for w in found for k in range(4, min(7, len(w)) + 1))
+        return {whole[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)}
+
+    def families(bad: bool) -> Iterator[set[str]]:
+        """The words of each family; one family is held at a time."""
+        own = [t for t, b in zip(texts, toxic, strict=True) if bool(b) == bad]
+        names = [min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in terms(t)), default=0) for t in own]
+        order = sorted(range(len(own)), key=names.__getitem__)
+        for _, run in groupby(order, key=names.__getitem__):
+            yield set().union(*(terms(own[i]) for i in run))
+
+    def with_stems(words: set[str]) -> set[str]:
+        return words | {w[:k] + "*" for w in words for k in range(4, min(7, len(w)) + 1)}
+
     in_toxic: Counter = Counter()
-    in_all: Counter = Counter()
-    for (_, bad), found in families.items():
-        in_all.update(found)
-        if bad:
-            in_toxic.update(found)
-    bad_families = sum(bad for _, bad in families)
-    if not 0 < bad_families < len(families):
+    bad_families = good_families = 0
+    for words in families(True):
+        bad_families += 1
+        in_toxic.update(with_stems(words))
+    in_all = Counter({t: n for t, n in in_toxic.items() if n >= 4})
+    for words in families(False):
+        good_families += 1
+        in_all.update(t for t in with_stems(words) if t in in_all)
+    if not bad_families or not good_families:
         return []
-    need = max(4.0, np.log(len(in_all) / 0.5) / -np.log(bad_families / len(families)), 0.02 * bad_families)
+    need = max(4.0, np.log(2 * len(in_toxic)) / -np.log(bad_families / (bad_families + good_families)), 0.02 * bad_families)
     good = {t: n for t, n in in_toxic.items() if n >= need and n >= 0.95 * in_all[t] and len(t.rstrip("*")) >= 3}
     longest = max((len(t) for t in good), default=0)
     kept: dict[str, int] = {}
@@ -280,8 +290,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     return ToxicityModel(lexicon, weights, bias)
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (and keep), score double (toxic probability), hits (terms found, with edits).
+def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, as_score: str = "score") -> DataFrame:
+    """doc_id (and keep), score double (toxic probability; as_score names it), hits (terms found, with edits).
 
     Null and empty texts have no hits and get the score of a text without any.
     Rows are scored one by one, so repeats score alike.
@@ -298,11 +308,14 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None)
                 p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
                 hits = np.expm1(x[:, :4]).sum(1).round().astype(np.int64)
                 own = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array(p), pa.array(hits)], [*names, "score", "hits"])
-
-    names = ["doc_id", *(c for c in keep or [] if c != "doc_id")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, f"{fields}, score double, hits bigint")
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("kept_"), pa.array(p), pa.array(hits)], ["doc_id", "kept_", "score", "hits"])
+
+    keep = [c for c in keep or [] if c != "doc_id"]
+    carried = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("int")
+    rows = docs.select("doc_id", carried.alias("kept_"), "text")
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["kept_"], T.StructField("score", T.DoubleType()), T.StructField("hits", T.LongType())])
+    scored = rows.mapInArrow(run, schema)
+    return scored.select("doc_id", *[F.col(f"kept_.{c}").alias(c) for c in keep], F.col("score").alias(as_score), "hits")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
