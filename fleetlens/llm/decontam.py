@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash over item-sized windows (native).
 
-Windows as long as a benchmark item are laid into a document wherever its words
-and the item's run in step for five words: without a shared five-word shingle
-the similarity is 0, so no window elsewhere can matter. Windows and items get
+Windows as long as a benchmark item are laid into a document wherever it shares
+five words in a row with the item, in step with them: without a shared
+five-word shingle the similarity is 0, so no window elsewhere can matter. Windows and items get
 64-bit SimHash fingerprints. Cut into RADIUS + 1 blocks, two fingerprints within
 RADIUS bits must agree on a block, so an equi-join on (size, block, value) finds
 them all; what is within the radius is verified by exact weighted Jaccard
@@ -68,15 +68,22 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, start, size, shingles: item-sized windows where a run of shared shingles begins (broadcasts the item shingles)."""
-    listed = items.select(F.posexplode("shingles").alias("offset", "shingle"), "shingles", "size")
-    listed = listed.select("shingle", "offset", "size", F.when(F.col("offset") > 0, F.element_at("shingles", F.greatest("offset", F.lit(1)))).alias("previous")).distinct()
-    held = with_shingles(docs.select("doc_id", tokens(F.col("text")).alias("words")), "words", "own").drop("words")
-    at = held.select("doc_id", "own", F.posexplode("own").alias("pos", "shingle"))
-    hits = at.join(F.broadcast(listed), "shingle")
-    begins = F.col("previous").isNull() | (F.col("pos") == 0) | (F.element_at("own", F.greatest("pos", F.lit(1))) != F.col("previous"))
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.size("own") - F.col("size")))
-    return hits.filter(begins).withColumn("start", start).select("doc_id", "start", "size", F.slice("own", F.col("start") + 1, F.col("size")).alias("shingles"))
+    """doc_id, start, size, shingles: item-sized windows laid where a shingle is shared (broadcasts the item shingles).
+
+    The search explodes hashes and positions alone; the words of a document
+    are only fetched again where it has a window.
+    """
+    listed = items.select(F.posexplode("shingles").alias("offset", "shingle"), "size").distinct()
+    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_key"))
+    own = lambda df: with_shingles(df.withColumn("words", tokens(F.col("text"))), "words", "own").drop("words", "text")
+    found = own(held).withColumn("last", F.size("own")).select("doc_id", "text_key", "last", F.posexplode("own").alias("pos", "shingle"))
+    hits = found.join(F.broadcast(listed), "shingle")
+    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("last") - F.col("size")))
+    places = hits.select("doc_id", "text_key", start.alias("start"), "size").distinct()
+    places = places.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("places")).alias("p")
+    met = held.alias("h").join(places, F.col("h.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("h.text_key") == F.col("p.text_key"))).select("h.doc_id", "text", "places")
+    cut = F.zip_with("places", F.array_repeat("own", F.size("places")), lambda p, o: F.struct(p["start"].alias("start"), p["size"].alias("size"), F.slice(o, p["start"] + 1, p["size"]).alias("shingles")))
+    return own(met).select("doc_id", F.explode(cut).alias("w")).select("doc_id", "w.*")
 
 
 def _matches(docs: DataFrame, items: DataFrame, radius: int, threshold: float) -> DataFrame:
