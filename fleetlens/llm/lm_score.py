@@ -8,12 +8,16 @@ leave the scored document out, so that a text is not predicted from itself:
                = 0.4 S(w | v)          otherwise, and so on down to
     S(w)       = max(c(w), 0.5) / N
 
-The tables travel in blocks (see counting), which is what keeps the disk used
-within a few times the input: each n-gram goes out once a chunk of texts.
+The tables travel in blocks (see counting), each n-gram once a chunk of texts.
+An n-gram can only be met in another text if both of its (n-1)-grams can, so
+the tables are built from short to long and n-grams with a part that occurs
+once are not asked for. Their counts elsewhere are 0, which is exact.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +27,16 @@ from . import counting, kernels
 
 BACKOFF = 0.4
 NAMES = ["n1", "n2", "n3", "all"]
+CHUNK_BYTES = 4 << 20
+
+
+def hash_mask(total_bytes: int) -> np.uint64:
+    """Leading bits of n-gram hashes that are kept: so many that some two n-grams of the corpus hardly share them."""
+    bits = min(64, max(48, 8 * math.ceil((2 * math.log2(max(total_bytes, 2)) - 4) / 8)))
+    return np.uint64((1 << 64) - (1 << (64 - bits)))
 
 
-def _ngrams(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def _ngrams(table: pa.Table, mask: np.uint64) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Row and place of each word in a chunk, and the hash of the n-gram that ends there (place >= n - 1 only counts)."""
     rows, places, hashes, base = [], [], [[], [], []], 0
     for at, end, data, offsets in kernels.slices(table.column("text"), 1 << 20):
@@ -36,40 +47,52 @@ def _ngrams(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[np.ndar
         rows.append(row + base)
         gram = h
         for n in range(3):
-            hashes[n].append(kernels.mix(gram + np.uint64(n + 1)))
-            h = np.concatenate((np.zeros(1, np.uint64), h[:-1])) if len(h) else h
+            hashes[n].append(kernels.mix(gram + np.uint64(n + 1)) & mask)
+            h = _before(h)
             gram = gram * np.uint64(0x9E3779B97F4A7C15) + h
         base += end - at
     return np.concatenate(rows), np.concatenate(places), [np.concatenate(x) for x in hashes]
 
 
-def _keys(table: pa.Table, _: counting.Totals) -> counting.Keys:
-    _, place, grams = _ngrams(table)
-    out = {f"n{n + 1}": np.unique(g[place >= n], return_counts=True) for n, g in enumerate(grams)}
-    return out | {"all": (np.zeros(1, np.uint64), np.array([len(place)]))}
+def _before(x: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.zeros(1, x.dtype), x[:-1])) if len(x) else x
+
+
+def _asked(grams: list[np.ndarray], place: np.ndarray, totals: counting.Totals, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words whose n-gram is asked for, and a total for each of those (once totals has them); by the totals of shorter ones."""
+    ok = place >= n - 1
+    if n > 1:
+        shorter, seen = _asked(grams, place, totals, n - 1)
+        often = np.zeros(len(place), bool)
+        often[shorter] = seen > 1
+        ok &= often & _before(often)
+    at = np.flatnonzero(ok)
+    if f"n{n}" not in totals:
+        return at, np.zeros(0, np.int64)
+    distinct, where = np.unique(grams[n - 1][at], return_inverse=True)
+    return at, totals[f"n{n}"][where] if len(distinct) else np.zeros(0, np.int64)
 
 
-def _scores(table: pa.Table, totals: counting.Totals) -> pa.Table:
-    row, place, grams = _ngrams(table)
+def _scores(table: pa.Table, totals: counting.Totals, mask: np.uint64) -> pa.Table:
+    row, place, grams = _ngrams(table, mask)
     n_rows = table.num_rows
     words = np.bincount(row, minlength=n_rows)
     others = []
-    for n, g in enumerate(grams):
-        ok = np.flatnonzero(place >= n)
-        left = np.zeros(len(g), np.int64)
-        distinct, at = np.unique(g[ok], return_inverse=True)
-        own_key = at * n_rows + row[ok]
-        _, own_at, own = np.unique(own_key, return_inverse=True, return_counts=True)
-        left[ok] = totals[f"n{n + 1}"][at] - own[own_at] if len(distinct) else 0
+    for n in (1, 2, 3):
+        at, total = _asked(grams, place, totals, n)
+        left = np.zeros(len(place), np.int64)
+        _, where = np.unique(grams[n - 1][at], return_inverse=True)
+        _, own_at, own = np.unique(where * n_rows + row[at], return_inverse=True, return_counts=True)
+        if len(at):
+            left[at] = total - own[own_at]
         others.append(left)
     c1, c2, c3 = others
-    before = lambda x: np.concatenate((np.zeros(1, x.dtype), x[:-1])) if len(x) else x
     rest = np.maximum(totals["all"].sum() - words, 1)[row]
     score = np.log(np.maximum(c1, 0.5) / rest) + np.minimum(place, 2) * np.log(BACKOFF)
     two = (place >= 1) & (c2 > 0)
-    score = np.where(two, np.log(np.maximum(c2, 1) / np.maximum(before(c1), 1)) + (place >= 2) * np.log(BACKOFF), score)
+    score = np.where(two, np.log(np.maximum(c2, 1) / np.maximum(_before(c1), 1)) + (place >= 2) * np.log(BACKOFF), score)
     three = (place >= 2) & (c3 > 0)
-    score = np.where(three, np.log(np.maximum(c3, 1) / np.maximum(before(c2), 1)), score)
+    score = np.where(three, np.log(np.maximum(c3, 1) / np.maximum(_before(c2), 1)), score)
     total = np.bincount(row, score, minlength=n_rows)
     return pa.table({
         "doc_id": table.column("doc_id"), "n_words": pa.array(words.astype(np.int64)), "log_score": pa.array(np.round(total, 4) + 0.0),
@@ -86,9 +109,22 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
     size = counting.text_bytes(docs)
-    chunks = counting.chunked(docs, size)
-    answers = counting.ask(chunks, _keys, NAMES, size)
-    return counting.tell(chunks, answers, NAMES, _scores, "doc_id bigint, n_words bigint, log_score double, mean_log_score double")
+    mask = hash_mask(size)
+    chunks = counting.chunked(docs, size, CHUNK_BYTES)
+
+    def keys(n: int):
+        def of(table: pa.Table, totals: counting.Totals) -> counting.Keys:
+            _, place, grams = _ngrams(table, mask)
+            at, _ = _asked(grams, place, totals, n)
+            own = {f"n{n}": counting.tally([grams[n - 1][at]])}
+            return own | ({"all": (np.zeros(1, np.uint64), np.array([len(place)]))} if n == 1 else {})
+
+        return of
+
+    answers = counting.ask(chunks, keys(1), ["n1", "all"], size)
+    answers = answers.unionByName(counting.ask(chunks, keys(2), ["n2"], size, answers, ("n1",)), allowMissingColumns=True)
+    answers = answers.unionByName(counting.ask(chunks, keys(3), ["n3"], size, answers, ("n1", "n2")), allowMissingColumns=True)
+    return counting.tell(chunks, answers, NAMES, lambda t, x: _scores(t, x, mask), "doc_id bigint, n_words bigint, log_score double, mean_log_score double")
 
 
 LM_SQL = r"""
