@@ -5,7 +5,7 @@ them by hash range into one block a partition, and asks; a partition merges the
 blocks it gets, sums the counts of each key, and answers every block in its own
 order. A key travels once a chunk however often it occurs, so a hot key costs
 no more than any other, and blocks are coded as byte planes of differences,
-which the shuffle's compression takes down to the bytes that carry information.
+compressed to the bytes that carry information.
 """
 
 from __future__ import annotations
@@ -24,13 +24,16 @@ Totals = dict[str, np.ndarray]  # name: a total for each of the chunk's keys
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    """Numbers below 256**width as byte planes, compressed behind their count."""
+    raw = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return len(x).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
 def unplanes(b: bytes, width: int) -> np.ndarray:
-    raw = np.frombuffer(b, np.uint8).reshape(width, -1)
-    out = np.zeros((raw.shape[1], 8), np.uint8)
-    out[:, :width] = raw.T
+    n = int.from_bytes(b[:8], "little")
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(b[8:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
     return out.view("<u8").ravel().astype(np.uint64)
 
 
