@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash over item-sized windows (native).
 
-Windows as long as a benchmark item are laid into a document wherever it shares
-five words in a row with the item, in step with them: without a shared
-five-word shingle the similarity is 0, so no window elsewhere can matter. Windows and items get
+Windows as long as a benchmark item are laid into a document wherever it has one
+of the item's anchor words, in step with the item. Anchor words are so chosen
+that a window without any of them, in its place, lacks too many shingles to be
+similar, so no window elsewhere can matter. Windows and items get
 64-bit SimHash fingerprints. Cut into RADIUS + 1 blocks, two fingerprints within
 RADIUS bits must agree on a block, so an equi-join on (size, block, value) finds
 them all; what is within the radius is verified by exact weighted Jaccard
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 SHINGLE = 5
 RADIUS = 19
 THRESHOLD = 0.8
-#: Most item shingles that are broadcast at once; more are taken in several passes.
+#: Most item words that are broadcast at once; more are taken in several passes.
 BROADCAST_ROWS = 200_000
 
 
@@ -61,23 +62,40 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """item_id, shingles, size, fingerprint; one row a (item_id, text); items of fewer than five words have no shingles and are left out."""
-    items = with_shingles(benchmark.select("item_id", tokens(F.col("text")).alias("words")), "words", "shingles").drop("words")
+    """item_id, words, shingles, size, fingerprint; one row a (item_id, text); items of fewer than five words have no shingles and are left out."""
+    items = with_shingles(benchmark.select("item_id", tokens(F.col("text")).alias("words")), "words", "shingles")
     items = items.filter(F.size("shingles") > 0).distinct()
-    return items.select("item_id", "shingles", F.size("shingles").alias("size"), simhash(F.col("shingles")).alias("fingerprint"))
+    return items.select("item_id", "words", "shingles", F.size("shingles").alias("size"), simhash(F.col("shingles")).alias("fingerprint"))
 
 
-def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, start, size, shingles: item-sized windows laid where a shingle is shared (broadcasts the item shingles).
+def anchor_words(items: DataFrame, threshold: float) -> DataFrame:
+    """word (hash), offset, size: words of each item of which a window that reaches the threshold holds one, in its place.
 
-    The search explodes hashes and positions alone; the words of a document
-    are only fetched again where it has a window.
+    Such a window lacks at most m - 1 = n - ceil(threshold * n) of the item's n
+    shingles, so it holds one of any m. Each word of the places 4..n-1 is in
+    five shingles, and q such words are in q + 4 or more; the q = m - 4 longest
+    will do. Items too short for that anchor on all their words.
+    """
+    n = F.col("size")
+    missing = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int")
+    q = F.greatest(F.lit(1), missing + 1 - (SHINGLE - 1))
+    places = F.transform("words", lambda w, i: F.struct((-F.char_length(w)).alias("short"), i.alias("offset"), F.xxhash64(w).alias("word")))
+    inner = F.filter(places, lambda p: (p["offset"] >= SHINGLE - 1) & (p["offset"] < n))
+    chosen = F.when(F.size(inner) >= q, F.slice(F.sort_array(inner), 1, q)).otherwise(places)
+    return items.select(F.explode(chosen).alias("a"), "size").select("a.word", "a.offset", "size").distinct()
+
+
+def windows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, start, size, shingles: item-sized windows laid where an anchor word is met (broadcasts the anchor words).
+
+    The search explodes words and positions alone; the words of a document are
+    only fetched again where it has a window.
     """
-    listed = items.select(F.posexplode("shingles").alias("offset", "shingle"), "size").distinct()
     held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_key"))
     own = lambda df: with_shingles(df.withColumn("words", tokens(F.col("text"))), "words", "own").drop("words", "text")
-    found = own(held).withColumn("last", F.size("own")).select("doc_id", "text_key", "last", F.posexplode("own").alias("pos", "shingle"))
-    hits = found.join(F.broadcast(listed), "shingle")
+    found = held.select("doc_id", "text_key", tokens(F.col("text")).alias("words")).withColumn("last", F.size("words") - (SHINGLE - 1)).filter("last > 0")
+    found = found.select("doc_id", "text_key", "last", F.posexplode("words").alias("pos", "text_word")).select("doc_id", "text_key", "last", "pos", F.xxhash64("text_word").alias("word"))
+    hits = found.join(F.broadcast(anchor_words(items, threshold)), "word")
     start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("last") - F.col("size")))
     places = hits.select("doc_id", "text_key", start.alias("start"), "size").distinct()
     places = places.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("places")).alias("p")
@@ -87,7 +105,7 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _matches(docs: DataFrame, items: DataFrame, radius: int, threshold: float) -> DataFrame:
-    found = windows(docs, items).withColumn("fingerprint", simhash(F.col("shingles")))
+    found = windows(docs, items, threshold).withColumn("fingerprint", simhash(F.col("shingles")))
     found = found.select("doc_id", "start", "size", "shingles", "fingerprint", F.explode(blocks(F.col("fingerprint"), radius)).alias("b")).select("*", "b.block", "b.value")
     listed = items.select("item_id", "size", F.col("shingles").alias("item_shingles"), F.col("fingerprint").alias("item_fingerprint"), F.explode(blocks(F.col("fingerprint"), radius)).alias("b"))
     listed = F.broadcast(listed.select("item_id", "size", "item_shingles", "item_fingerprint", "b.block", "b.value"))
