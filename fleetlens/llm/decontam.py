@@ -1,9 +1,8 @@
 """Benchmark decontamination by SimHash over item-sized windows (native).
 
-Windows as long as a benchmark item are laid into a document wherever it has one
-of the item's anchor words, in step with the item. Anchor words are so chosen
-that a window without any of them, in its place, lacks too many shingles to be
-similar, so no window elsewhere can matter. Windows and items get
+Windows as long as a benchmark item are laid into a document wherever it has
+enough of the item's anchor words in step with the item; elsewhere a window
+lacks too many shingles to be similar (see anchor_words). Windows and items get
 64-bit SimHash fingerprints. Cut into RADIUS + 1 blocks, two fingerprints within
 RADIUS bits must agree on a block, so an equi-join on (size, block, value) finds
 them all; what is within the radius is verified by exact weighted Jaccard
@@ -19,6 +18,8 @@ RADIUS = 19
 THRESHOLD = 0.8
 #: Most item words that are broadcast at once; more are taken in several passes.
 BROADCAST_ROWS = 200_000
+#: Anchor words that a similar window has in step: more are looked for, so that so many remain.
+IN_STEP = 2
 
 
 def tokens(text: Column) -> Column:
@@ -69,35 +70,43 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 
 
 def anchor_words(items: DataFrame, threshold: float) -> DataFrame:
-    """word (hash), offset, size: words of each item of which a window that reaches the threshold holds one, in its place.
-
-    Such a window lacks at most m - 1 = n - ceil(threshold * n) of the item's n
-    shingles, so it holds one of any m. Each word of the places 4..n-1 is in
-    five shingles, and q such words are in q + 4 or more; the q = m - 4 longest
-    will do. Items too short for that anchor on all their words.
+    """word, offset, item_id, size, slack, need: some of the longest words of each item, and how many a similar window has in step.
+
+    A window of n shingles that reaches the threshold lacks at most slack = n -
+    ceil(2 t n / (1 + t)) of the item's. A word in the places 4..n-1 is in five
+    shingles and q such words are in q + 4 or more, so at most slack - 4 of the
+    anchors are missing or out of place by themselves; and as each break in the
+    order costs five shingles, the others stand in slack // 5 + 1 runs at most,
+    the largest of which has need anchors in step. Items too short for that
+    anchor on all their words and need one.
     """
     n = F.col("size")
-    missing = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int")
-    q = F.greatest(F.lit(1), missing + 1 - (SHINGLE - 1))
+    slack = n - F.ceil(n * F.lit(2 * threshold / (1 + threshold)) - 1e-9).cast("int")
     places = F.transform("words", lambda w, i: F.struct((-F.char_length(w)).alias("short"), i.alias("offset"), F.xxhash64(w).alias("word")))
     inner = F.filter(places, lambda p: (p["offset"] >= SHINGLE - 1) & (p["offset"] < n))
-    chosen = F.when(F.size(inner) >= q, F.slice(F.sort_array(inner), 1, q)).otherwise(places)
-    return items.select(F.explode(chosen).alias("a"), "size").select("a.word", "a.offset", "size").distinct()
+    lost, runs = F.greatest(F.lit(0), F.col("slack") - (SHINGLE - 1)), F.floor(F.col("slack") / SHINGLE).cast("int") + 1
+    chosen = F.when(F.size(inner) > 0, F.slice(F.sort_array(inner), 1, lost + IN_STEP * runs)).otherwise(places)
+    need = F.when(F.size(inner) > 0, F.greatest(F.lit(1), F.ceil((F.size(chosen) - lost) / runs).cast("int"))).otherwise(1)
+    return items.withColumn("slack", slack).select("item_id", "size", "slack", need.alias("need"), F.explode(chosen).alias("a")).select("a.word", "a.offset", "item_id", "size", "slack", "need").distinct()
 
 
 def windows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, start, size, shingles: item-sized windows laid where an anchor word is met (broadcasts the anchor words).
+    """doc_id, start, size, shingles: item-sized windows laid where enough anchor words are met in step (broadcasts the anchor words).
 
     The search explodes words and positions alone; the words of a document are
-    only fetched again where it has a window.
+    only fetched again where it has a window. A similar window starts within
+    slack of where its largest run of anchors points, so all those starts are
+    laid. A document shorter than an item is one window for it on any anchor.
     """
     held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_key"))
     own = lambda df: with_shingles(df.withColumn("words", tokens(F.col("text"))), "words", "own").drop("words", "text")
     found = held.select("doc_id", "text_key", tokens(F.col("text")).alias("words")).withColumn("last", F.size("words") - (SHINGLE - 1)).filter("last > 0")
     found = found.select("doc_id", "text_key", "last", F.posexplode("words").alias("pos", "text_word")).select("doc_id", "text_key", "last", "pos", F.xxhash64("text_word").alias("word"))
     hits = found.join(F.broadcast(anchor_words(items, threshold)), "word")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("last") - F.col("size")))
-    places = hits.select("doc_id", "text_key", start.alias("start"), "size").distinct()
+    runs = hits.groupBy("doc_id", "text_key", "last", "item_id", "size", "slack", "need", (F.col("pos") - F.col("offset")).alias("at")).agg(F.count("*").alias("n"))
+    runs = runs.filter((F.col("n") >= F.col("need")) | (F.col("last") < F.col("size")))
+    near = runs.select("doc_id", "text_key", "last", "size", F.explode(F.sequence(F.col("at") - F.col("slack"), F.col("at") + F.col("slack"))).alias("at"))
+    places = near.select("doc_id", "text_key", F.greatest(F.lit(0), F.least(F.col("at"), F.col("last") - F.col("size"))).alias("start"), "size").distinct()
     places = places.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("places")).alias("p")
     met = held.alias("h").join(places, F.col("h.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("h.text_key") == F.col("p.text_key"))).select("h.doc_id", "text", "places")
     cut = F.zip_with("places", F.array_repeat("own", F.size("places")), lambda p, o: F.struct(p["start"].alias("start"), p["size"].alias("size"), F.slice(o, p["start"] + 1, p["size"]).alias("shingles")))
