@@ -194,18 +194,26 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, max_terms: int = MAX_TERM
     """Words and stems ("stem*", of 4 to 7 letters) that mark toxic texts.
 
     Texts with the same smallest word hash (copies, most near copies) count as
-    one. A term is taken if 95 % of what has it is toxic, and if so many toxic
+    one, and words in quotation don't count. A term is taken if 95 % of what has
+    it is toxic, and if so many toxic
     texts would hardly (one term in two lexicons) meet in it by chance, and
     they are 2 % of the toxic ones. A stem gives way to a longer one, or to a
     word, with 0.8 of its texts.
     """
     def terms(text: str) -> set[str]:
+        """Words that stand outside of quotation and reporting at least once."""
         data, offsets = lowered([text])
         whole = text.lower()
         if not len(data):
             return set()
-        s, e, _ = word_spans(data, offsets)
-        return {whole[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)}
+        start, end, _ = word_spans(data, offsets)
+        words = [whole[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+        opened = np.concatenate(([0], np.cumsum(np.isin(data, [ord(c) for c in QUOTES]))))
+        before, near, after = opened[start], opened[start] - opened[np.maximum(start - WINDOW, 0)], opened[np.minimum(end + WINDOW, len(data))] - opened[end]
+        told = np.array([e for w, e in zip(words, end.tolist(), strict=True) if w in REPORTING], np.int64)
+        reported = np.searchsorted(told, start, "right") > np.searchsorted(told, start - WINDOW, "left")
+        plain = ~((before % 2 == 1) & (near > 0) & (after > 0)) & ~reported
+        return {w for w, p in zip(words, plain.tolist(), strict=True) if p}
 
     def families(bad: bool) -> Iterator[set[str]]:
         """The words of each family; one family is held at a time."""
