@@ -71,6 +71,11 @@ def induced_trips(payout: Column, a: Column, b: Column) -> Column:
     return a * (1 - F.exp(-b * payout))
 
 
+def pearson(a: Column | str, b: Column | str) -> Column:
+    """Correlation of two columns (an aggregate); null where one does not vary, for which corr() raises under ANSI rules."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def mm1k_p0(lam: Column, mu: Column, k: Column) -> Column:
     """Chance of an empty M/M/1/K queue: 1 for K <= 0, 1/(K+1) at rho = 1, null for mu = 0."""
     rho = F.try_divide(lam, mu)

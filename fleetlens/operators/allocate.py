@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions.columns import induced_trips
+from ..functions.columns import induced_trips, pearson
 from ..params import AllocationParams, ValueParams
 
 CELL = ["station_id", "hour_of_week"]
@@ -107,7 +107,7 @@ def spearman_stability(tops: DataFrame) -> DataFrame:
     both = a.join(b, CELL).filter("draw_i < draw_j")
     pair = W.partitionBy("draw_i", "draw_j")
     again = both.withColumns({"pi": F.row_number().over(pair.orderBy("ri")), "pj": F.row_number().over(pair.orderBy("rj"))})
-    return again.groupBy("draw_i", "draw_j").agg(F.count("*").alias("n_common"), F.when(F.count("*") >= 2, F.corr("pi", "pj")).alias("rho"))
+    return again.groupBy("draw_i", "draw_j").agg(F.count("*").alias("n_common"), F.when(F.count("*") >= 2, pearson("pi", "pj")).alias("rho"))
 
 
 def stable_core(tops: DataFrame, n_draws: int) -> DataFrame:

@@ -89,4 +89,4 @@ def monthly_cross_check(inventory: DataFrame, reported: DataFrame, low: float =
     own = inventory.groupBy(F.to_date(F.date_trunc("month", "interval_start")).alias("month_start")).agg(F.sum(F.col("inferred_nontrip_in") + F.col("inferred_nontrip_out")).alias("inferred"))
     ratio = F.try_divide("inferred", F.col("rebalanced_bikes_total"))
     flag = F.when(ratio < low, "below").when(ratio > high, "above").when(ratio.isNull(), "no_report").otherwise("ok")
-    return own.join(reported, "month_start", "left").select("month_start", "inferred", F.col("rebalanced_bikes_total").alias("reported"), F.round(ratio, 6).alias("ratio"), flag.alias("flag"))
+    return own.join(reported, "month_start", "left").select("month_start", "inferred", F.col("rebalanced_bikes_total").alias("reported"), F.round(ratio, 9).alias("ratio"), flag.alias("flag"))

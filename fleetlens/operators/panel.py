@@ -117,4 +117,4 @@ def reconcile_capacity(activity: DataFrame, stations: DataFrame, warn_share: flo
         F.coalesce(F.sum(F.when(null, F.col("volume"))), F.lit(0)).alias("unmatched_volume"),
     )
     share = F.try_divide("unmatched_volume", "volume")
-    return out.withColumns({"unmatched_share": F.round(share, 6), "warn": share > warn_share})
+    return out.withColumns({"unmatched_share": F.round(share, 9), "warn": share > warn_share})

@@ -71,7 +71,7 @@ def linkage_zones(stations: DataFrame, cut_m: float = 700.0) -> DataFrame:
         names = {r: f"c{i}" for i, r in enumerate(sorted(set(root.tolist())))}
         return pd.DataFrame({"station_id": table["station_id"], "zone_link": [names[r] for r in root]})
 
-    return stations.select("station_id", east.alias("x"), north.alias("y")).groupBy(F.lit(0)).applyInPandas(run, f"station_id {kind}, zone_link string")
+    return stations.select("station_id", east.alias("x"), north.alias("y")).groupBy(F.lit("all")).applyInPandas(run, f"station_id {kind}, zone_link string")
 
 
 def zone_sizes(stations: DataFrame, zone: str = "zone_agg") -> DataFrame:

@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import allocate, demand, features, heatmap, inventory, od, panel, substitution, value, zones
 from ..params import AllocationParams, Params, ValueParams
+from ..session import cut
 from ..sources import standin, trips
 
-#: Four weeks of events: fewer weeks are asked for, and small budgets and prefilters suit the small network.
-STANDIN = Params(value=ValueParams(min_weeks=3), allocation=AllocationParams(budget=200.0, top_n=20, prefilter=500))
+#: Four weeks of events: fewer weeks are asked for, and small budgets, prefilters and low levels suit the small network.
+STANDIN = Params(value=ValueParams(min_weeks=3, low_inventory=1.0), allocation=AllocationParams(budget=200.0, top_n=20, prefilter=500))
 
 
 class Chain:
-    """Lazy tables; nothing runs before an action on what is asked for."""
+    """The tables, lazy but for those that several others are made of.
+
+    Unmet demand, weekly cells and candidate moves are phase boundaries: they
+    are computed once, when first asked for, and written to the checkpoint
+    folder. Without that, each table above them would run them again.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, params: Params = STANDIN) -> None:
         self.spark, self.sf_dir, self.params = spark, sf_dir, params
@@ -50,7 +56,7 @@ class Chain:
 
     @cached_property
     def unmet(self) -> DataFrame:
-        return demand.unmet_table(self.inventory)
+        return cut(demand.unmet_table(self.inventory))
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -74,7 +80,7 @@ class Chain:
 
     @cached_property
     def weekly(self) -> DataFrame:
-        return value.station_hour_week(self.net)
+        return cut(value.station_hour_week(self.net))
 
     @cached_property
     def rates(self) -> DataFrame:
@@ -87,7 +93,7 @@ class Chain:
     @cached_property
     def timing(self) -> DataFrame:
         chronic = self.low.filter(F.col("low_frac") > self.params.allocation.chronic_low)
-        return value.chronic_timing(value.chronic_slots(self.inventory, chronic, self.params.value))
+        return value.chronic_timing(value.chronic_slots(self.unmet, chronic, self.params.value))
 
     @cached_property
     def cells(self) -> DataFrame:
@@ -130,7 +136,7 @@ class Chain:
 
     @cached_property
     def moves(self) -> DataFrame:
-        return allocate.candidate_moves(self.tiers, self.cumulative, self.origins, self.stations.select("station_id", "zone_agg"), self.flows, self.params.allocation.prefilter)
+        return cut(allocate.candidate_moves(self.tiers, self.cumulative, self.origins, self.stations.select("station_id", "zone_agg"), self.flows, self.params.allocation.prefilter))
 
     @cached_property
     def options(self) -> DataFrame:

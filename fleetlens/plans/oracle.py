@@ -65,10 +65,10 @@ PARTS: dict[str, str] = {
     "rates": """SELECT station_id, hour_of_week, any_value(capacity) AS capacity, sum(p_stockout * n) / sum(n) AS p_stockout_empirical, sum(dep_d * n) / sum(n) AS dep_rate, sum(arr_d * n) / sum(n) AS arr_rate,
         sum(nontrip_in * n) / sum(n) AS nontrip_in_rate, sum(nontrip_out * n) / sum(n) AS nontrip_out_rate, count(*) AS n_weeks,
         sum(dep_d * n) / sum(n) + sum(nontrip_out * n) / sum(n) AS mu, sum(arr_d * n) / sum(n) + sum(nontrip_in * n) / sum(n) AS lam FROM weekly GROUP BY station_id, hour_of_week""",
-    "low": """SELECT station_id, hour_of_week, min(inventory) AS min_inventory, avg(CASE WHEN inventory <= 4 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS low_frac, count(*) AS n_weeks, sum(net_lost * n) AS net_lost
+    "low": """SELECT station_id, hour_of_week, min(inventory) AS min_inventory, avg(CASE WHEN inventory <= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS low_frac, count(*) AS n_weeks, sum(net_lost * n) AS net_lost
         FROM weekly GROUP BY ALL""",
     "slots": """SELECT i.station_id, i.hour_of_week, i.week_start, min(extract(minute FROM interval_start) // 15)::INTEGER AS first_slot FROM inv i JOIN low l ON i.station_id = l.station_id AND i.hour_of_week = l.hour_of_week
-        WHERE l.low_frac > 0.5 AND i.inventory <= 4 GROUP BY ALL""",
+        WHERE l.low_frac > 0.5 AND i.inventory <= 1 GROUP BY ALL""",
     "timing": """SELECT station_id, hour_of_week, sum(n)::BIGINT AS n_weeks, sum(n * first_slot)::DOUBLE / sum(n) AS mean_slot,
         sqrt(greatest(sum(n * first_slot * first_slot) - sum(n * first_slot)::DOUBLE * sum(n * first_slot) / sum(n), 0.0::DOUBLE) / nullif(sum(n) - 1, 0)) AS std_slot, max(n)::DOUBLE / sum(n) AS modal_share
         FROM (SELECT station_id, hour_of_week, first_slot, count(*) AS n FROM slots GROUP BY ALL) GROUP BY station_id, hour_of_week""",
@@ -83,7 +83,7 @@ PARTS: dict[str, str] = {
         ((CASE WHEN t.how % 24 >= 7 THEN 1 ELSE 0 END) + (CASE WHEN t.how % 24 >= 10 THEN 1 ELSE 0 END) + (CASE WHEN t.how % 24 >= 16 THEN 1 ELSE 0 END) + (CASE WHEN t.how % 24 >= 19 THEN 1 ELSE 0 END)
         + (CASE WHEN t.how % 24 >= 22 THEN 1 ELSE 0 END) + (CASE WHEN t.how >= 120 THEN 6 ELSE 0 END))::INTEGER AS daypart
         FROM trips t LEFT JOIN stations s ON t.start_station_id = s.station_id WHERE t.end_station_id IN (SELECT station_id FROM usable)""",
-    "flows": "SELECT start_station_id, hour_of_week, end_station_id, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY start_station_id, hour_of_week) AS prob FROM od GROUP BY ALL",
+    "flows": "SELECT start_station_id, hour_of_week, end_station_id, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY start_station_id, hour_of_week) AS prob FROM od GROUP BY start_station_id, hour_of_week, end_station_id",
     "dest": """SELECT t.station_id, t.hour_of_week, t.tier, t.low_frac, c.k_max, s.zone_agg FROM tiers t JOIN cum c ON t.station_id = c.station_id AND t.hour_of_week = c.hour_of_week AND c.k = c.k_max
         LEFT JOIN stations s ON s.station_id = t.station_id WHERE c.cum_mv > 0 ORDER BY c.cum_mv DESC, t.station_id, t.hour_of_week LIMIT 500""",
     "moves": """SELECT station_id, hour_of_week, tier, low_frac, k_max, origin_station_id, origin_cost, flow_prob FROM (

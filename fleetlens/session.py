@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -38,3 +38,19 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(path))
         sc._fleetlens_shipped = sc.applicationId
     return spark
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; only where it is unset (local runs, tests), a temporary folder."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        where = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp()}"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(where)
+    return where
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and written where every executor can read it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
