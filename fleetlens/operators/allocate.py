@@ -38,7 +38,7 @@ def candidate_moves(tiers: DataFrame, cumulative: DataFrame, origins: DataFrame,
     hash joins; flows are start_station_id, hour_of_week, end_station_id, prob.
     """
     ceiling = cumulative.filter("k = k_max").select(*CELL, "k_max", F.col("cum_mv").alias("ceiling"))
-    dest = tiers.join(ceiling, CELL).filter("ceiling > 0").orderBy(F.desc("ceiling"), *CELL).limit(prefilter)
+    dest = tiers.join(ceiling, CELL).filter("ceiling > 0").orderBy(F.round("ceiling", 9).desc(), *CELL).limit(prefilter)
     dest = dest.join(zones, "station_id", "left")
     src = origins.join(zones, "station_id", "left").select(F.col("station_id").alias("origin_station_id"), "hour_of_week", "origin_cost", F.col("zone_agg").alias("origin_zone"))
     edge = flows.select(F.col("start_station_id").alias("origin_station_id"), "hour_of_week", F.col("end_station_id").alias("station_id"), F.col("prob").alias("flow_prob"))
@@ -47,7 +47,7 @@ def candidate_moves(tiers: DataFrame, cumulative: DataFrame, origins: DataFrame,
     same = d.join(s, (F.col("d.hour_of_week") == F.col("s.hour_of_week")) & (F.col("d.zone_agg") == F.col("s.origin_zone"))).filter("d.station_id != s.origin_station_id").select("d.station_id", "d.hour_of_week", "origin_station_id", "origin_cost")
     flowing = dest.select(*CELL).join(edge.filter("flow_prob > 0"), CELL).join(src, ["origin_station_id", "hour_of_week"]).filter("station_id != origin_station_id").select(*names)
     pairs = same.union(flowing).distinct().join(edge, [*CELL, "origin_station_id"], "left").fillna(0.0, ["flow_prob"])
-    best = W.partitionBy(*CELL).orderBy("origin_cost", F.desc("flow_prob"), "origin_station_id")
+    best = W.partitionBy(*CELL).orderBy(F.round("origin_cost", 9), F.round("flow_prob", 9).desc(), "origin_station_id")
     chosen = pairs.withColumn("nth", F.row_number().over(best)).filter("nth = 1").drop("nth")
     return dest.select(*CELL, "tier", "low_frac", "k_max").join(chosen, CELL)
 
@@ -73,8 +73,9 @@ def value_options(moves: DataFrame, cumulative: DataFrame, payouts: DataFrame, p
 def rank_targets(options: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The best payout of each cell, ranked by net value per dollar (within by)."""
     by = by or []
-    best = W.partitionBy(*by, *CELL).orderBy(F.desc("nvpd"), "payout")
-    order = (W.partitionBy(*by) if by else W.partitionBy()).orderBy(F.desc("nvpd"), *CELL)
+    worth = F.round("nvpd", 9).desc_nulls_last()  # ties are ties, whatever the order of a sum
+    best = W.partitionBy(*by, *CELL).orderBy(worth, "payout")
+    order = (W.partitionBy(*by) if by else W.partitionBy()).orderBy(worth, *CELL)
     return options.withColumn("nth", F.row_number().over(best)).filter("nth = 1").drop("nth").withColumn("rank", F.row_number().over(order))
 
 

@@ -85,23 +85,23 @@ PARTS: dict[str, str] = {
         FROM trips t LEFT JOIN stations s ON t.start_station_id = s.station_id WHERE t.end_station_id IN (SELECT station_id FROM usable)""",
     "flows": "SELECT start_station_id, hour_of_week, end_station_id, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY start_station_id, hour_of_week) AS prob FROM od GROUP BY start_station_id, hour_of_week, end_station_id",
     "dest": """SELECT t.station_id, t.hour_of_week, t.tier, t.low_frac, c.k_max, s.zone_agg FROM tiers t JOIN cum c ON t.station_id = c.station_id AND t.hour_of_week = c.hour_of_week AND c.k = c.k_max
-        LEFT JOIN stations s ON s.station_id = t.station_id WHERE c.cum_mv > 0 ORDER BY c.cum_mv DESC, t.station_id, t.hour_of_week LIMIT 500""",
+        LEFT JOIN stations s ON s.station_id = t.station_id WHERE c.cum_mv > 0 ORDER BY round(c.cum_mv, 9) DESC, t.station_id, t.hour_of_week LIMIT 500""",
     "moves": """SELECT station_id, hour_of_week, tier, low_frac, k_max, origin_station_id, origin_cost, flow_prob FROM (
         SELECT d.*, o.station_id AS origin_station_id, o.origin_cost, coalesce(f.prob, 0.0::DOUBLE) AS flow_prob,
-               row_number() OVER (PARTITION BY d.station_id, d.hour_of_week ORDER BY o.origin_cost, coalesce(f.prob, 0) DESC, o.station_id) AS rn
+               row_number() OVER (PARTITION BY d.station_id, d.hour_of_week ORDER BY round(o.origin_cost, 9), round(coalesce(f.prob, 0), 9) DESC, o.station_id) AS rn
         FROM dest d JOIN origins o ON d.hour_of_week = o.hour_of_week AND d.station_id <> o.station_id JOIN stations s ON s.station_id = o.station_id
         LEFT JOIN flows f ON f.start_station_id = o.station_id AND f.hour_of_week = o.hour_of_week AND f.end_station_id = d.station_id
         WHERE s.zone_agg = d.zone_agg OR f.prob > 0) WHERE rn = 1""",
     "opts": """SELECT m.*, p.payout, CASE WHEN tier = 1 THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END * (1 - exp(-CASE WHEN tier = 1 THEN 0.15::DOUBLE ELSE 0.25::DOUBLE END * p.payout)) AS induced
         FROM moves m, (SELECT unnest([1, 2, 5, 10, 20, 30, 50])::DOUBLE AS payout) p""",
-    "ranked": """SELECT *, row_number() OVER (ORDER BY nvpd DESC, station_id, hour_of_week) AS rank FROM (
-        SELECT *, row_number() OVER (PARTITION BY station_id, hour_of_week ORDER BY nvpd DESC, payout) AS nth FROM (
+    "ranked": """SELECT *, row_number() OVER (ORDER BY round(nvpd, 9) DESC, station_id, hour_of_week) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY station_id, hour_of_week ORDER BY round(nvpd, 9) DESC, payout) AS nth FROM (
         SELECT o.*, c.cum_mv - o.induced * o.origin_cost AS value, o.induced * o.payout * 0.2::DOUBLE AS dollar_cost,
             (c.cum_mv - o.induced * o.origin_cost - o.induced * o.payout * 0.2::DOUBLE) / (o.induced * o.payout * 0.2::DOUBLE) AS nvpd
         FROM opts o JOIN cum c ON c.station_id = o.station_id AND c.hour_of_week = o.hour_of_week AND c.k = greatest(1, least(round_even(o.induced, 0)::INTEGER, o.k_max)))) WHERE nth = 1""",
     "draws": """SELECT ((a - 1) * 5 + b - 1)::INTEGER AS draw, 1.0::DOUBLE + 4.0::DOUBLE * (a - 1) / 4 AS ea, 0.05::DOUBLE + (0.5::DOUBLE - 0.05::DOUBLE) * (b - 1) / 4 AS eb FROM range(1, 6) x(a), range(1, 6) y(b)""",
-    "tops": """SELECT draw, station_id, hour_of_week, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY nvpd DESC, station_id, hour_of_week) AS rank FROM (
-        SELECT *, row_number() OVER (PARTITION BY draw, station_id, hour_of_week ORDER BY nvpd DESC, payout) AS nth FROM (
+    "tops": """SELECT draw, station_id, hour_of_week, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY round(nvpd, 9) DESC, station_id, hour_of_week) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY draw, station_id, hour_of_week ORDER BY round(nvpd, 9) DESC, payout) AS nth FROM (
         SELECT o.draw, o.station_id, o.hour_of_week, o.payout, (c.cum_mv - o.i * o.origin_cost - o.i * o.payout * 0.2::DOUBLE) / (o.i * o.payout * 0.2::DOUBLE) AS nvpd
         FROM (SELECT m.*, p.payout, d.draw, d.ea * (1 - exp(-d.eb * p.payout)) AS i FROM moves m, (SELECT unnest([1, 2, 5, 10, 20, 30, 50])::DOUBLE AS payout) p, draws d) o
         JOIN cum c ON c.station_id = o.station_id AND c.hour_of_week = o.hour_of_week AND c.k = greatest(1, least(round_even(o.i, 0)::INTEGER, o.k_max)))) WHERE nth = 1) WHERE rank <= 20""",
