@@ -76,6 +76,29 @@ def unmet_table(inventory: DataFrame, bias: dict[str, DataFrame] | None = None)
     return out
 
 
+def calibrate(rows: DataFrame, direction: str, runs_each: int = 300, lengths: tuple[int, ...] = (1, 2, 3, 4, 6, 8, 12), min_n: int = 20, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(recovery table, bias by run-length bucket) of the rows' own <direction>_D_hat, from artificially censored runs.
+
+    Predictions are joined back by station and interval, never by row order.
+    """
+    from .censoring import evaluate_recovery, synthetic_runs
+    from .features import capacity_staleness
+
+    target, flag, _ = DIRECTIONS[direction]
+    runs = synthetic_runs(rows.filter(~F.col(flag)), target, lengths, runs_each, seed)
+    known = runs.join(rows.select("station_id", "interval_start", F.col(f"{direction}_D_hat").alias("D_hat")), ["station_id", "interval_start"]).join(capacity_staleness(rows), "station_id")
+    recovery = evaluate_recovery(known)
+    return recovery, bucket_bias(recovery, min_n)
+
+
+def held_out_wmape(rows: DataFrame, direction: str, holdout_start: str, deciles: int = 10) -> DataFrame:
+    """stratum (overall, decile), decile, n, wmape on uncensored rows from holdout_start on."""
+    target, flag, _ = DIRECTIONS[direction]
+    held = rows.filter(~F.col(flag) & (F.col("interval_start") >= F.lit(holdout_start).cast("timestamp_ntz")))
+    overall = held.agg(F.count("*").alias("n"), wmape(target, f"{direction}_D_hat").alias("wmape")).select(F.lit("overall").alias("stratum"), F.lit(None).cast("int").alias("decile"), "n", "wmape")
+    return overall.unionByName(wmape_by_decile(held, target, f"{direction}_D_hat", deciles).select(F.lit("decile").alias("stratum"), "decile", "n", "wmape"))
+
+
 NUMERIC = ["temp_c", "precip_mm", "precip_lag1h", "precip_lag2h", "wind_kph", "humidity_pct", "capacity"]
 
 

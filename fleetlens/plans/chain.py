@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import allocate, demand, features, heatmap, inventory, od, panel, substitution, value, zones
 from ..params import AllocationParams, Params, ValueParams
-from ..session import cut
+from ..session import stored
 from ..sources import standin, trips
 
 #: Four weeks of events: fewer weeks are asked for, and small budgets, prefilters and low levels suit the small network.
@@ -56,7 +56,7 @@ class Chain:
 
     @cached_property
     def unmet(self) -> DataFrame:
-        return cut(demand.unmet_table(self.inventory))
+        return stored(demand.unmet_table(self.inventory))
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -80,7 +80,7 @@ class Chain:
 
     @cached_property
     def weekly(self) -> DataFrame:
-        return cut(value.station_hour_week(self.net))
+        return stored(value.station_hour_week(self.net))
 
     @cached_property
     def rates(self) -> DataFrame:
@@ -136,7 +136,7 @@ class Chain:
 
     @cached_property
     def moves(self) -> DataFrame:
-        return cut(allocate.candidate_moves(self.tiers, self.cumulative, self.origins, self.stations.select("station_id", "zone_agg"), self.flows, self.params.allocation.prefilter))
+        return stored(allocate.candidate_moves(self.tiers, self.cumulative, self.origins, self.stations.select("station_id", "zone_agg"), self.flows, self.params.allocation.prefilter))
 
     @cached_property
     def options(self) -> DataFrame:

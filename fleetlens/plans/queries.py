@@ -292,6 +292,20 @@ def q_synthetic_recovery(c: Chain) -> DataFrame:
     return rounded(censoring.evaluate_recovery(rows))
 
 
+@query(f"""SELECT run_length_bucket, {_r('bias')}, n FROM (SELECT CASE WHEN len <= 1 THEN 0 WHEN len <= 4 THEN 1 ELSE 2 END::INTEGER AS run_length_bucket, avg(dep_d - true_d) AS bias, count(*) AS n FROM cut c JOIN stale s ON c.station_id = s.station_id GROUP BY 1) WHERE n >= 20""", **SYNTHETIC)
+def q_bucket_bias(c: Chain) -> DataFrame:
+    recovery, bias = demand.calibrate(c.unmet, "dep", 40, c.params.demand.calibration_runs)
+    return rounded(bias.join(recovery.filter("stratum = 'bucket'").select("run_length_bucket", "n"), "run_length_bucket"))
+
+
+@query(f"""SELECT 'overall' AS stratum, NULL::INTEGER AS decile, count(*) AS n, {_r('sum(abs(departures - dep_d)) / sum(departures) AS wmape')} FROM unmet WHERE NOT is_bike_empty AND interval_start >= TIMESTAMP '2024-01-22'
+    UNION ALL SELECT 'decile', decile, count(*), round(sum(abs(departures - d)) / nullif(sum(departures), 0), 9) FROM (SELECT departures, d, len(list_filter(e, lambda x: x <= d))::INTEGER AS decile FROM
+    (SELECT departures, round(dep_d, 9) AS d FROM unmet WHERE NOT is_bike_empty AND interval_start >= TIMESTAMP '2024-01-22'),
+    (SELECT quantile_cont(round(dep_d, 9), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM unmet WHERE NOT is_bike_empty AND interval_start >= TIMESTAMP '2024-01-22')) GROUP BY decile""")
+def q_held_out_wmape(c: Chain) -> DataFrame:
+    return rounded(demand.held_out_wmape(c.unmet.withColumn("dep_D_hat", F.round("dep_D_hat", 9)), "dep", "2024-01-22"))
+
+
 STRATA = {
     "edges": "SELECT quantile_cont(round(dep_d, 9), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS d, quantile_cont(capacity, [0.25, 0.5, 0.75]) AS c FROM unmet WHERE is_bike_empty",
     "strata": "SELECT u.*, concat_ws('_', len(list_filter(e.d, lambda x: x <= round(dep_d, 9))), len(list_filter(e.c, lambda x: x <= capacity)), hour_of_week) AS stratum FROM unmet u, edges e",
@@ -706,6 +720,20 @@ def q_zone_activity(c: Chain) -> DataFrame:
     return rounded(compare.zone_activity(_results(c)))
 
 
+@query("SELECT policy, round(quantile_cont(lift, 0.5), 9) + 0.0::DOUBLE AS lift_pp_median, round(quantile_cont(lift, 0.05), 9) + 0.0::DOUBLE AS lift_pp_p5, round(quantile_cont(lift, 0.95), 9) + 0.0::DOUBLE AS lift_pp_p95, 10::INTEGER AS budget FROM paired WHERE level = 'system' GROUP BY policy", **LOG, **RESULTS)
+def q_lift_vs_budget(c: Chain) -> DataFrame:
+    return rounded(compare.lift_vs_budget(_results(c).withColumn("budget", F.lit(10))))
+
+
+@query("""SELECT policy, round(quantile_cont(lift, 0.5), 9) + 0.0::DOUBLE AS lift_pp_median, round(quantile_cont(lift, 0.05), 9) + 0.0::DOUBLE AS lift_pp_p5, round(quantile_cont(lift, 0.95), 9) + 0.0::DOUBLE AS lift_pp_p95,
+    quantile_cont(recovered, 0.5)::DOUBLE AS recovered_median, quantile_cont(recovered, 0.05)::DOUBLE AS recovered_p5, quantile_cont(recovered, 0.95)::DOUBLE AS recovered_p95, round(avg(CASE WHEN lift > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS p_lift
+    FROM paired WHERE level = 'system' GROUP BY policy""", **LOG, **RESULTS)
+def q_treated_ci(c: Chain) -> DataFrame:
+    r = _results(c).filter("level = 'system'")
+    base = r.filter("policy = 'do_nothing'").select("replicate", F.col("fulfilled").alias("base_fulfilled"), F.col("lost").alias("base_lost"))
+    return rounded(compare.treated_comparison(r.filter("policy != 'do_nothing'").join(base, "replicate")))
+
+
 @query("SELECT interval_start::DATE AS day, round(sum(departures) / sum(dep_d), 9) AS ratio FROM unmet WHERE NOT is_bike_empty GROUP BY ALL")
 def q_residual_ratios(c: Chain) -> DataFrame:
     return rounded(compare.residual_ratios(c.unmet.filter(~F.col("is_bike_empty")), "departures", "dep_D_hat"))
