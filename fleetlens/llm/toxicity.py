@@ -30,6 +30,8 @@ MAX_LABELLED = 8000
 MAX_TERMS = 400
 #: Code points before a hit that are looked at for quotation or reporting.
 WINDOW = 48
+#: Texts whose words are held as arrays at once.
+BATCH = 256
 #: Words of reporting, fixed values.
 REPORTING = frozenset("said says called call calls calling quoted quote quotes wrote writes word words term phrase slur insult".split())
 QUOTES = "\"“”„«»‘"
@@ -293,7 +295,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     x = np.zeros((len(texts), len(FEATURES)))
     for part in (half, ~half):
         other = build_automaton(learn_lexicon([t for t, p in zip(texts, part, strict=True) if not p], toxic[~part]))
-        x[part] = hit_features(other if len(lexicon) else automaton, [t for t, p in zip(texts, part, strict=True) if p])
+        own = [t for t, p in zip(texts, part, strict=True) if p]
+        x[part] = np.concatenate([hit_features(other if len(lexicon) else automaton, own[i : i + BATCH]) for i in range(0, len(own), BATCH)])
     weights, bias = fit_logistic(x, toxic)
     return ToxicityModel(lexicon, weights, bias)
 
@@ -310,12 +313,12 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            for at in range(0, batch.num_rows, 256):
-                part = [t or "" for t in texts.slice(at, 256).to_pylist()]
+            for at in range(0, batch.num_rows, BATCH):
+                part = [t or "" for t in texts.slice(at, BATCH).to_pylist()]
                 x = hit_features(automaton, part)
                 p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
                 hits = np.expm1(x[:, :4]).sum(1).round().astype(np.int64)
-                own = batch.slice(at, 256)
+                own = batch.slice(at, BATCH)
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("kept_"), pa.array(p), pa.array(hits)], ["doc_id", "kept_", "score", "hits"])
 
     keep = [c for c in keep or [] if c != "doc_id"]
