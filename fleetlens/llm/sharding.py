@@ -14,6 +14,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .storage import cut
+
 LIMIT_BYTES = 1_000_000
 HASH_BITS = 60
 
@@ -32,7 +34,8 @@ def _fit(cells: DataFrame, bits: int, low: int, high: int, limit: int) -> DataFr
     """cell, depth, shard_bytes, shard_docs: the least depth in low..high at which the cell's prefix fits."""
     levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("prefix", _prefix("cell", F.col("depth"), bits))
     sums = levels.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs")).filter(F.col("bytes") <= limit)
-    fits = levels.select("cell", "depth", "prefix").join(sums, ["depth", "prefix"])
+    first = sums.agg(F.min("depth")).first()[0]  # no shard is shallower, so the few prefixes above needn't meet all cells
+    fits = levels.select("cell", "depth", "prefix").filter(F.col("depth") >= (high + 1 if first is None else first)).join(sums, ["depth", "prefix"])
     return fits.groupBy("cell").agg(F.min(F.struct("depth", "bytes", "docs")).alias("fit")).select("cell", "fit.depth", F.col("fit.bytes").alias("shard_bytes"), F.col("fit.docs").alias("shard_docs"))
 
 
@@ -50,16 +53,18 @@ def assign_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, keep: list[st
     keep = [c for c in (keep or []) if c != "doc_id"]
     carried = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("int")
     sized = docs.select("doc_id", carried.alias("kept_"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), hash_key().alias("hash_key_"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    keys = cut(sized.select("hash_key_", "n_bytes"))  # narrow: the texts are read once for it and once for the result
+    total = keys.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(HASH_BITS - 1, max(8, math.ceil(math.log2(max(total, 1) / limit_bytes + 1)) + 6))
-    sized = sized.withColumn("cell", F.shiftright("hash_key_", HASH_BITS - bits))
-    cells = sized.groupBy("cell").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("docs"))
-    directory = cells.select("cell").join(_fit(cells, bits, 0, bits, limit_bytes), "cell", "left")
-    placed = sized.join(directory, "cell")
+    cell = F.shiftright("hash_key_", HASH_BITS - bits).alias("cell")
+    cells = cut(keys.groupBy(cell).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("docs")))
+    directory = cut(cells.select("cell").join(_fit(cells, bits, 0, bits, limit_bytes), "cell", "left"))
+    over = keys.select("hash_key_", "n_bytes", cell).join(directory.filter("depth is null"), "cell", "left_semi")
+    over = cut(over.groupBy(F.col("hash_key_").alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("docs")))
+    deep = over.select("cell").join(_fit(over, HASH_BITS, bits + 1, HASH_BITS, limit_bytes), "cell", "left")
+    placed = sized.select("*", cell).join(directory, "cell")
     done = placed.filter(F.col("depth").isNotNull()).withColumn("page", F.lit(None).cast("long"))
     rest = placed.filter(F.col("depth").isNull()).drop("depth", "shard_bytes", "shard_docs", "cell").withColumn("cell", F.col("hash_key_"))
-    keys = rest.groupBy("cell").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("docs"))
-    deep = keys.select("cell", F.col("bytes").alias("key_bytes"), F.col("docs").alias("key_docs")).join(_fit(keys, HASH_BITS, bits + 1, HASH_BITS, limit_bytes), "cell", "left")
     rest = rest.join(deep, "cell")
     fits = F.col("depth").isNotNull()
     per_page = F.greatest(F.lit(1), F.floor(F.lit(limit_bytes) / F.greatest("n_bytes", F.lit(1))))

@@ -1,23 +1,5 @@
 """Cutting lineage in the folder that the cluster shares."""
 
-from __future__ import annotations
+from ..session import checkpoint_dir, cut
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests), a temporary folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp()}"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written where every executor can read it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["checkpoint_dir", "cut"]
