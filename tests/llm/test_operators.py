@@ -203,6 +203,23 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({root(i) for i in bags}) and kept.columns == table(spark, rows).columns
 
 
+def test_near_copies_in_a_template_family_are_found(spark):
+    rng = random.Random(16)
+    template = words_of(rng, 150).split()
+    rows = []
+    for i in range(2000):
+        own = [f"own{i}"] + words_of(rng, 19).split()
+        rows.append((2 * i, " ".join(template + own), "a"))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, " ".join(template + own[:6] + words_of(rng, 14).split()), "a"))
+    filler = [(10_000 + i, words_of(rng, 20), "a") for i in range(2500)]
+    got = near_dedup.near_duplicates(table(spark, rows + filler)).filter("doc_id < 10000").collect()
+    bags = {i: bag(t) for i, t, _ in rows}
+    alike = lambda a, b: (a & b).total() / (a | b).total()
+    assert max(alike(bags[0], bags[i]) for i, _, _ in rows[2:]) < 0.8 and min(alike(bags[i - 1], bags[i]) for i in bags if i % 2) >= 0.8
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in bags}
+
+
 def test_icws_collides_as_weighted_jaccard():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 40).astype(np.uint64)
