@@ -70,7 +70,7 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 
 
 def anchor_words(items: DataFrame, threshold: float) -> DataFrame:
-    """word, offset, item_id, size, slack, need: some of the longest words of each item, and how many a similar window has in step.
+    """word, offset, item_id, size, slack, need, least, in_windows: some of the longest words of each item, and how many a similar window has in step.
 
     A window of n shingles that reaches the threshold lacks at most slack = n -
     ceil(2 t n / (1 + t)) of the item's. A word in the places 4..n-1 is in five
@@ -79,15 +79,23 @@ def anchor_words(items: DataFrame, threshold: float) -> DataFrame:
     order costs five shingles, the others stand in slack // 5 + 1 runs at most,
     the largest of which has need anchors in step. Items too short for that
     anchor on all their words and need one.
+
+    A document shorter than the item can lack more: up to n - least shingles,
+    least = ceil(t n), and so n - least - 4 of such words. One anchor more than
+    that is listed for it; those beyond the windows' own have in_windows false.
     """
     n = F.col("size")
+    least = F.ceil(n * F.lit(threshold) - 1e-9).cast("int")
     slack = n - F.ceil(n * F.lit(2 * threshold / (1 + threshold)) - 1e-9).cast("int")
     places = F.transform("words", lambda w, i: F.struct((-F.char_length(w)).alias("short"), i.alias("offset"), F.xxhash64(w).alias("word")))
     inner = F.filter(places, lambda p: (p["offset"] >= SHINGLE - 1) & (p["offset"] < n))
     lost, runs = F.greatest(F.lit(0), F.col("slack") - (SHINGLE - 1)), F.floor(F.col("slack") / SHINGLE).cast("int") + 1
-    chosen = F.when(F.size(inner) > 0, F.slice(F.sort_array(inner), 1, lost + IN_STEP * runs)).otherwise(places)
-    need = F.when(F.size(inner) > 0, F.greatest(F.lit(1), F.ceil((F.size(chosen) - lost) / runs).cast("int"))).otherwise(1)
-    return items.withColumn("slack", slack).select("item_id", "size", "slack", need.alias("need"), F.explode(chosen).alias("a")).select("a.word", "a.offset", "item_id", "size", "slack", "need").distinct()
+    own = F.least(F.size(inner), lost + IN_STEP * runs)
+    short = F.greatest(F.lit(0), n - least - (SHINGLE - 1)) + 1
+    chosen = F.when(F.size(inner) > 0, F.slice(F.sort_array(inner), 1, F.greatest(own, short))).otherwise(places)
+    need = F.when(F.size(inner) > 0, F.greatest(F.lit(1), F.ceil((own - lost) / runs).cast("int"))).otherwise(1)
+    listed = items.withColumn("slack", slack).select("item_id", "size", "slack", need.alias("need"), least.alias("least"), F.when(F.size(inner) > 0, own).otherwise(F.size("words")).alias("own"), F.posexplode(chosen).alias("nth", "a"))
+    return listed.select("a.word", "a.offset", "item_id", "size", "slack", "need", "least", (F.col("nth") < F.col("own")).alias("in_windows")).distinct()
 
 
 def windows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -96,13 +104,15 @@ def windows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) ->
     The search explodes words and positions alone; the words of a document are
     only fetched again where it has a window. A similar window starts within
     slack of where its largest run of anchors points, so all those starts are
-    laid. A document shorter than an item is one window for it on any anchor.
+    laid. A document shorter than an item is one window for it on any anchor, if
+    it has the least number of shingles that the threshold asks for.
     """
     held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_key"))
     own = lambda df: with_shingles(df.withColumn("words", tokens(F.col("text"))), "words", "own").drop("words", "text")
     found = held.select("doc_id", "text_key", tokens(F.col("text")).alias("words")).withColumn("last", F.size("words") - (SHINGLE - 1)).filter("last > 0")
     found = found.select("doc_id", "text_key", "last", F.posexplode("words").alias("pos", "text_word")).select("doc_id", "text_key", "last", "pos", F.xxhash64("text_word").alias("word"))
-    hits = found.join(F.broadcast(anchor_words(items, threshold)), "word")
+    usable = F.when(F.col("last") < F.col("size"), F.col("last") >= F.col("least")).otherwise(F.col("in_windows"))
+    hits = found.join(F.broadcast(anchor_words(items, threshold)), "word").filter(usable)
     runs = hits.groupBy("doc_id", "text_key", "last", "item_id", "size", "slack", "need", (F.col("pos") - F.col("offset")).alias("at")).agg(F.count("*").alias("n"))
     runs = runs.filter((F.col("n") >= F.col("need")) | (F.col("last") < F.col("size")))
     near = runs.select("doc_id", "text_key", "last", "size", F.explode(F.sequence(F.col("at") - F.col("slack"), F.col("at") + F.col("slack"))).alias("at"))

@@ -319,6 +319,20 @@ def test_decontamination(spark):
     assert {r.doc_id for r in clean.collect()} == set(docs) - {d for d, _ in want} and clean.columns == df.columns
 
 
+def test_items_without_their_first_words_are_found(spark):
+    rng = random.Random(18)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    items = {}
+    for i, n in enumerate(range(30, 45)):
+        w = [word(5) for _ in range(n + 4)]
+        w[4], w[5] = word(11), word(11)
+        items[i] = w
+    docs = table(spark, [(i, " ".join(w[6:]), "a") for i, w in items.items()])
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(docs, bench).collect()}
+    assert got == pytest.approx({(i, i): (len(w) - 10) / (len(w) - 4) for i, w in items.items()})
+
+
 def test_blocks_find_all_within_the_radius(spark):
     rng = random.Random(11)
     pairs = []
