@@ -739,21 +739,34 @@ def q_residual_ratios(c: Chain) -> DataFrame:
     return rounded(compare.residual_ratios(c.unmet.filter(~F.col("is_bike_empty")), "departures", "dep_D_hat"))
 
 
-def simulated_fill(c: Chain, replicates: int = 2, steps: int = 96) -> DataFrame:
-    """Fill rates of paired one-day simulations of three policies."""
-    from dataclasses import replace
-
-    week = "2024-01-08"
+def funded_policies(c: Chain) -> dict[str, DataFrame | None]:
+    """The moves that each of the six policies funds, capped; none for doing nothing."""
+    p = c.params.allocation
+    funded = {
+        "uniform": policies.uniform(_candidates(c), p.budget, p),
+        "proportional": policies.proportional(_candidates(c), p.budget, p),
+        "top_n_stockout": _top_n(c),
+        "allocator": policies.allocator(c.ranked, p.budget),
+        "allocator_full_budget": policies.allocator_full_budget(c.ranked, p.budget, p),
+    }
+    return {"do_nothing": None} | {name: policies.apply_move_cap(rows, p.move_cap) for name, rows in funded.items()}
+
+
+def simulated_fill(c: Chain, replicates: int = 2) -> DataFrame:
+    """Fill rates of paired simulations of all policies over params.simulation.steps (a week); a task a replicate and policy."""
+    week, steps = "2024-01-08", c.params.simulation.steps
     network = simulate.load_network(c.stations, c.inventory, c.rates, zones.reroute_neighbors(c.stations), week, steps)
     draw = od.sampler(od.od_probabilities(c.od_counts), od.cell_tier(c.od_counts, c.stations, c.params.od), c.stations)
-    top = [(network.index[r.station_id], network.index[r.origin_station_id], r.hour_of_week, r.induced_trips) for r in policies.apply_move_cap(_top_n(c)).collect() if r.station_id in network.index and r.origin_station_id in network.index]
-    ranked = [(network.index[r.station_id], network.index[r.origin_station_id], r.hour_of_week, r.induced_trips) for r in policies.apply_move_cap(policies.allocator(c.ranked, c.params.allocation.budget)).collect() if r.station_id in network.index and r.origin_station_id in network.index]
+    moves = {
+        name: [(network.index[r.station_id], network.index[r.origin_station_id], r.hour_of_week, r.induced_trips) for r in (rows.collect() if rows is not None else []) if r.station_id in network.index and r.origin_station_id in network.index]
+        for name, rows in funded_policies(c).items()
+    }
     ratios = [r.ratio for r in compare.residual_ratios(c.unmet.filter(~F.col("is_bike_empty")), "departures", "dep_D_hat").collect()]
     runs = []
     for i in range(replicates):
         d = compare.draw_replicate(i, ratios, c.params.simulation.seed, c.params.allocation)
-        runs += [(i, name, d.seed, d.multiplier, moves) for name, moves in (("do_nothing", []), ("top_n_stockout", top), ("allocator", ranked))]
-    cells = simulate.run_weeks(c.spark, network, draw, runs, "bigint", replace(c.params.simulation, steps=steps))
+        runs += [(i, name, d.seed, d.multiplier, own) for name, own in moves.items()]
+    cells = simulate.run_weeks(c.spark, network, draw, runs, "bigint", c.params.simulation)
     return compare.fill_rates(cells, ["replicate", "policy"])
 
 

@@ -247,3 +247,20 @@ def test_poisson_regression(spark, tmp_path):
     fitted.save(str(tmp_path / "m"))
     again = demand.load_fitted(spark, "dep", str(tmp_path / "m")).predict(df)
     assert again.agg(F.sum("dep_D_hat")).first()[0] == pytest.approx(got.agg(F.sum("dep_D_hat")).first()[0])
+
+
+def test_sim_week_runs_all_policies_over_the_whole_week(spark, monkeypatch):
+    from fleetlens.operators import simulate
+    from fleetlens.plans import queries
+
+    seen, run = [], simulate.run_weeks
+
+    def spied(session, network, sampler, runs, kind, params):
+        seen.append((runs, params.steps, network.added.shape[1]))
+        return run(session, network, sampler, runs, kind, params)
+
+    monkeypatch.setattr(simulate, "run_weeks", spied)
+    rows = queries.QUERIES["q_sim_week"](spark, "/root/testdata/sf0.001").collect()
+    six = {"do_nothing", "uniform", "proportional", "top_n_stockout", "allocator", "allocator_full_budget"}
+    (runs, steps, width), = seen
+    assert steps == width == 672 and {(r, p) for r, p, *_ in runs} == {(r.replicate, r.policy) for r in rows} == {(i, p) for i in (0, 1) for p in six}
