@@ -1,5 +1,15 @@
-"""Cutting lineage in the folder that the cluster shares."""
+"""Cutting lineage in the folder that the cluster shares, and names that clash with nothing."""
+
+from pyspark.sql import DataFrame
 
 from ..session import checkpoint_dir, cut
 
-__all__ = ["checkpoint_dir", "cut"]
+__all__ = ["checkpoint_dir", "cut", "free_name"]
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """base with as many underscores as no column of df is called, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
