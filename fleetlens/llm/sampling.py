@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def held_out(doc_id: Column) -> Column:
+    """Whether crc32(doc_id as text) mod 5 is 0; a null id is not held out (and never learned from)."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def training_ids(labels: DataFrame, label: str, most: int) -> DataFrame:
     """doc_id, label of at most `most` labelled rows of the training folds (crc32 mod 5 isn't 0), in hash order; one row an id."""
-    usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
     one = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 

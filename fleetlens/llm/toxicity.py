@@ -5,37 +5,47 @@ is learned from labelled texts. Its trie is intersected with the Levenshtein
 automaton of one edit and made deterministic, once, on the driver; executors
 then run that table over all words of a slice of texts at once. Each hit is
 weighed by its context: whether it stands inside quotation marks or close after
-a word of reporting. A logistic model over the hits of a text gives its score.
+a word of reporting, and by the words around it, whose log-odds of standing
+beside abuse are learned too. A logistic model over the hits of a text gives its
+score. In scripts without spaces every letter begins a word of up to SPAN
+letters, and terms are stems.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import ship
-from .sampling import labelled_sample
+from . import kernels
+from .sampling import held_out, labelled_sample
+from .storage import free_name
 
 #: Most labelled texts that are fetched to learn from.
 MAX_LABELLED = 8000
-#: Most terms of a lexicon.
-MAX_TERMS = 400
-#: Code points before a hit that are looked at for quotation or reporting.
+#: Code points on either side of a hit that are looked at for quotation, reporting and context.
 WINDOW = 48
-#: Texts whose words are held as arrays at once.
-BATCH = 256
+#: Bytes of text whose words are held as arrays at once, but for a longer text.
+SLICE_BYTES = 1 << 19
+#: Letters of a word, and of the shortest stem, in scripts without spaces.
+SPAN, SHORT_STEM = 4, 2
+#: Code point ranges of scripts without spaces: South-East Asian ones, kana and Han.
+UNSPACED = [(0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0xA000), (0xF900, 0xFB00), (0x20000, 0x40000)]
+#: Texts that a word must stand beside a hit in before its log-odds count.
+SUPPORT = 8
 #: Words of reporting, fixed values.
 REPORTING = frozenset("said says called call calls calling quoted quote quotes wrote writes word words term phrase slur insult".split())
 QUOTES = "\"“”„«»‘"
-FEATURES = ["exact", "fuzzy", "exact_quoted", "fuzzy_quoted", "any_exact", "any_fuzzy", "density"]
+FEATURES = ["exact", "fuzzy", "exact_quoted", "fuzzy_quoted", "any_exact", "any_fuzzy", "density", "context"]
 
 
 @dataclass
@@ -121,14 +131,17 @@ def build_automaton(terms: list[str], edits: int = 1, min_fuzzy: int = 5) -> Aut
     return Automaton(alphabet, np.array([rows[i] for i in range(size)], np.int32).reshape(size, -1), np.array([best[i] for i in range(size)], np.int8))
 
 
-_word_char: np.ndarray | None = None
+_kinds: np.ndarray | None = None
 
 
-def _is_word() -> np.ndarray:
-    global _word_char
-    if _word_char is None:
-        _word_char = np.array([chr(i).isalnum() for i in range(0x3000)])
-    return _word_char
+def _kind() -> np.ndarray:
+    """Of each code point: 1 letters and digits, 2 those of scripts without spaces, 0 others."""
+    global _kinds
+    if _kinds is None:
+        _kinds = np.array([chr(i).isalnum() for i in range(0x110000)], np.int8)
+        for low, high in UNSPACED:
+            _kinds[low:high] *= 2
+    return _kinds
 
 
 def lowered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,25 +152,47 @@ def lowered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, row of each run of letters and digits; every code point of U+3000 or more is a word of its own run."""
-    inside = _is_word()[np.minimum(data, 0x2FFF)] | (data >= 0x3000)
+    """Start, end, row of each run of letters and digits, and of up to SPAN letters from each one of an unspaced script."""
+    kind = _kind()[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
-    begins, ends = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1] | edge[1 : len(data)]
-    ends[:-1] &= ~inside[1:] | edge[1 : len(data)]
-    start = np.flatnonzero(begins)
-    return start, np.flatnonzero(ends) + 1, np.searchsorted(offsets, start, "right") - 1
+
+    def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1] | edge[1 : len(data)]
+        ends[:-1] &= ~inside[1:] | edge[1 : len(data)]
+        return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+    start, end = runs(kind == 1)
+    if (kind == 2).any():
+        begin, stop = runs(kind == 2)
+        each = np.flatnonzero(kind == 2)
+        until = np.minimum(each + SPAN, stop[np.searchsorted(begin, each, "right") - 1])
+        start, end = np.concatenate((start, each)), np.concatenate((end, until))
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], end[order]
+    return start, end, np.searchsorted(offsets, start, "right") - 1
+
+
+def _classes(a: Automaton, data: np.ndarray) -> np.ndarray:
+    """The automaton's class of each code point."""
+    letters = np.array(sorted(map(ord, a.alphabet)) or [0], np.uint32)
+    direct = np.zeros(0x3000, np.int32)
+    low = letters[letters < 0x3000]
+    if a.alphabet:
+        direct[low] = np.arange(1, len(low) + 1)
+    coded = direct[np.minimum(data, 0x2FFF)]
+    if len(high := np.flatnonzero(data >= 0x3000)):
+        at = np.minimum(np.searchsorted(letters, data[high]), len(letters) - 1)
+        coded[high] = np.where(letters[at] == data[high], at + 1, 0)
+    return coded
 
 
 def find(a: Automaton, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Least edits at which each word matches a term, 9 where none does."""
-    classes = np.zeros(0x3001, np.int32)
-    for c, i in a.alphabet.items():
-        classes[min(ord(c), 0x3000)] = i
     state = np.ones(len(start), np.int32)
     live, at = np.arange(len(start)), start.copy()
-    coded = classes[np.minimum(data, 0x3000)]
+    coded = _classes(a, data)
     while len(live):
         to = a.table[state[live], coded[at[live]]]
         state[live] = to
@@ -166,8 +201,14 @@ def find(a: Automaton, data: np.ndarray, start: np.ndarray, end: np.ndarray) ->
     return a.edits[state]
 
 
-def hit_features(a: Automaton, texts: list[str]) -> np.ndarray:
-    """FEATURES of each text."""
+def _around(data: np.ndarray, low: int, start: int, end: int, high: int) -> tuple[list[str], list[str]]:
+    """The words of the window before and after a hit; those that the window cuts are left out."""
+    text = lambda x: "".join(map(chr, x))
+    return text(data[low:start]).split()[1 if low else 0 :], text(data[end:high]).split()[:-1]
+
+
+def hit_features(a: Automaton, texts: list[str], context: dict[str, float] | None = None, seen: Counter | None = None) -> np.ndarray:
+    """FEATURES of each text; seen: is told the (row, word) of what stands around hits outside quotation."""
     data, offsets = lowered(texts)
     out = np.zeros((len(texts), len(FEATURES)))
     if not len(data):
@@ -175,25 +216,51 @@ def hit_features(a: Automaton, texts: list[str]) -> np.ndarray:
     start, end, row = word_spans(data, offsets)
     edits = find(a, data, start, end)
     hits = np.flatnonzero(edits < 9)
-    marks = np.isin(data, [ord(c) for c in QUOTES])
-    opened = np.concatenate(([0], np.cumsum(marks)))
+    opened = np.concatenate(([0], np.cumsum(np.isin(data, [ord(c) for c in QUOTES]))))
     for i in hits:
         r = row[i]
         low, high = max(offsets[r], start[i] - WINDOW), min(offsets[r + 1], end[i] + WINDOW)
         before, after = opened[start[i]] - opened[offsets[r]], opened[high] - opened[end[i]]
         near = opened[start[i]] - opened[low]
-        quoted = (before % 2 == 1 and near > 0 and after > 0) or bool(REPORTING & set("".join(map(chr, data[low : start[i]])).split()))
+        said, next_ = _around(data, low, start[i], end[i], high)
+        quoted = (before % 2 == 1 and near > 0 and after > 0) or bool(REPORTING & set(said))
         out[r, (edits[i] > 0) + 2 * quoted] += 1
+        around = {w.strip(".,;:!?") for w in (*said, *next_)}
+        if seen is not None:
+            seen.update((int(r), w) for w in around)
+        if context:
+            out[r, 7] += sum(context.get(w, 0.0) for w in around)
     n = np.maximum(np.bincount(row, minlength=len(texts)), 1)
     total = out[:, :4].sum(1)
     out[:, 4], out[:, 5] = (out[:, 0] + out[:, 2]) > 0, (out[:, 1] + out[:, 3]) > 0
     out[:, 6] = np.sqrt(total / n)
+    out[:, 7] = np.clip(out[:, 7] / np.maximum(total, 1), -4, 4)
     out[:, :4] = np.log1p(out[:, :4])
     return out
 
 
-def learn_lexicon(texts: list[str], toxic: np.ndarray, max_terms: int = MAX_TERMS) -> list[str]:
-    """Words and stems ("stem*", of 4 to 7 letters) that mark toxic texts.
+def learn_context(a: Automaton, texts: list[str], toxic: np.ndarray) -> dict[str, float]:
+    """Log-odds of toxicity of words that stand around hits in SUPPORT texts or more, drawn to those of all hits by SUPPORT texts."""
+    bad, good = Counter(), Counter()
+    sums = [0, 0]
+    for at, text in enumerate(texts):
+        seen: Counter = Counter()
+        if hit_features(a, [text], seen=seen)[0, 4:6].any():
+            sums[int(toxic[at])] += 1
+            (bad if toxic[at] else good).update(w for _, w in seen)
+    if not all(sums):
+        return {}
+    share = sums[1] / sum(sums)
+    out = {}
+    for w in {*bad, *good}:
+        if w and bad[w] + good[w] >= SUPPORT:
+            p = (bad[w] + SUPPORT * share) / (bad[w] + good[w] + SUPPORT)
+            out[w] = math.log(p / (1 - p)) - math.log(share / (1 - share))
+    return {w: round(x, 6) for w, x in sorted(out.items()) if abs(x) > 0.5}
+
+
+def learn_lexicon(texts: list[str], toxic: np.ndarray) -> list[str]:
+    """Words and stems ("stem*", of 4 to 7 letters, or 2 to 4 of an unspaced script) that mark toxic texts.
 
     Texts with the same smallest word hash (copies, most near copies) count as
     one, and words in quotation don't count. A term is taken if 95 % of what has
@@ -226,7 +293,8 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, max_terms: int = MAX_TERM
             yield set().union(*(terms(own[i]) for i in run))
 
     def with_stems(words: set[str]) -> set[str]:
-        return words | {w[:k] + "*" for w in words for k in range(4, min(7, len(w)) + 1)}
+        spaced = {w for w in words if _kind()[ord(w[0])] == 1}
+        return spaced | {w[:k] + "*" for w in spaced for k in range(4, min(7, len(w)) + 1)} | {w[:k] + "*" for w in words - spaced for k in range(SHORT_STEM, len(w) + 1)}
 
     in_toxic: Counter = Counter()
     bad_families = good_families = 0
@@ -240,7 +308,7 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, max_terms: int = MAX_TERM
     if not bad_families or not good_families:
         return []
     need = max(4.0, np.log(2 * len(in_toxic)) / -np.log(bad_families / (bad_families + good_families)), 0.02 * bad_families)
-    good = {t: n for t, n in in_toxic.items() if n >= need and n >= 0.95 * in_all[t] and len(t.rstrip("*")) >= 3}
+    good = {t: n for t, n in in_toxic.items() if n >= need and n >= 0.95 * in_all[t] and (len(t.rstrip("*")) >= 3 or _kind()[ord(t[0])] == 2)}
     longest = max((len(t) for t in good), default=0)
     kept: dict[str, int] = {}
     for n in range(longest, 0, -1):  # long terms first, words before stems of their length
@@ -252,7 +320,7 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, max_terms: int = MAX_TERM
     for t in [t for t in kept if t.endswith("*")]:  # what a stem covers needs no term of its own
         for k in [k for k in kept if k != t and k.startswith(t[:-1]) and kept[k] < 0.8 * kept[t]]:
             del kept[k]
-    return sorted(kept, key=lambda t: (-kept[t], t))[:max_terms]
+    return sorted(kept, key=lambda t: (-kept[t], t))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -274,63 +342,73 @@ class ToxicityModel:
     lexicon: list[str]
     weights: np.ndarray
     bias: float
+    context: dict[str, float] = field(default_factory=dict)
 
     def to_json(self) -> str:
-        return json.dumps({"lexicon": self.lexicon, "weights": self.weights.tolist(), "bias": self.bias})
+        return json.dumps({"lexicon": self.lexicon, "weights": self.weights.tolist(), "bias": self.bias, "context": self.context})
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     """A model from at most max_labelled texts whose crc32(doc_id) mod 5 isn't 0 (hash order).
 
-    Where no label is at hand, or only one class, nothing is toxic.
+    Where no label is at hand, or only one class, or no term marks the toxic
+    texts, nothing is toxic.
     """
     rows = labelled_sample(docs, labels, "toxic", max_labelled)
     texts, toxic = [r[0] for r in rows], np.array([r[1] for r in rows], float)
+    nothing = ToxicityModel([], np.zeros(len(FEATURES)), -4.0)
     if not 0 < toxic.sum() < len(toxic):
-        return ToxicityModel([], np.zeros(len(FEATURES)), -4.0)
-    half = np.arange(len(texts)) % 2 == 0
+        return nothing
     lexicon = learn_lexicon(texts, toxic)
-    automaton = build_automaton(lexicon)
-    # the weights are fitted on hits of a lexicon that hasn't seen the text
+    if not lexicon:
+        return nothing
+    half = np.arange(len(texts)) % 2 == 0
+    # the weights are fitted on hits of a lexicon and a context that haven't seen the text
     x = np.zeros((len(texts), len(FEATURES)))
     for part in (half, ~half):
-        other = build_automaton(learn_lexicon([t for t, p in zip(texts, part, strict=True) if not p], toxic[~part]))
-        own = [t for t, p in zip(texts, part, strict=True) if p]
-        x[part] = np.concatenate([hit_features(other if len(lexicon) else automaton, own[i : i + BATCH]) for i in range(0, len(own), BATCH)])
+        rest = [t for t, p in zip(texts, part, strict=True) if not p]
+        other = build_automaton(learn_lexicon(rest, toxic[~part]))
+        context = learn_context(other, rest, toxic[~part])
+        x[part] = np.concatenate([hit_features(other, [t], context) for t, p in zip(texts, part, strict=True) if p])
     weights, bias = fit_logistic(x, toxic)
-    return ToxicityModel(lexicon, weights, bias)
+    return ToxicityModel(lexicon, weights, bias, learn_context(build_automaton(lexicon), texts, toxic))
+
 
+def scored(model: ToxicityModel, text: Column) -> Column:
+    """struct<score double, hits long> of each text; only the text goes to Python, the row's other columns don't."""
+    automaton, weights, bias, context = build_automaton(model.lexicon), model.weights, model.bias, model.context
 
-def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, as_score: str = "score") -> DataFrame:
-    """doc_id (and keep), score double (toxic probability; as_score names it), hits (terms found, with edits).
+    @F.arrow_udf("struct<score:double,hits:bigint>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            p, hits = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            for at, end, _, _ in kernels.slices(texts, SLICE_BYTES):
+                x = hit_features(automaton, [t or "" for t in texts.slice(at, end - at).to_pylist()], context)
+                p[at:end] = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
+                hits[at:end] = np.expm1(x[:, :4]).sum(1).round().astype(np.int64)
+            yield pa.StructArray.from_arrays([pa.array(p), pa.array(hits)], ["score", "hits"])
+
+    return run.asNondeterministic()(text)  # so that it isn't run once for each use of its result
+
+
+def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """doc_id, score double (toxic probability), hits (terms found, with edits).
 
     Null and empty texts have no hits and get the score of a text without any.
-    Rows are scored one by one, so repeats score alike.
+    Rows are scored one by one, so repeats score alike; null ids are kept.
     """
     ship(docs.sparkSession)
-    automaton, weights, bias = build_automaton(model.lexicon), model.weights, model.bias
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text")
-            for at in range(0, batch.num_rows, BATCH):
-                part = [t or "" for t in texts.slice(at, BATCH).to_pylist()]
-                x = hit_features(automaton, part)
-                p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
-                hits = np.expm1(x[:, :4]).sum(1).round().astype(np.int64)
-                own = batch.slice(at, BATCH)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("kept_"), pa.array(p), pa.array(hits)], ["doc_id", "kept_", "score", "hits"])
-
-    keep = [c for c in keep or [] if c != "doc_id"]
-    carried = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("int")
-    rows = docs.select("doc_id", carried.alias("kept_"), "text")
-    schema = T.StructType([rows.schema["doc_id"], rows.schema["kept_"], T.StructField("score", T.DoubleType()), T.StructField("hits", T.LongType())])
-    scored = rows.mapInArrow(run, schema)
-    return scored.select("doc_id", *[F.col(f"kept_.{c}").alias(c) for c in keep], F.col("score").alias(as_score), "hits")
+    return docs.select("doc_id", scored(model, F.col("text")).alias("s")).select("doc_id", "s.score", "s.hits")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """docs without the rows scored at the threshold or above; all columns stay as they are, whatever they are called."""
+    ship(docs.sparkSession)
+    name = free_name(docs, "toxicity")
+    return docs.withColumn(name, scored(model, F.col("text"))).filter(F.col(name)["score"] < threshold).drop(name)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted, hits."""
-    scored = score(docs, train(docs, labels))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "hits")
+    """doc_id, held_out (false for a null id), score, predicted, hits."""
+    rows = score(docs, train(docs, labels))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "hits")
