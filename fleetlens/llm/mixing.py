@@ -109,14 +109,13 @@ def emit_copies(docs: DataFrame, max_repeat: int = MAX_REPEAT, salts: int = SALT
     counts for nothing in a mix of words and is kept as it is. The copies of
     rows with one doc_id, source and size are handed out among them.
     """
-    mixed = mix_sources(docs, max_repeat, salts).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies_"), F.count("*").alias("rows_"))
-    own = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.withColumn("size_", own).alias("d")
-    joined = d.join(mixed.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.size_") == F.col("m.size")))
-    names = [F.col(f"d.{c}") for c in docs.columns]
-    once = joined.filter("rows_ = 1").select(*names, "size_", "copies_")
-    at = F.row_number().over(W.partitionBy("d.doc_id", "d.source", "size_").orderBy(F.lit(1)))
-    share = F.floor(F.col("copies_") * F.col("at_") / F.col("rows_")) - F.floor(F.col("copies_") * (F.col("at_") - 1) / F.col("rows_"))
-    more = joined.filter("rows_ > 1").select(*names, "size_", "copies_", "rows_", at.alias("at_")).withColumn("copies_", share).drop("rows_", "at_")
-    every = once.unionByName(more).withColumn("copies_", F.when(F.col("size_") == 0, 1).otherwise(F.col("copies_")))
-    return every.filter("copies_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_")))).drop("copy_", "copies_", "size_")
+    mixed = mix_sources(docs, max_repeat, salts).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), words.alias("words"))
+    joined = packed.join(mixed, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("of").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size")))
+    once = joined.filter("rows = 1").select("row", "words", "copies")
+    at = F.row_number().over(W.partitionBy("id", "of", "words").orderBy(F.lit(1)))
+    share = F.floor(F.col("copies") * F.col("at") / F.col("rows")) - F.floor(F.col("copies") * (F.col("at") - 1) / F.col("rows"))
+    more = joined.filter("rows > 1").withColumn("at", at).select("row", "words", share.alias("copies"))
+    every = once.unionByName(more).withColumn("copies", F.when(F.col("words") == 0, 1).otherwise(F.col("copies"))).filter("copies > 0")
+    return every.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

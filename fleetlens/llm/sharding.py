@@ -14,7 +14,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .storage import cut
+from .storage import cut, free_name
 
 LIMIT_BYTES = 1_000_000
 HASH_BITS = 60
@@ -47,7 +47,9 @@ def assign_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, keep: list[st
     limit together; such rows are dealt to pages of as many as fit. A document
     larger than the limit is a page of its own, marked oversize. Null text has
     0 bytes, null ids are hashed as empty, an empty table gives no rows; other
-    columns, whatever they are called, are only carried where keep names them.
+    columns are only carried where keep names them. A column of keep that is
+    called like one of the result is followed by it under a name with an
+    underscore more (shard and shard_).
     """
     spark = docs.sparkSession
     keep = [c for c in (keep or []) if c != "doc_id"]
@@ -81,7 +83,10 @@ def assign_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, keep: list[st
     both = done.select(*columns).unionByName(rest.select(*columns))
     prefix = F.call_function("substring", F.lpad(F.bin("hash_key_"), HASH_BITS, "0"), F.lit(1), F.col("depth"))
     shard = F.concat(prefix, F.coalesce(F.concat(F.lit("#"), F.col("page").cast("string")), F.lit("")))
-    return both.select("doc_id", *[F.col(f"kept_.{c}").alias(c) for c in keep], F.col("n_bytes"), shard.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs", (F.col("n_bytes") > limit_bytes).alias("oversize"))
+    own = both.select("doc_id", *[F.col("kept_").getField(c).alias(c) for c in keep])
+    named = {c: free_name(own, c) for c in ("n_bytes", "shard", "depth", "shard_bytes", "shard_docs", "oversize")}
+    result = {"n_bytes": F.col("n_bytes"), "shard": shard, "depth": F.col("depth").cast("int"), "shard_bytes": F.col("shard_bytes"), "shard_docs": F.col("shard_docs"), "oversize": F.col("n_bytes") > limit_bytes}
+    return both.select("doc_id", *[F.col("kept_").getField(c).alias(c) for c in keep], *[x.alias(named[c]) for c, x in result.items()])
 
 
 SHARD_SQL = """

@@ -57,12 +57,14 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     rule and since are those of the deciding entry, null where none is active.
     Captures with a null or hostless URL or a null date match no entry and are
     not blocked. Repeated page_ids are decided row by row only if their url or
-    date differ; identical rows come back once each.
+    date differ; identical rows come back once each. Intervals are only cut into
+    months in which there are captures at all.
     """
     rows = captures.select("page_id", "url", F.col("fetched").cast("date").alias("fetched")).withColumn("host", host_of(F.col("url")))
-    last = F.lit("2050-12-31").cast("date")  # later days share this month
-    month = lambda c: F.year(F.least(c, last)) * 12 + F.month(F.least(c, last))
-    cut = validity_intervals(entries).withColumn("m", F.explode(F.sequence(month("since"), month("until"))))
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    first, last = rows.agg(F.min(month("fetched")), F.max(month("fetched"))).first()
+    low, high = F.greatest(month("since"), F.lit(first).cast("int")), F.least(month("until"), F.lit(last).cast("int"))
+    cut = validity_intervals(entries).filter(low <= high).withColumn("m", F.explode(F.sequence(low, high)))
     wanted = (
         rows.filter(F.col("host").isNotNull() & F.col("fetched").isNotNull())
         .select("page_id", "url", "fetched", F.explode(capture_patterns(F.col("host"), F.col("url"))).alias("p"))

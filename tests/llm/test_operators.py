@@ -49,7 +49,11 @@ def test_awkward_tables_keep_their_rows(spark, awkward, empty, labels):
     for f in (fingerprints.fingerprint_documents, mixing.mix_sources, suffix_dedup.remove_repeats, near_dedup.near_duplicates, lm_score.score_documents, sharding.assign_shards, lambda d: quality.quality_scores(d, labels), lambda d: toxicity.toxicity_scores(d, labels)):
         assert len(f(awkward).collect()) == n
         assert f(empty).collect() == []
-    bench = spark.createDataFrame([(1, "a b c"), (2, None)], "item_id bigint, text string")
+    bench = spark.createDataFrame([(1, "not in there"), (2, None), (3, " .")], "item_id bigint, text string")
+    whole = spark.createDataFrame([(1, "One!"), (2, "one one")], "item_id bigint, text string")
+    assert [(r.doc_id, r.item_id, r.similarity) for r in decontam.contaminated(awkward, whole).collect()] == [(7, 1, 1.0)]
+    body = spark.createDataFrame([(1, awkward.filter("doc_id = 6").first().text)], "item_id bigint, text string")
+    assert {r.doc_id for r in decontam.drop_contaminated(awkward, body).collect()} == {None, 1, 2, 3, 4, 7, 8, 9} and decontam.drop_contaminated(awkward, body).count() == awkward.count() - 4
     assert decontam.contaminated(awkward, bench).collect() == [] and decontam.contaminated(empty, bench).collect() == []
     for f in (near_dedup.drop_near_duplicates, mixing.emit_copies, lambda d: decontam.drop_contaminated(d, bench), lambda d: sharding.assign_shards(d, keep=["lang", "n_chars", "key", "size", "score"])):
         assert set(f(awkward).columns) >= {"doc_id", "lang", "key"} and f(empty).count() == 0
@@ -73,6 +77,21 @@ def test_fingerprints(spark):
     assert got[77].fingerprint == got[rows[3][0]].fingerprint and got[100].fingerprint == "" and got[101].near_next == 1.0
     big = [got[i].near_edited for i, t, _ in rows if t and len(t) > 1000]
     assert all(x > 0.2 for x in big)
+    sets = lambda x: {x[i : i + 8] for i in range(0, len(x), 8)}
+    for (i, _), (j, _) in zip(order, order[1:] + order[:1], strict=True):  # likeness is that of the printed fingerprints
+        for a, b, j_ in ((got[i].fingerprint, got[i].edited_fingerprint, got[i].near_edited), (got[i].fingerprint, got[j].fingerprint, got[i].near_next)):
+            a, b = sets(a), sets(b)
+            assert j_ == (len(a & b) / len(a | b) if a | b else 1.0)
+
+
+def test_fingerprints_follow_one_rule_at_every_length(spark):
+    rng = random.Random(23)
+    texts = [words_of(rng, 35)[:188], "tiny", "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(90)), "".join(rng.choice("abcdefgh") for _ in range(900)), words_of(rng, 9)]
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(table(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()}
+    after = {r.doc_id: r for r in fingerprints.fingerprint_documents(table(spark, [(1, texts[0], "a"), (0, "tiny", "a")])).collect()}
+    assert 0.15 < after[1].near_edited < 0.9 and after[0].near_edited < 1
+    assert all(r.fingerprint for r in got.values())
+    assert all(0.15 < got[i].near_edited < 0.9 for i in (2, 3)) and got[0].near_next < 0.1
 
 
 def test_anchors_are_context_free(spark):
@@ -87,8 +106,11 @@ def test_anchors_are_context_free(spark):
     again = df.filter("doc_id = 1").first().text.split()
     smer = spark.createDataFrame([(i, again[i], again[i + 1]) for i in range(len(again) - 1)], "i int, a string, b string").select("i", F.xxhash64(F.xxhash64("a"), F.xxhash64("b")).alias("h")).orderBy("i").collect()
     h = [x.h for x in smer]
-    want = [i for i in range(len(h) - 3) if min(h[i], h[i + 3]) <= min(h[i + 1], h[i + 2])]
-    assert [x.pos for x in a] == want
+    want = [i for i in range(len(h) - 5) if min(h[i], h[i + 5]) <= min(h[i + 1 : i + 5])]
+    assert [x.pos for x in a if 0 <= x.pos <= len(again) - 7] == want
+    pairs = spark.createDataFrame([(1, 2), (2, 9)], "a bigint, b bigint")
+    met = fingerprints.match_positions(df, pairs).collect()
+    assert [(r.a, r.b, r["shift"], r.n) for r in met] == [(1, 2, 30, len(moves))] and met[0].first >= 30
 
 
 # 2
@@ -284,7 +306,7 @@ def test_decontamination(spark):
     rng = random.Random(10)
     vocabulary = words_of(rng, 400).split()
     pick = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = {i: pick(rng.choice([3, 5, 6, 12, 36, 60])) for i in range(25)}
+    items = {i: pick([1, 2, 3, 5, 6, 12, 36, 60][i % 8]) for i in range(25)}
     docs = {}
     for d in range(200):
         x = list(items[rng.randrange(25)]) if rng.random() < 0.8 else []
@@ -300,12 +322,13 @@ def test_decontamination(spark):
     df = table(spark, [(d, "  ".join(w).upper() + ".", "a") for d, w in docs.items()])
     bench = spark.createDataFrame([(i, ", ".join(w)) for i, w in items.items()], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(df, bench).collect()}
-    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    grams = lambda w, k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
     want = {}
     for i, w in items.items():
-        item = grams(w)
+        k = min(5, len(w))
+        item = grams(w, k)
         for d, x in docs.items():
-            own = grams(x)
+            own = grams(x, k)
             if not set(own) & set(item):
                 continue
             for s in range(max(1, len(own) - len(item) + 1)):
@@ -314,6 +337,7 @@ def test_decontamination(spark):
                 j = low / (sum(a.values()) + len(item) - low)
                 if j >= 0.8 - 1e-12:
                     want[d, i] = max(j, want.get((d, i), 0))
+    assert any(len(items[i]) < 4 for _, i in want)
     assert got == pytest.approx(want) and len(want) > 20
     clean = decontam.drop_contaminated(df, bench)
     assert {r.doc_id for r in clean.collect()} == set(docs) - {d for d, _ in want} and clean.columns == df.columns
@@ -346,6 +370,31 @@ def test_blocks_find_all_within_the_radius(spark):
     assert df.filter(F.size(F.array_intersect(decontam.blocks(F.col("a")), decontam.blocks(F.col("b")))) == 0).count() == 0
 
 
+def test_simhash_and_bags():
+    rng = np.random.default_rng(5)
+    lost = 0
+    for _ in range(400):  # windows that just reach 0.8
+        n = int(rng.integers(9, 70))
+        kept = math.ceil(1.6 * n / 1.8)
+        common, a, b = (rng.integers(0, 2, (k, 64)) for k in (kept, n - kept, n - kept))
+        votes = [(np.concatenate((common, x)).sum(0) * 2 > n) for x in (a, b)]
+        lost += (votes[0] != votes[1]).sum() > decontam.RADIUS
+    assert lost == 0
+
+
+def test_simhash_is_the_majority(spark):
+    rng = random.Random(19)
+    bags = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 7, 30)]
+    bags.append(bags[2] + bags[2][:3])
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bags)], "i int, b array<bigint>")
+    got = {r.i: r for r in df.select("i", decontam.simhash(F.col("b")).alias("h"), decontam.weighted_jaccard(decontam.numbered(F.col("b")), decontam.numbered(F.array_distinct("b"))).alias("j")).collect()}
+    for i, b in enumerate(bags):
+        want = sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in b) > len(b))
+        assert got[i].h % (1 << 64) == want
+    assert got[4].j == 0.7 and got[3].j == 1.0
+    assert spark.range(1).select(decontam.simhash(F.array_repeat(F.lit(5).cast("long"), 70_000)).alias("h")).first().h == 5
+
+
 # 7
 
 
