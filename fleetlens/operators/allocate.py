@@ -79,9 +79,9 @@ def rank_targets(options: DataFrame, by: list[str] | None = None) -> DataFrame:
     return options.withColumn("nth", F.row_number().over(best)).filter("nth = 1").drop("nth").withColumn("rank", F.row_number().over(order))
 
 
-def budget_cutoff(ranked: DataFrame, budget: float) -> DataFrame:
-    """The leading rows whose running cost stays within the budget."""
-    running = F.sum("dollar_cost").over(W.partitionBy().orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
+def budget_cutoff(ranked: DataFrame, budget: float, by: list[str] | None = None) -> DataFrame:
+    """The leading rows whose running cost stays within the budget (within by)."""
+    running = F.sum("dollar_cost").over(W.partitionBy(*(by or [])).orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
     return ranked.withColumn("running_cost", running).filter(F.col("running_cost") <= budget)
 
 

@@ -38,8 +38,11 @@ def synthetic_runs(free: DataFrame, target: str, lengths: Sequence[int], runs_ea
 
 
 def evaluate_recovery(rows: DataFrame, estimate: str = "D_hat", truth: str = "true_D", run: str = "synthetic_run_length", edges: Sequence[int] = (1, 4)) -> DataFrame:
-    """stratum (overall, bucket, stale), run_length_bucket, is_capacity_stale, mae, bias, n, in one pass over grouping sets."""
-    error = F.col(estimate) - F.col(truth)
+    """stratum (overall, bucket, stale), run_length_bucket, is_capacity_stale, mae, bias, n, in one pass over grouping sets.
+
+    The error is that of the imputed gap, max(0, estimate - censored_Y), against the true one, truth - censored_Y.
+    """
+    error = F.greatest(F.lit(0.0), F.col(estimate) - F.col("censored_Y")) - (F.col(truth) - F.col("censored_Y"))
     cut = rows.withColumns({"run_length_bucket": upper_bucket(F.col(run), edges), "e_": error})
     grouped = cut.groupingSets([[], ["run_length_bucket"], ["is_capacity_stale"]], "run_length_bucket", "is_capacity_stale").agg(
         F.grouping("run_length_bucket").alias("gb"), F.grouping("is_capacity_stale").alias("gs"), F.avg(F.abs("e_")).alias("mae"), F.avg("e_").alias("bias"), F.count("*").alias("n")
@@ -86,6 +89,16 @@ def matched_runs(pool: DataFrame, proportions: DataFrame, lengths: Sequence[int]
     return starts, coverage.select("stratum", "length", "target_mass", "desired", "taken")
 
 
+def runs_from(pool: DataFrame, starts: DataFrame, target: str, cap_quantile: float = 0.1) -> DataFrame:
+    """The rows of matched_runs' starts, capped as in synthetic_runs: station_id, interval_start, true_D, censored_Y, synthetic_run_length."""
+    rows = pool.select("station_id", "interval_start", F.col(target).alias("true_D"))
+    rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("station_id").orderBy("interval_start")) - 1)
+    caps = rows.groupBy("station_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("true_D")).alias("ds"))
+    caps = caps.select("station_id", F.element_at("ds", (F.bround((F.col("n") - 1) * cap_quantile) + 1).cast("int")).alias("cap"))
+    places = starts.select("station_id", "synthetic_run_length", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("synthetic_run_length") - 1)).alias("pos"))
+    return rows.join(places, ["station_id", "pos"]).join(caps, "station_id").select("station_id", "interval_start", "true_D", F.least("true_D", "cap").alias("censored_Y"), "synthetic_run_length")
+
+
 def coverage_by_decile(coverage: DataFrame) -> DataFrame:
     """decile, target_mass (of its strata, each once), desired, taken, fill_rate."""
     decile = F.element_at(F.split("stratum", "_"), 1).cast("int").alias("decile")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import quantile_bucket, upper_bucket
+from ..session import exists
 
 #: Target, censoring flag, run length and prefix of each direction.
 DIRECTIONS = {"dep": ("departures", "is_bike_empty", "bike_empty_run_len"), "arr": ("arrivals", "is_dock_full", "dock_full_run_len")}
@@ -30,14 +34,20 @@ def predict_rates(rows: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame]
 
 
 def add_rates(rows: DataFrame, direction: str) -> DataFrame:
-    """predict_rates(rows, rate_model(rows)), by windows: one shuffle for each key instead of an aggregate and a join."""
-    target, flag, _ = DIRECTIONS[direction]
-    free = F.when(~F.col(flag), F.col(target))
-    overall = rows.filter(~F.col(flag)).agg(F.avg(target).alias("all_mean"))
-    zone = F.when(F.col("zone_agg").isNotNull(), F.avg(free).over(W.partitionBy("zone_agg", "hour_of_week")))
-    cell = F.avg(free).over(W.partitionBy("station_id", "hour_of_week"))
-    out = rows.withColumns({"cell_mean": cell, "zone_mean": zone}).crossJoin(F.broadcast(overall))
-    return out.withColumn(f"{direction}_D_hat", F.coalesce("cell_mean", "zone_mean", "all_mean")).drop("cell_mean", "zone_mean", "all_mean")
+    """predict_rates(rows, rate_model(rows)): one pass of partial sums, and joins of the small tables of means."""
+    return predict_rates(rows, rate_model(rows, direction), direction)
+
+
+def add_all_rates(rows: DataFrame) -> DataFrame:
+    """add_rates of both directions from a single pass over rows: means by cell, of which those by zone and overall are sums."""
+    sums = {f"{d}_{n}": x for d, (target, flag, _) in DIRECTIONS.items() for n, x in (("s", F.sum(F.when(~F.col(flag), F.col(target)))), ("n", F.count_if(~F.col(flag))))}
+    cell = rows.groupBy("station_id", "zone_agg", "hour_of_week").agg(*[x.alias(c) for c, x in sums.items()])
+    means = lambda own, *keys: [F.try_divide(F.sum(f"{d}_s"), F.sum(f"{d}_n")).alias(f"{d}_{own}") for d in DIRECTIONS]
+    by_cell = cell.groupBy("station_id", "hour_of_week").agg(*means("cell"))
+    by_zone = cell.filter("zone_agg is not null").groupBy("zone_agg", "hour_of_week").agg(*means("zone"))
+    rates = cell.select("station_id", "zone_agg", "hour_of_week").join(by_cell, ["station_id", "hour_of_week"]).join(by_zone, ["zone_agg", "hour_of_week"], "left").crossJoin(F.broadcast(cell.agg(*means("all"))))
+    rates = rates.select("station_id", F.col("zone_agg").alias("zone_"), "hour_of_week", *[F.coalesce(f"{d}_cell", f"{d}_zone", f"{d}_all").alias(f"{d}_D_hat") for d in DIRECTIONS])
+    return rows.join(rates, ["station_id", "hour_of_week"]).filter(F.col("zone_agg").eqNullSafe(F.col("zone_"))).drop("zone_")
 
 
 def wmape(actual: str, predicted: str) -> Column:
@@ -68,29 +78,52 @@ def impute_unmet(rows: DataFrame, direction: str, bias: DataFrame | None = None,
     return out.withColumn(f"{direction}_gross_unmet", F.when(F.col(flag), raw).otherwise(0.0)).drop("run_length_bucket", "bias")
 
 
-def unmet_table(inventory: DataFrame, bias: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Both directions side by side, never summed."""
-    out = inventory
+def unmet_table(rated: DataFrame, bias: dict[str, DataFrame] | None = None, edges: tuple[int, ...] = (1, 4)) -> DataFrame:
+    """Both directions of rows with D_hat side by side, never summed.
+
+    With bias (by run-length bucket) rows need the run lengths of DIRECTIONS.
+    """
+    out = rated
     for d in DIRECTIONS:
-        out = impute_unmet(add_rates(out, d), d, (bias or {}).get(d))
+        out = impute_unmet(out, d, (bias or {}).get(d), edges)
     return out
 
 
-def calibrate(rows: DataFrame, direction: str, runs_each: int = 300, lengths: tuple[int, ...] = (1, 2, 3, 4, 6, 8, 12), min_n: int = 20, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(recovery table, bias by run-length bucket) of the rows' own <direction>_D_hat, from artificially censored runs.
+def _known(rows: DataFrame, runs: DataFrame, direction: str) -> DataFrame:
+    """runs with the rows' own D_hat, joined by station and interval, never by row order, and the station's staleness."""
+    from .features import capacity_staleness
 
-    Predictions are joined back by station and interval, never by row order.
-    """
+    own = rows.select("station_id", "interval_start", F.col(f"{direction}_D_hat").alias("D_hat"))
+    return runs.join(own, ["station_id", "interval_start"]).join(capacity_staleness(rows), "station_id")
+
+
+def calibrate(rows: DataFrame, direction: str, runs_each: int = 300, lengths: tuple[int, ...] = (1, 2, 3, 4, 6, 8, 12), min_n: int = 20, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(recovery table, bias by run-length bucket) of the rows' own <direction>_D_hat, from artificially censored runs."""
     from .censoring import evaluate_recovery, synthetic_runs
-    from .features import capacity_staleness
 
     target, flag, _ = DIRECTIONS[direction]
     runs = synthetic_runs(rows.filter(~F.col(flag)), target, lengths, runs_each, seed)
-    known = runs.join(rows.select("station_id", "interval_start", F.col(f"{direction}_D_hat").alias("D_hat")), ["station_id", "interval_start"]).join(capacity_staleness(rows), "station_id")
-    recovery = evaluate_recovery(known)
+    recovery = evaluate_recovery(_known(rows, runs, direction))
     return recovery, bucket_bias(recovery, min_n)
 
 
+def calibrate_matched(rows: DataFrame, direction: str, runs_each: int = 300, lengths: tuple[int, ...] = (1, 2, 3, 4, 6, 8, 12), seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(recovery table, coverage): calibrate's test on runs whose starts match the censored rows' strata.
+
+    Strata are deciles of the prediction, bands of capacity and hours of the
+    week, with the edges of the censored rows. It reports and corrects nothing:
+    strata that the pool can't fill stay short, as coverage shows.
+    """
+    from .censoring import assign_strata, evaluate_recovery, matched_runs, runs_from, stratum_edges, stratum_proportions
+
+    target, flag, _ = DIRECTIONS[direction]
+    own = rows.select("station_id", "interval_start", "hour_of_week", "capacity", flag, target, F.col(f"{direction}_D_hat").alias("D_hat"))
+    strata = assign_strata(own, stratum_edges(own.filter(F.col(flag))))
+    free = strata.filter(~F.col(flag))
+    starts, coverage = matched_runs(free, stratum_proportions(strata.filter(F.col(flag))), lengths, runs_each, seed)
+    return evaluate_recovery(_known(rows, runs_from(free, starts, target), direction)), coverage
+
+
 def held_out_wmape(rows: DataFrame, direction: str, holdout_start: str, deciles: int = 10) -> DataFrame:
     """stratum (overall, decile), decile, n, wmape on uncensored rows from holdout_start on."""
     target, flag, _ = DIRECTIONS[direction]
@@ -100,11 +133,32 @@ def held_out_wmape(rows: DataFrame, direction: str, holdout_start: str, deciles:
 
 
 NUMERIC = ["temp_c", "precip_mm", "precip_lag1h", "precip_lag2h", "wind_kph", "humidity_pct", "capacity"]
+LAGS = {"lag_1h": "own_lag_1h", "lag_1week": "own_lag_1week", "neighbor": "neighbor_demand"}
+STATION = ("station_enc", "zone_enc", "capacity")
+
+
+def _calendar() -> dict[str, Column]:
+    """Hour of the day and of the week and the month as waves, weekend and holiday as flags."""
+    how, month = F.col("hour_of_week"), F.col("month")
+    wave = lambda x, period, k: {f"{f.__name__}_{period}_{k}": f(x * (2 * math.pi * k / period)) for f in (F.sin, F.cos)}
+    out = wave(how, 24, 1) | wave(how, 24, 2) | wave(how, 24, 3) | wave(how, 168, 1) | wave(how, 168, 2) | wave(month, 12, 1)
+    return out | {"weekend": (how >= 120).cast("double"), "holiday": F.coalesce(F.col("is_holiday").cast("double"), F.lit(0.0))}
+
+
+def _inputs(direction: str) -> dict[str, Column]:
+    """The model's inputs under one prefix, of rows with their encodings: nulls are 0."""
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    plain = {c: number(c) for c in NUMERIC} | {k: number(f"{direction}_{v}") for k, v in LAGS.items()}
+    return plain | {c: F.coalesce(f"enc_{c}", F.col("enc_mean")) for c in ("station_enc", "zone_enc")} | _calendar()
 
 
 @dataclass
 class FittedDirection:
-    """A Poisson regression with its encodings; predict() gives D_hat."""
+    """A fitted model with its encodings; predict() gives <direction>_D_hat.
+
+    rows need station_id, zone_agg, interval_start's hour_of_week, month and
+    is_holiday (missing: no holiday), NUMERIC, and the direction's lags.
+    """
 
     direction: str
     model: PipelineModel
@@ -114,95 +168,97 @@ class FittedDirection:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         ready = model_columns(rows, self.direction, self.station, self.zone, self.overall)
-        made = ["station_enc", "zone_enc", "lag_1h", "lag_1week", "neighbor", "raw_", "features", "prediction", "sin_day", "cos_day"]
-        return self.model.transform(ready).withColumn(f"{self.direction}_D_hat", F.col("prediction")).drop(*made)
+        out = self.model.transform(ready).withColumn(f"{self.direction}_D_hat", F.greatest(F.col("in_prediction"), F.lit(0.0)))
+        return out.select(*rows.columns, f"{self.direction}_D_hat")
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
         for name in ("station", "zone", "overall"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
+    def parts(self, stations: DataFrame, weather: DataFrame, begin, steps: int) -> tuple[dict, np.ndarray, dict[str, float]]:
+        """The regression's log rate taken apart: station_id to its part, the part of each step from begin, and weights of the lags.
+
+        weather: an hour a row, with its lags. Only the Poisson regression is a sum of parts.
+        """
+        names = list(_inputs(self.direction))
+        scale = self.model.stages[1].std.toArray()
+        weight = dict(zip(names, np.divide(self.model.stages[2].coefficients.toArray(), scale, out=np.zeros(len(scale)), where=scale > 0), strict=True))
+        overall = self.overall.first()["m"]
+        one = lambda df, key: {r[key]: r.enc for r in df.collect()}
+        by_station, by_zone = one(self.station, "station_id"), one(self.zone, "zone_agg")
+        own = {
+            r.station_id: self.model.stages[2].intercept + weight["station_enc"] * by_station.get(r.station_id, overall) + weight["zone_enc"] * by_zone.get(r.zone_agg, overall) + weight["capacity"] * (r.capacity or 0)
+            for r in stations.select("station_id", "zone_agg", "capacity").collect()
+        }
+        from .panel import add_calendar, join_weather, us_federal_holidays
+
+        spark = stations.sparkSession
+        at = spark.range(steps).select("id", (F.lit(str(begin)).cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("id") * 15).cast("int"))).alias("interval_start"))
+        at = join_weather(add_calendar(at, us_federal_holidays(spark, str(begin), str(begin + pd.Timedelta(minutes=15 * steps)))), weather)
+        varying = {c: x for c, x in _inputs(self.direction).items() if c not in STATION and c not in LAGS}
+        rows = at.select("id", *[x.alias(c) for c, x in varying.items()]).orderBy("id").toPandas()
+        return own, sum(weight[c] * rows[c].to_numpy(float) for c in varying), {k: weight[k] for k in LAGS}
+
 
 def load_fitted(spark, direction: str, path: str) -> FittedDirection:
     return FittedDirection(direction, PipelineModel.load(f"{path}/model"), *(spark.read.parquet(f"{path}/{n}") for n in ("station", "zone", "overall")))
 
 
 def model_columns(rows: DataFrame, direction: str, station: DataFrame, zone: DataFrame, overall: DataFrame) -> DataFrame:
-    """Encodings and lags under common names, nulls as 0 for the regression."""
-    out = rows.join(station.withColumnRenamed("enc", "station_enc"), "station_id", "left").join(zone.withColumnRenamed("enc", "zone_enc"), "zone_agg", "left").crossJoin(F.broadcast(overall))
-    out = out.withColumns({c: F.coalesce(c, "m") for c in ("station_enc", "zone_enc")}).drop("m")
-    lags = {"lag_1h": f"{direction}_own_lag_1h", "lag_1week": f"{direction}_own_lag_1week", "neighbor": f"{direction}_neighbor_demand"}
-    out = out.withColumns({k: F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for k, v in lags.items()})
-    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in NUMERIC})
+    """rows with the inputs, as in_<name>; encodings of unseen stations and zones are the overall mean."""
+    out = rows if "is_holiday" in rows.columns else rows.withColumn("is_holiday", F.lit(False))
+    out = out.join(station.withColumnRenamed("enc", "enc_station_enc"), "station_id", "left").join(zone.withColumnRenamed("enc", "enc_zone_enc"), "zone_agg", "left").crossJoin(F.broadcast(overall.select(F.col("m").alias("enc_mean"))))
+    return out.withColumns({f"in_{c}": x for c, x in _inputs(direction).items()})
 
 
-def fit_poisson(rows: DataFrame, direction: str, holdout_start: str | None = None, sample: int | None = None, seed: int = 0) -> FittedDirection:
-    """GeneralizedLinearRegression (Poisson, log link) on uncensored rows before holdout_start.
+def fit(rows: DataFrame, direction: str, holdout_start: str | None = None, sample: int | None = None, seed: int = 0, kind: str = "poisson") -> FittedDirection:
+    """A model of uncensored rows before holdout_start: kind "poisson" or "boosted".
 
-    Encodings use all those rows; with sample, the regression uses an equal
-    quota of rows of each month, in hash order.
+    "poisson" is a Poisson regression with log link; "boosted" are gradient
+    boosted trees. MLlib's trees know no Poisson loss: they minimise squared
+    error, whose best prediction is the conditional mean, that is the rate,
+    and predictions below 0 are 0. Encodings use all training rows; with sample,
+    the model uses an equal quota of rows of each month, in hash order.
     """
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 
     target, flag, _ = DIRECTIONS[direction]
     train = rows.filter(~F.col(flag))
     if holdout_start:
         train = train.filter(F.col("interval_start") < F.lit(holdout_start).cast("timestamp_ntz"))
     station = train.groupBy("station_id").agg(F.avg(target).alias("enc"))
-    zone = train.groupBy("zone_agg").agg(F.avg(target).alias("enc"))
+    zone = train.filter("zone_agg is not null").groupBy("zone_agg").agg(F.avg(target).alias("enc"))
     overall = train.agg(F.avg(target).alias("m"))
     if sample:
         train = month_quota_sample(train, sample, seed)
-    inputs = [*NUMERIC, "station_enc", "zone_enc", "lag_1h", "lag_1week", "neighbor", "sin_day", "cos_day"]
-    ready = model_columns(train, direction, station, zone, overall).withColumn("label_", F.col(target).cast("double"))
-    stages = [
-        SQLTransformer(statement="SELECT *, sin(hour_of_week * (2 * pi() / 24)) AS sin_day, cos(hour_of_week * (2 * pi() / 24)) AS cos_day FROM __THIS__"),
-        VectorAssembler(inputCols=inputs, outputCol="raw_", handleInvalid="keep"),
-        StandardScaler(inputCol="raw_", outputCol="features"),
-        GeneralizedLinearRegression(family="poisson", link="log", labelCol="label_", featuresCol="features", maxIter=25, regParam=1e-4),
-    ]
-    return FittedDirection(direction, PipelineModel.load(f"{path}/model"), *(spark.read.parquet(f"{path}/{n}") for n in ("station", "zone", "overall")))
-
-
-def model_columns(rows: DataFrame, direction: str, station: DataFrame, zone: DataFrame, overall: DataFrame) -> DataFrame:
-    """Encodings and lags under common names, nulls as 0 for the regression."""
-    out = rows.join(station.withColumnRenamed("enc", "station_enc"), "station_id", "left").join(zone.withColumnRenamed("enc", "zone_enc"), "zone_agg", "left").crossJoin(F.broadcast(overall))
-    out = out.withColumns({c: F.coalesce(c, "m") for c in ("station_enc", "zone_enc")}).drop("m")
-    lags = {"lag_1h": f"{direction}_own_lag_1h", "lag_1week": f"{direction}_own_lag_1week", "neighbor": f"{direction}_neighbor_demand"}
-    out = out.withColumns({k: F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for k, v in lags.items()})
-    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in NUMERIC})
+    ready = model_columns(train, direction, station, zone, overall).withColumn("in_label", F.col(target).cast("double"))
+    common = {"labelCol": "in_label", "featuresCol": "in_features", "predictionCol": "in_prediction"}
+    models = {
+        "poisson": lambda: GeneralizedLinearRegression(family="poisson", link="log", maxIter=25, regParam=1e-4, **common),
+        "boosted": lambda: GBTRegressor(maxIter=20, maxDepth=4, stepSize=0.2, seed=seed, **common),
+    }
+    stages = [VectorAssembler(inputCols=[f"in_{c}" for c in _inputs(direction)], outputCol="in_raw", handleInvalid="keep"), StandardScaler(inputCol="in_raw", outputCol="in_features"), models[kind]()]
+    return FittedDirection(direction, Pipeline(stages=stages).fit(ready), station, zone, overall)
 
 
-def fit_poisson(rows: DataFrame, direction: str, holdout_start: str | None = None, sample: int | None = None, seed: int = 0) -> FittedDirection:
-    """GeneralizedLinearRegression (Poisson, log link) on uncensored rows before holdout_start.
+def impute_months(features: DataFrame, fitted: dict[str, FittedDirection], bias: dict[str, DataFrame], folder: str, edges: tuple[int, ...] = (1, 4)) -> DataFrame:
+    """The unmet table of all months, a month a folder; months that are there already (with a _SUCCESS mark) are not made again.
 
-    Encodings use all those rows; with sample, the regression uses an equal
-    quota of rows of each month, in hash order.
+    A run that was broken off goes on with the month it was at.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    target, flag, _ = DIRECTIONS[direction]
-    train = rows.filter(~F.col(flag))
-    if holdout_start:
-        train = train.filter(F.col("interval_start") < F.lit(holdout_start).cast("timestamp_ntz"))
-    station = train.groupBy("station_id").agg(F.avg(target).alias("enc"))
-    zone = train.groupBy("zone_agg").agg(F.avg(target).alias("enc"))
-    overall = train.agg(F.avg(target).alias("m"))
-    if sample:
-        train = month_quota_sample(train, sample, seed)
-    inputs = [*NUMERIC, "station_enc", "zone_enc", "lag_1h", "lag_1week", "neighbor", "sin_how", "cos_how"]
-    wave = lambda df: df.withColumns({"sin_how": F.sin(F.col("hour_of_week") * (2 * 3.141592653589793 / 24)), "cos_how": F.cos(F.col("hour_of_week") * (2 * 3.141592653589793 / 24))})
-    ready = wave(model_columns(train, direction, station, zone, overall)).withColumn("label_", F.col(target).cast("double"))
-    from pyspark.ml.feature import SQLTransformer
-
-    sql = SQLTransformer(statement="SELECT *, sin(hour_of_week * (2 * pi() / 24)) AS sin_h, cos(hour_of_week * (2 * pi() / 24)) AS cos_h FROM __THIS__")
-    inputs = [i.replace("sin_how", "sin_h").replace("cos_how", "cos_h") for i in inputs]
-    stages = [sql, VectorAssembler(inputCols=inputs, outputCol="raw_", handleInvalid="keep"), StandardScaler(inputCol="raw_", outputCol="features"), GeneralizedLinearRegression(family="poisson", link="log", labelCol="label_", featuresCol="features", maxIter=25, regParam=1e-4)]
-    return FittedDirection(direction, Pipeline(stages=stages).fit(ready), station, zone, overall)
+    spark = features.sparkSession
+    month = F.date_format("interval_start", "yyyy-MM")
+    months = sorted(r.m for r in features.select(month.alias("m")).distinct().collect())  # a dozen a year
+    for m in months:
+        if not exists(spark, f"{folder}/{m}/_SUCCESS"):
+            rows = features.filter(month == m)
+            for model in fitted.values():
+                rows = model.predict(rows)
+            unmet_table(rows, bias, edges).write.mode("overwrite").parquet(f"{folder}/{m}")
+    return spark.read.parquet(*[f"{folder}/{m}" for m in months])
 
 
 def month_quota_sample(rows: DataFrame, size: int, seed: int = 0) -> DataFrame:

@@ -30,6 +30,12 @@ def add_own_lags(panel: DataFrame, column: str, prefix: str, lag_rows: int = 4,
     return panel.withColumns({f"{prefix}_own_lag_1h": F.avg(column).over(w.rowsBetween(-lag_rows, -1)), f"{prefix}_own_lag_1week": F.lag(column, week_rows).over(w)})
 
 
+def add_week_ago(panel: DataFrame, column: str, out: str) -> DataFrame:
+    """panel with column of the interval seven days before, as an equi-join on the shifted time; null where there is no such row."""
+    before = panel.select("station_id", (F.col("interval_start") + F.expr("interval 7 days")).alias("interval_start"), F.col(column).alias(out))
+    return panel.join(before, ["station_id", "interval_start"], "left")
+
+
 def add_neighbor_demand(panel: DataFrame, column: str, prefix: str) -> DataFrame:
     """The zone's total in the interval less the station's own; null without a zone."""
     total = F.sum(column).over(W.partitionBy("zone_agg", "interval_start"))

@@ -37,7 +37,7 @@ def boxed_zones(stations: DataFrame, lng: float, lat: float) -> DataFrame:
 
 
 def exclude_boxed(rows: DataFrame, stations: DataFrame, lng: float = -74.02, lat: float = 40.68) -> DataFrame:
-    return rows.join(F.broadcast(boxed_zones(stations, lng, lat).filter("boxed").select("zone_agg")), "zone_agg", "left_anti")
+    return rows.join(boxed_zones(stations, lng, lat).filter("boxed").select("zone_agg"), "zone_agg", "left_anti")
 
 
 def add_per_dock(rows: DataFrame, capacity: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def usable_panel(panel: DataFrame) -> DataFrame:
     """Rows of stations with a capacity, without those that have 0 docks and yet some activity; adds net_flow and week_start."""
     known = panel.filter(F.col("capacity").isNotNull())
     impossible = known.filter((F.col("capacity") == 0) & (F.col("departures") + F.col("arrivals") > 0)).select("station_id").distinct()
-    return known.join(F.broadcast(impossible), "station_id", "left_anti").withColumns({"net_flow": F.col("arrivals") - F.col("departures"), "week_start": week_start(F.col("interval_start"))})
+    return known.join(impossible, "station_id", "left_anti").withColumns({"net_flow": F.col("arrivals") - F.col("departures"), "week_start": week_start(F.col("interval_start"))})
 
 
 def dropped_stations(panel: DataFrame) -> DataFrame:

@@ -60,9 +60,30 @@ def cell_tier(counts: dict[str, DataFrame], stations: DataFrame, params: OdParam
     return cells.select(F.col("start_station_id").alias("station_id"), "hour_of_week", tier.alias("tier"))
 
 
+@dataclass
+class Shares:
+    """The shares of one network as arrays: all distributions end to end, each cumulated within its own unit interval."""
+
+    #: Distribution of each [station, hour of week], -1 where there is none.
+    of: np.ndarray
+    ends: np.ndarray
+    cumulated: np.ndarray
+    ids: list
+
+    def draw(self, rng: np.random.Generator, origins: np.ndarray, how: int) -> np.ndarray:
+        """A destination (station number) for each origin, all in one search; a missing distribution or an end outside the network raises."""
+        own = self.of[origins, how]
+        if (own < 0).any():
+            raise KeyError(f"no distribution for station {self.ids[origins[own < 0][0]]} at hour {how}")
+        got = self.ends[np.searchsorted(self.cumulated, own + rng.random(len(own)), "right")]
+        if (got < 0).any():
+            raise KeyError("a destination is outside the network")
+        return got
+
+
 @dataclass
 class OdSampler:
-    """Destination draws inside a task: dictionaries of (destinations, probabilities) by tier key."""
+    """Destination shares for tasks to draw from: (destinations, probabilities) by tier and key."""
 
     shares: dict[str, dict[tuple, tuple[np.ndarray, np.ndarray]]]
     tier_of: dict[tuple, str]
@@ -81,6 +102,24 @@ class OdSampler:
             raise KeyError(f"no {tier} distribution for station {station} at hour {how}")
         return np.repeat(found[0], rng.multinomial(n, found[1])), tier
 
+    def bound(self, ids: list) -> Shares:
+        """The shares as arrays over these stations."""
+        index = {s: i for i, s in enumerate(ids)}
+        number, ends, cumulated = {}, [], []
+        for tier, by_key in self.shares.items():
+            for key, (stations, p) in by_key.items():
+                number[tier, key] = at = len(number)
+                ends.append(np.array([index.get(s, -1) for s in stations], np.int64))
+                top = at + np.cumsum(p)
+                top[-1] = at + 1
+                cumulated.append(top)
+        of = np.full((len(ids), 168), -1, np.int64)
+        for i, station in enumerate(ids):
+            for how in range(168):
+                tier = self.tier_of.get((station, how), "global")
+                of[i, how] = number.get((tier, self.key(tier, station, how)), -1)
+        return Shares(of, np.concatenate(ends) if ends else np.zeros(0, np.int64), np.concatenate(cumulated) if cumulated else np.zeros(0), ids)
+
 
 def sampler(probabilities: dict[str, DataFrame], tiers: DataFrame, stations: DataFrame) -> OdSampler:
     """Collects the sparse shares of one network (bounded by its cells that have trips) for tasks to draw from."""
@@ -89,7 +128,7 @@ def sampler(probabilities: dict[str, DataFrame], tiers: DataFrame, stations: Dat
         keys = TIERS[tier]
         shares[tier] = {}
         grouped = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("end_station_id", "prob"))).alias("d"))
-        for r in grouped.collect():
+        for r in grouped.toLocalIterator():
             p = np.array([x.prob for x in r.d])
             shares[tier][tuple(r[k] for k in keys)] = (np.array([x.end_station_id for x in r.d]), p / p.sum())
     tier_of = {(r.station_id, r.hour_of_week): r.tier for r in tiers.collect()}

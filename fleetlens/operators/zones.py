@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -86,24 +87,22 @@ def zone_diameters(stations: DataFrame, zone: str = "zone_agg") -> DataFrame:
     return pairs.groupBy(F.col(f"a.{zone}").alias(zone)).agg(F.count_if(F.col("a.station_id") == F.col("b.station_id")).alias("stations"), F.max(distance).alias("diameter_m"))
 
 
-def _cells(lat: Column, lng: Column, radius_m: float, widest_lat: float = 60.0) -> tuple[Column, Column]:
-    """Grid cells at least radius_m wide up to widest_lat."""
-    deg = np.degrees(radius_m / EARTH_RADIUS_M)
-    return F.floor(lat / deg), F.floor(lng / (deg / np.cos(np.radians(widest_lat))))
-
-
 def radius_pairs(stations: DataFrame, radius_m: float = 400.0) -> DataFrame:
     """station_id, neighbor_id, distance_m for ordered pairs within radius_m.
 
-    Stations meet only in their own and the eight cells around it, so the join
-    is an equi-join whose size follows the local density.
+    Points of the sphere are dealt to cubes of that edge, and a chord is no
+    longer than its arc, so stations meet in their own cube and the 26 around
+    it: an equi-join whose size follows the local density, at every latitude and
+    across the date line.
     """
-    cy, cx = _cells(F.col("lat"), F.col("lng"), radius_m)
-    own = stations.select("station_id", "lat", "lng", cy.alias("cy"), cx.alias("cx"))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    near = own.select(F.col("station_id").alias("neighbor_id"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), "cy", "cx", around.alias("s"))
-    near = near.select("neighbor_id", "lat2", "lng2", (F.col("cy") + F.col("s.dy")).alias("cy"), (F.col("cx") + F.col("s.dx")).alias("cx"))
-    pairs = own.join(near, ["cy", "cx"]).filter("station_id != neighbor_id").withColumn("distance_m", haversine_m(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")))
+    lat, lng, r = F.radians("lat"), F.radians("lng"), EARTH_RADIUS_M / radius_m
+    at = {"cx": F.cos(lat) * F.cos(lng) * r, "cy": F.cos(lat) * F.sin(lng) * r, "cz": F.sin(lat) * r}
+    own = stations.select("station_id", "lat", "lng", *[F.floor(x).alias(c) for c, x in at.items()])
+    step = (-1, 0, 1)
+    around = F.explode(F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip(ds, ("dx", "dy", "dz"), strict=True)]) for ds in product(step, step, step)]))
+    near = own.select(F.col("station_id").alias("neighbor_id"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), *at, around.alias("s"))
+    near = near.select("neighbor_id", "lat2", "lng2", *[(F.col(c) + F.col(f"s.d{c[1]}")).alias(c) for c in at])
+    pairs = own.join(near, list(at)).filter("station_id != neighbor_id").withColumn("distance_m", haversine_m(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")))
     return pairs.filter(F.col("distance_m") <= radius_m).select("station_id", "neighbor_id", "distance_m")
 
 

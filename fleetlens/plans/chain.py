@@ -7,24 +7,26 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import allocate, demand, features, heatmap, inventory, od, panel, substitution, value, zones
-from ..params import AllocationParams, Params, ValueParams
-from ..session import stored
+from ..params import AllocationParams, DemandParams, Params, SimulationParams, ValueParams
+from ..session import exists, stored
 from ..sources import standin, trips
 
-#: Four weeks of events: fewer weeks are asked for, and small budgets, prefilters and low levels suit the small network.
-STANDIN = Params(value=ValueParams(min_weeks=3, low_inventory=1.0), allocation=AllocationParams(budget=200.0, top_n=20, prefilter=500))
+#: Four weeks of events: fewer weeks are asked for, the last of them are held out, and a small budget and low levels suit the small docks.
+STANDIN = Params(value=ValueParams(min_weeks=3, low_inventory=1.0), allocation=AllocationParams(budget=200.0), demand=DemandParams(holdout_start="2024-01-22"), simulation=SimulationParams(week_start="2024-01-08"))
 
 
 class Chain:
     """The tables, lazy but for those that several others are made of.
 
-    Unmet demand, weekly cells and candidate moves are phase boundaries: they
-    are computed once, when first asked for, and written to the checkpoint
-    folder. Without that, each table above them would run them again.
+    The inventory, the rates, net losses, weekly cells and candidate moves are
+    phase boundaries: they are computed once, when first asked for, and written
+    to the checkpoint folder. Without that, each table above them would run them
+    again. A session shares them between its queries (chain_of).
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, params: Params = STANDIN) -> None:
         self.spark, self.sf_dir, self.params = spark, sf_dir, params
+        self.written: list[str] = []
 
     @cached_property
     def trips_raw(self) -> DataFrame:
@@ -52,11 +54,32 @@ class Chain:
 
     @cached_property
     def inventory(self) -> DataFrame:
-        return inventory.reconstruct_inventory(self.usable, self.params.inventory)
+        return self._stored(inventory.reconstruct_inventory(self.usable, self.params.inventory))
+
+    def _stored(self, df: DataFrame) -> DataFrame:
+        out = stored(df)
+        self.written.append(out.inputFiles()[0].rsplit("/", 1)[0] if out.inputFiles() else "")
+        return out
+
+    @cached_property
+    def rated(self) -> DataFrame:
+        """The inventory with run lengths and the rates of both directions."""
+        runs = features.add_run_length(features.add_run_length(self.inventory, "is_bike_empty", "bike_empty_run_len"), "is_dock_full", "dock_full_run_len")
+        return self._stored(demand.add_all_rates(runs))
+
+    @cached_property
+    def held_out(self) -> DataFrame:
+        return self.rated.filter(F.col("interval_start") >= F.lit(self.params.demand.holdout_start).cast("timestamp_ntz"))
+
+    @cached_property
+    def calibration(self) -> dict[str, tuple[DataFrame, DataFrame]]:
+        """Recovery and bias of each direction, on the held-out weeks."""
+        p = self.params.demand
+        return {d: demand.calibrate(self.held_out, d, p.runs_each, p.calibration_runs, p.min_bias_n, p.seed) for d in demand.DIRECTIONS}
 
     @cached_property
     def unmet(self) -> DataFrame:
-        return stored(demand.unmet_table(self.inventory))
+        return demand.unmet_table(self.rated, {d: bias for d, (_, bias) in self.calibration.items()}, self.params.demand.run_edges)
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -64,7 +87,7 @@ class Chain:
 
     @cached_property
     def net(self) -> DataFrame:
-        return substitution.add_substitution(self.unmet, self.pairs)
+        return self._stored(substitution.add_substitution(self.unmet, self.pairs))
 
     @cached_property
     def zone_hour(self) -> DataFrame:
@@ -80,7 +103,7 @@ class Chain:
 
     @cached_property
     def weekly(self) -> DataFrame:
-        return stored(value.station_hour_week(self.net))
+        return self._stored(value.station_hour_week(self.net))
 
     @cached_property
     def rates(self) -> DataFrame:
@@ -136,7 +159,7 @@ class Chain:
 
     @cached_property
     def moves(self) -> DataFrame:
-        return stored(allocate.candidate_moves(self.tiers, self.cumulative, self.origins, self.stations.select("station_id", "zone_agg"), self.flows, self.params.allocation.prefilter))
+        return self._stored(allocate.candidate_moves(self.tiers, self.cumulative, self.origins, self.stations.select("station_id", "zone_agg"), self.flows, self.params.allocation.prefilter))
 
     @cached_property
     def options(self) -> DataFrame:
@@ -150,3 +173,14 @@ class Chain:
     def tops(self) -> DataFrame:
         p = self.params.allocation
         return allocate.elasticity_sweep(self.moves, self.cumulative, allocate.payout_grid(self.spark, p), allocate.elasticity_grid(self.spark, p), p)
+
+
+_chains: dict[tuple, Chain] = {}
+
+
+def chain_of(spark: SparkSession, sf_dir: str, params: Params = STANDIN) -> Chain:
+    """The session's chain over a data directory; a new one where what it has written is gone."""
+    key = (spark.sparkContext.applicationId, sf_dir, params)
+    if key not in _chains or not all(exists(spark, path) for path in _chains[key].written):
+        _chains[key] = Chain(spark, sf_dir, params)
+    return _chains[key]

@@ -32,12 +32,31 @@ PARTS: dict[str, str] = {
         greatest(0.0::DOUBLE, coalesce(-(w.b + w.f), 0.0::DOUBLE)) AS nontrip_in, greatest(0.0::DOUBLE, coalesce(w.b + w.f - w.capacity, 0.0::DOUBLE)) AS nontrip_out
         FROM usable u LEFT JOIN walk w ON u.station_id = w.station_id AND u.interval_start = w.interval_start""",
     "inv": "SELECT *, inventory <= 1e-6::DOUBLE AS is_bike_empty, inventory >= capacity - 1e-6::DOUBLE AS is_dock_full FROM inv0",
-    "unmet0": """SELECT *, coalesce(avg(departures) FILTER (WHERE NOT is_bike_empty) OVER (PARTITION BY station_id, hour_of_week),
+    "runlens": """SELECT * EXCLUDE (cb, cf, rb, rf), CASE WHEN is_bike_empty THEN count(*) OVER (PARTITION BY station_id, rb) ELSE 0 END AS dep_len, CASE WHEN is_dock_full THEN count(*) OVER (PARTITION BY station_id, rf) ELSE 0 END AS arr_len FROM (
+        SELECT *, sum(cb) OVER (PARTITION BY station_id ORDER BY interval_start ROWS UNBOUNDED PRECEDING) AS rb, sum(cf) OVER (PARTITION BY station_id ORDER BY interval_start ROWS UNBOUNDED PRECEDING) AS rf FROM (
+        SELECT *, CASE WHEN is_bike_empty IS DISTINCT FROM lag(is_bike_empty) OVER (PARTITION BY station_id ORDER BY interval_start) THEN 1 ELSE 0 END AS cb,
+        CASE WHEN is_dock_full IS DISTINCT FROM lag(is_dock_full) OVER (PARTITION BY station_id ORDER BY interval_start) THEN 1 ELSE 0 END AS cf FROM inv))""",
+    "rated": """SELECT *, coalesce(avg(departures) FILTER (WHERE NOT is_bike_empty) OVER (PARTITION BY station_id, hour_of_week),
             CASE WHEN zone_agg IS NOT NULL THEN avg(departures) FILTER (WHERE NOT is_bike_empty) OVER (PARTITION BY zone_agg, hour_of_week) END, (SELECT avg(departures) FROM inv WHERE NOT is_bike_empty)) AS dep_d,
         coalesce(avg(arrivals) FILTER (WHERE NOT is_dock_full) OVER (PARTITION BY station_id, hour_of_week),
-            CASE WHEN zone_agg IS NOT NULL THEN avg(arrivals) FILTER (WHERE NOT is_dock_full) OVER (PARTITION BY zone_agg, hour_of_week) END, (SELECT avg(arrivals) FROM inv WHERE NOT is_dock_full)) AS arr_d FROM inv""",
-    "unmet": """SELECT *, CASE WHEN is_bike_empty THEN greatest(0.0::DOUBLE, dep_d - departures) ELSE 0.0::DOUBLE END AS dep_gross,
-        CASE WHEN is_dock_full THEN greatest(0.0::DOUBLE, arr_d - arrivals) ELSE 0.0::DOUBLE END AS arr_gross FROM unmet0""",
+            CASE WHEN zone_agg IS NOT NULL THEN avg(arrivals) FILTER (WHERE NOT is_dock_full) OVER (PARTITION BY zone_agg, hour_of_week) END, (SELECT avg(arrivals) FROM inv WHERE NOT is_dock_full)) AS arr_d FROM runlens""",
+    **{
+        name: text
+        for d, y, flag in (("dep", "departures", "is_bike_empty"), ("arr", "arrivals", "is_dock_full"))
+        for name, text in {
+            f"free_{d}": f"SELECT station_id, interval_start, hour_of_week, {y} AS y, {d}_d AS dhat, row_number() OVER (PARTITION BY station_id ORDER BY interval_start) - 1 AS pos FROM rated WHERE NOT {flag} AND interval_start >= TIMESTAMP '2024-01-22'",
+            f"per_{d}": f"SELECT station_id, count(*) AS n, list_sort(list(y)) AS ds FROM free_{d} GROUP BY ALL",
+            f"caps_{d}": f"SELECT station_id, n, ds[(round_even((n - 1) * 0.1::DOUBLE, 0) + 1)::INTEGER] AS cap, len::INTEGER AS len FROM per_{d}, (SELECT unnest([1, 2, 3, 4, 6, 8, 12]) AS len) WHERE n > len",
+            f"pick_{d}": f"SELECT *, ((((0 + 1)::BIGINT * 48271 + len * 16807 + 11) % 2147483647) * 48271 + station_id * 16807 + 11) % 2147483647 AS k, ((((7 + 1)::BIGINT * 48271 + station_id * 16807 + 11) % 2147483647) * 48271 + len * 16807 + 11) % 2147483647 % (n - len + 1) AS s FROM caps_{d}",
+            f"chosen_{d}": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY len ORDER BY k, station_id) AS nth FROM pick_{d}) WHERE nth <= 300",
+            f"cut_{d}": f"SELECT f.station_id, f.interval_start, f.y AS true_d, least(f.y, c.cap) AS censored_y, c.len, f.dhat, greatest(0.0::DOUBLE, f.dhat - least(f.y, c.cap)) - (f.y - least(f.y, c.cap)) AS err FROM chosen_{d} c JOIN free_{d} f ON f.station_id = c.station_id AND f.pos BETWEEN c.s AND c.s + c.len - 1",
+            f"bias_{d}": f"SELECT CASE WHEN len <= 1 THEN 0 WHEN len <= 4 THEN 1 ELSE 2 END::INTEGER AS b, avg(err) AS bias, count(*) AS n FROM cut_{d} GROUP BY 1 HAVING count(*) >= 20",
+        }.items()
+    },
+    "stale": "SELECT station_id, any_value(capacity) < max(departures + arrivals) AS is_stale FROM rated WHERE interval_start >= TIMESTAMP '2024-01-22' GROUP BY station_id",
+    "unmet": """SELECT r.*, CASE WHEN is_bike_empty THEN greatest(0.0::DOUBLE, greatest(0.0::DOUBLE, dep_d - departures) - coalesce(x.bias, 0.0::DOUBLE)) ELSE 0.0::DOUBLE END AS dep_gross,
+        CASE WHEN is_dock_full THEN greatest(0.0::DOUBLE, greatest(0.0::DOUBLE, arr_d - arrivals) - coalesce(z.bias, 0.0::DOUBLE)) ELSE 0.0::DOUBLE END AS arr_gross FROM rated r
+        LEFT JOIN bias_dep x ON x.b = CASE WHEN dep_len <= 1 THEN 0 WHEN dep_len <= 4 THEN 1 ELSE 2 END LEFT JOIN bias_arr z ON z.b = CASE WHEN arr_len <= 1 THEN 0 WHEN arr_len <= 4 THEN 1 ELSE 2 END""",
     "dist": """SELECT a.station_id, b.station_id AS neighbor_id, 2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, power(sin((radians(b.lat) - radians(a.lat)) / 2), 2)
         + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin((radians(b.lng) - radians(a.lng)) / 2), 2)))) AS distance_m FROM stations a JOIN stations b ON a.station_id <> b.station_id""",
     "pairs": "SELECT * FROM dist WHERE distance_m <= 400",
@@ -85,7 +104,7 @@ PARTS: dict[str, str] = {
         FROM trips t LEFT JOIN stations s ON t.start_station_id = s.station_id WHERE t.end_station_id IN (SELECT station_id FROM usable)""",
     "flows": "SELECT start_station_id, hour_of_week, end_station_id, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY start_station_id, hour_of_week) AS prob FROM od GROUP BY start_station_id, hour_of_week, end_station_id",
     "dest": """SELECT t.station_id, t.hour_of_week, t.tier, t.low_frac, c.k_max, s.zone_agg FROM tiers t JOIN cum c ON t.station_id = c.station_id AND t.hour_of_week = c.hour_of_week AND c.k = c.k_max
-        LEFT JOIN stations s ON s.station_id = t.station_id WHERE c.cum_mv > 0 ORDER BY round(c.cum_mv, 9) DESC, t.station_id, t.hour_of_week LIMIT 500""",
+        LEFT JOIN stations s ON s.station_id = t.station_id WHERE c.cum_mv > 0 ORDER BY round(c.cum_mv, 9) DESC, t.station_id, t.hour_of_week LIMIT 3000""",
     "moves": """SELECT station_id, hour_of_week, tier, low_frac, k_max, origin_station_id, origin_cost, flow_prob FROM (
         SELECT d.*, o.station_id AS origin_station_id, o.origin_cost, coalesce(f.prob, 0.0::DOUBLE) AS flow_prob,
                row_number() OVER (PARTITION BY d.station_id, d.hour_of_week ORDER BY round(o.origin_cost, 9), round(coalesce(f.prob, 0), 9) DESC, o.station_id) AS rn
@@ -104,7 +123,7 @@ PARTS: dict[str, str] = {
         SELECT *, row_number() OVER (PARTITION BY draw, station_id, hour_of_week ORDER BY round(nvpd, 9) DESC, payout) AS nth FROM (
         SELECT o.draw, o.station_id, o.hour_of_week, o.payout, (c.cum_mv - o.i * o.origin_cost - o.i * o.payout * 0.2::DOUBLE) / (o.i * o.payout * 0.2::DOUBLE) AS nvpd
         FROM (SELECT m.*, p.payout, d.draw, d.ea * (1 - exp(-d.eb * p.payout)) AS i FROM moves m, (SELECT unnest([1, 2, 5, 10, 20, 30, 50])::DOUBLE AS payout) p, draws d) o
-        JOIN cum c ON c.station_id = o.station_id AND c.hour_of_week = o.hour_of_week AND c.k = greatest(1, least(round_even(o.i, 0)::INTEGER, o.k_max)))) WHERE nth = 1) WHERE rank <= 20""",
+        JOIN cum c ON c.station_id = o.station_id AND c.hour_of_week = o.hour_of_week AND c.k = greatest(1, least(round_even(o.i, 0)::INTEGER, o.k_max)))) WHERE nth = 1) WHERE rank <= 100""",
 }
 
 

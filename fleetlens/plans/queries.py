@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import columns as C
 from ..operators import allocate, censoring, compare, demand, features, heatmap, inventory, od, panel, policies, simulate, validate, value, zones
+from ..session import checkpoint_dir
 from ..sources import trips
 from ..streaming import tumbling
-from .chain import Chain
+from . import replicates
+from .chain import Chain, chain_of
 from .oracle import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +28,7 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 def query(oracle: str | None = None, **parts: str):
     """Registers a function of a Chain under its name, with the SQL that gives the same rows."""
     def take(f: Callable[[Chain], DataFrame]) -> Callable[[Chain], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Chain(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(chain_of(spark, sf_dir))
         if oracle:
             ORACLE_SQL[f.__name__] = sql(oracle, **parts)
         return f
@@ -89,7 +92,7 @@ def q_panel_bounds(c: Chain) -> DataFrame:
     return b.withColumn("n_intervals", (F.timestamp_diff("MINUTE", F.col("first_interval"), F.col("last_interval")) / 15 + 1).cast("bigint"))
 
 
-@query("SELECT (SELECT count(*) FROM trips) AS trips, sum(departures)::BIGINT AS departures, sum(arrivals)::BIGINT AS arrivals, count(DISTINCT station_id) AS stations, 0::BIGINT AS stations_with_gaps FROM panel")
+@query("SELECT (SELECT count(*) FROM trips) AS trips, sum(departures)::BIGINT AS departures, sum(arrivals)::BIGINT AS arrivals, count(DISTINCT station_id) AS stations, (SELECT count(*) FROM (SELECT station_id FROM panel GROUP BY station_id HAVING date_diff('minute', min(interval_start), max(interval_start)) / 15 + 1 <> count(*))) AS stations_with_gaps FROM panel")
 def q_panel_checks(c: Chain) -> DataFrame:
     out = panel.panel_checks(c.panel, c.trips)
     return out.select("trips", "departures", "arrivals", "stations", F.col("stations_with_gaps").cast("bigint").alias("stations_with_gaps"))
@@ -142,7 +145,19 @@ def q_zone_diameters(c: Chain) -> DataFrame:
     return rounded(zones.zone_diameters(c.stations), 3)
 
 
-@query()
+#: The transverse Mercator series and cube rounding once more; e is the squared eccentricity, g the second one.
+HEX = {
+    "ell": "SELECT station_id, radians(lat) AS p, cos(radians(lat)) * radians(lng + 75.0::DOUBLE) AS d, (1 / 298.257223563::DOUBLE) * (2 - 1 / 298.257223563::DOUBLE) AS e FROM stations",
+    "ell2": "SELECT *, 6378137.0::DOUBLE / sqrt(1 - e * sin(p) ** 2) AS n, tan(p) ** 2 AS t, e / (1 - e) AS g, e / (1 - e) * cos(p) ** 2 AS c FROM ell",
+    "metres": """SELECT station_id, 0.9996::DOUBLE * n * (d + (1 - t + c) * d ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * g) * d ** 5 / 120) + 500000 AS x, 0.9996::DOUBLE * (6378137.0::DOUBLE * ((1 - e / 4 - 3 * e ** 2 / 64 - 5 * e ** 3 / 256) * p
+        - (3 * e / 8 + 3 * e ** 2 / 32 + 45 * e ** 3 / 1024) * sin(2 * p) + (15 * e ** 2 / 256 + 45 * e ** 3 / 1024) * sin(4 * p) - (35 * e ** 3 / 3072) * sin(6 * p))
+        + n * tan(p) * (d * d / 2 + (5 - t + 9 * c + 4 * c * c) * d ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * g) * d ** 6 / 720)) AS y FROM ell2""",
+    "axial": "SELECT station_id, (x * sqrt(3.0::DOUBLE) / 3 - y / 3) / 460 AS q, (y * 2 / 3) / 460 AS r FROM metres",
+    "cube": "SELECT station_id, round(q) AS a, round(r) AS b, round(-q - r) AS s, abs(round(q) - q) AS da, abs(round(r) - r) AS db, abs(round(-q - r) - (-q - r)) AS ds FROM axial",
+}
+
+
+@query("SELECT station_id, CASE WHEN da > db AND da > ds THEN -b - s ELSE a END::BIGINT::VARCHAR || ':' || CASE WHEN da > db AND da > ds THEN b WHEN db > ds THEN -a - s ELSE b END::BIGINT::VARCHAR AS zone_hex FROM cube", **HEX)
 def q_hex_zones(c: Chain) -> DataFrame:
     return zones.hex_zones(c.stations)
 
@@ -180,7 +195,7 @@ def q_inventory_daily_nontrip(c: Chain) -> DataFrame:
     return inventory.daily_nontrip(c.inventory)
 
 
-@query("SELECT count(*) AS n_rows, 0::BIGINT AS violations FROM usable")
+@query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE inventory < -1e-6::DOUBLE OR inventory > capacity + 1e-6::DOUBLE) AS violations FROM inv")
 def q_bounds_check(c: Chain) -> DataFrame:
     return inventory.bounds_check(c.inventory)
 
@@ -207,28 +222,54 @@ def q_own_lags(c: Chain) -> DataFrame:
     return rounded(p.groupBy("hour_of_week").agg(F.sum("dep_own_lag_1h").alias("lag_1h"), F.sum(F.col("dep_own_lag_1week").cast("double")).alias("lag_1week"), F.count("dep_own_lag_1h").alias("n_1h"), F.count("dep_own_lag_1week").alias("n_1week")))
 
 
+@query("SELECT a.station_id, count(b.departures) AS n, sum(b.departures)::BIGINT AS week_ago FROM panel a LEFT JOIN panel b ON b.station_id = a.station_id AND b.interval_start = a.interval_start - INTERVAL 7 DAY GROUP BY ALL")
+def q_week_ago_lag(c: Chain) -> DataFrame:
+    return features.add_week_ago(c.panel, "departures", "week_ago").groupBy("station_id").agg(F.count("week_ago").alias("n"), F.sum("week_ago").alias("week_ago"))
+
+
+@query(f"""SELECT hour_of_week, count(*) AS n, sum(l)::BIGINT AS longest, sum(dn)::BIGINT AS dep_neighbor, sum(an)::BIGINT AS arr_neighbor, count(aw) AS n_week, {_r('sum(dl) AS dep_lag', 'sum(al) AS arr_lag', 'sum(temp_c) AS temp', 'sum(lag1) AS rain_before')} FROM (
+    SELECT i.hour_of_week, i.dep_len + i.arr_len AS l, w.temp_c, x.precip_mm AS lag1, avg(departures) OVER s AS dl, avg(arrivals) OVER s AS al, lag(arrivals, 672) OVER (PARTITION BY station_id ORDER BY interval_start) AS aw,
+    CASE WHEN zone_agg IS NOT NULL THEN sum(departures) OVER z - departures END AS dn, CASE WHEN zone_agg IS NOT NULL THEN sum(arrivals) OVER z - arrivals END AS an
+    FROM runlens i LEFT JOIN weather w ON w.timestamp = date_trunc('hour', i.interval_start) LEFT JOIN weather x ON x.timestamp = date_trunc('hour', i.interval_start) - INTERVAL 1 HOUR
+    WINDOW s AS (PARTITION BY station_id ORDER BY interval_start ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), z AS (PARTITION BY zone_agg, interval_start)) GROUP BY ALL""")
+def q_features(c: Chain) -> DataFrame:
+    """The joined feature table of both directions, summed by hour of the week."""
+    total = lambda x, n: F.sum(x).alias(n)
+    return rounded(c.features.groupBy("hour_of_week").agg(
+        F.count("*").alias("n"), total(F.col("bike_empty_run_len") + F.col("dock_full_run_len"), "longest"), total("dep_neighbor_demand", "dep_neighbor"), total("arr_neighbor_demand", "arr_neighbor"),
+        F.count("arr_own_lag_1week").alias("n_week"), total("dep_own_lag_1h", "dep_lag"), total("arr_own_lag_1h", "arr_lag"), total("temp_c", "temp"), total("precip_lag1h", "rain_before"),
+    ))
+
+
 @query("SELECT station_id, count(x) AS n, sum(x)::BIGINT AS neighbor_demand FROM (SELECT station_id, CASE WHEN zone_agg IS NOT NULL THEN sum(departures) OVER (PARTITION BY zone_agg, interval_start) - departures END AS x FROM panel) GROUP BY ALL")
 def q_neighbor_demand(c: Chain) -> DataFrame:
     return features.add_neighbor_demand(c.panel, "departures", "dep").groupBy("station_id").agg(F.count("dep_neighbor_demand").alias("n"), F.sum("dep_neighbor_demand").alias("neighbor_demand"))
 
 
-RUNS = {
-    "flagged": "SELECT *, CASE WHEN is_bike_empty IS DISTINCT FROM lag(is_bike_empty) OVER (PARTITION BY station_id ORDER BY interval_start) THEN 1 ELSE 0 END AS ch FROM inv",
-    "runs": "SELECT *, sum(ch) OVER (PARTITION BY station_id ORDER BY interval_start ROWS UNBOUNDED PRECEDING) AS run FROM flagged",
-    "lens": "SELECT station_id, interval_start, is_bike_empty, CASE WHEN is_bike_empty THEN count(*) OVER (PARTITION BY station_id, run) ELSE 0 END AS len FROM runs",
-}
+def _both(c: Chain, rows: Callable[[str, str, str, str], DataFrame]) -> DataFrame:
+    """rows(direction, target, flag, run length) of both directions, with their name."""
+    parts = [rows(d, *names).select(F.lit(d).alias("direction"), "*") for d, names in demand.DIRECTIONS.items()]
+    return parts[0].unionByName(parts[1])
 
 
-@query("SELECT station_id, max(len) AS longest, sum(len)::BIGINT AS total, count(*) FILTER (WHERE len > 0) AS n_in_runs FROM lens GROUP BY ALL", **RUNS)
+def _two(body: str) -> str:
+    """SQL of both directions from one with {d}, {y}, {flag}."""
+    one = [body.format(d=d, y=y, flag=flag) for d, y, flag in (("dep", "departures", "is_bike_empty"), ("arr", "arrivals", "is_dock_full"))]
+    return f"SELECT 'dep' AS direction, * FROM ({one[0]}) UNION ALL SELECT 'arr', * FROM ({one[1]})"
+
+
+@query(_two("SELECT station_id, max({d}_len) AS longest, sum({d}_len)::BIGINT AS total, count(*) FILTER (WHERE {d}_len > 0) AS n_in_runs FROM runlens GROUP BY ALL"))
 def q_run_length(c: Chain) -> DataFrame:
-    r = features.add_run_length(c.inventory, "is_bike_empty", "len")
-    return r.groupBy("station_id").agg(F.max("len").alias("longest"), F.sum("len").alias("total"), F.count_if(F.col("len") > 0).alias("n_in_runs"))
+    def of(d: str, y: str, flag: str, run: str) -> DataFrame:
+        r = features.add_run_length(c.inventory, flag, "len")
+        return r.groupBy("station_id").agg(F.max("len").alias("longest"), F.sum("len").alias("total"), F.count_if(F.col("len") > 0).alias("n_in_runs"))
 
+    return _both(c, of)
 
-@query("SELECT CASE WHEN len <= 1 THEN 0 WHEN len <= 4 THEN 1 ELSE 2 END::INTEGER AS bucket, count(*) AS n FROM lens WHERE is_bike_empty GROUP BY ALL", **RUNS)
+
+@query(_two("SELECT CASE WHEN {d}_len <= 1 THEN 0 WHEN {d}_len <= 4 THEN 1 ELSE 2 END::INTEGER AS bucket, count(*) AS n FROM runlens WHERE {flag} GROUP BY ALL"))
 def q_run_length_bucket(c: Chain) -> DataFrame:
-    r = features.add_run_length(c.inventory, "is_bike_empty", "len").filter("is_bike_empty")
-    return r.groupBy(C.upper_bucket(F.col("len"), [1, 4]).alias("bucket")).agg(F.count("*").alias("n"))
+    return _both(c, lambda d, y, flag, run: c.rated.filter(flag).groupBy(C.upper_bucket(F.col(run), c.params.demand.run_edges).alias("bucket")).agg(F.count("*").alias("n")))
 
 
 @query("SELECT station_id, any_value(capacity) < max(departures + arrivals) AS is_capacity_stale FROM usable GROUP BY station_id")
@@ -236,14 +277,18 @@ def q_capacity_staleness(c: Chain) -> DataFrame:
     return features.capacity_staleness(c.usable)
 
 
-@query(f"SELECT u.station_id, {_r('any_value(coalesce(e.m, g.m)) AS station_enc', 'any_value(coalesce(z.m, g.m)) AS zone_enc')} FROM usable u LEFT JOIN (SELECT station_id, avg(departures) AS m FROM inv WHERE NOT is_bike_empty GROUP BY ALL) e ON e.station_id = u.station_id LEFT JOIN (SELECT zone_agg, avg(departures) AS m FROM inv WHERE NOT is_bike_empty GROUP BY ALL) z ON z.zone_agg = u.zone_agg, (SELECT avg(departures) AS m FROM inv WHERE NOT is_bike_empty) g GROUP BY u.station_id")
+@query(_two("""SELECT u.station_id, round(any_value(coalesce(e.m, g.m)), 9) AS station_enc, round(any_value(coalesce(z.m, g.m)), 9) AS zone_enc FROM usable u LEFT JOIN (SELECT station_id, avg({y}) AS m FROM inv WHERE NOT {flag} GROUP BY ALL) e ON e.station_id = u.station_id
+    LEFT JOIN (SELECT zone_agg, avg({y}) AS m FROM inv WHERE NOT {flag} GROUP BY ALL) z ON z.zone_agg = u.zone_agg, (SELECT avg({y}) AS m FROM inv WHERE NOT {flag}) g GROUP BY u.station_id"""))
 def q_target_encoding(c: Chain) -> DataFrame:
-    free = c.inventory.filter(~F.col("is_bike_empty"))
-    overall = free.agg(F.avg("departures").alias("m"))
-    rows = c.usable.select("station_id", "zone_agg").distinct()
-    rows = features.apply_target_encoding(rows, features.target_encoding(free, "station_id", "departures"), "station_id", overall, "station_enc")
-    rows = features.apply_target_encoding(rows, features.target_encoding(free, "zone_agg", "departures"), "zone_agg", overall, "zone_enc")
-    return rounded(rows.select("station_id", "station_enc", "zone_enc"))
+    def of(d: str, y: str, flag: str, run: str) -> DataFrame:
+        free = c.inventory.filter(~F.col(flag))
+        overall = free.agg(F.avg(y).alias("m"))
+        rows = c.usable.select("station_id", "zone_agg").distinct()
+        rows = features.apply_target_encoding(rows, features.target_encoding(free, "station_id", y), "station_id", overall, "station_enc")
+        rows = features.apply_target_encoding(rows, features.target_encoding(free, "zone_agg", y), "zone_agg", overall, "zone_enc")
+        return rows.select("station_id", "station_enc", "zone_enc")
+
+    return rounded(_both(c, of))
 
 
 @query(f"SELECT count(*) AS n, {_r('sum(abs(departures - dep_d)) / sum(departures) AS dep_wmape', 'sum(abs(arrivals - arr_d)) / sum(arrivals) AS arr_wmape')} FROM unmet")
@@ -257,87 +302,99 @@ def q_wmape_by_decile(c: Chain) -> DataFrame:
     return rounded(demand.wmape_by_decile(rows, "departures", "d"))
 
 
+def _model_rows(c: Chain, kind: str) -> DataFrame:
+    """The chain's features with both directions' predictions of one kind of model, trained before the holdout."""
+    rows = c.features
+    for d in demand.DIRECTIONS:
+        rows = demand.fit(c.features, d, c.params.demand.holdout_start, kind=kind).predict(rows)
+    return rows
+
+
 @query()
 def q_glm_unmet(c: Chain) -> DataFrame:
-    fitted = demand.fit_poisson(c.features, "dep")
-    rows = demand.impute_unmet(fitted.predict(c.features), "dep")
-    return rounded(rows.groupBy("station_id").agg(F.sum("dep_D_hat").alias("d_hat"), F.sum("dep_gross_unmet").alias("gross_unmet"), F.sum("departures").alias("departures")), 3)
-
-
-SYNTHETIC = {
-    "free": "SELECT station_id, interval_start, hour_of_week, departures AS y, dep_d, row_number() OVER (PARTITION BY station_id ORDER BY interval_start) - 1 AS pos FROM unmet WHERE NOT is_bike_empty",
-    "per": "SELECT station_id, count(*) AS n, list_sort(list(y)) AS ds FROM free GROUP BY ALL",
-    "caps": "SELECT station_id, n, ds[(round_even((n - 1) * 0.1::DOUBLE, 0) + 1)::INTEGER] AS cap, len::INTEGER AS len FROM per, (SELECT unnest([1, 2, 3, 4, 6, 8, 12]) AS len) WHERE n > len",
-    "key": "SELECT *, ((((0 + 1)::BIGINT * 48271 + len * 16807 + 11) % 2147483647) * 48271 + station_id * 16807 + 11) % 2147483647 AS k, ((((7 + 1)::BIGINT * 48271 + station_id * 16807 + 11) % 2147483647) * 48271 + len * 16807 + 11) % 2147483647 % (n - len + 1) AS s FROM caps",
-    "chosen": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY len ORDER BY k, station_id) AS nth FROM key) WHERE nth <= 40",
-    "cut": "SELECT f.station_id, f.interval_start, f.y AS true_d, least(f.y, c.cap) AS censored_y, c.len, f.dep_d, f.hour_of_week FROM chosen c JOIN free f ON f.station_id = c.station_id AND f.pos BETWEEN c.s AND c.s + c.len - 1",
-    "stale": "SELECT station_id, any_value(capacity) < max(departures + arrivals) AS is_stale FROM usable GROUP BY station_id",
-}
+    """Both directions side by side, of the Poisson regression."""
+    rows = demand.unmet_table(_model_rows(c, "poisson"))
+    return rounded(rows.groupBy("station_id").agg(*[F.sum(x).alias(x) for d, (y, *_) in demand.DIRECTIONS.items() for x in (f"{d}_D_hat", f"{d}_gross_unmet", y)]), 3)
 
 
-@query("SELECT station_id, interval_start, true_d AS \"true_D\", censored_y AS \"censored_Y\", len AS synthetic_run_length FROM cut", **SYNTHETIC)
+@query()
+def q_boosted_unmet(c: Chain) -> DataFrame:
+    """Both directions side by side, of the boosted trees."""
+    rows = demand.unmet_table(_model_rows(c, "boosted"))
+    return rounded(rows.groupBy("station_id").agg(*[F.sum(x).alias(x) for d, (y, *_) in demand.DIRECTIONS.items() for x in (f"{d}_D_hat", f"{d}_gross_unmet", y)]), 3)
+
+
+@query(_two("SELECT station_id, interval_start, true_d AS \"true_D\", censored_y AS \"censored_Y\", len AS synthetic_run_length FROM cut_{d}"))
 def q_synthetic_runs(c: Chain) -> DataFrame:
-    free = c.unmet.filter(~F.col("is_bike_empty"))
-    return censoring.synthetic_runs(free, "departures", c.params.demand.calibration_runs, 40)
+    p = c.params.demand
+    return _both(c, lambda d, y, flag, run: censoring.synthetic_runs(c.held_out.filter(~F.col(flag)), y, p.calibration_runs, p.runs_each, p.seed))
 
 
-@query(f"""SELECT stratum, run_length_bucket, is_capacity_stale, {_r('mae', 'bias')}, n FROM (
-    SELECT 'overall' AS stratum, NULL::INTEGER AS run_length_bucket, NULL::BOOLEAN AS is_capacity_stale, avg(abs(dep_d - true_d)) AS mae, avg(dep_d - true_d) AS bias, count(*) AS n FROM cut
-    UNION ALL SELECT 'bucket', CASE WHEN len <= 1 THEN 0 WHEN len <= 4 THEN 1 ELSE 2 END::INTEGER, NULL, avg(abs(dep_d - true_d)), avg(dep_d - true_d), count(*) FROM cut GROUP BY 2
-    UNION ALL SELECT 'stale', NULL, is_stale, avg(abs(dep_d - true_d)), avg(dep_d - true_d), count(*) FROM cut c JOIN stale s ON c.station_id = s.station_id GROUP BY 3)""", **SYNTHETIC)
+RECOVERY = """SELECT stratum, run_length_bucket, is_capacity_stale, round(mae, 9) + 0.0::DOUBLE AS mae, round(bias, 9) + 0.0::DOUBLE AS bias, n FROM (
+    SELECT 'overall' AS stratum, NULL::INTEGER AS run_length_bucket, NULL::BOOLEAN AS is_capacity_stale, avg(abs(err)) AS mae, avg(err) AS bias, count(*) AS n FROM {cut}_{d} HAVING count(*) > 0
+    UNION ALL SELECT 'bucket', CASE WHEN len <= 1 THEN 0 WHEN len <= 4 THEN 1 ELSE 2 END::INTEGER, NULL, avg(abs(err)), avg(err), count(*) FROM {cut}_{d} GROUP BY 2
+    UNION ALL SELECT 'stale', NULL, is_stale, avg(abs(err)), avg(err), count(*) FROM {cut}_{d} c JOIN stale s ON c.station_id = s.station_id GROUP BY 3)"""
+
+
+@query(_two(RECOVERY.replace("{cut}", "cut")))
 def q_synthetic_recovery(c: Chain) -> DataFrame:
-    free = c.unmet.filter(~F.col("is_bike_empty"))
-    runs = censoring.synthetic_runs(free, "departures", c.params.demand.calibration_runs, 40)
-    rows = runs.join(c.unmet.select("station_id", "interval_start", F.col("dep_D_hat").alias("D_hat")), ["station_id", "interval_start"]).join(features.capacity_staleness(c.usable), "station_id")
-    return rounded(censoring.evaluate_recovery(rows))
+    return rounded(_both(c, lambda d, *_: c.calibration[d][0]))
 
 
-@query(f"""SELECT run_length_bucket, {_r('bias')}, n FROM (SELECT CASE WHEN len <= 1 THEN 0 WHEN len <= 4 THEN 1 ELSE 2 END::INTEGER AS run_length_bucket, avg(dep_d - true_d) AS bias, count(*) AS n FROM cut c JOIN stale s ON c.station_id = s.station_id GROUP BY 1) WHERE n >= 20""", **SYNTHETIC)
+@query(_two("SELECT b AS run_length_bucket, round(bias, 9) + 0.0::DOUBLE AS bias FROM bias_{d}"))
 def q_bucket_bias(c: Chain) -> DataFrame:
-    recovery, bias = demand.calibrate(c.unmet, "dep", 40, c.params.demand.calibration_runs)
-    return rounded(bias.join(recovery.filter("stratum = 'bucket'").select("run_length_bucket", "n"), "run_length_bucket"))
+    return rounded(_both(c, lambda d, *_: c.calibration[d][1]))
 
 
-@query(f"""SELECT 'overall' AS stratum, NULL::INTEGER AS decile, count(*) AS n, {_r('sum(abs(departures - dep_d)) / sum(departures) AS wmape')} FROM unmet WHERE NOT is_bike_empty AND interval_start >= TIMESTAMP '2024-01-22'
-    UNION ALL SELECT 'decile', decile, count(*), round(sum(abs(departures - d)) / nullif(sum(departures), 0), 9) FROM (SELECT departures, d, len(list_filter(e, lambda x: x <= d))::INTEGER AS decile FROM
-    (SELECT departures, round(dep_d, 9) AS d FROM unmet WHERE NOT is_bike_empty AND interval_start >= TIMESTAMP '2024-01-22'),
-    (SELECT quantile_cont(round(dep_d, 9), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM unmet WHERE NOT is_bike_empty AND interval_start >= TIMESTAMP '2024-01-22')) GROUP BY decile""")
+@query(_two("""SELECT 'overall' AS stratum, NULL::INTEGER AS decile, count(*) AS n, round(sum(abs({y} - {d}_d)) / sum({y}), 9) AS wmape FROM rated WHERE NOT {flag} AND interval_start >= TIMESTAMP '2024-01-22'
+    UNION ALL SELECT 'decile', decile, count(*), round(sum(abs({y} - d)) / nullif(sum({y}), 0), 9) FROM (SELECT {y}, d, len(list_filter(e, lambda x: x <= d))::INTEGER AS decile FROM
+    (SELECT {y}, round({d}_d, 9) AS d FROM rated WHERE NOT {flag} AND interval_start >= TIMESTAMP '2024-01-22'),
+    (SELECT quantile_cont(round({d}_d, 9), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM rated WHERE NOT {flag} AND interval_start >= TIMESTAMP '2024-01-22')) GROUP BY decile"""))
 def q_held_out_wmape(c: Chain) -> DataFrame:
-    return rounded(demand.held_out_wmape(c.unmet.withColumn("dep_D_hat", F.round("dep_D_hat", 9)), "dep", "2024-01-22"))
+    return rounded(_both(c, lambda d, *_: demand.held_out_wmape(c.rated.withColumn(f"{d}_D_hat", F.round(f"{d}_D_hat", 9)), d, c.params.demand.holdout_start)))
 
 
+#: The matched test of departures: edges and proportions of censored rows, run starts and the runs themselves.
 STRATA = {
-    "edges": "SELECT quantile_cont(round(dep_d, 9), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS d, quantile_cont(capacity, [0.25, 0.5, 0.75]) AS c FROM unmet WHERE is_bike_empty",
-    "strata": "SELECT u.*, concat_ws('_', len(list_filter(e.d, lambda x: x <= round(dep_d, 9))), len(list_filter(e.c, lambda x: x <= capacity)), hour_of_week) AS stratum FROM unmet u, edges e",
+    "edges": "SELECT quantile_cont(round(dep_d, 9), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS d, quantile_cont(capacity, [0.25, 0.5, 0.75]) AS c FROM rated WHERE is_bike_empty",
+    "strata": "SELECT u.*, concat_ws('_', len(list_filter(e.d, lambda x: x <= round(dep_d, 9))), len(list_filter(e.c, lambda x: x <= capacity)), hour_of_week) AS stratum FROM rated u, edges e",
     "props": "SELECT stratum, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM strata WHERE is_bike_empty GROUP BY stratum",
-    "pool0": "SELECT station_id, interval_start, stratum, row_number() OVER (PARTITION BY station_id ORDER BY interval_start) - 1 AS pos, count(*) OVER (PARTITION BY station_id) AS n_rows FROM strata WHERE NOT is_bike_empty",
-    "pool": "SELECT p.*, l.length FROM pool0 p, (SELECT unnest([1, 2, 4])::INTEGER AS length) l WHERE pos <= n_rows - 4",
+    "pool0": "SELECT station_id, interval_start, stratum, departures AS y, round(dep_d, 9) AS dhat, row_number() OVER (PARTITION BY station_id ORDER BY interval_start) - 1 AS pos, count(*) OVER (PARTITION BY station_id) AS n_rows FROM strata WHERE NOT is_bike_empty",
+    "pool": "SELECT p.*, l.length FROM pool0 p, (SELECT unnest([1, 2, 3, 4, 6, 8, 12])::INTEGER AS length) l WHERE pos <= n_rows - 12",
     "want": "SELECT stratum, p AS target_mass, round_even(p * 2000, 0)::BIGINT AS desired FROM props",
-    "taken": """SELECT * FROM (SELECT p.stratum, p.length, w.desired, row_number() OVER (PARTITION BY p.length, p.stratum ORDER BY
+    "taken": """SELECT * FROM (SELECT p.station_id, p.pos, p.stratum, p.length, w.desired, row_number() OVER (PARTITION BY p.length, p.stratum ORDER BY
         ((((((0 + 1)::BIGINT * 48271 + p.length * 16807 + 11) % 2147483647) * 48271 + station_id * 16807 + 11) % 2147483647) * 48271 + pos * 16807 + 11) % 2147483647, station_id, pos) AS nth
         FROM pool p JOIN want w ON p.stratum = w.stratum) WHERE nth <= desired""",
-    "cover": "SELECT w.stratum, l.length, w.target_mass, w.desired, coalesce(t.n, 0) AS taken FROM want w CROSS JOIN (SELECT unnest([1, 2, 4])::INTEGER AS length) l LEFT JOIN (SELECT stratum, length, count(*) AS n FROM taken GROUP BY ALL) t ON t.stratum = w.stratum AND t.length = l.length",
+    "cover": "SELECT w.stratum, l.length, w.target_mass, w.desired, coalesce(t.n, 0) AS taken FROM want w CROSS JOIN (SELECT unnest([1, 2, 3, 4, 6, 8, 12])::INTEGER AS length) l LEFT JOIN (SELECT stratum, length, count(*) AS n FROM taken GROUP BY ALL) t ON t.stratum = w.stratum AND t.length = l.length",
+    "poolcaps": "SELECT station_id, list_sort(list(y))[(round_even((count(*) - 1) * 0.1::DOUBLE, 0) + 1)::INTEGER] AS cap FROM pool0 GROUP BY station_id",
+    "matched": "SELECT f.station_id, f.interval_start, t.length AS len, greatest(0.0::DOUBLE, f.dhat - least(f.y, c.cap)) - (f.y - least(f.y, c.cap)) AS err FROM taken t JOIN pool0 f ON f.station_id = t.station_id AND f.pos BETWEEN t.pos AND t.pos + t.length - 1 JOIN poolcaps c ON c.station_id = f.station_id",
 }
 
 
-def _matched(c: Chain) -> tuple[DataFrame, DataFrame]:
-    rows = c.unmet.select("station_id", "interval_start", "hour_of_week", "capacity", "is_bike_empty", F.round("dep_D_hat", 9).alias("D_hat"))
-    edges = censoring.stratum_edges(rows.filter("is_bike_empty"))
-    strata = censoring.assign_strata(rows, edges)
-    props = censoring.stratum_proportions(strata.filter("is_bike_empty"))
-    return props, censoring.matched_runs(strata.filter("not is_bike_empty"), props, (1, 2, 4), 2000)[1]
+def _rounded_rates(c: Chain) -> DataFrame:
+    return c.rated.withColumn("dep_D_hat", F.round("dep_D_hat", 9))
 
 
 @query(f"SELECT stratum, n, {_r('p')} FROM props", **STRATA)
 def q_strata(c: Chain) -> DataFrame:
-    return rounded(_matched(c)[0])
+    rows = _rounded_rates(c).select("station_id", "hour_of_week", "capacity", "is_bike_empty", F.col("dep_D_hat").alias("D_hat"))
+    censored = rows.filter("is_bike_empty")
+    return rounded(censoring.stratum_proportions(censoring.assign_strata(censored, censoring.stratum_edges(censored))))
 
 
 @query(f"""SELECT m.decile, {_r('m.target_mass AS target_mass')}, s.desired, s.taken, {_r('s.taken::DOUBLE / nullif(s.desired, 0) AS fill_rate')} FROM
     (SELECT split_part(stratum, '_', 1)::INTEGER AS decile, sum(target_mass) AS target_mass FROM want GROUP BY ALL) m JOIN
     (SELECT split_part(stratum, '_', 1)::INTEGER AS decile, sum(desired)::BIGINT AS desired, sum(taken)::BIGINT AS taken FROM cover GROUP BY ALL) s ON m.decile = s.decile""", **STRATA)
 def q_matched_coverage(c: Chain) -> DataFrame:
-    return rounded(censoring.coverage_by_decile(_matched(c)[1]))
+    return rounded(censoring.coverage_by_decile(demand.calibrate_matched(_rounded_rates(c), "dep", 2000)[1]))
+
+
+@query(f"""SELECT stratum, run_length_bucket, is_capacity_stale, {_r('mae', 'bias')}, n FROM (
+    SELECT 'overall' AS stratum, NULL::INTEGER AS run_length_bucket, NULL::BOOLEAN AS is_capacity_stale, avg(abs(err)) AS mae, avg(err) AS bias, count(*) AS n FROM matched
+    UNION ALL SELECT 'bucket', CASE WHEN len <= 1 THEN 0 WHEN len <= 4 THEN 1 ELSE 2 END::INTEGER, NULL, avg(abs(err)), avg(err), count(*) FROM matched GROUP BY 2
+    UNION ALL SELECT 'stale', NULL, is_stale, avg(abs(err)), avg(err), count(*) FROM matched c JOIN (SELECT station_id, any_value(capacity) < max(departures + arrivals) AS is_stale FROM usable GROUP BY station_id) s ON c.station_id = s.station_id GROUP BY 3)""", **STRATA)
+def q_matched_recovery(c: Chain) -> DataFrame:
+    return rounded(demand.calibrate_matched(_rounded_rates(c), "dep", 2000)[0])
 
 
 @query(f"SELECT station_id, {_r('sum(dep_gross) AS dep_gross_unmet', 'sum(arr_gross) AS arr_gross_unmet')} FROM unmet GROUP BY ALL")
@@ -386,15 +443,15 @@ def q_top_zones(c: Chain) -> DataFrame:
     return rounded(heatmap.top_zones(c.zone_hour, c.params.heatmap.top))
 
 
-@query("""SELECT zone_agg, hour_of_week, ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][hour_of_week // 24 + 1] || ' ' || lpad((hour_of_week % 24)::VARCHAR, 2, '0') || ':00' AS label, v AS peak FROM (
-    SELECT zone_agg, hour_of_week, round(dep_net_lost, 9) + 0.0::DOUBLE AS v, row_number() OVER (PARTITION BY zone_agg ORDER BY round(dep_net_lost, 9) DESC, hour_of_week) AS rn FROM zone_hour) WHERE rn = 1""")
+@query(_two("""SELECT zone_agg, hour_of_week, ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][hour_of_week // 24 + 1] || ' ' || lpad((hour_of_week % 24)::VARCHAR, 2, '0') || ':00' AS label, v AS peak FROM (
+    SELECT zone_agg, hour_of_week, round({d}_net_lost, 9) + 0.0::DOUBLE AS v, row_number() OVER (PARTITION BY zone_agg ORDER BY round({d}_net_lost, 9) DESC, hour_of_week) AS rn FROM zone_hour) WHERE rn = 1"""))
 def q_peak_hour(c: Chain) -> DataFrame:
-    return heatmap.peak_hours(rounded(c.zone_hour), "dep_net_lost")
+    return _both(c, lambda d, *_: heatmap.peak_hours(rounded(c.zone_hour), f"{d}_net_lost"))
 
 
-@query("SELECT zone_agg, " + ", ".join(f"round(coalesce(sum(dep_net_lost) FILTER (WHERE hour_of_week = {h}), 0.0::DOUBLE), 9) + 0.0::DOUBLE AS h{h}" for h in range(168)) + " FROM zone_hour GROUP BY zone_agg")
+@query(_two("SELECT zone_agg, " + ", ".join(f"round(coalesce(sum({{d}}_net_lost) FILTER (WHERE hour_of_week = {h}), 0.0::DOUBLE), 9) + 0.0::DOUBLE AS h{h}" for h in range(168)) + " FROM zone_hour GROUP BY zone_agg"))
 def q_heatmap_matrix(c: Chain) -> DataFrame:
-    return rounded(heatmap.matrix(c.zone_hour, "dep_net_lost"))
+    return rounded(_both(c, lambda d, *_: heatmap.matrix(c.zone_hour, f"{d}_net_lost")))
 
 
 @query("SELECT zone_agg, count(*) AS n_hours FROM zone_hour WHERE zone_agg NOT IN (SELECT zone_agg FROM stations GROUP BY zone_agg HAVING avg(lng) < -73.99::DOUBLE AND avg(lat) >= 40.72::DOUBLE) GROUP BY zone_agg")
@@ -402,6 +459,11 @@ def q_zone_box_exclusion(c: Chain) -> DataFrame:
     return heatmap.exclude_boxed(c.zone_hour, c.stations, -73.99, 40.72).groupBy("zone_agg").agg(F.count("*").alias("n_hours"))
 
 
+@query(f"SELECT z.zone_agg, hour_of_week, {_r('dep_net_lost / nullif(zone_capacity, 0) AS dep_net_lost_per_dock', 'arr_net_lost / nullif(zone_capacity, 0) AS arr_net_lost_per_dock')} FROM zone_hour z LEFT JOIN zone_cap c ON z.zone_agg = c.zone_agg")
+def q_zone_hour_per_dock(c: Chain) -> DataFrame:
+    return rounded(heatmap.add_per_dock(c.zone_hour, heatmap.zone_capacity(c.stations)).select("zone_agg", "hour_of_week", "dep_net_lost_per_dock", "arr_net_lost_per_dock"))
+
+
 # Origins and destinations
 
 
@@ -417,9 +479,25 @@ def q_od_counts(c: Chain) -> DataFrame:
     return out
 
 
-@query(f"SELECT start_zone_agg, daypart, end_station_id, count(*) AS n, {_r('count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY start_zone_agg, daypart) AS prob')} FROM od WHERE start_zone_agg IS NOT NULL GROUP BY start_zone_agg, daypart, end_station_id")
+def _tier_sql(tier: str, keys: list[str]) -> str:
+    named = ", ".join(k if k in keys else f"NULL::{t} AS {k}" for k, t in OD_KEYS.items())
+    own = ", ".join([*keys, "end_station_id"])
+    over = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    return f"SELECT '{tier}' AS tier, {named}, end_station_id, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER ({over}), 9) AS prob FROM od {'WHERE start_zone_agg IS NOT NULL' if 'start_zone_agg' in keys else ''} GROUP BY {own}"
+
+
+OD_KEYS = {"start_station_id": "BIGINT", "start_zone_agg": "VARCHAR", "hour_of_week": "INTEGER", "daypart": "INTEGER"}
+
+
+@query(" UNION ALL ".join(_tier_sql(t, k) for t, k in od.TIERS.items()))
 def q_od_probs(c: Chain) -> DataFrame:
-    return rounded(od.od_probabilities(c.od_counts)["zone_daypart"])
+    """The shares of all four tiers, keys that a tier doesn't have null."""
+    out = None
+    kinds = {"start_station_id": "bigint", "start_zone_agg": "string", "hour_of_week": "int", "daypart": "int"}
+    for tier, shares in od.od_probabilities(c.od_counts).items():
+        own = shares.select(F.lit(tier).alias("tier"), *[F.col(k) if k in od.TIERS[tier] else F.lit(None).cast(t).alias(k) for k, t in kinds.items()], "end_station_id", "n", "prob")
+        out = own if out is None else out.unionByName(own)
+    return rounded(out)
 
 
 @query("""SELECT c.station_id, c.hour_of_week, CASE WHEN a.n >= 30 THEN 'station_hour' WHEN b.n >= 30 THEN 'zone_hour' WHEN d.n >= 30 THEN 'zone_daypart' ELSE 'global' END AS tier FROM (
@@ -468,15 +546,30 @@ def q_chronic_timing(c: Chain) -> DataFrame:
     return rounded(c.timing)
 
 
-@query(f"SELECT station_id, hour_of_week, {_r('3e-11::DOUBLE - s AS slope')}, n_weeks, {_r('(lo + hi) / 2 AS midpoint')} FROM (SELECT station_id, hour_of_week, regr_slope(net_lost * n, inventory) AS s, count(*) AS n_weeks, min(inventory) AS lo, max(inventory) AS hi, var_pop(inventory) AS v FROM weekly GROUP BY ALL) WHERE n_weeks >= 3 AND hi > lo AND v * n_weeks * n_weeks > 1e-6")
+@query(f"SELECT station_id, hour_of_week, {_r('-s AS slope')}, n_weeks, {_r('(lo + hi) / 2 AS midpoint')} FROM (SELECT station_id, hour_of_week, regr_slope(net_lost * n, inventory) AS s, count(*) AS n_weeks, min(inventory) AS lo, max(inventory) AS hi, var_pop(inventory) AS v FROM weekly GROUP BY ALL) WHERE n_weeks >= 3 AND hi > lo AND v * n_weeks * n_weeks > 1e-6")
 def q_cross_check_slope(c: Chain) -> DataFrame:
-    slopes = value.cross_check_slopes(c.weekly, c.params.value)
-    return rounded(slopes.withColumn("slope", F.col("slope") + 3e-11))  # off the ties of rounding
+    return rounded(value.cross_check_slopes(c.weekly, c.params.value))
+
+
+MV = {
+    "mvcells": """SELECT r.station_id, r.hour_of_week, r.capacity, r.lam, r.mu, coalesce(e.e, 0.0::DOUBLE) AS loss FROM rates r LEFT JOIN (SELECT station_id, hour_of_week, avg(net_lost * n) AS e FROM weekly WHERE p_stockout > 0 GROUP BY ALL) e
+        ON r.station_id = e.station_id AND r.hour_of_week = e.hour_of_week WHERE r.capacity > 0""",
+    "flow": """SELECT station_id, hour_of_week, capacity, loss, d, sum(power(lam, k + d) / gamma(k + d + 1) * power(mu, k) / gamma(k + 1)) * exp(-any_value(lam) - any_value(mu)) AS p
+        FROM mvcells, range(-30, 31) a(d), range(0, 41) b(k) WHERE k + d >= 0 GROUP BY ALL""",
+    "step": "SELECT station_id, hour_of_week, capacity, loss, s, least(capacity, greatest(0, s + d)) AS j, sum(p) AS p FROM flow, range(1, 100) t(s) WHERE s <= capacity GROUP BY ALL",
+    "hit1": "SELECT station_id, hour_of_week, s, sum(CASE WHEN j = 0 THEN p ELSE 0.0::DOUBLE END) AS h FROM step GROUP BY ALL",
+    **{f"hit{i}": f"SELECT t.station_id, t.hour_of_week, t.s, any_value(t.capacity) AS capacity, any_value(t.loss) AS loss, sum(t.p * CASE WHEN t.j = 0 THEN 1.0::DOUBLE ELSE x.h END) AS h FROM step t LEFT JOIN hit{i - 1} x ON x.station_id = t.station_id AND x.hour_of_week = t.hour_of_week AND x.s = t.j GROUP BY t.station_id, t.hour_of_week, t.s" for i in (2, 3, 4)},
+    "mvall": "SELECT *, lead(mv) OVER (PARTITION BY station_id, hour_of_week ORDER BY k) AS next FROM (SELECT station_id, hour_of_week, s::INTEGER AS k, greatest(loss, 0.0::DOUBLE) * (coalesce(lag(h) OVER (PARTITION BY station_id, hour_of_week ORDER BY s), 1.0::DOUBLE) - h) AS mv FROM hit4)",
+    "mv": "SELECT station_id, hour_of_week, k, mv, bad IS NULL AS is_concave, bad::BIGINT AS first_violation_k FROM (SELECT *, min(CASE WHEN next > mv + 1e-9::DOUBLE THEN k END) OVER (PARTITION BY station_id, hour_of_week) AS bad FROM mvall) WHERE k <= 4",
+}
 
 
-@query()
+@query(f"""SELECT x.*, m.mv_ AS mv, round(slope_ - m.mv, 9) + 0.0::DOUBLE AS diff, round(slope_ / nullif(m.mv, 0), 6) AS ratio FROM (SELECT station_id, hour_of_week, {_r('-s AS slope')}, -s AS slope_, n_weeks, {_r('(lo + hi) / 2 AS midpoint')}, round_even((lo + hi) / 2, 0)::INTEGER AS k FROM (
+    SELECT station_id, hour_of_week, regr_slope(net_lost * n, inventory) AS s, count(*) AS n_weeks, min(inventory) AS lo, max(inventory) AS hi, var_pop(inventory) AS v FROM weekly GROUP BY ALL) WHERE n_weeks >= 3 AND hi > lo AND v * n_weeks * n_weeks > 1e-6) x
+    LEFT JOIN (SELECT *, round(mv, 9) + 0.0::DOUBLE AS mv_ FROM mv) m ON m.station_id = x.station_id AND m.hour_of_week = x.hour_of_week AND m.k = x.k""".replace("SELECT x.*,", "SELECT x.station_id, x.hour_of_week, x.slope, x.n_weeks, x.midpoint, x.k,"), **MV)
 def q_cross_check_report(c: Chain) -> DataFrame:
-    return rounded(value.cross_check_report(value.cross_check_slopes(c.weekly, c.params.value), c.mv))
+    report = value.cross_check_report(value.cross_check_slopes(c.weekly, c.params.value), c.mv)
+    return rounded(report.withColumn("ratio", F.round("ratio", 6)))
 
 
 @query(f"SELECT low_frac > 0.5 AS is_chronic, count(*) AS cells, {_r('median(nontrip_in_rate) AS nontrip_in', 'median(dep_rate) AS dep_rate', 'median(nontrip_in_rate / (dep_rate + 1e-6::DOUBLE)) AS intensity')} FROM rates r JOIN low l ON r.station_id = l.station_id AND r.hour_of_week = l.hour_of_week GROUP BY ALL")
@@ -495,12 +588,12 @@ def q_mm1k_relaxation(c: Chain) -> DataFrame:
     return rounded(r.select(*value.CELL, C.mm1k_p0(F.col("lam"), F.col("mu"), F.col("capacity")).alias("p0"), F.round(C.relaxation_minutes(F.col("lam"), F.col("mu")), 3).alias("relaxation_minutes")))
 
 
-@query()
+@query(f"SELECT station_id, hour_of_week, k, {_r('mv')}, is_concave, first_violation_k FROM mv", **MV)
 def q_mv_curve(c: Chain) -> DataFrame:
     return rounded(c.mv)
 
 
-@query()
+@query("SELECT is_concave, count(*) AS cells, min(first_violation_k) AS first_violation_k FROM mv WHERE k = 1 GROUP BY is_concave", **MV)
 def q_concavity(c: Chain) -> DataFrame:
     return c.mv.filter("k = 1").groupBy("is_concave").agg(F.count("*").alias("cells"), F.min("first_violation_k").alias("first_violation_k"))
 
@@ -562,12 +655,26 @@ def _candidates(c: Chain) -> DataFrame:
     return policies.shared_candidates(c.moves, c.rates)
 
 
-@query()
+CURVES = {
+    "candidates": "SELECT m.*, r.mu FROM moves m LEFT JOIN rates r ON m.station_id = r.station_id AND m.hour_of_week = r.hour_of_week",
+    "points": "SELECT tier, a, b, i * 500.0::DOUBLE / 19999 AS p, a * (1 - exp(-b * i * 500.0::DOUBLE / 19999)) * (i * 500.0::DOUBLE / 19999) * 0.2::DOUBLE AS cost FROM range(0, 20000) r(i), (VALUES (1, 2.0::DOUBLE, 0.15::DOUBLE), (2, 3.0::DOUBLE, 0.25::DOUBLE)) t(tier, a, b)",
+    "segments": "SELECT *, lead(p) OVER (PARTITION BY tier ORDER BY p) AS p1, lead(cost) OVER (PARTITION BY tier ORDER BY p) AS c1 FROM points",
+    "even": "SELECT *, 200.0::DOUBLE / count(*) OVER () AS dollars FROM candidates",
+    "bymu": "SELECT * FROM (SELECT *, 200.0::DOUBLE * mu / sum(mu) OVER () AS dollars FROM candidates) WHERE dollars > 0",
+}
+
+
+def _paid(rows: str) -> str:
+    return f"""SELECT station_id, hour_of_week, tier, origin_station_id, round(a * (1 - exp(-b * payout)), 9) + 0.0::DOUBLE AS induced_trips, round(payout, 9) + 0.0::DOUBLE AS payout, round(a * (1 - exp(-b * payout)) * payout * 0.2::DOUBLE, 9) + 0.0::DOUBLE AS dollar_cost
+        FROM (SELECT e.*, s.a, s.b, CASE WHEN s.c1 IS NULL THEN s.p ELSE s.p + (e.dollars - s.cost) * (s.p1 - s.p) / (s.c1 - s.cost) END AS payout FROM {rows} e ASOF JOIN segments s ON e.tier = s.tier AND e.dollars >= s.cost)"""
+
+
+@query(_paid("even"), **CURVES)
 def q_policy_uniform(c: Chain) -> DataFrame:
     return rounded(policies.uniform(_candidates(c), c.params.allocation.budget, c.params.allocation))
 
 
-@query()
+@query(_paid("bymu"), **CURVES)
 def q_policy_proportional(c: Chain) -> DataFrame:
     return rounded(policies.proportional(_candidates(c), c.params.allocation.budget, c.params.allocation))
 
@@ -592,12 +699,27 @@ def q_move_cap(c: Chain) -> DataFrame:
     return rounded(policies.apply_move_cap(_top_n(c), 1.8).select("station_id", "hour_of_week", "induced_trips", "dollar_cost"))
 
 
-@query(f"SELECT station_id, hour_of_week, tier, origin_station_id, {_r('induced AS induced_trips', 'payout', 'dollar_cost')} FROM (SELECT *, sum(dollar_cost) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running FROM ranked WHERE nvpd > 0) WHERE running <= 200")
+@query(f"SELECT station_id, hour_of_week, tier, origin_station_id, {_r('induced AS induced_trips', 'payout', 'dollar_cost')} FROM (SELECT *, sum(dollar_cost) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running FROM ranked) WHERE running <= 200")
 def q_policy_allocator(c: Chain) -> DataFrame:
     return rounded(policies.allocator(c.ranked, c.params.allocation.budget))
 
 
-@query()
+COST = "CASE WHEN {t} = 1 THEN 2.0::DOUBLE * (1 - exp(-0.15::DOUBLE * {p})) ELSE 3.0::DOUBLE * (1 - exp(-0.25::DOUBLE * {p})) END * {p} * 0.2::DOUBLE"
+LEVEL = "[1.0::DOUBLE, 2, 5, 10, 20, 30, 50]"
+#: The rounds of raises as a recursion, a cell a step; moved says whether the round so far has raised any.
+RAISES = {
+    "prefix": "SELECT *, row_number() OVER (ORDER BY rank) AS i FROM (SELECT *, sum(dollar_cost) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running FROM ranked) WHERE running <= 200",
+    "lists": f"SELECT list(tier ORDER BY i) AS tiers, list(list_position({LEVEL}, payout) ORDER BY i) AS lv, count(*) AS n, 200.0::DOUBLE - sum(dollar_cost) AS rest FROM prefix",
+    "raised": f"""SELECT 1::BIGINT AS step, lv, rest, false AS moved, tiers, n FROM lists WHERE n > 0
+        UNION ALL SELECT step + 1, CASE WHEN ok THEN list_concat(list_concat(lv[1:pos - 1], [lv[pos] + 1]), lv[pos + 1:]) ELSE lv END, rest - CASE WHEN ok THEN more ELSE 0.0::DOUBLE END, CASE WHEN pos = 1 THEN ok ELSE moved OR ok END, tiers, n
+        FROM (SELECT *, lv[pos] < 7 AND more > 0 AND more <= rest AS ok FROM (SELECT *, {COST.format(t="tiers[pos]", p=f"{LEVEL}[least(lv[pos] + 1, 7)]")} - {COST.format(t="tiers[pos]", p=f"{LEVEL}[lv[pos]]")} AS more
+        FROM (SELECT *, (step - 1) % n + 1 AS pos FROM raised))) WHERE NOT (pos = 1 AND step > 1 AND NOT moved)""",
+    "levels": "SELECT unnest(lv) AS l, generate_subscripts(lv, 1) AS i FROM (SELECT lv FROM raised ORDER BY step DESC LIMIT 1)",
+}
+
+
+@query(f"""SELECT station_id, hour_of_week, tier, origin_station_id, round(cost / payout / 0.2::DOUBLE, 9) AS induced_trips, payout, round(cost, 9) AS dollar_cost FROM (
+    SELECT p.* EXCLUDE (payout), {LEVEL}[l] AS payout, {COST.format(t="tier", p=f"{LEVEL}[l]")} AS cost FROM prefix p JOIN levels v ON v.i = p.i)""", **RAISES)
 def q_policy_full_budget(c: Chain) -> DataFrame:
     return rounded(policies.allocator_full_budget(c.ranked, c.params.allocation.budget, c.params.allocation))
 
@@ -734,45 +856,60 @@ def q_treated_ci(c: Chain) -> DataFrame:
     return rounded(compare.treated_comparison(r.filter("policy != 'do_nothing'").join(base, "replicate")))
 
 
-@query("SELECT interval_start::DATE AS day, round(sum(departures) / sum(dep_d), 9) AS ratio FROM unmet WHERE NOT is_bike_empty GROUP BY ALL")
+@query("SELECT interval_start::DATE AS day, round(sum(departures) / sum(dep_d), 9) AS ratio FROM unmet WHERE NOT is_bike_empty AND interval_start >= TIMESTAMP '2024-01-22' GROUP BY ALL")
 def q_residual_ratios(c: Chain) -> DataFrame:
-    return rounded(compare.residual_ratios(c.unmet.filter(~F.col("is_bike_empty")), "departures", "dep_D_hat"))
-
-
-def funded_policies(c: Chain) -> dict[str, DataFrame | None]:
-    """The moves that each of the six policies funds, capped; none for doing nothing."""
-    p = c.params.allocation
-    funded = {
-        "uniform": policies.uniform(_candidates(c), p.budget, p),
-        "proportional": policies.proportional(_candidates(c), p.budget, p),
-        "top_n_stockout": _top_n(c),
-        "allocator": policies.allocator(c.ranked, p.budget),
-        "allocator_full_budget": policies.allocator_full_budget(c.ranked, p.budget, p),
-    }
-    return {"do_nothing": None} | {name: policies.apply_move_cap(rows, p.move_cap) for name, rows in funded.items()}
-
-
-def simulated_fill(c: Chain, replicates: int = 2) -> DataFrame:
-    """Fill rates of paired simulations of all policies over params.simulation.steps (a week); a task a replicate and policy."""
-    week, steps = "2024-01-08", c.params.simulation.steps
-    network = simulate.load_network(c.stations, c.inventory, c.rates, zones.reroute_neighbors(c.stations), week, steps)
-    draw = od.sampler(od.od_probabilities(c.od_counts), od.cell_tier(c.od_counts, c.stations, c.params.od), c.stations)
-    moves = {
-        name: [(network.index[r.station_id], network.index[r.origin_station_id], r.hour_of_week, r.induced_trips) for r in (rows.collect() if rows is not None else []) if r.station_id in network.index and r.origin_station_id in network.index]
-        for name, rows in funded_policies(c).items()
-    }
-    ratios = [r.ratio for r in compare.residual_ratios(c.unmet.filter(~F.col("is_bike_empty")), "departures", "dep_D_hat").collect()]
-    runs = []
-    for i in range(replicates):
-        d = compare.draw_replicate(i, ratios, c.params.simulation.seed, c.params.allocation)
-        runs += [(i, name, d.seed, d.multiplier, own) for name, own in moves.items()]
-    cells = simulate.run_weeks(c.spark, network, draw, runs, "bigint", c.params.simulation)
-    return compare.fill_rates(cells, ["replicate", "policy"])
+    return rounded(compare.residual_ratios(c.held_out.filter(~F.col("is_bike_empty")), "departures", "dep_D_hat"))
+
+
+def _system(c: Chain, count: int) -> DataFrame:
+    sums, funded = replicates.simulated(c, count, (c.params.allocation.budget,))
+    return replicates.system_results(sums, funded)
 
 
 @query()
 def q_sim_week(c: Chain) -> DataFrame:
-    return rounded(simulated_fill(c))
+    """A whole week of all six policies, two replicates, with each replicate's own elasticity and demand."""
+    return rounded(_system(c, 2))
+
+
+@query()
+def q_sim_policy_comparison(c: Chain) -> DataFrame:
+    """Intervals over four replicates of real simulator output."""
+    return rounded(compare.policy_comparison(_system(c, 4)))
+
+
+@query()
+def q_sim_treated(c: Chain) -> DataFrame:
+    """The cells that each policy funds, against the same cells under doing nothing."""
+    return rounded(replicates.treated_results(*replicates.simulated(c, 2, (c.params.allocation.budget,))))
+
+
+@query()
+def q_sim_budget_sweep(c: Chain) -> DataFrame:
+    """Lift of three policies at ten budgets."""
+    budgets = tuple(c.params.allocation.budget * i / 5 for i in range(1, 11))
+    sums, funded = replicates.simulated(c, 1, budgets, ("top_n_stockout", "allocator", "allocator_full_budget"))
+    return rounded(compare.lift_vs_budget(replicates.system_results(sums, funded)))
+
+
+@query()
+def q_sim_week_trend(c: Chain) -> DataFrame:
+    """Stockout rates pooled over one, two and three simulated weeks, against the real ones."""
+    return rounded(validate.pooled_trend(replicates.weekly_stockouts(c, 3), (1, 2, 3)))
+
+
+@query()
+def q_sim_modes(c: Chain) -> DataFrame:
+    """Trips and losses of the week in the three modes: drawn, real counts, real trips."""
+    p = c.params.simulation
+    network, sampler = replicates.network_of(c), replicates.sampler_of(c)
+    real = simulate.true_trips(c.trips, network, p.week_start, p.steps)
+    rows = []
+    for mode in simulate.MODES:
+        cells, log = simulate.run_mode(network, sampler, mode, p.seed, real, p.steps)
+        sums = cells[simulate.COUNTS].sum()
+        rows.append((mode, len(log), *(int(sums[k]) for k in simulate.COUNTS), float(cells["created"].sum()), float(cells["destroyed"].sum())))
+    return rounded(c.spark.createDataFrame(rows, "mode string, trips bigint, " + ", ".join(f"{k} bigint" for k in simulate.COUNTS) + ", created double, destroyed double"))
 
 
 # Streaming
@@ -781,11 +918,8 @@ def q_sim_week(c: Chain) -> DataFrame:
 @query("SELECT user_id AS station_id, time_bucket(INTERVAL 15 MINUTES, ts) AS interval_start, count(*) AS departures FROM events GROUP BY ALL")
 def q_stream_tumbling(c: Chain) -> DataFrame:
     """A run of the stream over all that is there, in complete mode, so that the last intervals are closed too."""
-    import uuid
-
     stream = tumbling.event_departures(c.spark, c.sf_dir)
     counts = stream.groupBy(F.window("started_at", "15 minutes").alias("w"), F.col("start_station_id").alias("station_id")).agg(F.count("*").alias("departures"))
-    name = f"departures_{uuid.uuid4().hex[:8]}"
-    run = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return c.spark.table(name).select("station_id", F.col("w.start").cast("timestamp_ntz").alias("interval_start"), "departures")
+    folder = f"{checkpoint_dir(c.spark)}/stream-{uuid.uuid4().hex}"
+    out = tumbling.run_complete(counts, f"{folder}/out", f"{folder}/checkpoint")
+    return out.select("station_id", F.col("w.start").cast("timestamp_ntz").alias("interval_start"), "departures")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..params import IngestParams
+from ..session import exists
 
 #: Target layout; ids are strings, so that "5406.02" stays what it is.
 TARGET = "ride_id string, started_at timestamp_ntz, ended_at timestamp_ntz, start_station_id string, end_station_id string, start_lat double, start_lng double, end_lat double, end_lng double, rideable_type string, member_casual string"
@@ -31,7 +32,7 @@ def _as_read(columns: list[str]) -> T.StructType:
 def normalize_era_a(df: DataFrame) -> DataFrame:
     user = F.col("usertype")
     return df.select(
-        F.xxhash64(F.concat_ws("-", "bikeid", "starttime", "`start station id`")).cast("string").alias("ride_id"),
+        F.xxhash64(F.concat_ws("-", "bikeid", "starttime", "stoptime")).cast("string").alias("ride_id"),
         F.expr("try_cast(starttime AS timestamp_ntz)").alias("started_at"),
         F.expr("try_cast(stoptime AS timestamp_ntz)").alias("ended_at"),
         F.col("`start station id`").alias("start_station_id"),
@@ -115,3 +116,14 @@ def hour_of_week_profile(trips: DataFrame) -> DataFrame:
     from ..functions.columns import hour_of_week
 
     return trips.groupBy(hour_of_week(F.col("started_at")).alias("hour_of_week")).agg(F.count("*").alias("departures"))
+
+
+def write_trips(trips: DataFrame, folder: str) -> None:
+    """Parquet files in a folder a month (month_key=yyyy-mm); months that are written again replace what was there."""
+    rows = trips.withColumn("month_key", F.date_format("started_at", "yyyy-MM"))
+    rows.repartition("month_key").sortWithinPartitions("started_at").write.partitionBy("month_key").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(folder)
+
+
+def read_parts(spark: SparkSession, folder: str, single: str) -> DataFrame:
+    """All files of a folder, or the single file where there is no such folder."""
+    return spark.read.parquet(folder if exists(spark, folder) else single)

@@ -140,12 +140,25 @@ def test_impute_and_bias(spark):
     assert [r.dep_gross_unmet for r in demand.impute_unmet(df, "dep", bias).collect()] == [2.5, 0.0, 0.0]
 
 
-def test_rates_by_window_equal_rates_by_join(spark):
+def test_rates_of_one_pass_equal_those_of_each_direction(spark):
     rows = [("A", 0, "z", 1, False), ("A", 0, "z", 3, False), ("A", 1, "z", 9, True), ("B", 1, "z", 4, False), ("C", 5, None, 2, True)]
-    df = spark.createDataFrame(rows, "station_id string, hour_of_week int, zone_agg string, departures int, is_bike_empty boolean")
+    df = spark.createDataFrame(rows, "station_id string, hour_of_week int, zone_agg string, departures int, is_bike_empty boolean").withColumns({"arrivals": F.lit(2), "is_dock_full": F.col("station_id") == "B"})
     a = sorted((r.station_id, r.hour_of_week, r.dep_D_hat) for r in demand.add_rates(df, "dep").collect())
-    b = sorted((r.station_id, r.hour_of_week, r.dep_D_hat) for r in demand.predict_rates(df, demand.rate_model(df, "dep"), "dep").collect())
-    assert a == b and ("A", 1, 4.0) in a and ("C", 5, 8 / 3) in a
+    both = demand.add_all_rates(df)
+    assert a == sorted((r.station_id, r.hour_of_week, r.dep_D_hat) for r in both.collect()) and ("A", 1, 4.0) in a and ("C", 5, 8 / 3) in a
+    assert {r.arr_D_hat for r in both.collect()} == {2.0} and set(both.columns) == {*df.columns, "dep_D_hat", "arr_D_hat"}
+
+
+def test_matched_calibration(spark):
+    rows = [(s, i, i % 168, 10, i % 4, i % 2 == 0 and s == 0, 1.5) for s in range(3) for i in range(300)]
+    df = spark.createDataFrame(rows, "station_id bigint, i int, hour_of_week int, capacity int, departures int, is_bike_empty boolean, dep_D_hat double")
+    df = df.withColumns({"interval_start": F.timestamp_add("MINUTE", F.col("i") * 15, F.lit("2025-01-06 00:00:00").cast("timestamp_ntz")), "arrivals": F.lit(0)})
+    recovery, coverage = demand.calibrate_matched(df, "dep", 300, (1, 2))
+    got = {(r.stratum, r.run_length_bucket): r for r in recovery.collect()}
+    taken = coverage.agg(F.sum(F.col("taken") * F.col("length"))).first()[0]
+    assert got["overall", None].n == taken > 0 and got["bucket", 0].n < got["bucket", 1].n
+    starts = coverage.filter("taken > 0").select(F.element_at(F.split("stratum", "_"), 3).cast("int").alias("h")).distinct()
+    assert starts.filter("h % 2 = 1").count() == 0  # only the hours in which stations ran empty
 
 
 def test_substitution_cases(spark):
@@ -216,7 +229,7 @@ def test_synthetic_runs_and_recovery(spark):
     assert sum(r.synthetic_run_length == 1 for r in runs) == 3 and sum(r.synthetic_run_length == 3 for r in runs) == 9
     assert all(r.censored_Y <= r.true_D for r in runs)
     assert sorted(map(tuple, runs)) == sorted(map(tuple, censoring.synthetic_runs(free, "departures", (1, 3), 3).collect()))
-    rows = spark.createDataFrame([(3.0, 2.0, 1, False), (1.0, 2.0, 6, True)], "D_hat double, true_D double, synthetic_run_length int, is_capacity_stale boolean")
+    rows = spark.createDataFrame([(3.0, 2.0, 1.0, 1, False), (-1.0, 2.0, 1.0, 6, True)], "D_hat double, true_D double, censored_Y double, synthetic_run_length int, is_capacity_stale boolean")
     got = {(r.stratum, r.run_length_bucket, r.is_capacity_stale): (r.mae, r.bias, r.n) for r in censoring.evaluate_recovery(rows).collect()}
     assert got == {("overall", None, None): (1, 0, 2), ("bucket", 0, None): (1, 1, 1), ("bucket", 2, None): (1, -1, 1), ("stale", None, False): (1, 1, 1), ("stale", None, True): (1, -1, 1)}
 
@@ -239,28 +252,71 @@ def test_poisson_regression(spark, tmp_path):
     df = df.withColumn("interval_start", F.timestamp_add("MINUTE", (F.col("i") * 15).cast("int"), F.lit("2025-01-06 00:00:00").cast("timestamp_ntz")))
     for c in demand.NUMERIC:
         df = df.withColumn(c, F.lit(1.0))
-    df = df.withColumns({"dep_own_lag_1h": F.col("departures") * 1.0, "dep_own_lag_1week": F.lit(None).cast("double"), "dep_neighbor_demand": F.lit(0.0)})
-    fitted = demand.fit_poisson(df, "dep", "2025-02-01", sample=900)
+    df = df.withColumns({"dep_own_lag_1h": F.col("departures") * 1.0, "dep_own_lag_1week": F.lit(None).cast("double"), "dep_neighbor_demand": F.lit(0.0), "month": F.month("interval_start")})
+    df = df.withColumns({"arrivals": F.col("departures") + 1, "is_dock_full": F.lit(False), "arr_own_lag_1h": F.lit(0.0), "arr_own_lag_1week": F.lit(0.0), "arr_neighbor_demand": F.lit(0.0)})
+    fitted = demand.fit(df, "dep", "2025-02-01", sample=900)
     got = fitted.predict(df)
     high, low = (got.filter(F.col("departures") == n).agg(F.avg("dep_D_hat")).first()[0] for n in (2, 0))
     assert high > 2 * low and demand.month_quota_sample(df, 100).count() <= 100
+    both = demand.fit(df, "arr").predict(got)  # the second direction beside the first
+    assert both.columns == [*df.columns, "dep_D_hat", "arr_D_hat"] and both.agg(F.avg("arr_D_hat")).first()[0] == pytest.approx(df.agg(F.avg("arrivals")).first()[0], rel=0.1)
+    boosted = demand.fit(df, "dep", "2025-02-01", kind="boosted").predict(df)
+    high, low = (boosted.filter(F.col("departures") == n).agg(F.avg("dep_D_hat")).first()[0] for n in (2, 0))
+    assert high > 1.5 and 0 <= low < 0.5
+    # taken apart for the simulator, the regression gives what it predicts
+    import pandas as pd
+
+    stations = df.select("station_id", "zone_agg", "capacity").distinct()
+    weather = df.select(F.date_trunc("hour", "interval_start").cast("timestamp_ntz").alias("timestamp"), *[c for c in demand.NUMERIC if c != "capacity"]).distinct()
+    own, step, lags = fitted.parts(stations, weather, pd.Timestamp("2025-01-06"), 40)
+    for r in fitted.predict(df.withColumn("hour_of_week", C.hour_of_week(F.col("interval_start")))).filter("station_id = 'S1' and i < 40").collect():
+        lag = lags["lag_1h"] * r.dep_own_lag_1h
+        assert np.exp(own["S1"] + step[int(r.i)] + lag) == pytest.approx(r.dep_D_hat)
     fitted.save(str(tmp_path / "m"))
     again = demand.load_fitted(spark, "dep", str(tmp_path / "m")).predict(df)
     assert again.agg(F.sum("dep_D_hat")).first()[0] == pytest.approx(got.agg(F.sum("dep_D_hat")).first()[0])
 
 
+def test_months_are_made_once(spark, tmp_path, monkeypatch):
+    rows = spark.sql("SELECT 1L AS station_id, timestamp_ntz '2025-01-31 23:45:00' + make_dt_interval(0, 0, id * 15) AS interval_start, 0 AS departures, 0 AS arrivals, true AS is_bike_empty, false AS is_dock_full, 1 AS bike_empty_run_len, 0 AS dock_full_run_len FROM range(3)")
+
+    class Ones:
+        made = 0
+
+        def __init__(self, direction):
+            self.direction = direction
+
+        def predict(self, df):
+            Ones.made += 1
+            return df.withColumn(f"{self.direction}_D_hat", F.lit(1.0))
+
+    fitted = {d: Ones(d) for d in demand.DIRECTIONS}
+    got = demand.impute_months(rows, fitted, {}, str(tmp_path / "unmet"))
+    assert got.count() == 3 and got.agg(F.sum("dep_gross_unmet")).first()[0] == 3 and Ones.made == 4
+    demand.impute_months(rows, fitted, {}, str(tmp_path / "unmet"))
+    assert Ones.made == 4
+
+
 def test_sim_week_runs_all_policies_over_the_whole_week(spark, monkeypatch):
     from fleetlens.operators import simulate
     from fleetlens.plans import queries
 
     seen, run = [], simulate.run_weeks
 
-    def spied(session, network, sampler, runs, kind, params):
-        seen.append((runs, params.steps, network.added.shape[1]))
-        return run(session, network, sampler, runs, kind, params)
+    def spied(session, network, sampler, runs, kind, params, *more):
+        seen.append((runs, params.steps, network.added.shape[1], network.demand))
+        return run(session, network, sampler, runs, kind, params, *more)
 
     monkeypatch.setattr(simulate, "run_weeks", spied)
     rows = queries.QUERIES["q_sim_week"](spark, "/root/testdata/sf0.001").collect()
     six = {"do_nothing", "uniform", "proportional", "top_n_stockout", "allocator", "allocator_full_budget"}
-    (runs, steps, width), = seen
-    assert steps == width == 672 and {(r, p) for r, p, *_ in runs} == {(r.replicate, r.policy) for r in rows} == {(i, p) for i in (0, 1) for p in six}
+    (runs, steps, width, fed), = seen
+    assert steps == width == 672 and fed is not None and {(r, p) for r, p, *_ in runs} == {(r.replicate, r.policy) for r in rows} == {(i, p) for i in (0, 1) for p in six}
+    assert len({(m, s) for _, _, s, m, _ in runs}) == 2 and all(r.fill_rate is None or 0 <= r.fill_rate <= 1 for r in rows)
+
+
+def test_radius_pairs_at_every_latitude(spark):
+    places = [(1, 70.0, 10.0), (2, 70.0, 10.0103), (3, 80.0, 0.0), (4, 80.0, 0.02), (5, 80.0, 0.01), (6, 0.0, 179.999), (7, 0.0, -179.999), (8, 40.7, -74.0), (9, 40.7, -73.9)]
+    st = spark.createDataFrame(places, "station_id bigint, lat double, lng double")
+    got = {(r.station_id, r.neighbor_id) for r in zones.radius_pairs(st, 400.0).collect()}
+    assert got == {(a, b) for own in ((1, 2), (3, 4, 5), (6, 7)) for a in own for b in own if a != b}

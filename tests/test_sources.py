@@ -64,3 +64,35 @@ def test_params(tmp_path):
     (tmp_path / "q.yaml").write_text("allocation: {nonsense: 5}\n")
     with pytest.raises(KeyError):
         load_params(tmp_path / "q.yaml")
+
+
+def test_months_are_replaced_and_parts_found(spark, tmp_path):
+    one = lambda *days: spark.createDataFrame([(f"r{d}", d) for d in days], "ride_id string, started_at string").withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
+    folder = str(tmp_path / "trips")
+    trips.write_trips(one("2025-01-05", "2025-02-01"), folder)
+    trips.write_trips(one("2025-02-03", "2025-02-04"), folder)
+    assert sorted(r.ride_id for r in trips.read_parts(spark, folder, "none").collect()) == ["r2025-01-05", "r2025-02-03", "r2025-02-04"]
+    one("2025-03-01").write.parquet(str(tmp_path / "single.parquet"))
+    assert trips.read_parts(spark, str(tmp_path / "missing"), str(tmp_path / "single.parquet")).count() == 1
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    import json
+
+    from fleetlens import __main__ as cli
+
+    lines = ["ride_id,rideable_type,started_at,ended_at,start_station_name,start_station_id,end_station_name,end_station_id,start_lat,start_lng,end_lat,end_lng,member_casual"]
+    lines += [f"r{i},b,2025-01-{1 + i % 20:02d} {i % 24:02d}:05:00,2025-01-{1 + i % 20:02d} {i % 24:02d}:35:00,A,{i % 3},B,{(i + 1) % 3},1,1,1,1,member" for i in range(600)]
+    (tmp_path / "trips.csv").write_text("\n".join(lines))
+    spark.createDataFrame([(str(i), 3, 40.7, -74.0 + i / 1000, "z") for i in range(3)], "station_id string, capacity int, lat double, lng double, zone_agg string").write.parquet(str(tmp_path / "stations"))
+    hours = [f"2025-01-{d:02d}T{h:02d}:00" for d in range(1, 22) for h in range(24)]
+    (tmp_path / "weather.json").write_text(json.dumps({"hourly": {"time": hours} | {c: [1.0] * len(hours) for c in ("temperature_2m", "precipitation", "wind_speed_10m", "relative_humidity_2m")}}))
+    (tmp_path / "params.yaml").write_text("demand:\n  holdout_start: '2025-01-15'\n  runs_each: 3\n  min_bias_n: 2\n")
+    monkeypatch.setattr(cli, "get_session", lambda *_: spark)
+    arguments = ["unmet", "--trips", str(tmp_path / "trips.csv"), "--stations", str(tmp_path / "stations"), "--weather", str(tmp_path / "weather.json"), "--first", "2025-01-01", "--last", "2025-01-31", "--out", str(tmp_path / "out"), "--params", str(tmp_path / "params.yaml"), "--kind", "poisson"]
+    cli.main(arguments)
+    got = spark.read.parquet(str(tmp_path / "out/unmet/2025-01"))
+    assert {"dep_gross_unmet", "arr_gross_unmet", "dep_D_hat"} <= set(got.columns) and got.count() == spark.read.parquet(str(tmp_path / "out/inventory")).count()
+    (tmp_path / "trips.csv").write_text(lines[0])  # what is written isn't made again
+    cli.main(arguments)
+    assert spark.read.parquet(str(tmp_path / "out/unmet/2025-01")).count() == got.count()

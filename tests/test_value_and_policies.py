@@ -8,16 +8,23 @@ from fleetlens.params import AllocationParams, ValueParams
 CELL = "station_id bigint, hour_of_week int"
 
 
-def test_step_matrix_and_hits():
-    m = value.step_matrix(0.7, 1.1, 6)
-    assert np.allclose(m.sum(1), 1) and np.array_equal(value.step_matrix(0, 0, 3), np.eye(4))
-    sim = np.clip(3 + np.random.default_rng(0).poisson(0.7, 200_000) - np.random.default_rng(1).poisson(1.1, 200_000), 0, 6)
-    assert np.allclose(np.bincount(sim, minlength=7) / 200_000, m[3], atol=0.005)
-    hit = value.hitting_probabilities(0.7, 1.1, 6)
-    assert hit[0] == 1 and all(np.diff(hit) <= 1e-12)
-    mv = value.mv_curve(0.7, 1.1, 6, 10.0)
-    assert mv.sum() == pytest.approx(10 * (1 - hit[-1])) and not value.mv_curve(1, 1, 0, 5).size and not value.mv_curve(1, 1, 3, 0).any()
-    assert value.first_concavity_violation(np.array([3, 2, 1])) is None and value.first_concavity_violation(np.array([1, 2, 1])) == 1
+def test_first_passage():
+    rng = np.random.default_rng(0)
+    lam, mu = np.array([0.7, 0.0, 3.0]), np.array([1.1, 0.0, 0.2])
+    chance = value.empty_within(lam, mu, 6)
+    assert (chance[:, 0] == 1).all() and (np.diff(chance) <= 1e-12).all() and not chance[1, 1:].any()
+    for cell, level in ((0, 1), (0, 3), (2, 2)):  # against played weeks
+        at, gone = np.full(200_000, level), np.zeros(200_000, bool)
+        for _ in range(4):
+            at = np.clip(at + rng.poisson(lam[cell], len(at)) - rng.poisson(mu[cell], len(at)), 0, 6)
+            gone |= at == 0
+        assert gone.mean() == pytest.approx(chance[cell, level], abs=0.005)
+    worth = value.bike_values(lam, mu, 6, np.array([10.0, 5.0, 0.0]))
+    assert worth[0].sum() == pytest.approx(10 * (1 - chance[0, -1])) and worth[1].tolist() == [5, 0, 0, 0, 0, 0] and not worth[2].any()
+    # capacity 1: the bike is there until the first step that takes it
+    p, zero = value.net_flow(lam[:1], mu[:1], 1)
+    assert p.sum() == pytest.approx(1) and value.empty_within(lam[:1], mu[:1], 1)[0, 1] == pytest.approx(1 - p[0, zero:].sum() ** 4)
+    assert value.first_rise(np.array([[3, 2, 1], [1, 2, 1], [1, 1, 2]])).tolist() == [0, 1, 2]
 
 
 def test_mv_table(spark):
@@ -26,7 +33,7 @@ def test_mv_table(spark):
     for r in value.mv_table(cells).collect():
         got.setdefault(r.station_id, []).append((r.k, r.mv))
     assert {k: len(v) for k, v in got.items()} == {1: 4, 2: 2, 4: 3} and got[4][0][1] == 0
-    assert [m for _, m in got[1]] == pytest.approx(value.mv_curve(0.5, 1.0, 9, 4.0)[:4].tolist())
+    assert [m for _, m in got[1]] == pytest.approx(value.bike_values(np.array([0.5]), np.array([1.0]), 9, np.array([4.0]))[0, :4].tolist())
 
 
 @pytest.fixture(scope="module")
@@ -117,6 +124,12 @@ def test_policies(spark, market):
     exact = policies.allocator_full_budget(ranked, total).agg(F.sum("dollar_cost")).first()[0]
     more = policies.allocator_full_budget(ranked, 5 * total)
     assert exact == pytest.approx(total) and total < more.agg(F.sum("dollar_cost")).first()[0] <= 5 * total and more.agg(F.max("payout")).first()[0] <= 50
+    draws = spark.createDataFrame([(0, *p.tier1, *p.tier2), (1, 1.0, 0.1, 1.0, 0.2)], "draw int, a1 double, b1 double, a2 double, b2 double")
+    drawn = allocate.rank_targets(allocate.value_options(moves, cum, allocate.payout_grid(spark, p), p, draws), ["draw"])
+    many = policies.shared_candidates(moves, rates, draws)
+    rows = lambda df: sorted((r.station_id, round(r.payout, 6), round(r.dollar_cost, 6)) for r in df.collect())
+    for one, all_ in ((policies.uniform(cand, 3.0, p), policies.uniform(many, 3.0, p, ["draw"])), (policies.proportional(cand, 4.0, p), policies.proportional(many, 4.0, p, ["draw"])), (policies.top_n_stockout(cand, 1.5 * one, p), policies.top_n_stockout(many, 1.5 * one, p, ["draw"])), (policies.allocator(ranked, total), policies.allocator(drawn, total, ["draw"])), (policies.allocator_full_budget(ranked, 2 * total, p), policies.allocator_full_budget(drawn, 2 * total, p, ["draw"]))):
+        assert rows(one) == rows(all_.filter("draw = 0")) and all_.filter("draw = 1").count()
     capped = policies.apply_move_cap(natural, 0.1)
     assert capped.agg(F.max("induced_trips")).first()[0] == 0.1 and capped.agg(F.sum("dollar_cost")).first()[0] == pytest.approx(total)
     assert policies.do_nothing(spark).count() == 0 and "moves_per_hour" in policies.simulator_moves(natural).columns
@@ -129,31 +142,93 @@ def network(capacity, start, n=3):
 
 def test_routing_conserves_trips():
     net = network([2, 5, 5], [2, 5, 2])
-    log, arrived = simulate.route(net, [(1, 0)] * 6, np.array([0.0, 0.0, 3.0]))
-    hops = [x[3] for x in log]
-    assert hops.count(0) == 0 and sum(h > 0 for h in hops) == 3 and hops.count(-1) == 3 and arrived.tolist() == [0, 0, 3]
-    log, arrived = simulate.route(net, [(1, 0)] * 6, np.array([9.0, 0.0, 0.0]))
-    assert all(x[3] == 0 for x in log) and arrived[0] == 6
+    go = lambda room: simulate.route(net, np.full(6, 1), np.zeros(6, int), np.array(room))
+    log = go([0.0, 0.0, 3.0])
+    assert (log["hop"] == 0).sum() == 0 and (log["hop"] > 0).sum() == 3 and (log["hop"] == -1).sum() == 3 and np.bincount(log["reached"] + 1).tolist() == [3, 0, 0, 3]
+    log = go([9.0, 0.0, 0.0])
+    assert (log["hop"] == 0).all() and (log["reached"] == 0).all()
+    log = go([1.0, 2.0, 9.0])  # in turn: itself, the nearest, the next
+    assert log["reached"].tolist() == [0, 1, 1, 2, 2, 2] and log["hop"].tolist() == [0, 1, 1, 2, 2, 2] and log["distance_m"].tolist() == [0, 200, 200, 400, 400, 400]
+    assert not len(simulate.route(net, np.zeros(0, int), np.zeros(0, int), np.ones(3))["hop"])
     assert simulate.induced_by_step([(2, 0, 10, 8.0)], 10) == ({2: 2.0}, {0: 2.0}) and simulate.induced_by_step([(2, 0, 10, 8.0)], 11) == ({}, {})
 
 
+SHARES = {"global": {(): (np.array([10, 20, 30]), np.array([0.2, 0.3, 0.5]))}}
+
+
+def test_arrivals_count_where_bikes_land(spark):
+    net = network([10, 2, 3], [8, 2, 3])
+    sampler = od.OdSampler(SHARES, {}, {})
+    # six trips from station 0 to station 1, which is full; so is 2: room for what 0 has given up
+    cells, log = simulate.simulate_week(net, sampler, 0, steps=1, forced={0: [(0, 1)] * 6})
+    a, b, c = cells.itertuples()
+    assert (a.departures_actual, a.rerouted_arrivals, a.direct_arrivals, a.lost_past_cap_arrivals) == (6, 6, 0, 0)
+    assert (b.direct_arrivals, b.rerouted_arrivals, b.lost_past_cap_arrivals) == (0, 0, 0) and set(log.hop) == {1}
+    net.neighbors[1] = [(2, 200.0)]  # where nobody can go on, trips are lost at the full destination
+    cells, _ = simulate.simulate_week(net, sampler, 0, steps=1, forced={0: [(0, 1)] * 6 + [(1, 2), (1, 1), (1, 0)]})
+    a, b, c = cells.itertuples()
+    assert (b.departures_actual, b.lost_no_bike) == (2, 1) and a.lost_past_cap_arrivals == 0
+    assert cells.departures_actual.sum() == (cells.direct_arrivals + cells.rerouted_arrivals + cells.lost_past_cap_arrivals).sum() == 8
+    assert (b.direct_arrivals, b.lost_past_cap_arrivals, c.lost_past_cap_arrivals) == (2, 5, 0)
+    assert (a.rerouted_arrivals, cells.rerouted_arrivals.sum()) == (1, 1)  # 2 is full too, and the second next to it has room
+
+
 def test_simulated_week_and_runs(spark):
     net = network([10, 10, 10], [5, 5, 5])
     net.rate[:] = 0.4
-    sampler = od.OdSampler({"global": {(): (np.array([10, 20, 30]), np.array([0.2, 0.3, 0.5]))}}, {}, {10: "a", 20: "a", 30: "b"})
+    sampler = od.OdSampler(SHARES, {}, {10: "a", 20: "a", 30: "b"})
     cells, log = simulate.simulate_week(net, sampler, 3, steps=40)
     assert len(cells) == 120 and (cells.departures_actual <= cells.departures_sampled).all()
     assert cells.departures_actual.sum() == len(log) == (cells.direct_arrivals + cells.rerouted_arrivals + cells.lost_past_cap_arrivals).sum()
+    by_step = cells.groupby("step")
+    assert np.allclose(by_step.inventory.sum().diff().iloc[1:], -by_step.lost_past_cap_arrivals.sum().iloc[:-1])  # bikes only leave with lost trips
     again, _ = simulate.simulate_week(net, sampler, 3, steps=40)
     assert cells.equals(again)
     forced, _ = simulate.simulate_week(net, sampler, 0, steps=2, forced={0: [(0, 1)] * 9})
     assert forced.iloc[0].departures_actual == 5 and forced.iloc[0].lost_no_bike == 4
+    real = {0: [(0, 1)] * 3 + [(2, 1)], 5: [(1, 1)]}
+    for mode in ("sanity_od", "sanity_true_dest"):
+        replay, own = simulate.run_mode(net, sampler, mode, 1, real, 8)
+        assert replay.departures_sampled.sum() == len(own) == 5
+    assert sorted(zip(own.origin, own.wanted, strict=True)) == sorted(real[0] + real[5])
+    with pytest.raises(ValueError):
+        simulate.run_mode(net, sampler, "other", 1)
     from fleetlens.params import SimulationParams
 
-    out = simulate.run_weeks(spark, net, sampler, [(0, "do_nothing", 3, 1.0, []), (0, "p", 3, 1.0, [(0, 2, 0, 2.0)])], params=SimulationParams(steps=8))
+    runs = [(0, "do_nothing", 3, 1.0, []), (0, "p", 3, 1.0, [(0, 2, 0, 2.0)])]
+    out = simulate.run_weeks(spark, net, sampler, runs, params=SimulationParams(steps=8))
     assert {(r.policy, r["count"]) for r in out.groupBy("policy").count().collect()} == {("do_nothing", 24), ("p", 24)}
+    sums = simulate.run_weeks(spark, net, sampler, runs, "bigint", SimulationParams(steps=8), simulate.summed, simulate.SUMMED)
+    total = lambda df: df.filter("policy = 'p'").agg(F.sum("direct_arrivals"), F.sum("lost_no_bike")).first()
+    assert total(sums) == total(out) and sums.count() == 2 * 3 * 2
     with pytest.raises(KeyError):
         od.OdSampler({"global": {}}, {}, {}).draw(np.random.default_rng(0), 10, 0, 1)
+    with pytest.raises(KeyError):  # a destination that the network doesn't have
+        simulate.simulate_week(net, od.OdSampler({"global": {(): (np.array([99]), np.array([1.0]))}}, {}, {}), 3, steps=40)
+
+
+def test_demand_follows_what_was_simulated():
+    week = np.zeros((3, 672))
+    week[2, 1] = 4
+    d = simulate.StepDemand(np.log([1.0, 2.0, 1.0]), np.zeros(672), 0.5, 0.25, 0.1, week, np.zeros((3, 4)), np.array([0, 0, -1]))
+    quiet = d.rates(0, np.zeros((3, 4)))
+    assert quiet == pytest.approx([1, 2, 1]) and d.rates(1, np.zeros((3, 4)))[2] == pytest.approx(np.exp(1))
+    last = np.array([[0, 0, 0, 2.0], [0, 0, 0, 0], [4, 0, 0, 4]])
+    assert d.rates(0, last) == pytest.approx([np.exp(0.25), 2 * np.exp(0.2), np.exp(1.0)])
+    assert d.rates(0, np.full((3, 4), 1e6)).max() == pytest.approx(np.exp(5))
+    net = network([50, 50, 50], [40, 40, 40])
+    shares = od.OdSampler(SHARES, {}, {})
+    plain, _ = simulate.simulate_week(net, shares, 1, steps=50)
+    net.demand = d
+    fed, _ = simulate.simulate_week(net, shares, 1, steps=50)
+    assert plain.departures_sampled.sum() == 0 and fed.departures_sampled.sum() > 50
+
+
+def test_shares_are_drawn_as_given():
+    sampler = od.OdSampler({"global": {(): (np.array([10, 20]), np.array([0.25, 0.75]))}, "station_hour": {(20, 5): (np.array([10]), np.array([1.0]))}}, {(20, 5): "station_hour"}, {})
+    shares = sampler.bound([10, 20])
+    got = shares.draw(np.random.default_rng(0), np.repeat([0, 1], 4000), 5)
+    assert (got[4000:] == 0).all() and got[:4000].mean() == pytest.approx(0.75, abs=0.03)
 
 
 def test_od_tiers(spark):
@@ -189,6 +264,8 @@ def test_comparison(spark):
     assert compare.significant_lift(c).first().significant == 1 and "| a |" in compare.markdown(c)
     t = df.filter("policy = 'a'").withColumns({"base_fulfilled": F.lit(80), "base_lost": F.lit(20)})
     assert compare.treated_comparison(t).first().recovered_median == 2
+    text = compare.report(df, t, 10.0)
+    assert "1 of 1 policies change" in text and "## Treated cells" in text and "| a | $10.00 | 0.20 |" in text and all(x in text for x in compare.CAVEATS)
     assert compare.lift_vs_budget(df.withColumn("budget", F.lit(5))).first().lift_pp_median == pytest.approx(2)
     d = compare.draw_replicate(3, [0.9, 1.1])
     assert d == compare.draw_replicate(3, [0.9, 1.1]) and 1 <= d.tier2[0] <= 5 and d.tier1[0] / d.tier2[0] == pytest.approx(2 / 3)
