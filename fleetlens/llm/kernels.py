@@ -15,7 +15,6 @@ import pyarrow as pa
 SLICE_BYTES = 2 << 20
 SHINGLE = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: White space between words: the six ASCII characters.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -33,33 +32,39 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+_BYTE_SECOND = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
+_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE_FOLDED = _BYTE.copy()
 _BYTE_FOLDED[65:91] = _BYTE[97:123]
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i < n."""
-    if len(_powers["up"]) < n:
-        m = max(n, 2 * len(_powers["up"]), SLICE_BYTES + 4096)
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            p = np.full(m, base, np.uint64)
+def powers(n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i for i < n, of the first or the second base."""
+    base = int(_SECOND if second else _BASE)
+    if base not in _powers or len(_powers[base][0]) < n:
+        m = max(n, 2 * len(_powers[base][0]) if base in _powers else 0, (SLICE_BYTES >> 2 * second) + 4096)
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(m, b, np.uint64)
             p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"][:n], _powers["down"][:n]
+            both.append(np.multiply.accumulate(p))
+        _powers[base] = tuple(both)
+    up, down = _powers[base]
+    return up[:n], down[:n]
 
 
-def prefix_hash(data: np.ndarray, folded: bool = False) -> np.ndarray:
-    """Running sums, so that spans() can hash any span; folded: ASCII letters without case."""
-    up, _ = powers(len(data) + 1)
+def prefix_hash(data: np.ndarray, folded: bool = False, second: bool = False) -> np.ndarray:
+    """Running sums, so that spans() can hash any span; folded: ASCII letters without case; second: an independent hash."""
+    up, _ = powers(len(data) + 1, second)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE_FOLDED if folded else _BYTE)[data] * up[: len(data)], out=out[1:])
+    np.cumsum((_BYTE_SECOND if second else _BYTE_FOLDED if folded else _BYTE)[data] * up[: len(data)], out=out[1:])
     return out
 
 
-def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end]; equal spans have equal hashes wherever they stand."""
-    _, down = powers(len(sums))
+def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
+    """64-bit hashes of data[start:end] from prefix_hash's sums (with the same second); equal spans have equal hashes wherever they stand."""
+    _, down = powers(len(sums), second)
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 

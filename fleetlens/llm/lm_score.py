@@ -31,7 +31,12 @@ CHUNK_BYTES = 4 << 20
 
 
 def hash_mask(total_bytes: int) -> np.uint64:
-    """Leading bits of n-gram hashes that are kept: so many that some two n-grams of the corpus hardly share them."""
+    """Leading bits of n-gram hashes that are kept, whole bytes of them.
+
+    Up to about 16 GB of text so many that hardly any two n-grams of the corpus
+    share them; beyond, 64: then n / 2**64 of n distinct n-grams share theirs
+    with another one (1e-7 of them at n = 1e12), whose counts add up.
+    """
     bits = min(64, max(48, 8 * math.ceil((2 * math.log2(max(total_bytes, 2)) - 4) / 8)))
     return np.uint64((1 << 64) - (1 << (64 - bits)))
 
@@ -116,8 +121,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
         def of(table: pa.Table, totals: counting.Totals) -> counting.Keys:
             _, place, grams = _ngrams(table, mask)
             at, _ = _asked(grams, place, totals, n)
-            own = {f"n{n}": counting.tally([grams[n - 1][at]])}
-            return own | ({"all": (np.zeros(1, np.uint64), np.array([len(place)]))} if n == 1 else {})
+            own = {f"n{n}": counting.tally([grams[n - 1][at]])[0]}
+            return own | ({"all": (np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.array([len(place)]))} if n == 1 else {})
 
         return of
 
