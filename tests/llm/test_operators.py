@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.llm import components, decontam, fingerprints, kernels, lm_score, mixing, near_dedup, quality, sharding, suffix_dedup, toxicity, url_filter
+from fleetlens.llm import components, counting, decontam, fingerprints, kernels, lm_score, mixing, near_dedup, quality, sharding, suffix_dedup, toxicity, url_filter
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, key string, score double, shard string, bucket int, copies int"
 
@@ -269,6 +269,29 @@ def test_components(spark):
     assert all(got[i] == 1 for i in range(1, 41)) and all(got[i] == 100 for i in range(100, 160)) and got[201] == 200 and len(got) == 40 + 60 + 2
 
 
+@pytest.mark.parametrize("fan", [1, 3, 4096])
+def test_counts_are_exact_over_one_leg_or_two(spark, fan):
+    rng = random.Random(22)
+    rows = [(i, " ".join(str(rng.randrange(200) ** 2 % 97) for _ in range(rng.randrange(30))), "a") for i in range(120)]
+    df = spark.createDataFrame([(i, t, i % 17) for i, t, _ in rows], "doc_id bigint, text string, chunk bigint")
+    number = lambda w: (kernels.mix(np.array([int(x) // 2 for x in w], np.uint64)), np.array([int(x) % 2 for x in w], np.uint64))  # noqa: E731  equal keys, different checks
+
+    def keys(table, _):
+        k, v = number(" ".join(table.column("text").to_pylist()).split())
+        return {"w": counting.tally([k], [v])[0], "all": (np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.array([len(k)]))}
+
+    def result(table, totals):
+        words = " ".join(table.column("text").to_pylist()).split()
+        k, v = number(words)
+        _, where = counting.tally([k], [v])
+        return pa.table({"w": pa.array(words), "n": pa.array(totals["w"][where[0]] if words else np.zeros(0, np.int64), pa.int64()), "rest": pa.array(np.full(len(words), totals["all"].sum()), pa.int64())})
+
+    answers = counting.ask(df, keys, ["w", "all"], 900, part_bytes=100, fan=fan)
+    got = {(r.w, r.n, r.rest) for r in counting.tell(df, answers, ["w", "all"], result, "w string, n bigint, rest bigint").collect()}
+    want = collections.Counter(w for _, t, _ in rows for w in t.split())
+    assert got == {(w, n, want.total()) for w, n in want.items()}
+
+
 # 5
 
 

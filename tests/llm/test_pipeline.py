@@ -50,6 +50,38 @@ def test_stages_take_effect(spark, sf_dir):
     assert seen["sharding"] == seen["mixing"]
 
 
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Rows with nulls in every column, empty, blank and long texts, ties and repeats, and columns that clash with names inside the stages."""
+    rng = random.Random(31)
+    body = prose(rng, 80)
+    rows = [(None, body, None, None, None), (None, None, "en", "a", 0), (1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "  \n", "en", None, 3), (4, prose(rng, 20_000), "en", "b", 1), (5, body, "en", "b", 1), (5, body, "en", "b", 1), (6, body + " tail", "en", "a", 1), (7, "one", "en", "c", 3), (8, "日本語のテキスト", "ja", "c", 8)]
+    clash = {c: i for i, c in enumerate(("hits", "score", "shard", "depth", "copies", "row", "key", "size_", "text_key", "kept", "toxicity", "n_bytes"))}
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} int" for c in clash)
+    return spark.createDataFrame([(*r, *clash.values()) for r in rows], schema)
+
+
+def test_stages_on_awkward_tables(spark, awkward, sf_dir):
+    docs, left = awkward, {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns[: len(docs.columns)] == docs.columns if name == "sharding" else out.columns == docs.columns
+        rows = out.collect()
+        docs = spark.createDataFrame(rows, out.schema)
+        left[name] = sorted(((r.doc_id, r.text) for r in rows), key=str)
+        assert all((r.hits, r.score, r.depth, r.copies, r.row, r.kept) == (0, 1, 3, 4, 5, 9) for r in rows)
+    assert len(set(out.columns)) == len(out.columns) and "shard_" in out.columns
+    assert len(left["toxicity"]) == awkward.count()
+    assert sorted(str(i) for i, _ in left["near_dedup"]) == ["1", "3", "4", "5", "7", "8"]
+    assert left["decontamination"] == left["near_dedup"] and {i for i, _ in left["mixing"]} >= {1, 3} and left["sharding"] == left["mixing"]
+
+
+def test_stages_on_empty_tables(spark, awkward, sf_dir):
+    none = spark.createDataFrame([], awkward.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf_dir).collect() == []
+
+
 def test_run_writes_and_rereads(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.count() > 100 and "shard" in got.columns and 4 <= len(corpus_pipeline.STAGES) <= 5
