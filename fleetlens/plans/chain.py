@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import allocate, demand, features, heatmap, inventory, od, panel, substitution, value, zones
 from ..params import AllocationParams, DemandParams, Params, SimulationParams, ValueParams
-from ..session import exists, stored
+from ..session import checkpoint_dir, exists, stored
 from ..sources import standin, trips
 
 #: Four weeks of events: fewer weeks are asked for, the last of them are held out, and a small budget and low levels suit the small docks.
@@ -57,9 +58,8 @@ class Chain:
         return self._stored(inventory.reconstruct_inventory(self.usable, self.params.inventory))
 
     def _stored(self, df: DataFrame) -> DataFrame:
-        out = stored(df)
-        self.written.append(out.inputFiles()[0].rsplit("/", 1)[0] if out.inputFiles() else "")
-        return out
+        self.written.append(f"{checkpoint_dir(self.spark)}/{uuid.uuid4().hex}")
+        return stored(df, self.written[-1])
 
     @cached_property
     def rated(self) -> DataFrame:

@@ -36,8 +36,8 @@ def query(oracle: str | None = None, **parts: str):
     return take
 
 
-def _r(*names: str) -> str:
-    return ", ".join(f"round({n.split(' AS ')[0]}, 9) + 0.0::DOUBLE AS {n.split(' AS ')[-1]}" for n in names)
+def _r(*names: str, digits: int = 9) -> str:
+    return ", ".join(f"round({n.split(' AS ')[0]}, {digits}) + 0.0::DOUBLE AS {n.split(' AS ')[-1]}" for n in names)
 
 
 # Trips and the panel
@@ -397,35 +397,35 @@ def q_matched_recovery(c: Chain) -> DataFrame:
     return rounded(demand.calibrate_matched(_rounded_rates(c), "dep", 2000)[0])
 
 
-@query(f"SELECT station_id, {_r('sum(dep_gross) AS dep_gross_unmet', 'sum(arr_gross) AS arr_gross_unmet')} FROM unmet GROUP BY ALL")
+@query(f"SELECT station_id, {_r('sum(dep_gross) AS dep_gross_unmet', 'sum(arr_gross) AS arr_gross_unmet', digits=6)} FROM unmet GROUP BY ALL")
 def q_gross_unmet(c: Chain) -> DataFrame:
-    return rounded(c.unmet.groupBy("station_id").agg(F.sum("dep_gross_unmet").alias("dep_gross_unmet"), F.sum("arr_gross_unmet").alias("arr_gross_unmet")))
+    return rounded(c.unmet.groupBy("station_id").agg(F.sum("dep_gross_unmet").alias("dep_gross_unmet"), F.sum("arr_gross_unmet").alias("arr_gross_unmet")), 6)
 
 
-@query(f"SELECT station_id, {_r('sum(dep_displaced) AS dep_displaced', 'sum(dep_net_lost) AS dep_net_lost', 'sum(arr_displaced) AS arr_displaced', 'sum(arr_net_lost) AS arr_net_lost')} FROM net GROUP BY ALL")
+@query(f"SELECT station_id, {_r('sum(dep_displaced) AS dep_displaced', 'sum(dep_net_lost) AS dep_net_lost', 'sum(arr_displaced) AS arr_displaced', 'sum(arr_net_lost) AS arr_net_lost', digits=6)} FROM net GROUP BY ALL")
 def q_substitution_net(c: Chain) -> DataFrame:
     names = ("dep_displaced", "dep_net_lost", "arr_displaced", "arr_net_lost")
-    return rounded(c.net.groupBy("station_id").agg(*[F.sum(n).alias(n) for n in names]))
+    return rounded(c.net.groupBy("station_id").agg(*[F.sum(n).alias(n) for n in names]), 6)
 
 
-@query(f"SELECT direction, {_r('gross', 'displaced', 'net_lost', 'displaced / gross AS displaced_fraction', 'net_lost / gross AS net_lost_fraction')} FROM (SELECT 'dep' AS direction, sum(dep_gross) AS gross, sum(dep_displaced) AS displaced, sum(dep_net_lost) AS net_lost FROM net UNION ALL SELECT 'arr', sum(arr_gross), sum(arr_displaced), sum(arr_net_lost) FROM net)")
+@query(f"SELECT direction, {_r('gross', 'displaced', 'net_lost', 'displaced / gross AS displaced_fraction', 'net_lost / gross AS net_lost_fraction', digits=6)} FROM (SELECT 'dep' AS direction, sum(dep_gross) AS gross, sum(dep_displaced) AS displaced, sum(dep_net_lost) AS net_lost FROM net UNION ALL SELECT 'arr', sum(arr_gross), sum(arr_displaced), sum(arr_net_lost) FROM net)")
 def q_displaced_summary(c: Chain) -> DataFrame:
     from ..operators.substitution import summarize_displaced
 
-    return rounded(summarize_displaced(c.net))
+    return rounded(summarize_displaced(c.net), 6)
 
 
 # Heatmap
 
 
-@query(f"SELECT zone_agg, hour_of_week, {_r('dep_net_lost', 'arr_net_lost')} FROM zone_hour")
+@query(f"SELECT zone_agg, hour_of_week, {_r('dep_net_lost', 'arr_net_lost', digits=6)} FROM zone_hour")
 def q_zone_hour_net_lost(c: Chain) -> DataFrame:
-    return rounded(c.zone_hour)
+    return rounded(c.zone_hour, 6)
 
 
-@query(f"SELECT station_id, {_r('sum(dep_net_lost) / (SELECT w FROM span) AS dep_net_lost', 'sum(arr_net_lost) / (SELECT w FROM span) AS arr_net_lost')} FROM net GROUP BY station_id")
+@query(f"SELECT station_id, {_r('sum(dep_net_lost) / (SELECT w FROM span) AS dep_net_lost', 'sum(arr_net_lost) / (SELECT w FROM span) AS arr_net_lost', digits=6)} FROM net GROUP BY station_id")
 def q_station_net_lost(c: Chain) -> DataFrame:
-    return rounded(heatmap.station_net_lost(c.net))
+    return rounded(heatmap.station_net_lost(c.net), 6)
 
 
 @query(f"SELECT zone_agg, hour_of_week, n_weeks, {_r('dep_mean', 'dep_se', 'dep_lower', 'arr_mean', 'arr_se', 'arr_lower')} FROM ci")
@@ -531,9 +531,9 @@ def q_net_lost_given_stockout(c: Chain) -> DataFrame:
     return rounded(value.net_lost_given_stockout(c.weekly))
 
 
-@query(f"SELECT count(*) AS cells, count(*) FILTER (WHERE min_inventory <= 1) AS eligible_cells, {_r('sum(net_lost) AS net_lost', 'sum(net_lost) FILTER (WHERE min_inventory <= 1) AS eligible_net_lost', 'count(*) FILTER (WHERE min_inventory <= 1)::DOUBLE / count(*) AS cell_share', 'sum(net_lost) FILTER (WHERE min_inventory <= 1) / sum(net_lost) AS net_lost_share')} FROM low")
+@query(f"SELECT count(*) AS cells, count(*) FILTER (WHERE min_inventory <= 1) AS eligible_cells, {_r('sum(net_lost) AS net_lost', 'sum(net_lost) FILTER (WHERE min_inventory <= 1) AS eligible_net_lost', 'count(*) FILTER (WHERE min_inventory <= 1)::DOUBLE / count(*) AS cell_share', 'sum(net_lost) FILTER (WHERE min_inventory <= 1) / sum(net_lost) AS net_lost_share', digits=6)} FROM low")
 def q_eligibility(c: Chain) -> DataFrame:
-    return rounded(value.eligibility(c.low, c.params.value))
+    return rounded(value.eligibility(c.low, c.params.value), 6)
 
 
 @query(f"SELECT bucket, cells, {_r('cells::DOUBLE / sum(cells) OVER () AS cell_share', 'net_lost / sum(net_lost) OVER () AS net_lost_share')} FROM (SELECT CASE WHEN low_frac = 0 THEN '0' WHEN low_frac <= 0.10 THEN '<=0.10' WHEN low_frac <= 0.25 THEN '<=0.25' WHEN low_frac <= 0.50 THEN '<=0.50' ELSE '>0.50' END AS bucket, count(*) AS cells, sum(net_lost) AS net_lost FROM low GROUP BY ALL)")
@@ -564,12 +564,12 @@ MV = {
 }
 
 
-@query(f"""SELECT x.*, m.mv_ AS mv, round(slope_ - m.mv, 9) + 0.0::DOUBLE AS diff, round(slope_ / nullif(m.mv, 0), 6) AS ratio FROM (SELECT station_id, hour_of_week, {_r('-s AS slope')}, -s AS slope_, n_weeks, {_r('(lo + hi) / 2 AS midpoint')}, round_even((lo + hi) / 2, 0)::INTEGER AS k FROM (
+@query(f"""SELECT x.*, m.mv_ AS mv, round(slope_ - m.mv, 9) + 0.0::DOUBLE AS diff, CASE WHEN m.mv >= 1e-9::DOUBLE THEN printf('%.8e', slope_ / m.mv) END AS ratio FROM (SELECT station_id, hour_of_week, {_r('-s AS slope')}, -s AS slope_, n_weeks, {_r('(lo + hi) / 2 AS midpoint')}, round_even((lo + hi) / 2, 0)::INTEGER AS k FROM (
     SELECT station_id, hour_of_week, regr_slope(net_lost * n, inventory) AS s, count(*) AS n_weeks, min(inventory) AS lo, max(inventory) AS hi, var_pop(inventory) AS v FROM weekly GROUP BY ALL) WHERE n_weeks >= 3 AND hi > lo AND v * n_weeks * n_weeks > 1e-6) x
     LEFT JOIN (SELECT *, round(mv, 9) + 0.0::DOUBLE AS mv_ FROM mv) m ON m.station_id = x.station_id AND m.hour_of_week = x.hour_of_week AND m.k = x.k""".replace("SELECT x.*,", "SELECT x.station_id, x.hour_of_week, x.slope, x.n_weeks, x.midpoint, x.k,"), **MV)
 def q_cross_check_report(c: Chain) -> DataFrame:
     report = value.cross_check_report(value.cross_check_slopes(c.weekly, c.params.value), c.mv)
-    return rounded(report.withColumn("ratio", F.round("ratio", 6)))
+    return rounded(report.withColumn("ratio", F.format_string("%.8e", "ratio")).withColumn("ratio", F.when(F.col("mv") >= 1e-9, F.col("ratio"))))
 
 
 @query(f"SELECT low_frac > 0.5 AS is_chronic, count(*) AS cells, {_r('median(nontrip_in_rate) AS nontrip_in', 'median(dep_rate) AS dep_rate', 'median(nontrip_in_rate / (dep_rate + 1e-6::DOUBLE)) AS intensity')} FROM rates r JOIN low l ON r.station_id = l.station_id AND r.hour_of_week = l.hour_of_week GROUP BY ALL")
@@ -626,9 +626,9 @@ def q_rank_targets(c: Chain) -> DataFrame:
     return rounded(c.ranked.select("station_id", "hour_of_week", "origin_station_id", "rank", "payout", "induced", "value", "dollar_cost", "nvpd"))
 
 
-@query(f"SELECT station_id, hour_of_week, rank::INTEGER AS rank, {_r('dollar_cost', 'running AS running_cost')} FROM (SELECT *, sum(dollar_cost) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running FROM ranked) WHERE running <= 200")
+@query(f"SELECT station_id, hour_of_week, rank::INTEGER AS rank, {_r('dollar_cost', 'running AS running_cost', digits=6)} FROM (SELECT *, sum(dollar_cost) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running FROM ranked) WHERE running <= 200")
 def q_budget_cutoff(c: Chain) -> DataFrame:
-    return rounded(allocate.budget_cutoff(c.ranked, c.params.allocation.budget).select("station_id", "hour_of_week", "rank", "dollar_cost", "running_cost"))
+    return rounded(allocate.budget_cutoff(c.ranked, c.params.allocation.budget).select("station_id", "hour_of_week", "rank", "dollar_cost", "running_cost"), 6)
 
 
 @query("SELECT * FROM tops")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -60,9 +59,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet in the checkpoint folder, so that readers take only the columns they need."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df, written once as Parquet, so that readers take only the columns they need."""
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

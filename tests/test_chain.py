@@ -260,7 +260,10 @@ def test_poisson_regression(spark, tmp_path):
     assert high > 2 * low and demand.month_quota_sample(df, 100).count() <= 100
     both = demand.fit(df, "arr").predict(got)  # the second direction beside the first
     assert both.columns == [*df.columns, "dep_D_hat", "arr_D_hat"] and both.agg(F.avg("arr_D_hat")).first()[0] == pytest.approx(df.agg(F.avg("arrivals")).first()[0], rel=0.1)
-    boosted = demand.fit(df, "dep", "2025-02-01", kind="boosted").predict(df)
+    trees = demand.fit(df, "dep", "2025-02-01", kind="boosted", iterations=12)
+    trees.save(str(tmp_path / "trees"))
+    boosted = demand.load_fitted(spark, "dep", str(tmp_path / "trees")).predict(df)
+    assert boosted.agg(F.avg("dep_D_hat")).first()[0] == pytest.approx(df.filter(~F.col("is_bike_empty")).agg(F.avg("departures")).first()[0], rel=0.1)
     high, low = (boosted.filter(F.col("departures") == n).agg(F.avg("dep_D_hat")).first()[0] for n in (2, 0))
     assert high > 1.5 and 0 <= low < 0.5
     # taken apart for the simulator, the regression gives what it predicts
