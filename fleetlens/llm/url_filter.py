@@ -120,7 +120,7 @@ WITH hosts AS (SELECT page_id, url, nullif(lower(regexp_extract(url, '^[A-Za-z][
                       DATE '2024-01-01' + ((page_id * 37) % 366)::INTEGER AS fetched FROM pages),
 pats AS (SELECT page_id, url, host, fetched, 0 AS rank, host || nullif(regexp_extract(url, '^[^:]+://[^/]*(/[^/?#]*/)', 1), '') AS pattern FROM hosts
          UNION ALL SELECT page_id, url, host, fetched, i::INTEGER, array_to_string(list_slice(string_split(host, '.'), i::INTEGER, len(string_split(host, '.'))), '.')
-         FROM hosts, range(1, 12) t(i) WHERE i <= greatest(len(string_split(host, '.')) - 1, 1)),
+         FROM (SELECT *, unnest(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)) AS i FROM hosts WHERE host IS NOT NULL)),
 kinds AS (SELECT DISTINCT pattern, CASE WHEN rank = 0 THEN 'prefix' WHEN pattern = host THEN 'host' ELSE 'domain' END AS kind FROM pats WHERE pattern IS NOT NULL),
 h AS (SELECT *, ('0x' || substr(md5(pattern), 1, 6))::BIGINT AS h FROM kinds),
 iv AS (SELECT pattern, 'block' AS action, h % 150 AS a, h % 150 + 60 AS b FROM h WHERE kind = 'host' AND h % 4 = 0
