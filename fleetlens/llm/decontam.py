@@ -18,7 +18,7 @@ from .storage import cut
 SHINGLE = 5
 #: Bits between fingerprints of similar windows. A similar window differs in a seventh of 64 bits;
 #: README has the measured share of similar windows beyond the radius.
-RADIUS = 24
+RADIUS = 28
 THRESHOLD = 0.8
 #: Most anchor words that are broadcast at once; more are taken in several passes.
 BROADCAST_ROWS = 500_000
