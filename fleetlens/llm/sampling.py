@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def held_out(doc_id: Column) -> Column:
@@ -17,8 +17,14 @@ def training_ids(labels: DataFrame, label: str, most: int) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list[tuple[str, int]]:
-    """(text, label) of the sample; the ids are broadcast, as `most` bounds them."""
+#: Most bytes of labelled texts that are fetched.
+MAX_BYTES = 128 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = MAX_BYTES) -> list[tuple[str, int]]:
+    """(text, label) of the sample, in hash order as far as most_bytes go; the ids are broadcast, as `most` bounds them."""
     ids = F.broadcast(training_ids(labels, label, most))
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").select("doc_id", "text", "label").collect()
-    return [(r.text, r.label) for r in sorted(found, key=lambda r: r.doc_id)]
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").withColumn("n", F.octet_length("text"))
+    running = F.sum("n").over(W.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))  # at most `most` rows, but for repeated ids
+    kept = found.withColumn("running", running).filter(F.col("running") <= most_bytes).select("doc_id", "text", "label").collect()
+    return [(r.text, r.label) for r in sorted(kept, key=lambda r: (r.doc_id, r.text))]
