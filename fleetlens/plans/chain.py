@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import cached_property
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,8 +21,8 @@ STANDIN = Params(value=ValueParams(min_weeks=3, low_inventory=1.0), allocation=A
 class Chain:
     """The tables, lazy but for those that several others are made of.
 
-    The inventory, the rates, net losses, weekly cells and candidate moves are
-    phase boundaries: they are computed once, when first asked for, and written
+    The inventory, features, rates, net losses, weekly cells and candidate moves
+    are phase boundaries: they are computed once, when first asked for, and written
     to the checkpoint folder. Without that, each table above them would run them
     again. A session shares them between its queries (chain_of).
     """
@@ -28,6 +30,13 @@ class Chain:
     def __init__(self, spark: SparkSession, sf_dir: str, params: Params = STANDIN) -> None:
         self.spark, self.sf_dir, self.params = spark, sf_dir, params
         self.written: list[str] = []
+        self.made: dict = {}
+
+    def once(self, name: str, make: Callable[[], Any]) -> Any:
+        """What make gives, made once for the chain: models, networks and shares."""
+        if name not in self.made:
+            self.made[name] = make()
+        return self.made[name]
 
     @cached_property
     def trips_raw(self) -> DataFrame:
@@ -99,7 +108,7 @@ class Chain:
 
     @cached_property
     def features(self) -> DataFrame:
-        return features.build_features(self.inventory, self.weather)
+        return self._stored(features.build_features(self.inventory, self.weather))
 
     @cached_property
     def weekly(self) -> DataFrame:
