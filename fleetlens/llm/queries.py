@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprints, lm_score, mixing, near_dedup, quality, sharding, suffix_dedup, toxicity, url_filter
+from . import collocations, decontam, fingerprints, lm_score, mixing, near_dedup, quality, resampling, sharding, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +55,29 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_captures(url_filter.pages_captures(pages), url_filter.pages_entries(pages))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """model: where the driver finds the sentencepiece file; the public piece_bpe_32k.model unless given."""
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), Path(model).read_bytes())
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_mixing, op3_suffix_dedup, op4_near_dedup, op5_lm_score,
         op6_decontamination, op7_sharding, op8_quality, op9_toxicity, op10_url_filter,
+        op11_token_counts, op12_importance_resampling, op13_collocations,
     )
 }
 
@@ -67,4 +86,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_lm_score": lm_score.LM_SQL.format(docs="documents"),
     "op7_sharding": sharding.SHARD_SQL.format(docs="documents", limit=sharding.LIMIT_BYTES),
     "op10_url_filter": url_filter.URL_SQL,
+    "op12_importance_resampling": resampling.RESAMPLE_SQL.format(docs="documents", target="benchmark", buckets=resampling.BUCKETS, seed=resampling.SEED, min_words=resampling.MIN_WORDS, percent=resampling.PERCENT),
+    "op13_collocations": collocations.PHRASE_SQL.format(docs="documents", least=collocations.LEAST, inside=collocations.INSIDE_PERCENT, top=collocations.TOP),
 }
