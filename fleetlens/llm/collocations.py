@@ -35,7 +35,7 @@ GAP = re.compile(rb"[ \t.,;:!?\n-\r]")
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 
 #: Bytes of text that are cut into words at once, words of a block, words that a task holds for all languages, keys of a range, and keys a sampled one stands for.
-WINDOW_BYTES, BLOCK_WORDS, HELD_WORDS, RANGE_KEYS, STRIDE = 1 << 20, 1 << 20, 1 << 22, 1 << 21, 512
+WINDOW_BYTES, BLOCK_WORDS, HELD_WORDS, RANGE_KEYS, STRIDE = 1 << 20, 1 << 20, 1 << 21, 1 << 19, 512
 
 
 class Vocabulary(dict):
@@ -223,7 +223,7 @@ def frequent_grams(grams: DataFrame, bits: int, least: int = LEAST, range_keys:
             for row in batch.to_pylist():
                 held.append(_read(row))
                 size += len(held[-1][1])
-                if size > 2 * merged + range_keys:
+                if size > merged + range_keys:
                     merge()
         merge()
         for key, counts in held:
