@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import quantile_bucket, upper_bucket
+from .quantiles import exact_quantiles, grouped_rank
 
 
 def shuffle_key(seed: int, *columns: Column) -> Column:
@@ -27,8 +28,7 @@ def synthetic_runs(free: DataFrame, target: str, lengths: Sequence[int], runs_ea
     """
     rows = free.select("station_id", "interval_start", F.col(target).alias("true_D"))
     rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("station_id").orderBy("interval_start")) - 1)
-    per = rows.groupBy("station_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("true_D")).alias("ds"))
-    per = per.withColumn("cap", F.element_at("ds", (F.bround((F.col("n") - 1) * cap_quantile) + 1).cast("int"))).drop("ds")
+    per = grouped_rank(rows, ["station_id"], "true_D", F.bround((F.col("n") - 1) * cap_quantile), "cap")
     wanted = per.withColumn("L", F.explode(F.array(*[F.lit(x) for x in lengths]))).filter("n > L")
     order = W.partitionBy("L").orderBy(shuffle_key(seed, F.col("L"), F.col("station_id")), "station_id")
     chosen = wanted.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= runs_each)
@@ -52,10 +52,9 @@ def evaluate_recovery(rows: DataFrame, estimate: str = "D_hat", truth: str = "tr
 
 
 def stratum_edges(target_rows: DataFrame, value: str = "D_hat", capacity: str = "capacity", deciles: int = 10, bands: int = 4) -> DataFrame:
-    """One row of quantile edges of the target population."""
-    return target_rows.agg(
-        F.percentile(value, [i / deciles for i in range(1, deciles)]).alias("d_edges"), F.percentile(capacity, [i / bands for i in range(1, bands)]).alias("c_edges")
-    )
+    """One row of exact quantile edges of the target population (found at once, by passes over digits)."""
+    found = exact_quantiles(target_rows, {value: [i / deciles for i in range(1, deciles)], capacity: [i / bands for i in range(1, bands)]})
+    return target_rows.sparkSession.createDataFrame([(found[value], found[capacity])], "d_edges array<double>, c_edges array<double>")
 
 
 def assign_strata(rows: DataFrame, edges: DataFrame, value: str = "D_hat", capacity: str = "capacity") -> DataFrame:
@@ -93,8 +92,7 @@ def runs_from(pool: DataFrame, starts: DataFrame, target: str, cap_quantile: flo
     """The rows of matched_runs' starts, capped as in synthetic_runs: station_id, interval_start, true_D, censored_Y, synthetic_run_length."""
     rows = pool.select("station_id", "interval_start", F.col(target).alias("true_D"))
     rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("station_id").orderBy("interval_start")) - 1)
-    caps = rows.groupBy("station_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("true_D")).alias("ds"))
-    caps = caps.select("station_id", F.element_at("ds", (F.bround((F.col("n") - 1) * cap_quantile) + 1).cast("int")).alias("cap"))
+    caps = grouped_rank(rows, ["station_id"], "true_D", F.bround((F.col("n") - 1) * cap_quantile), "cap").drop("n")
     places = starts.select("station_id", "synthetic_run_length", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("synthetic_run_length") - 1)).alias("pos"))
     return rows.join(places, ["station_id", "pos"]).join(caps, "station_id").select("station_id", "interval_start", "true_D", F.least("true_D", "cap").alias("censored_Y"), "synthetic_run_length")
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import quantile_bucket, upper_bucket
-from ..session import cut, exists
+from ..session import checkpoint_dir, exists, stored
+from .boosting import BoostedTrees, BoostParams, fit_boosted
+from .quantiles import exact_quantiles
+from .regression import PoissonRegression, fit_poisson
 
 #: Target, censoring flag, run length and prefix of each direction.
 DIRECTIONS = {"dep": ("departures", "is_bike_empty", "bike_empty_run_len"), "arr": ("arrivals", "is_dock_full", "dock_full_run_len")}
@@ -57,8 +61,8 @@ def wmape(actual: str, predicted: str) -> Column:
 
 def wmape_by_decile(rows: DataFrame, actual: str, predicted: str, deciles: int = 10) -> DataFrame:
     """decile, n, wmape of rows cut at the quantiles of the prediction; equal edges leave deciles out."""
-    edges = rows.agg(F.percentile(predicted, [i / deciles for i in range(1, deciles)]).alias("edges"))
-    cut = rows.crossJoin(F.broadcast(edges)).withColumn("decile", quantile_bucket(F.col(predicted), F.col("edges")))
+    edges = exact_quantiles(rows, {predicted: [i / deciles for i in range(1, deciles)]})[predicted]
+    cut = rows.withColumn("decile", quantile_bucket(F.col(predicted), F.array(*[F.lit(e) for e in edges]).cast("array<double>")))
     return cut.groupBy("decile").agg(F.count("*").alias("n"), wmape(actual, predicted).alias("wmape"))
 
 
@@ -145,8 +149,15 @@ def _calendar() -> dict[str, Column]:
     return out | {"weekend": (how >= 120).cast("double"), "holiday": F.coalesce(F.col("is_holiday").cast("double"), F.lit(0.0))}
 
 
+def _tree_inputs(direction: str) -> dict[str, Column]:
+    """The 15 inputs of the trees: nulls stay nulls."""
+    plain = {"hour_of_week": F.col("hour_of_week"), "month": F.col("month"), "is_holiday": F.coalesce(F.col("is_holiday").cast("double"), F.lit(0.0))}
+    plain |= {c: F.col(c) for c in NUMERIC} | {k: F.col(f"{direction}_{v}") for k, v in LAGS.items()}
+    return plain | {c: F.coalesce(f"enc_{c}", F.col("enc_mean")) for c in ("station_enc", "zone_enc")}
+
+
 def _inputs(direction: str) -> dict[str, Column]:
-    """The model's inputs under one prefix, of rows with their encodings: nulls are 0."""
+    """The regression's inputs, of rows with their encodings: nulls are 0."""
     number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     plain = {c: number(c) for c in NUMERIC} | {k: number(f"{direction}_{v}") for k, v in LAGS.items()}
     return plain | {c: F.coalesce(f"enc_{c}", F.col("enc_mean")) for c in ("station_enc", "zone_enc")} | _calendar()
@@ -161,18 +172,18 @@ class FittedDirection:
     """
 
     direction: str
-    model: PipelineModel
+    model: BoostedTrees | PoissonRegression
     station: DataFrame
     zone: DataFrame
     overall: DataFrame
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        ready = model_columns(rows, self.direction, self.station, self.zone, self.overall)
+        ready = model_columns(rows, self.direction, self.station, self.zone, self.overall, trees=isinstance(self.model, BoostedTrees))
         out = self.model.transform(ready).withColumn(f"{self.direction}_D_hat", F.greatest(F.col("in_prediction"), F.lit(0.0)))
         return out.select(*rows.columns, f"{self.direction}_D_hat")
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
+        self.model.save(self.station.sparkSession, f"{path}/model")
         for name in ("station", "zone", "overall"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -181,14 +192,12 @@ class FittedDirection:
 
         weather: an hour a row, with its lags. Only the Poisson regression is a sum of parts.
         """
-        names = list(_inputs(self.direction))
-        scale = self.model.stages[1].std.toArray()
-        weight = dict(zip(names, np.divide(self.model.stages[2].coefficients.toArray(), scale, out=np.zeros(len(scale)), where=scale > 0), strict=True))
+        weight = dict(zip(self.model.features, self.model.weights, strict=True))
         overall = self.overall.first()["m"]
         one = lambda df, key: {r[key]: r.enc for r in df.collect()}
         by_station, by_zone = one(self.station, "station_id"), one(self.zone, "zone_agg")
         own = {
-            r.station_id: self.model.stages[2].intercept + weight["station_enc"] * by_station.get(r.station_id, overall) + weight["zone_enc"] * by_zone.get(r.zone_agg, overall) + weight["capacity"] * (r.capacity or 0)
+            r.station_id: self.model.intercept + weight["station_enc"] * by_station.get(r.station_id, overall) + weight["zone_enc"] * by_zone.get(r.zone_agg, overall) + weight["capacity"] * (r.capacity or 0)
             for r in stations.select("station_id", "zone_agg", "capacity").collect()
         }
         from .panel import add_calendar, join_weather, us_federal_holidays
@@ -202,49 +211,23 @@ class FittedDirection:
 
 
 def load_fitted(spark, direction: str, path: str) -> FittedDirection:
-    return FittedDirection(direction, PipelineModel.load(f"{path}/model"), *(spark.read.parquet(f"{path}/{n}") for n in ("station", "zone", "overall")))
+    kind = BoostedTrees if "trees" in json.loads(spark.read.parquet(f"{path}/model").first()["model"]) else PoissonRegression
+    return FittedDirection(direction, kind.load(spark, f"{path}/model"), *(spark.read.parquet(f"{path}/{n}") for n in ("station", "zone", "overall")))
 
 
-def model_columns(rows: DataFrame, direction: str, station: DataFrame, zone: DataFrame, overall: DataFrame) -> DataFrame:
-    """rows with the inputs, as in_<name>; encodings of unseen stations and zones are the overall mean."""
+def model_columns(rows: DataFrame, direction: str, station: DataFrame, zone: DataFrame, overall: DataFrame, trees: bool = False) -> DataFrame:
+    """rows with the inputs of one kind of model, as in_<name>; encodings of unseen stations and zones are the overall mean."""
     out = rows if "is_holiday" in rows.columns else rows.withColumn("is_holiday", F.lit(False))
     out = out.join(station.withColumnRenamed("enc", "enc_station_enc"), "station_id", "left").join(zone.withColumnRenamed("enc", "enc_zone_enc"), "zone_agg", "left").crossJoin(F.broadcast(overall.select(F.col("m").alias("enc_mean"))))
-    return out.withColumns({f"in_{c}": x for c, x in _inputs(direction).items()})
-
-
-def boosted_poisson(rows: DataFrame, iterations: int = 20, rate: float = 0.2, depth: int = 4, seed: int = 0, every: int = 5) -> list:
-    """Stages that give in_prediction: trees boosted under the Poisson deviance with log link.
+    return out.withColumns({f"in_{c}": x for c, x in (_tree_inputs if trees else _inputs)(direction).items()})
 
-    rows: in_features, in_label. A tree is fitted to (y - mu) / mu with weights
-    mu, so that a leaf holds sum(y - mu) / sum(mu): the Newton step of the
-    deviance. MLlib's own boosting has no such loss, but its trees take weights.
-    The running log rate is written to the checkpoint folder every few trees.
-    """
-    from pyspark.ml.feature import SQLTransformer
-    from pyspark.ml.regression import DecisionTreeRegressor
-
-    base = math.log(max(rows.agg(F.avg("in_label")).first()[0] or 0.0, 1e-6))
-    now, trees = cut(rows.select("in_features", "in_label", F.lit(base).alias("in_log"))), []
-    for i in range(iterations):
-        mu = F.greatest(F.exp("in_log"), F.lit(1e-6))
-        step = now.withColumns({"in_weight": mu, "in_slope": (F.col("in_label") - mu) / mu})
-        trees.append(DecisionTreeRegressor(maxDepth=depth, seed=seed + i, labelCol="in_slope", weightCol="in_weight", featuresCol="in_features", predictionCol=f"in_tree{i}").fit(step))
-        now = trees[-1].transform(now).select("in_features", "in_label", (F.col("in_log") + rate * F.col(f"in_tree{i}")).alias("in_log"))
-        now = cut(now) if (i + 1) % every == 0 else now
-    total = " + ".join(f"in_tree{i}" for i in range(iterations)) or "0"
-    return [*trees, SQLTransformer(statement=f"SELECT *, exp({base!r} + {rate!r} * ({total})) AS in_prediction FROM __THIS__")]
 
-
-def fit(rows: DataFrame, direction: str, holdout_start: str | None = None, sample: int | None = None, seed: int = 0, kind: str = "poisson", iterations: int = 20) -> FittedDirection:
-    """A model of uncensored rows before holdout_start: kind "poisson" (regression with log link) or "boosted" (boosted_poisson).
+def fit(rows: DataFrame, direction: str, holdout_start: str | None = None, sample: int | None = None, seed: int = 0, kind: str = "poisson", boost: BoostParams = BoostParams()) -> FittedDirection:
+    """A model of uncensored rows before holdout_start: kind "poisson" (Newton regression with log link) or "boosted" (histogram trees).
 
     Encodings use all training rows; with sample, the model uses an equal quota
     of rows of each month, in hash order.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
     target, flag, _ = DIRECTIONS[direction]
     train = rows.filter(~F.col(flag))
     if holdout_start:
@@ -254,15 +237,11 @@ def fit(rows: DataFrame, direction: str, holdout_start: str | None = None, sampl
     overall = train.agg(F.avg(target).alias("m"))
     if sample:
         train = month_quota_sample(train, sample, seed)
-    ready = model_columns(train, direction, station, zone, overall).withColumn("in_label", F.col(target).cast("double"))
-    assembler = VectorAssembler(inputCols=[f"in_{c}" for c in _inputs(direction)], outputCol="in_raw", handleInvalid="keep")
-    scaled = Pipeline(stages=[assembler, StandardScaler(inputCol="in_raw", outputCol="in_features")]).fit(ready)
-    if kind == "boosted":
-        last = boosted_poisson(scaled.transform(ready), iterations, seed=seed)
-    else:
-        regression = GeneralizedLinearRegression(family="poisson", link="log", maxIter=25, regParam=1e-4, labelCol="in_label", featuresCol="in_features", predictionCol="in_prediction")
-        last = [regression.fit(scaled.transform(ready))]
-    return FittedDirection(direction, PipelineModel([*scaled.stages, *last]), station, zone, overall)
+    trees = kind == "boosted"
+    names = list((_tree_inputs if trees else _inputs)(direction))
+    ready = model_columns(train, direction, station, zone, overall, trees).withColumn("in_label", F.col(target).cast("double"))
+    inputs = stored(ready.select("in_label", *[F.col(f"in_{c}").cast("double").alias(f"in_{c}") for c in names]), f"{checkpoint_dir(rows.sparkSession)}/{uuid.uuid4().hex}")  # every pass reads them
+    return FittedDirection(direction, fit_boosted(inputs, names, boost) if trees else fit_poisson(inputs, names), station, zone, overall)
 
 
 def impute_months(features: DataFrame, fitted: dict[str, FittedDirection], bias: dict[str, DataFrame], folder: str, edges: tuple[int, ...] = (1, 4)) -> DataFrame:

@@ -142,4 +142,5 @@ def sql(body: str, **more: str) -> str:
     visit(body)
     if not needed:
         return body
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({parts[n]})" for n in needed) + "\n" + body
+    kept = "MATERIALIZED "  # a part that begins so is computed once
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {kept if parts[n].startswith(kept) else ''}({parts[n].removeprefix(kept)})" for n in needed) + "\n" + body

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import columns as C
 from ..operators import allocate, censoring, compare, demand, features, heatmap, inventory, od, panel, policies, simulate, validate, value, zones
+from ..operators.boosting import BoostParams
 from ..session import checkpoint_dir
 from ..sources import trips
 from ..streaming import tumbling
 from . import replicates
 from .chain import Chain, chain_of
+from .model_sql import TOTALS, newton_parts, tree_parts
 from .oracle import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -302,26 +304,28 @@ def q_wmape_by_decile(c: Chain) -> DataFrame:
     return rounded(demand.wmape_by_decile(rows, "departures", "d"))
 
 
-def _model_rows(c: Chain, kind: str) -> DataFrame:
-    """The chain's features with both directions' predictions of one kind of model, trained before the holdout."""
+def _model_totals(c: Chain, kind: str, boost: BoostParams = BoostParams()) -> DataFrame:
+    """Totals by station of both directions side by side, by one kind of model trained before the holdout."""
     rows = c.features
     for d in demand.DIRECTIONS:
-        rows = demand.fit(c.features, d, c.params.demand.holdout_start, kind=kind).predict(rows)
-    return rows
+        rows = demand.fit(c.features, d, c.params.demand.holdout_start, kind=kind, boost=boost).predict(rows)
+    return rounded(demand.unmet_table(rows).groupBy("station_id").agg(*[F.sum(x).alias(x) for d, (y, *_) in demand.DIRECTIONS.items() for x in (f"{d}_D_hat", f"{d}_gross_unmet", y)]), 3)
 
 
-@query()
+@query(TOTALS, **newton_parts(steps=6))
 def q_glm_unmet(c: Chain) -> DataFrame:
-    """Both directions side by side, of the Poisson regression."""
-    rows = demand.unmet_table(_model_rows(c, "poisson"))
-    return rounded(rows.groupBy("station_id").agg(*[F.sum(x).alias(x) for d, (y, *_) in demand.DIRECTIONS.items() for x in (f"{d}_D_hat", f"{d}_gross_unmet", y)]), 3)
+    """The Poisson regression; the SQL takes six Newton steps, of which the last changes nothing that shows."""
+    return _model_totals(c, "poisson")
 
 
-@query()
+#: Few and shallow trees, which the SQL grows as well.
+SMALL_TREES = BoostParams(rounds=3, rate=0.3, depth=2, bins=16)
+
+
+@query(TOTALS, **tree_parts(SMALL_TREES))
 def q_boosted_unmet(c: Chain) -> DataFrame:
-    """Both directions side by side, of the boosted trees."""
-    rows = demand.unmet_table(_model_rows(c, "boosted"))
-    return rounded(rows.groupBy("station_id").agg(*[F.sum(x).alias(x) for d, (y, *_) in demand.DIRECTIONS.items() for x in (f"{d}_D_hat", f"{d}_gross_unmet", y)]), 3)
+    """The boosted trees."""
+    return _model_totals(c, "boosted", SMALL_TREES)
 
 
 @query(_two("SELECT station_id, interval_start, true_d AS \"true_D\", censored_y AS \"censored_Y\", len AS synthetic_run_length FROM cut_{d}"))

@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
-from fleetlens.operators import censoring, demand, features, heatmap, inventory, panel, substitution, zones
+from fleetlens.operators import boosting, censoring, demand, features, heatmap, inventory, panel, substitution, zones
 
 
 def make(spark, schema, *rows):
@@ -260,7 +260,7 @@ def test_poisson_regression(spark, tmp_path):
     assert high > 2 * low and demand.month_quota_sample(df, 100).count() <= 100
     both = demand.fit(df, "arr").predict(got)  # the second direction beside the first
     assert both.columns == [*df.columns, "dep_D_hat", "arr_D_hat"] and both.agg(F.avg("arr_D_hat")).first()[0] == pytest.approx(df.agg(F.avg("arrivals")).first()[0], rel=0.1)
-    trees = demand.fit(df, "dep", "2025-02-01", kind="boosted", iterations=12)
+    trees = demand.fit(df, "dep", "2025-02-01", kind="boosted", boost=boosting.BoostParams(rounds=12, rate=0.2, depth=4))
     trees.save(str(tmp_path / "trees"))
     boosted = demand.load_fitted(spark, "dep", str(tmp_path / "trees")).predict(df)
     assert boosted.agg(F.avg("dep_D_hat")).first()[0] == pytest.approx(df.filter(~F.col("is_bike_empty")).agg(F.avg("departures")).first()[0], rel=0.1)
