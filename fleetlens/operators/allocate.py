@@ -38,7 +38,7 @@ def candidate_moves(tiers: DataFrame, cumulative: DataFrame, origins: DataFrame,
     hash joins; flows are start_station_id, hour_of_week, end_station_id, prob.
     """
     ceiling = cumulative.filter("k = k_max").select(*CELL, "k_max", F.col("cum_mv").alias("ceiling"))
-    dest = tiers.join(ceiling, CELL).filter("ceiling > 0").orderBy(F.round("ceiling", 9).desc(), *CELL).limit(prefilter)
+    dest = tiers.join(ceiling, CELL).filter(F.round("ceiling", 9) > 0).orderBy(F.round("ceiling", 9).desc(), *CELL).limit(prefilter)
     dest = dest.join(zones, "station_id", "left")
     src = origins.join(zones, "station_id", "left").select(F.col("station_id").alias("origin_station_id"), "hour_of_week", "origin_cost", F.col("zone_agg").alias("origin_zone"))
     edge = flows.select(F.col("start_station_id").alias("origin_station_id"), "hour_of_week", F.col("end_station_id").alias("station_id"), F.col("prob").alias("flow_prob"))

@@ -4,31 +4,16 @@ With a prior weight over 1 the least-movement programme (minimise what is added
 and removed outside of trips, keep 0 <= level <= capacity) is solved by the
 reflected walk level <- clip(level + flow, 0, capacity), which moves bikes as
 late as possible. Only intervals with a flow change the level, so the walk
-visits those alone and levels are carried forward to the others.
+visits those alone and levels are carried forward to the others. A step is the
+map "add the flow, then clamp", and such maps compose, so the walk is a scan.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import week_start
 from ..params import InventoryParams
-from ..session import ship
-
-
-def walk(flow: np.ndarray, capacity: float, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(levels before and after each flow: n + 1, added, removed)."""
-    level = np.empty(len(flow) + 1)
-    added, removed = np.zeros(len(flow)), np.zeros(len(flow))
-    level[0] = now = float(prior)
-    for i, f in enumerate(flow):
-        raw = now + f
-        now = min(capacity, max(0.0, raw))
-        added[i], removed[i] = max(0.0, -raw), max(0.0, raw - capacity)
-        level[i + 1] = now
-    return level, added, removed
 
 
 def usable_panel(panel: DataFrame) -> DataFrame:
@@ -45,20 +30,50 @@ def dropped_stations(panel: DataFrame) -> DataFrame:
     return per.groupBy(reason.alias("reason")).agg(F.count("*").alias("stations"), F.sum("n").alias("n_rows"), F.sum("v").alias("volume"))
 
 
+def clamp(level: Column, m: Column) -> Column:
+    """What the map m (shift, low, high) makes of a level: least(high, greatest(low, level + shift))."""
+    return F.least(m["high"], F.greatest(m["low"], level + m["shift"]))
+
+
+def compose(first: Column, then: Column) -> Column:
+    """The map that does first and then `then`: clamps are closed under composition, so blocks of steps are as small as a step."""
+    return F.struct((first["shift"] + then["shift"]).alias("shift"), clamp(first["low"], then).alias("low"), clamp(first["high"], then).alias("high"))
+
+
+def step(flow: Column, capacity: Column) -> Column:
+    return F.struct(flow.alias("shift"), F.lit(0.0).alias("low"), capacity.alias("high"))
+
+
+IDENTITY = "named_struct('shift', 0.0D, 'low', double('-infinity'), 'high', double('infinity'))"
+
+
 def sparse_walk(usable: DataFrame, params: InventoryParams = InventoryParams()) -> DataFrame:
-    """station_id, interval_start, level_before, level_after, n_in, n_out at intervals with a flow."""
-    ship(usable.sparkSession)
-    fraction = params.first_fraction
-    kind = usable.schema["station_id"].dataType.simpleString()
-
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("interval_start")
-        cap = float(table["capacity"].iloc[0])
-        level, added, removed = walk(table["net_flow"].to_numpy(float), cap, fraction * cap)
-        return pd.DataFrame({"station_id": table["station_id"], "interval_start": table["interval_start"], "level_before": level[:-1], "level_after": level[1:], "n_in": added, "n_out": removed})
-
-    moved = usable.filter("net_flow != 0").select("station_id", "interval_start", "capacity", "net_flow")
-    return moved.groupBy("station_id").applyInPandas(run, f"station_id {kind}, interval_start timestamp_ntz, level_before double, level_after double, n_in double, n_out double")
+    """station_id, interval_start, level_before, level_after, n_in, n_out at intervals with a flow.
+
+    A scan in three steps, all of built-in expressions: the steps of a station
+    and day are composed to one map; the maps of a station, a row a day, give the
+    level at each day's start; and the days are walked from there, each by
+    itself. So the longest sequence that is walked is a day's, or the number of
+    days.
+    """
+    flow = F.col("net_flow").cast("double")
+    moved = usable.filter("net_flow != 0").select("station_id", F.to_date("interval_start").alias("day"), F.struct("interval_start", flow.alias("flow")).alias("s"), F.col("capacity").cast("double").alias("capacity"))
+    days = moved.groupBy("station_id", "day").agg(F.sort_array(F.collect_list("s")).alias("steps"), F.first("capacity").alias("capacity"))
+    whole = F.aggregate("steps", F.expr(IDENTITY), lambda m, s: compose(m, step(s["flow"], F.col("capacity"))))
+    maps = days.select("station_id", "capacity", F.struct("day", whole.alias("map")).alias("d"))
+    stations = maps.groupBy("station_id").agg(F.sort_array(F.collect_list(F.struct(F.col("d.day").alias("day"), F.col("d.map.shift").alias("shift"), F.col("d.map.low").alias("low"), F.col("d.map.high").alias("high")))).alias("days"), F.first("capacity").alias("capacity"))
+    begun = F.aggregate(
+        "days", F.struct((F.lit(params.first_fraction) * F.col("capacity")).alias("level"), F.expr("cast(array() as array<struct<day: date, level: double>>)").alias("out")),
+        lambda a, d: F.struct(clamp(a["level"], d).alias("level"), F.concat(a["out"], F.array(F.struct(d["day"].alias("day"), a["level"].alias("level")))).alias("out")), lambda a: a["out"],
+    )
+    starts = stations.select("station_id", F.explode(begun).alias("b")).select("station_id", F.col("b.day").alias("day"), F.col("b.level").alias("start"))
+    walked = F.aggregate(
+        "steps", F.struct(F.col("start").alias("level"), F.expr("cast(array() as array<struct<interval_start: timestamp_ntz, flow: double, before: double>>)").alias("out")),
+        lambda a, s: F.struct(clamp(a["level"], step(s["flow"], F.col("capacity"))).alias("level"), F.concat(a["out"], F.array(F.struct(s["interval_start"].alias("interval_start"), s["flow"].alias("flow"), a["level"].alias("before")))).alias("out")), lambda a: a["out"],
+    )
+    out = days.join(starts, ["station_id", "day"]).select("station_id", "capacity", F.explode(walked).alias("w"))
+    raw = F.col("w.before") + F.col("w.flow")
+    return out.select("station_id", F.col("w.interval_start").alias("interval_start"), F.col("w.before").alias("level_before"), F.least(F.col("capacity"), F.greatest(F.lit(0.0), raw)).alias("level_after"), F.greatest(F.lit(0.0), -raw).alias("n_in"), F.greatest(F.lit(0.0), raw - F.col("capacity")).alias("n_out"))
 
 
 def reconstruct_inventory(usable: DataFrame, params: InventoryParams = InventoryParams()) -> DataFrame:

@@ -15,14 +15,14 @@ from ..session import checkpoint_dir, exists, stored
 from ..sources import standin, trips
 
 #: Four weeks of events: fewer weeks are asked for, the last of them are held out, and a small budget and low levels suit the small docks.
-STANDIN = Params(value=ValueParams(min_weeks=3, low_inventory=1.0), allocation=AllocationParams(budget=200.0), demand=DemandParams(holdout_start="2024-01-22"), simulation=SimulationParams(week_start="2024-01-08"))
+STANDIN = Params(value=ValueParams(min_weeks=3, low_inventory=1.0), allocation=AllocationParams(budget=60.0), demand=DemandParams(holdout_start="2024-01-22"), simulation=SimulationParams(week_start="2024-01-08"))
 
 
 class Chain:
     """The tables, lazy but for those that several others are made of.
 
-    The inventory, features, rates, net losses, weekly cells and candidate moves
-    are phase boundaries: they are computed once, when first asked for, and written
+    The inventory, features, rates, net losses, weekly cells, values of a bike and
+    candidate moves are phase boundaries: they are computed once, when first asked for, and written
     to the checkpoint folder. Without that, each table above them would run them
     again. A session shares them between its queries (chain_of).
     """
@@ -133,7 +133,7 @@ class Chain:
 
     @cached_property
     def mv(self) -> DataFrame:
-        return value.mv_table(self.cells, self.params.value)
+        return self._stored(value.mv_table(self.cells, self.params.value))
 
     @cached_property
     def od_rows(self) -> DataFrame:
@@ -143,24 +143,17 @@ class Chain:
     def od_counts(self) -> dict[str, DataFrame]:
         return od.od_counts(self.od_rows)
 
-    @cached_property
-    def curve(self) -> DataFrame:
-        """A curve in closed form in place of the model's: net loss a week * 2^-k + 0.01 for k = 1..min(capacity, 4)."""
-        rows = self.low.join(self.rates.select(*value.CELL, "capacity"), value.CELL).filter("capacity > 0")
-        k = F.explode(F.sequence(F.lit(1), F.least(F.col("capacity"), F.lit(4)))).alias("k")
-        return rows.select(*value.CELL, "net_lost", "n_weeks", k).select(*value.CELL, "k", (F.col("net_lost") / F.col("n_weeks") * F.pow(F.lit(2.0), -F.col("k")) + 0.01).alias("mv"))
-
     @cached_property
     def tiers(self) -> DataFrame:
         return allocate.assign_tiers(self.low, self.timing, self.params.allocation, self.params.value.modal_share)
 
     @cached_property
     def origins(self) -> DataFrame:
-        return allocate.qualifying_origins(self.low, self.curve, self.params.allocation, self.params.value.k_max)
+        return allocate.qualifying_origins(self.low, self.mv, self.params.allocation, self.params.value.k_max)
 
     @cached_property
     def cumulative(self) -> DataFrame:
-        return allocate.dest_cumulative_mv(self.curve)
+        return allocate.dest_cumulative_mv(self.mv)
 
     @cached_property
     def flows(self) -> DataFrame:

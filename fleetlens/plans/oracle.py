@@ -91,20 +91,27 @@ PARTS: dict[str, str] = {
     "timing": """SELECT station_id, hour_of_week, sum(n)::BIGINT AS n_weeks, sum(n * first_slot)::DOUBLE / sum(n) AS mean_slot,
         sqrt(greatest(sum(n * first_slot * first_slot) - sum(n * first_slot)::DOUBLE * sum(n * first_slot) / sum(n), 0.0::DOUBLE) / nullif(sum(n) - 1, 0)) AS std_slot, max(n)::DOUBLE / sum(n) AS modal_share
         FROM (SELECT station_id, hour_of_week, first_slot, count(*) AS n FROM slots GROUP BY ALL) GROUP BY station_id, hour_of_week""",
-    "curve": """SELECT l.station_id, l.hour_of_week, k::INTEGER AS k, l.net_lost / l.n_weeks * power(2.0::DOUBLE, -k) + 0.01::DOUBLE AS mv
-        FROM low l JOIN rates r ON l.station_id = r.station_id AND l.hour_of_week = r.hour_of_week, range(1, 5) t(k) WHERE r.capacity > 0 AND k <= least(r.capacity, 4)""",
+    "mvcells": """SELECT r.station_id, r.hour_of_week, r.capacity, r.lam, r.mu, coalesce(e.e, 0.0::DOUBLE) AS loss FROM rates r LEFT JOIN (SELECT station_id, hour_of_week, avg(net_lost * n) AS e FROM weekly WHERE p_stockout > 0 GROUP BY ALL) e
+        ON r.station_id = e.station_id AND r.hour_of_week = e.hour_of_week WHERE r.capacity > 0""",
+    "mvflow": """SELECT station_id, hour_of_week, capacity, loss, d, sum(power(lam, k + d) / gamma(k + d + 1) * power(mu, k) / gamma(k + 1)) * exp(-any_value(lam) - any_value(mu)) AS p
+        FROM mvcells, range(-30, 31) a(d), range(0, 41) b(k) WHERE k + d >= 0 GROUP BY ALL""",
+    "mvstep": "MATERIALIZED SELECT station_id, hour_of_week, capacity, loss, s, least(capacity, greatest(0, s + d)) AS j, sum(p) AS p FROM mvflow, range(1, 100) t(s) WHERE s <= capacity GROUP BY ALL",
+    "mvhit1": "SELECT station_id, hour_of_week, s, sum(CASE WHEN j = 0 THEN p ELSE 0.0::DOUBLE END) AS h FROM mvstep GROUP BY ALL",
+    **{f"mvhit{i}": f"SELECT t.station_id, t.hour_of_week, t.s, any_value(t.capacity) AS capacity, any_value(t.loss) AS loss, sum(t.p * CASE WHEN t.j = 0 THEN 1.0::DOUBLE ELSE x.h END) AS h FROM mvstep t LEFT JOIN mvhit{i - 1} x ON x.station_id = t.station_id AND x.hour_of_week = t.hour_of_week AND x.s = t.j GROUP BY t.station_id, t.hour_of_week, t.s" for i in (2, 3, 4)},
+    "mvall": "SELECT *, lead(mv) OVER (PARTITION BY station_id, hour_of_week ORDER BY k) AS next FROM (SELECT station_id, hour_of_week, s::INTEGER AS k, greatest(loss, 0.0::DOUBLE) * (coalesce(lag(h) OVER (PARTITION BY station_id, hour_of_week ORDER BY s), 1.0::DOUBLE) - h) AS mv FROM mvhit4)",
+    "mv": "MATERIALIZED SELECT station_id, hour_of_week, k, mv, bad IS NULL AS is_concave, bad::BIGINT AS first_violation_k FROM (SELECT *, min(CASE WHEN next > mv + 1e-9::DOUBLE THEN k END) OVER (PARTITION BY station_id, hour_of_week) AS bad FROM mvall) WHERE k <= 4",
     "tiers": """SELECT l.station_id, l.hour_of_week, l.low_frac, t.modal_share, CASE WHEN l.low_frac > 0.5 AND t.modal_share >= 0.7 THEN 1 ELSE 2 END AS tier
         FROM low l LEFT JOIN timing t ON l.station_id = t.station_id AND l.hour_of_week = t.hour_of_week WHERE l.low_frac > 0""",
-    "origins": """SELECT l.station_id, l.hour_of_week, l.min_inventory, coalesce(c.mv, 0.0::DOUBLE) AS origin_cost FROM low l LEFT JOIN curve c ON l.station_id = c.station_id AND l.hour_of_week = c.hour_of_week
+    "origins": """SELECT l.station_id, l.hour_of_week, l.min_inventory, coalesce(c.mv, 0.0::DOUBLE) AS origin_cost FROM low l LEFT JOIN mv c ON l.station_id = c.station_id AND l.hour_of_week = c.hour_of_week
         AND c.k = greatest(1, round_even(least(l.min_inventory, 4.0::DOUBLE), 0)::INTEGER) WHERE l.low_frac <= 0.10""",
-    "cum": """SELECT station_id, hour_of_week, k, sum(mv) OVER (PARTITION BY station_id, hour_of_week ORDER BY k ROWS UNBOUNDED PRECEDING) AS cum_mv, max(k) OVER (PARTITION BY station_id, hour_of_week) AS k_max FROM curve""",
+    "cum": """SELECT station_id, hour_of_week, k, sum(mv) OVER (PARTITION BY station_id, hour_of_week ORDER BY k ROWS UNBOUNDED PRECEDING) AS cum_mv, max(k) OVER (PARTITION BY station_id, hour_of_week) AS k_max FROM mv""",
     "od": """SELECT t.start_station_id, s.zone_agg AS start_zone_agg, t.how AS hour_of_week, t.end_station_id,
         ((CASE WHEN t.how % 24 >= 7 THEN 1 ELSE 0 END) + (CASE WHEN t.how % 24 >= 10 THEN 1 ELSE 0 END) + (CASE WHEN t.how % 24 >= 16 THEN 1 ELSE 0 END) + (CASE WHEN t.how % 24 >= 19 THEN 1 ELSE 0 END)
         + (CASE WHEN t.how % 24 >= 22 THEN 1 ELSE 0 END) + (CASE WHEN t.how >= 120 THEN 6 ELSE 0 END))::INTEGER AS daypart
         FROM trips t LEFT JOIN stations s ON t.start_station_id = s.station_id WHERE t.end_station_id IN (SELECT station_id FROM usable)""",
     "flows": "SELECT start_station_id, hour_of_week, end_station_id, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY start_station_id, hour_of_week) AS prob FROM od GROUP BY start_station_id, hour_of_week, end_station_id",
     "dest": """SELECT t.station_id, t.hour_of_week, t.tier, t.low_frac, c.k_max, s.zone_agg FROM tiers t JOIN cum c ON t.station_id = c.station_id AND t.hour_of_week = c.hour_of_week AND c.k = c.k_max
-        LEFT JOIN stations s ON s.station_id = t.station_id WHERE c.cum_mv > 0 ORDER BY round(c.cum_mv, 9) DESC, t.station_id, t.hour_of_week LIMIT 3000""",
+        LEFT JOIN stations s ON s.station_id = t.station_id WHERE round(c.cum_mv, 9) > 0 ORDER BY round(c.cum_mv, 9) DESC, t.station_id, t.hour_of_week LIMIT 3000""",
     "moves": """SELECT station_id, hour_of_week, tier, low_frac, k_max, origin_station_id, origin_cost, flow_prob FROM (
         SELECT d.*, o.station_id AS origin_station_id, o.origin_cost, coalesce(f.prob, 0.0::DOUBLE) AS flow_prob,
                row_number() OVER (PARTITION BY d.station_id, d.hour_of_week ORDER BY round(o.origin_cost, 9), round(coalesce(f.prob, 0), 9) DESC, o.station_id) AS rn

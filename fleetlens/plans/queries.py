@@ -555,22 +555,9 @@ def q_cross_check_slope(c: Chain) -> DataFrame:
     return rounded(value.cross_check_slopes(c.weekly, c.params.value))
 
 
-MV = {
-    "mvcells": """SELECT r.station_id, r.hour_of_week, r.capacity, r.lam, r.mu, coalesce(e.e, 0.0::DOUBLE) AS loss FROM rates r LEFT JOIN (SELECT station_id, hour_of_week, avg(net_lost * n) AS e FROM weekly WHERE p_stockout > 0 GROUP BY ALL) e
-        ON r.station_id = e.station_id AND r.hour_of_week = e.hour_of_week WHERE r.capacity > 0""",
-    "flow": """SELECT station_id, hour_of_week, capacity, loss, d, sum(power(lam, k + d) / gamma(k + d + 1) * power(mu, k) / gamma(k + 1)) * exp(-any_value(lam) - any_value(mu)) AS p
-        FROM mvcells, range(-30, 31) a(d), range(0, 41) b(k) WHERE k + d >= 0 GROUP BY ALL""",
-    "step": "SELECT station_id, hour_of_week, capacity, loss, s, least(capacity, greatest(0, s + d)) AS j, sum(p) AS p FROM flow, range(1, 100) t(s) WHERE s <= capacity GROUP BY ALL",
-    "hit1": "SELECT station_id, hour_of_week, s, sum(CASE WHEN j = 0 THEN p ELSE 0.0::DOUBLE END) AS h FROM step GROUP BY ALL",
-    **{f"hit{i}": f"SELECT t.station_id, t.hour_of_week, t.s, any_value(t.capacity) AS capacity, any_value(t.loss) AS loss, sum(t.p * CASE WHEN t.j = 0 THEN 1.0::DOUBLE ELSE x.h END) AS h FROM step t LEFT JOIN hit{i - 1} x ON x.station_id = t.station_id AND x.hour_of_week = t.hour_of_week AND x.s = t.j GROUP BY t.station_id, t.hour_of_week, t.s" for i in (2, 3, 4)},
-    "mvall": "SELECT *, lead(mv) OVER (PARTITION BY station_id, hour_of_week ORDER BY k) AS next FROM (SELECT station_id, hour_of_week, s::INTEGER AS k, greatest(loss, 0.0::DOUBLE) * (coalesce(lag(h) OVER (PARTITION BY station_id, hour_of_week ORDER BY s), 1.0::DOUBLE) - h) AS mv FROM hit4)",
-    "mv": "SELECT station_id, hour_of_week, k, mv, bad IS NULL AS is_concave, bad::BIGINT AS first_violation_k FROM (SELECT *, min(CASE WHEN next > mv + 1e-9::DOUBLE THEN k END) OVER (PARTITION BY station_id, hour_of_week) AS bad FROM mvall) WHERE k <= 4",
-}
-
-
 @query(f"""SELECT x.*, m.mv_ AS mv, round(slope_ - m.mv, 9) + 0.0::DOUBLE AS diff, CASE WHEN m.mv >= 1e-9::DOUBLE THEN printf('%.8e', slope_ / m.mv) END AS ratio FROM (SELECT station_id, hour_of_week, {_r('-s AS slope')}, -s AS slope_, n_weeks, {_r('(lo + hi) / 2 AS midpoint')}, round_even((lo + hi) / 2, 0)::INTEGER AS k FROM (
     SELECT station_id, hour_of_week, regr_slope(net_lost * n, inventory) AS s, count(*) AS n_weeks, min(inventory) AS lo, max(inventory) AS hi, var_pop(inventory) AS v FROM weekly GROUP BY ALL) WHERE n_weeks >= 3 AND hi > lo AND v * n_weeks * n_weeks > 1e-6) x
-    LEFT JOIN (SELECT *, round(mv, 9) + 0.0::DOUBLE AS mv_ FROM mv) m ON m.station_id = x.station_id AND m.hour_of_week = x.hour_of_week AND m.k = x.k""".replace("SELECT x.*,", "SELECT x.station_id, x.hour_of_week, x.slope, x.n_weeks, x.midpoint, x.k,"), **MV)
+    LEFT JOIN (SELECT *, round(mv, 9) + 0.0::DOUBLE AS mv_ FROM mv) m ON m.station_id = x.station_id AND m.hour_of_week = x.hour_of_week AND m.k = x.k""".replace("SELECT x.*,", "SELECT x.station_id, x.hour_of_week, x.slope, x.n_weeks, x.midpoint, x.k,"))
 def q_cross_check_report(c: Chain) -> DataFrame:
     report = value.cross_check_report(value.cross_check_slopes(c.weekly, c.params.value), c.mv)
     return rounded(report.withColumn("ratio", F.format_string("%.8e", "ratio")).withColumn("ratio", F.when(F.col("mv") >= 1e-9, F.col("ratio"))))
@@ -592,12 +579,12 @@ def q_mm1k_relaxation(c: Chain) -> DataFrame:
     return rounded(r.select(*value.CELL, C.mm1k_p0(F.col("lam"), F.col("mu"), F.col("capacity")).alias("p0"), F.round(C.relaxation_minutes(F.col("lam"), F.col("mu")), 3).alias("relaxation_minutes")))
 
 
-@query(f"SELECT station_id, hour_of_week, k, {_r('mv')}, is_concave, first_violation_k FROM mv", **MV)
+@query(f"SELECT station_id, hour_of_week, k, {_r('mv')}, is_concave, first_violation_k FROM mv")
 def q_mv_curve(c: Chain) -> DataFrame:
     return rounded(c.mv)
 
 
-@query("SELECT is_concave, count(*) AS cells, min(first_violation_k) AS first_violation_k FROM mv WHERE k = 1 GROUP BY is_concave", **MV)
+@query("SELECT is_concave, count(*) AS cells, min(first_violation_k) AS first_violation_k FROM mv WHERE k = 1 GROUP BY is_concave")
 def q_concavity(c: Chain) -> DataFrame:
     return c.mv.filter("k = 1").groupBy("is_concave").agg(F.count("*").alias("cells"), F.min("first_violation_k").alias("first_violation_k"))
 
@@ -630,7 +617,7 @@ def q_rank_targets(c: Chain) -> DataFrame:
     return rounded(c.ranked.select("station_id", "hour_of_week", "origin_station_id", "rank", "payout", "induced", "value", "dollar_cost", "nvpd"))
 
 
-@query(f"SELECT station_id, hour_of_week, rank::INTEGER AS rank, {_r('dollar_cost', 'running AS running_cost', digits=6)} FROM (SELECT *, sum(dollar_cost) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running FROM ranked) WHERE running <= 200")
+@query(f"SELECT station_id, hour_of_week, rank::INTEGER AS rank, {_r('dollar_cost', 'running AS running_cost', digits=6)} FROM (SELECT *, sum(dollar_cost) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running FROM ranked) WHERE running <= 60")
 def q_budget_cutoff(c: Chain) -> DataFrame:
     return rounded(allocate.budget_cutoff(c.ranked, c.params.allocation.budget).select("station_id", "hour_of_week", "rank", "dollar_cost", "running_cost"), 6)
 
@@ -663,8 +650,8 @@ CURVES = {
     "candidates": "SELECT m.*, r.mu FROM moves m LEFT JOIN rates r ON m.station_id = r.station_id AND m.hour_of_week = r.hour_of_week",
     "points": "SELECT tier, a, b, i * 500.0::DOUBLE / 19999 AS p, a * (1 - exp(-b * i * 500.0::DOUBLE / 19999)) * (i * 500.0::DOUBLE / 19999) * 0.2::DOUBLE AS cost FROM range(0, 20000) r(i), (VALUES (1, 2.0::DOUBLE, 0.15::DOUBLE), (2, 3.0::DOUBLE, 0.25::DOUBLE)) t(tier, a, b)",
     "segments": "SELECT *, lead(p) OVER (PARTITION BY tier ORDER BY p) AS p1, lead(cost) OVER (PARTITION BY tier ORDER BY p) AS c1 FROM points",
-    "even": "SELECT *, 200.0::DOUBLE / count(*) OVER () AS dollars FROM candidates",
-    "bymu": "SELECT * FROM (SELECT *, 200.0::DOUBLE * mu / sum(mu) OVER () AS dollars FROM candidates) WHERE dollars > 0",
+    "even": "SELECT *, 60.0::DOUBLE / count(*) OVER () AS dollars FROM candidates",
+    "bymu": "SELECT * FROM (SELECT *, 60.0::DOUBLE * mu / sum(mu) OVER () AS dollars FROM candidates) WHERE dollars > 0",
 }
 
 
@@ -685,7 +672,7 @@ def q_policy_proportional(c: Chain) -> DataFrame:
 
 TOPN = {"flat": """SELECT m.*, round(r.p_stockout_empirical, 9) AS p, CASE WHEN tier = 1 THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END * (1 - exp(-CASE WHEN tier = 1 THEN 0.15::DOUBLE ELSE 0.25::DOUBLE END * 10.0::DOUBLE)) AS induced
     FROM moves m LEFT JOIN rates r ON m.station_id = r.station_id AND m.hour_of_week = r.hour_of_week""",
-    "topn": "SELECT * FROM (SELECT *, induced * 2.0::DOUBLE AS cost, sum(induced * 2.0::DOUBLE) OVER (ORDER BY p DESC NULLS LAST, station_id, hour_of_week ROWS UNBOUNDED PRECEDING) AS running FROM flat) WHERE running <= 200"}
+    "topn": "SELECT * FROM (SELECT *, induced * 2.0::DOUBLE AS cost, sum(induced * 2.0::DOUBLE) OVER (ORDER BY p DESC NULLS LAST, station_id, hour_of_week ROWS UNBOUNDED PRECEDING) AS running FROM flat) WHERE running <= 60"}
 
 
 def _top_n(c: Chain) -> DataFrame:
@@ -703,7 +690,7 @@ def q_move_cap(c: Chain) -> DataFrame:
     return rounded(policies.apply_move_cap(_top_n(c), 1.8).select("station_id", "hour_of_week", "induced_trips", "dollar_cost"))
 
 
-@query(f"SELECT station_id, hour_of_week, tier, origin_station_id, {_r('induced AS induced_trips', 'payout', 'dollar_cost')} FROM (SELECT *, sum(dollar_cost) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running FROM ranked) WHERE running <= 200")
+@query(f"SELECT station_id, hour_of_week, tier, origin_station_id, {_r('induced AS induced_trips', 'payout', 'dollar_cost')} FROM (SELECT *, sum(dollar_cost) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running FROM ranked) WHERE running <= 60")
 def q_policy_allocator(c: Chain) -> DataFrame:
     return rounded(policies.allocator(c.ranked, c.params.allocation.budget))
 
@@ -712,8 +699,8 @@ COST = "CASE WHEN {t} = 1 THEN 2.0::DOUBLE * (1 - exp(-0.15::DOUBLE * {p})) ELSE
 LEVEL = "[1.0::DOUBLE, 2, 5, 10, 20, 30, 50]"
 #: The rounds of raises as a recursion, a cell a step; moved says whether the round so far has raised any.
 RAISES = {
-    "prefix": "SELECT *, row_number() OVER (ORDER BY rank) AS i FROM (SELECT *, sum(dollar_cost) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running FROM ranked) WHERE running <= 200",
-    "lists": f"SELECT list(tier ORDER BY i) AS tiers, list(list_position({LEVEL}, payout) ORDER BY i) AS lv, count(*) AS n, 200.0::DOUBLE - sum(dollar_cost) AS rest FROM prefix",
+    "prefix": "SELECT *, row_number() OVER (ORDER BY rank) AS i FROM (SELECT *, sum(dollar_cost) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running FROM ranked) WHERE running <= 60",
+    "lists": f"SELECT list(tier ORDER BY i) AS tiers, list(list_position({LEVEL}, payout) ORDER BY i) AS lv, count(*) AS n, 60.0::DOUBLE - sum(dollar_cost) AS rest FROM prefix",
     "raised": f"""SELECT 1::BIGINT AS step, lv, rest, false AS moved, tiers, n FROM lists WHERE n > 0
         UNION ALL SELECT step + 1, CASE WHEN ok THEN list_concat(list_concat(lv[1:pos - 1], [lv[pos] + 1]), lv[pos + 1:]) ELSE lv END, rest - CASE WHEN ok THEN more ELSE 0.0::DOUBLE END, CASE WHEN pos = 1 THEN ok ELSE moved OR ok END, tiers, n
         FROM (SELECT *, lv[pos] < 7 AND more > 0 AND more <= rest AS ok FROM (SELECT *, {COST.format(t="tiers[pos]", p=f"{LEVEL}[least(lv[pos] + 1, 7)]")} - {COST.format(t="tiers[pos]", p=f"{LEVEL}[lv[pos]]")} AS more

@@ -75,24 +75,56 @@ def least_cost(flow, cap, prior):
     return cost.min(), grid[np.isclose(cost, cost.min())]
 
 
+def walk(flow, capacity, prior):
+    """The reflected walk step by step: levels before and after each flow (n + 1), added, removed."""
+    level, added, removed = [float(prior)], [], []
+    for f in flow:
+        raw = level[-1] + f
+        level.append(min(float(capacity), max(0.0, raw)))
+        added.append(max(0.0, -raw))
+        removed.append(max(0.0, raw - capacity))
+    return np.array(level), np.array(added), np.array(removed)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(-4, 4), min_size=1, max_size=7), st.integers(1, 6), st.integers(0, 12))
 def test_walk_is_a_least_movement_plan(flow, cap, half):
     prior = min(half / 2, cap)
-    level, added, removed = inventory.walk(np.array(flow, float), cap, prior)
+    level, added, removed = walk(flow, cap, prior)
     best, ends = least_cost(flow, cap, prior)
     assert added.sum() + removed.sum() == pytest.approx(best) and list(ends) == [level[-1]]
     assert level.min() >= 0 and level.max() <= cap
 
 
 def test_walk_cases():
-    assert not any(x.any() for x in inventory.walk(np.array([1, -1, 2, -2, 0, 1, -1.0]), 20, 10)[1:])
-    level, added, _ = inventory.walk(np.array([-8, 0, 0.0]), 20, 5)
+    assert not any(x.any() for x in walk([1, -1, 2, -2, 0, 1, -1.0], 20, 10)[1:])
+    level, added, _ = walk([-8, 0, 0.0], 20, 5)
     assert added[0] == 3 and level[1] == 0
-    level, _, removed = inventory.walk(np.array([5, 0.0]), 10, 8)
+    level, _, removed = walk([5, 0.0], 10, 8)
     assert removed[0] == 3 and level[1] == 10
 
 
+def test_scan_of_clamps_equals_the_walk(spark):
+    """Several stations, days without a flow, capacities of 0 and half levels at the start; no Python in the plan."""
+    rng, rows = np.random.default_rng(2), []
+    for s in range(8):
+        cap, flow = int(rng.integers(0, 9)) if s else 0, rng.integers(-5, 6, 700)
+        flow[rng.uniform(size=700) < 0.5] = 0
+        flow[96 * 2 : 96 * 4] = 0
+        rows += [(s, i, cap, int(f)) for i, f in enumerate(flow)]
+    at = F.timestamp_add("MINUTE", F.col("i") * 15, F.lit("2025-01-06 07:00:00").cast("timestamp_ntz"))
+    usable = spark.createDataFrame(rows, "station_id int, i int, capacity int, net_flow int").withColumn("interval_start", at)
+    scan = inventory.sparse_walk(usable)
+    assert "Python" not in scan._jdf.queryExecution().toString() and "Pandas" not in scan._jdf.queryExecution().toString()
+    got = scan.join(usable.select("station_id", "interval_start", "i"), ["station_id", "interval_start"]).toPandas().sort_values("i")
+    for s, own in got.groupby("station_id"):
+        flow, cap = [f for t, _, _, f in rows if t == s and f], next(c for t, _, c, _ in rows if t == s)
+        level, added, removed = walk(flow, cap, 0.5 * cap)
+        assert np.array_equal(own["level_before"], level[:-1]) and np.array_equal(own["level_after"], level[1:])
+        assert np.array_equal(own["n_in"], added) and np.array_equal(own["n_out"], removed)
+    assert got["station_id"].nunique() == 8 and inventory.sparse_walk(usable.filter("i < 0")).count() == 0
+
+
 def test_inventory_table(spark):
     schema = "station_id string, interval_start string, departures bigint, arrivals bigint, capacity int, zone_agg string, hour_of_week int"
     rows = [("A", f"2025-01-06 0{h}:00:00", d, a, 4, "z", h) for h, (d, a) in enumerate([(3, 0), (0, 0), (0, 6), (0, 0)])]
