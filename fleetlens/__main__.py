@@ -1,24 +1,34 @@
-"""Command line: python -m fleetlens unmet|report ... ; paths are whatever Spark reads."""
+"""Command line: python -m fleetlens ingest|unmet|report ... ; paths are whatever Spark reads."""
 
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import functions as F
 
 from .operators import compare, demand, features, inventory, panel
 from .params import load_params
-from .session import get_session, resumed
+from .session import exists, get_session, resumed
 from .sources import feeds, trips
 
 
+def ingest(args: argparse.Namespace) -> None:
+    """Trip files to valid trips, a folder a month; prints what was read, dropped by each rule and written."""
+    params, spark = load_params(args.params), get_session("ingest")
+    print(json.dumps(trips.write_counted(trips.read_trips(spark, args.trips), args.out, params.ingest)))
+
+
 def unmet(args: argparse.Namespace) -> None:
     """Trip files to the unmet table, a folder a month; what is there already is not made again."""
     params, spark = load_params(args.params), get_session("unmet")
     rows = trips.keep_valid(trips.read_trips(spark, args.trips), params.ingest)
     stations, weather = spark.read.parquet(args.stations), feeds.read_weather(spark, args.weather)
     holidays = panel.us_federal_holidays(spark, args.first, args.last)
-    table = resumed(inventory.reconstruct_inventory(inventory.usable_panel(panel.add_calendar(panel.build_counts(rows, stations), holidays)), params.inventory), f"{args.out}/inventory")
+    usable = inventory.usable_panel(panel.add_calendar(panel.build_counts(rows, stations), holidays))
+    if not exists(spark, f"{args.out}/inventory/_SUCCESS"):
+        inventory.assert_constant_capacity(usable)
+    table = resumed(inventory.reconstruct_inventory(usable, params.inventory), f"{args.out}/inventory")
     ready = resumed(features.build_features(table, weather), f"{args.out}/features")
     p = params.demand
     models, bias = {}, {}
@@ -39,6 +49,11 @@ def report(args: argparse.Namespace) -> None:
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="fleetlens", description=__doc__)
     commands = parser.add_subparsers(required=True)
+    zero = commands.add_parser("ingest", help=ingest.__doc__)
+    zero.add_argument("--trips", nargs="+", required=True, help="CSV files of either layout")
+    zero.add_argument("--out", required=True)
+    zero.add_argument("--params")
+    zero.set_defaults(run=ingest)
     one = commands.add_parser("unmet", help=unmet.__doc__)
     one.add_argument("--trips", nargs="+", required=True, help="CSV files of either layout")
     for name in ("stations", "weather", "out", "first", "last"):

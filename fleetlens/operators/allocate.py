@@ -114,3 +114,15 @@ def spearman_stability(tops: DataFrame) -> DataFrame:
 def stable_core(tops: DataFrame, n_draws: int) -> DataFrame:
     """station_id, hour_of_week, appearance_frac over the draws."""
     return tops.groupBy(*CELL).agg((F.count("*") / n_draws).alias("appearance_frac"))
+
+
+def stability_table(pairs: DataFrame, core: DataFrame) -> DataFrame:
+    """One row behind the figure of rank stability: pairs of draws with a correlation, its least and median; cells that ever rank, and those that do in every draw."""
+    rho = pairs.filter("rho is not null").agg(F.count("*").alias("n_pairs"), F.min("rho").alias("least_rho"), F.median("rho").alias("median_rho"))
+    cells = core.agg(F.count("*").alias("cells"), F.count_if(F.col("appearance_frac") == 1).alias("in_every_draw"))
+    return rho.crossJoin(F.broadcast(cells))
+
+
+def appearance_counts(core: DataFrame) -> DataFrame:
+    """appearance_frac, cells: the bars of that figure, counted."""
+    return core.groupBy("appearance_frac").agg(F.count("*").alias("cells"))

@@ -51,6 +51,14 @@ def add_run_length(panel: DataFrame, flag: str, out: str) -> DataFrame:
     return marked.withColumn(out, F.when(F.col(flag), n).otherwise(0)).drop("change_", "run_")
 
 
+def add_run_lengths(inventory: DataFrame) -> DataFrame:
+    """Run lengths of both flags; a table that has them already is left as it is."""
+    out = inventory
+    for flag, name in (("is_bike_empty", "bike_empty_run_len"), ("is_dock_full", "dock_full_run_len")):
+        out = out if name in out.columns else add_run_length(out, flag, name)
+    return out
+
+
 def capacity_staleness(panel: DataFrame) -> DataFrame:
     """station_id, is_capacity_stale: more trips met in one interval than there are docks."""
     return panel.groupBy("station_id").agg((F.first("capacity") < F.max(F.col("departures") + F.col("arrivals"))).alias("is_capacity_stale"))
@@ -59,7 +67,7 @@ def capacity_staleness(panel: DataFrame) -> DataFrame:
 def build_features(inventory: DataFrame, weather: DataFrame) -> DataFrame:
     """The feature table of both directions; station windows share one partitioning."""
     out = add_own_lags(add_own_lags(inventory, "departures", "dep"), "arrivals", "arr")
-    out = add_run_length(add_run_length(out, "is_bike_empty", "bike_empty_run_len"), "is_dock_full", "dock_full_run_len")
+    out = add_run_lengths(out)
     out = add_neighbor_demand(add_neighbor_demand(out, "departures", "dep"), "arrivals", "arr")
     return out.withColumn("timestamp", floor_hour(F.col("interval_start"))).join(weather_lags(weather), "timestamp", "left").drop("timestamp")
 

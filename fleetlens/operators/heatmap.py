@@ -27,6 +27,12 @@ def station_net_lost(net: DataFrame) -> DataFrame:
     return _weekly(net.groupBy("station_id").agg(F.sum("dep_net_lost").alias("dep_net_lost"), F.sum("arr_net_lost").alias("arr_net_lost")), net)
 
 
+def station_scatter(net: DataFrame, stations: DataFrame) -> DataFrame:
+    """station_id, lat, lng and the losses a week of both directions, null taken for 0; stations without a place are left out."""
+    placed = stations.filter("lat is not null").select("station_id", "lat", "lng")
+    return station_net_lost(net).join(placed, "station_id").select("station_id", "lat", "lng", *[F.coalesce(c, F.lit(0.0)).alias(f"{c}_per_week") for c in ("dep_net_lost", "arr_net_lost")])
+
+
 def zone_capacity(stations: DataFrame) -> DataFrame:
     return stations.filter("zone_agg is not null").groupBy("zone_agg").agg(F.sum("capacity").alias("zone_capacity"))
 

@@ -23,6 +23,20 @@ def usable_panel(panel: DataFrame) -> DataFrame:
     return known.join(impossible, "station_id", "left_anti").withColumns({"net_flow": F.col("arrivals") - F.col("departures"), "week_start": week_start(F.col("interval_start"))})
 
 
+def varying_capacities(usable: DataFrame) -> DataFrame:
+    """One row: stations, and how many of them have more than one capacity (null counts as one)."""
+    per = usable.groupBy("station_id").agg(F.min("capacity").alias("low"), F.max("capacity").alias("high"), F.count("capacity").alias("known"), F.count("*").alias("n"))
+    varies = (F.col("low") != F.col("high")) | ((F.col("known") > 0) & (F.col("known") < F.col("n")))
+    return per.agg(F.count("*").alias("stations"), F.count_if(F.coalesce(varies, F.lit(False))).alias("varying"))
+
+
+def assert_constant_capacity(usable: DataFrame) -> None:
+    """Raises where a station's capacity changes: the walk takes it to be constant."""
+    found = varying_capacities(usable).first()
+    if found.varying:
+        raise AssertionError(f"{found.varying} of {found.stations} stations have more than one capacity")
+
+
 def dropped_stations(panel: DataFrame) -> DataFrame:
     """reason, stations, n_rows, volume of what usable_panel leaves out, and of what it keeps."""
     per = panel.groupBy("station_id").agg(F.first("capacity").alias("capacity"), F.count("*").alias("n"), F.sum(F.col("departures") + F.col("arrivals")).alias("v"))

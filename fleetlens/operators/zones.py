@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import EARTH_RADIUS_M, haversine_m, hex_cell, utm_metres
-from ..session import ship
+from ..session import cut, ship
 
 
 def hex_zones(stations: DataFrame, edge_m: float = 460.0) -> DataFrame:
@@ -60,8 +60,34 @@ def complete_linkage(x: np.ndarray, y: np.ndarray, cut: float) -> np.ndarray:
     return root
 
 
+def radius_components(stations: DataFrame, radius_m: float) -> DataFrame:
+    """station_id, component (its least station_id): stations that chains of hops of radius_m connect.
+
+    Each round a station takes the least label around it, then the label of that
+    label, so labels travel twice as far each time; rounds are checkpointed and
+    end when no label changes.
+    """
+    edges = cut(radius_pairs(stations, radius_m).select("station_id", "neighbor_id"))
+    labels = cut(stations.select("station_id", F.col("station_id").alias("component")).distinct())
+    while True:
+        near = edges.join(labels.select(F.col("station_id").alias("neighbor_id"), F.col("component").alias("c")), "neighbor_id").groupBy("station_id").agg(F.min("c").alias("c"))
+        least = labels.join(near, "station_id", "left").select("station_id", F.least("component", "c").alias("c"), F.col("component").alias("old"))
+        jumped = least.join(labels.select(F.col("station_id").alias("c"), F.col("component").alias("far")), "c", "left")
+        now = cut(jumped.select("station_id", F.least("c", "far").alias("component"), "old"))
+        labels = now.select("station_id", "component")
+        if now.filter("component != old").isEmpty():
+            return labels
+
+
 def linkage_zones(stations: DataFrame, cut_m: float = 700.0) -> DataFrame:
-    """station_id, zone_link: complete linkage on metres cut at cut_m. One task holds the stations (a few thousand; n squared doubles)."""
+    """station_id, zone_link: complete linkage on metres cut at cut_m, named after the least station of each cluster.
+
+    All stations of a cluster are within cut_m of each other, so no cluster goes
+    beyond a component of the graph of such pairs: components are clustered in
+    parallel, with the same result as all at once. A task holds the square of a
+    component's stations. The graph's radius is a little larger, as it is
+    measured on the sphere.
+    """
     ship(stations.sparkSession)
     east, north = utm_metres(F.col("lat"), F.col("lng"))
     kind = stations.schema["station_id"].dataType.simpleString()
@@ -69,10 +95,28 @@ def linkage_zones(stations: DataFrame, cut_m: float = 700.0) -> DataFrame:
     def run(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("station_id").reset_index(drop=True)
         root = complete_linkage(table["x"].to_numpy(), table["y"].to_numpy(), cut_m)
-        names = {r: f"c{i}" for i, r in enumerate(sorted(set(root.tolist())))}
-        return pd.DataFrame({"station_id": table["station_id"], "zone_link": [names[r] for r in root]})
+        first = table["station_id"].groupby(root).transform("min")
+        return pd.DataFrame({"station_id": table["station_id"], "zone_link": [f"c{x}" for x in first]})
+
+    placed = stations.filter("lat is not null and lng is not null").select("station_id", "lat", "lng", east.alias("x"), north.alias("y"))
+    own = placed.join(radius_components(placed.select("station_id", "lat", "lng"), cut_m * 1.02), "station_id")
+    return own.select("station_id", "component", "x", "y").groupBy("component").applyInPandas(run, f"station_id {kind}, zone_link string")
 
-    return stations.select("station_id", east.alias("x"), north.alias("y")).groupBy(F.lit("all")).applyInPandas(run, f"station_id {kind}, zone_link string")
+
+def linkage_faults(stations: DataFrame, links: DataFrame, cut_m: float = 700.0) -> DataFrame:
+    """One row: stations, over_cut (clusters with a pair further apart than cut_m), mergeable (pairs of clusters that would still fit together)."""
+    east, north = utm_metres(F.col("lat"), F.col("lng"))
+    at = links.join(stations.select("station_id", east.alias("x"), north.alias("y")), "station_id")
+    sizes = links.groupBy("zone_link").agg(F.count("*").alias("n"))
+    near = radius_pairs(stations, cut_m * 1.02)
+    side = lambda i, key: at.select(F.col("station_id").alias(key), F.col("zone_link").alias(f"z{i}"), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"))
+    close = near.join(side(1, "station_id"), "station_id").join(side(2, "neighbor_id"), "neighbor_id").filter(F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")) <= cut_m)
+    counts = close.filter("z1 <= z2").groupBy("z1", "z2").agg(F.count("*").alias("pairs"))
+    size = lambda i: sizes.select(F.col("zone_link").alias(f"z{i}"), F.col("n").alias(f"n{i}"))
+    inside = sizes.join(counts.filter("z1 = z2").select(F.col("z1").alias("zone_link"), "pairs"), "zone_link", "left")
+    over = inside.agg(F.count_if(F.coalesce("pairs", F.lit(0)) != F.col("n") * (F.col("n") - 1)).alias("over_cut"), F.sum("n").alias("stations"))
+    fits = counts.filter("z1 < z2").join(size(1), "z1").join(size(2), "z2").agg(F.count_if(F.col("pairs") == F.col("n1") * F.col("n2")).alias("mergeable"))
+    return over.crossJoin(F.broadcast(fits)).select("stations", "over_cut", "mergeable")
 
 
 def zone_sizes(stations: DataFrame, zone: str = "zone_agg") -> DataFrame:

@@ -64,7 +64,8 @@ class Chain:
 
     @cached_property
     def inventory(self) -> DataFrame:
-        return self._stored(inventory.reconstruct_inventory(self.usable, self.params.inventory))
+        """The inventory with run lengths, which both the rates and the features take from it."""
+        return self._stored(features.add_run_lengths(inventory.reconstruct_inventory(self.usable, self.params.inventory)))
 
     def _stored(self, df: DataFrame) -> DataFrame:
         self.written.append(f"{checkpoint_dir(self.spark)}/{uuid.uuid4().hex}")
@@ -72,9 +73,8 @@ class Chain:
 
     @cached_property
     def rated(self) -> DataFrame:
-        """The inventory with run lengths and the rates of both directions."""
-        runs = features.add_run_length(features.add_run_length(self.inventory, "is_bike_empty", "bike_empty_run_len"), "is_dock_full", "dock_full_run_len")
-        return self._stored(demand.add_all_rates(runs))
+        """The inventory with the rates of both directions."""
+        return self._stored(demand.add_all_rates(self.inventory))
 
     @cached_property
     def held_out(self) -> DataFrame:

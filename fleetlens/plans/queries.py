@@ -68,6 +68,19 @@ def q_ingest_assertions(c: Chain) -> DataFrame:
     return trips.assertion_counts(c.trips)
 
 
+RULE_COUNTS = """SELECT count(*) AS rows, count(*) FILTER (WHERE started_at IS NULL OR ended_at IS NULL) AS null_timestamp, count(*) FILTER (WHERE started_at IS NOT NULL AND ended_at IS NOT NULL AND (start_station_id IS NULL OR end_station_id IS NULL)) AS null_station,
+    count(*) FILTER (WHERE start_station_id IS NOT NULL AND end_station_id IS NOT NULL AND s < 60) AS too_short, count(*) FILTER (WHERE s >= 60 AND s < 120 AND start_station_id = end_station_id) AS short_self_loop,
+    count(*) FILTER (WHERE start_station_id IS NOT NULL AND end_station_id IS NOT NULL AND s >= 60 AND (s >= 120 OR start_station_id <> end_station_id)) AS kept,
+    0::BIGINT AS null_started_at, 0::BIGINT AS null_ended_at, 0::BIGINT AS null_start_station, 0::BIGINT AS null_end_station, 0::BIGINT AS ends_before_start FROM (SELECT *, date_diff('second', started_at, ended_at) AS s FROM trips_raw)"""
+
+
+@query(RULE_COUNTS)
+def q_written_counts(c: Chain) -> DataFrame:
+    """What the job that writes the trips has counted on the way."""
+    counts = trips.write_counted(c.trips_raw, f"{checkpoint_dir(c.spark)}/{uuid.uuid4().hex}", c.params.ingest)
+    return c.spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} bigint" for k in counts))
+
+
 ACTIVITY = {"activity": "SELECT station_id, sum(d)::BIGINT AS departures, sum(a)::BIGINT AS arrivals FROM (SELECT start_station_id AS station_id, 1 AS d, 0 AS a FROM trips UNION ALL SELECT end_station_id, 0, 1 FROM trips) GROUP BY ALL"}
 
 
@@ -169,9 +182,20 @@ def q_linkage_zones(c: Chain) -> DataFrame:
     return zones.linkage_zones(c.stations, c.params.space.linkage_m)
 
 
+@query("SELECT count(*) AS stations, 0::BIGINT AS over_cut, 0::BIGINT AS mergeable FROM stations")
+def q_linkage_faults(c: Chain) -> DataFrame:
+    """Clusters that are too wide, or that could still be joined: complete linkage leaves neither."""
+    return zones.linkage_faults(c.stations, zones.linkage_zones(c.stations, c.params.space.linkage_m), c.params.space.linkage_m)
+
+
 # Inventory
 
 
+@query("SELECT count(*) AS stations, count(*) FILTER (WHERE n > 1) AS varying FROM (SELECT station_id, count(DISTINCT capacity) AS n FROM usable GROUP BY ALL)")
+def q_varying_capacities(c: Chain) -> DataFrame:
+    return inventory.varying_capacities(c.usable)
+
+
 @query("SELECT reason, count(*) AS stations, sum(n)::BIGINT AS n_rows, sum(v)::BIGINT AS volume FROM (SELECT station_id, CASE WHEN any_value(capacity) IS NULL THEN 'no_capacity' WHEN any_value(capacity) = 0 AND sum(departures + arrivals) > 0 THEN 'zero_capacity_active' ELSE 'kept' END AS reason, count(*) AS n, sum(departures + arrivals) AS v FROM panel GROUP BY station_id) GROUP BY reason")
 def q_dropped_stations(c: Chain) -> DataFrame:
     return inventory.dropped_stations(c.panel)
@@ -432,6 +456,11 @@ def q_station_net_lost(c: Chain) -> DataFrame:
     return rounded(heatmap.station_net_lost(c.net), 6)
 
 
+@query(f"SELECT n.station_id, s.lat, s.lng, {_r('n.d / (SELECT w FROM span) AS dep_net_lost_per_week', 'n.a / (SELECT w FROM span) AS arr_net_lost_per_week', digits=6)} FROM (SELECT station_id, sum(dep_net_lost) AS d, sum(arr_net_lost) AS a FROM net GROUP BY station_id) n JOIN stations s ON s.station_id = n.station_id")
+def q_station_scatter(c: Chain) -> DataFrame:
+    return rounded(heatmap.station_scatter(c.net, c.stations), 6)
+
+
 @query(f"SELECT zone_agg, hour_of_week, n_weeks, {_r('dep_mean', 'dep_se', 'dep_lower', 'arr_mean', 'arr_se', 'arr_lower')} FROM ci")
 def q_zone_hour_per_dock_ci(c: Chain) -> DataFrame:
     return rounded(c.ci)
@@ -639,6 +668,19 @@ def q_stable_core(c: Chain) -> DataFrame:
     return rounded(allocate.stable_core(c.tops, 25))
 
 
+@query("""SELECT n_pairs, least_rho, median_rho, cells, in_every_draw FROM (SELECT count(rho) AS n_pairs, round(min(rho), 9) AS least_rho, round(median(rho), 9) AS median_rho FROM (
+    SELECT CASE WHEN count(*) >= 2 THEN corr(pi, pj) END AS rho FROM (SELECT draw_i, draw_j, row_number() OVER (PARTITION BY draw_i, draw_j ORDER BY ri) AS pi, row_number() OVER (PARTITION BY draw_i, draw_j ORDER BY rj) AS pj
+    FROM (SELECT a.draw AS draw_i, b.draw AS draw_j, a.rank AS ri, b.rank AS rj FROM tops a JOIN tops b ON a.station_id = b.station_id AND a.hour_of_week = b.hour_of_week AND a.draw < b.draw)) GROUP BY draw_i, draw_j)),
+    (SELECT count(*) AS cells, count(*) FILTER (WHERE n = 25) AS in_every_draw FROM (SELECT count(*) AS n FROM tops GROUP BY station_id, hour_of_week))""")
+def q_rank_stability(c: Chain) -> DataFrame:
+    return rounded(allocate.stability_table(allocate.spearman_stability(c.tops), allocate.stable_core(c.tops, 25)))
+
+
+@query("SELECT round(n / 25.0::DOUBLE, 9) AS appearance_frac, count(*) AS cells FROM (SELECT count(*) AS n FROM tops GROUP BY station_id, hour_of_week) GROUP BY n")
+def q_appearance_counts(c: Chain) -> DataFrame:
+    return rounded(allocate.appearance_counts(allocate.stable_core(c.tops, 25)))
+
+
 # Policies
 
 

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import calendar
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from datetime import date
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..session import ship
 
 STATION_JSON = "last_updated bigint, data struct<stations: array<struct<station_id: string, short_name: string, name: string, lat: double, lon: double, capacity: int>>>"
 WEATHER_JSON = "hourly struct<time: array<string>, temperature_2m: array<double>, precipitation: array<double>, wind_speed_10m: array<double>, relative_humidity_2m: array<double>>"
 
-#: Reported sentence of a monthly rebalancing report, a fixed pattern.
-REBALANCED = r"(?i)rebalanced\s+(?:a\s+total\s+of\s+)?([0-9][0-9,]*)\s+(?:bikes|bicycles)"
+#: Reported sentence of a monthly rebalancing report, and a month with or without a year: fixed patterns.
+REBALANCED = re.compile(r"(?i)rebalanced\s+(?:a\s+total\s+of\s+)?([0-9][0-9,]*)\s+(?:bikes|bicycles)")
+MONTH = re.compile(rf"\b({'|'.join(calendar.month_name[1:])})\b(?:,?\s+(\d{{4}}))?")
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
@@ -40,14 +51,69 @@ def covers_range(weather: DataFrame, trips: DataFrame) -> DataFrame:
     return t.crossJoin(w).withColumn("covered", (F.col("first_weather") <= F.col("first_trip")) & (F.col("last_weather") >= F.col("last_trip")))
 
 
-def rebalanced_total(text: Column) -> Column:
-    """The number in a report's sentence; raises where there is none."""
-    found = F.regexp_replace(F.regexp_extract(text, REBALANCED, 1), ",", "")
-    return F.when(found != "", found.cast("bigint")).otherwise(F.raise_error(F.lit("no rebalancing sentence in the report")).cast("bigint"))
+def parse_report(text: str, name: str) -> tuple[date, int]:
+    """(first day of the month, bikes) of a report; raises where there is no such sentence, no month in it, or another one than in the file's name."""
+    found, named = REBALANCED.search(text), re.search(r"(\d{4})-(\d{2})", name)
+    if not found:
+        raise ValueError(f"{name}: no rebalancing sentence in the report")
+    if not named or not 1 <= int(named[2]) <= 12:
+        raise ValueError(f"{name}: no month in the file's name")
+    sentence = text[text.rfind(".", 0, found.start()) + 1 :].partition(".")[0]
+    said = MONTH.search(sentence) or MONTH.search(text)
+    if not said:
+        raise ValueError(f"{name}: the report names no month")
+    month = list(calendar.month_name).index(said[1].capitalize())
+    if month != int(named[2]) or said[2] not in (None, named[1]):
+        raise ValueError(f"{name}: the report is about {said[0]}")
+    return date(int(named[1]), month, 1), int(found[1].replace(",", ""))
+
+
+@dataclass
+class ReportFile(InputPartition):
+    path: str
+
+
+class ReportReader(DataSourceReader):
+    """A task a file; files are found and opened by Arrow's file systems (a folder, or one file, of any store that those reach)."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def partitions(self) -> list[ReportFile]:
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else str(Path(self.path).absolute()))
+        info = store.get_file_info(at)
+        files = [info] if info.type == fs.FileType.File else [f for f in store.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.File]
+        prefix = self.path.split("://")[0] + "://" if "://" in self.path else ""
+        return [ReportFile(prefix + f.path) for f in sorted(files, key=lambda f: f.path) if not f.base_name.startswith((".", "_"))]
+
+    def read(self, partition: ReportFile) -> Iterator[tuple]:
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(partition.path)
+        with store.open_input_stream(at) as stream:
+            text = stream.read().decode()
+        name = at.rsplit("/", 1)[-1]
+        yield (*parse_report(text, name), name)
+
+
+class ReportSource(DataSource):
+    """spark.read.format("monthly_report").load(folder): a row a report."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "monthly_report"
+
+    def schema(self) -> str:
+        return "month_start date, rebalanced_bikes_total bigint, source_file string"
+
+    def reader(self, schema) -> ReportReader:  # noqa: ANN001
+        return ReportReader(self.options["path"])
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """month_start, rebalanced_bikes_total, source_file from text files named *yyyy-mm*."""
-    raw = spark.read.option("wholetext", True).text(path).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    month = F.to_date(F.concat(F.regexp_extract("source_file", r"(\d{4}-\d{2})", 1), F.lit("-01")))
-    return raw.select(month.alias("month_start"), rebalanced_total(F.col("value")).alias("rebalanced_bikes_total"), "source_file")
+    """month_start, rebalanced_bikes_total, source_file of the text reports in a folder, whose names hold yyyy-mm; a report about another month raises."""
+    ship(spark)
+    spark.dataSource.register(ReportSource)
+    return spark.read.format("monthly_report").load(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..params import IngestParams
 from ..session import exists
@@ -102,6 +102,30 @@ def assertion_counts(trips: DataFrame, params: IngestParams = IngestParams()) ->
     )
 
 
+#: The rules in the order in which they are tried.
+RULES = ("null_timestamp", "null_station", "too_short", "short_self_loop", "kept")
+
+
+def write_counted(raw: DataFrame, folder: str, params: IngestParams = IngestParams()) -> dict[str, int]:
+    """Writes the valid trips (write_trips) and counts on the way: rows read, rows by the first rule they break, and what assertion_counts gives of the rows written.
+
+    The counts are observed by the writing job itself, so raw is read once; a
+    stage that is run again is counted again. Raises AssertionError where rows
+    that must not be there were written.
+    """
+    seen, kept = Observation("read"), Observation("written")
+    counted = raw.withColumn("rule_", failing_rule(params)).observe(seen, F.count("*").alias("rows"), *[F.count_if(F.col("rule_") == r).alias(r) for r in RULES])
+    bad = {"null_started_at": F.col("started_at").isNull(), "null_ended_at": F.col("ended_at").isNull(), "null_start_station": F.col("start_station_id").isNull(), "null_end_station": F.col("end_station_id").isNull(), "ends_before_start": F.col("ended_at") < F.col("started_at")}
+    valid = counted.filter(F.col("rule_") == "kept").drop("rule_").observe(kept, *[F.count_if(F.coalesce(x, F.lit(False))).alias(n) for n, x in bad.items()])
+    write_trips(valid, folder)
+    if raw.isEmpty():  # then the optimizer may leave the observations out
+        return dict.fromkeys(("rows", *RULES, *bad), 0)
+    faults = kept.get
+    if any(faults.values()):
+        raise AssertionError(f"trips break rules: { {k: v for k, v in faults.items() if v} }")
+    return seen.get | faults
+
+
 def assert_clean(trips: DataFrame) -> None:
     counts = assertion_counts(trips).first().asDict()
     if any(counts.values()):

@@ -355,3 +355,37 @@ def test_radius_pairs_at_every_latitude(spark):
     st = spark.createDataFrame(places, "station_id bigint, lat double, lng double")
     got = {(r.station_id, r.neighbor_id) for r in zones.radius_pairs(st, 400.0).collect()}
     assert got == {(a, b) for own in ((1, 2), (3, 4, 5), (6, 7)) for a in own for b in own if a != b}
+
+
+def test_linkage_by_components_is_linkage_of_all(spark):
+    """Three clumps far apart, and a lone station: components cluster by themselves, as the whole network does."""
+    rng, rows = np.random.default_rng(4), []
+    for clump, (lat, lng) in enumerate(((40.70, -74.0), (40.75, -73.95), (40.80, -74.05))):
+        rows += [(clump * 100 + i, lat + float(rng.uniform(0, 0.02)), lng + float(rng.uniform(0, 0.02))) for i in range(25 + clump)]
+    stations = spark.createDataFrame([*rows, (999, 41.0, -73.5)], "station_id bigint, lat double, lng double")
+    got = {r.station_id: r.zone_link for r in zones.linkage_zones(stations).collect()}
+    east, north = C.utm_metres(F.col("lat"), F.col("lng"))
+    placed = stations.select("station_id", east.alias("x"), north.alias("y")).toPandas().sort_values("station_id").reset_index(drop=True)
+    root = zones.complete_linkage(placed["x"].to_numpy(), placed["y"].to_numpy(), 700.0)
+    assert got == {s: f"c{placed['station_id'][root == r].min()}" for s, r in zip(placed["station_id"], root, strict=True)}
+    components = {r.station_id: r.component for r in zones.radius_components(stations, 700 * 1.02).collect()}
+    assert len(set(components.values())) >= 4 and components[999] == 999
+    links = zones.linkage_zones(stations)
+    assert tuple(zones.linkage_faults(stations, links).first()) == (len(rows) + 1, 0, 0)
+    wide = links.withColumn("zone_link", F.when(F.col("station_id") < 300, "all").otherwise(F.col("zone_link")))
+    assert zones.linkage_faults(stations, wide).first().over_cut == 1
+    split = links.withColumn("zone_link", F.col("station_id").cast("string"))
+    assert zones.linkage_faults(stations, split).first().mergeable > 0
+
+
+def test_components_follow_long_chains(spark):
+    chain = spark.createDataFrame([(i * 37 % 60, 40.7, -74.0 + 0.004 * i) for i in range(60)], "station_id bigint, lat double, lng double")
+    assert {r.component for r in zones.radius_components(chain, 400.0).collect()} == {0}
+
+
+def test_capacities_that_change_are_refused(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 5), (2, 5), (2, 6), (3, None), (3, 4), (4, None)], "station_id int, capacity int")
+    assert tuple(inventory.varying_capacities(rows).first()) == (4, 2)
+    inventory.assert_constant_capacity(rows.filter("station_id = 1"))
+    with pytest.raises(AssertionError, match="2 of 4 stations"):
+        inventory.assert_constant_capacity(rows)

@@ -54,8 +54,32 @@ def test_feeds(spark, tmp_path):
     (tmp_path / "r/report-2025-03.txt").write_text("In March we rebalanced a total of 12,345 bikes across the city.")
     got = feeds.read_reports(spark, str(tmp_path / "r")).first()
     assert got.rebalanced_bikes_total == 12345 and got.month_start == dt.date(2025, 3, 1)
-    with pytest.raises(Exception, match="no rebalancing sentence"):
-        spark.sql("SELECT 'nothing here' AS t").select(feeds.rebalanced_total(F.col("t"))).collect()
+    assert feeds.read_reports(spark, str(tmp_path / "r/report-2025-03.txt")).count() == 1
+    (tmp_path / "r/report-2025-04.txt").write_text("Ridership may rise. Staff rebalanced 7 bicycles during the month of April, 2025. In March it was less.")
+    assert sorted(r.rebalanced_bikes_total for r in feeds.read_reports(spark, str(tmp_path / "r")).collect()) == [7, 12345]
+    (tmp_path / "r/report-2025-05.txt").write_text("In April 2025 we rebalanced 5 bikes.")
+    with pytest.raises(Exception, match="report-2025-05.txt: the report is about April"):
+        feeds.read_reports(spark, str(tmp_path / "r")).collect()
+    for name, text, fault in (("x-2025-05.txt", "nothing here", "no rebalancing sentence"), ("x-2025-05.txt", "rebalanced 5 bikes", "names no month"), ("x-2025-05.txt", "In May 2024 we rebalanced 5 bikes", "about May 2024"), ("x.txt", "In May we rebalanced 5 bikes", "in the file's name")):
+        with pytest.raises(ValueError, match=fault):
+            feeds.parse_report(text, name)
+
+
+def test_counts_come_from_the_job_that_writes(spark, tmp_path):
+    rows = [("a", "2025-01-05 10:00:00", "2025-01-05 10:20:00", "1", "2"), ("b", None, "2025-01-05 10:20:00", "1", "2"), ("c", "2025-01-05 10:00:00", "2025-01-05 10:20:00", None, "2"), ("d", "2025-01-05 10:00:00", "2025-01-05 10:00:30", "1", "2"), ("e", "2025-02-05 10:00:00", "2025-02-05 10:01:30", "1", "1"), ("f", "2025-02-05 10:00:00", "2025-02-05 10:30:00", "1", "1")]
+    raw = spark.createDataFrame(rows, "ride_id string, started_at string, ended_at string, start_station_id string, end_station_id string")
+    raw = raw.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ended_at")})
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def passed(x):
+        seen.add(1)
+        return x
+
+    counts = trips.write_counted(raw.withColumn("ride_id", passed("ride_id")), str(tmp_path / "t"))
+    assert counts == {"rows": 6, "null_timestamp": 1, "null_station": 1, "too_short": 1, "short_self_loop": 1, "kept": 2, "null_started_at": 0, "null_ended_at": 0, "null_start_station": 0, "null_end_station": 0, "ends_before_start": 0}
+    assert sorted(r.ride_id for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["a", "f"] and seen.value <= 7  # one scan, and a look at whether there are any rows
+    assert trips.write_counted(raw.filter("ride_id = 'zz'"), str(tmp_path / "none"))["rows"] == 0
 
 
 def test_params(tmp_path):
@@ -93,6 +117,8 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     cli.main(arguments)
     got = spark.read.parquet(str(tmp_path / "out/unmet/2025-01"))
     assert {"dep_gross_unmet", "arr_gross_unmet", "dep_D_hat"} <= set(got.columns) and got.count() == spark.read.parquet(str(tmp_path / "out/inventory")).count()
+    cli.main(["ingest", "--trips", str(tmp_path / "trips.csv"), "--out", str(tmp_path / "clean")])
+    assert json.loads(capsys.readouterr().out)["kept"] == 600 and spark.read.parquet(str(tmp_path / "clean")).count() == 600
     (tmp_path / "trips.csv").write_text(lines[0])  # what is written isn't made again
     cli.main(arguments)
     assert spark.read.parquet(str(tmp_path / "out/unmet/2025-01")).count() == got.count()
