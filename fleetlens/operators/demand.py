@@ -200,15 +200,29 @@ class FittedDirection:
             r.station_id: self.model.intercept + weight["station_enc"] * by_station.get(r.station_id, overall) + weight["zone_enc"] * by_zone.get(r.zone_agg, overall) + weight["capacity"] * (r.capacity or 0)
             for r in stations.select("station_id", "zone_agg", "capacity").collect()
         }
-        from .panel import add_calendar, join_weather, us_federal_holidays
-
-        spark = stations.sparkSession
-        at = spark.range(steps).select("id", (F.lit(str(begin)).cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("id") * 15).cast("int"))).alias("interval_start"))
-        at = join_weather(add_calendar(at, us_federal_holidays(spark, str(begin), str(begin + pd.Timedelta(minutes=15 * steps)))), weather)
         varying = {c: x for c, x in _inputs(self.direction).items() if c not in STATION and c not in LAGS}
-        rows = at.select("id", *[x.alias(c) for c, x in varying.items()]).orderBy("id").toPandas()
+        rows = _steps(weather, begin, steps).select("id", *[x.alias(c) for c, x in varying.items()]).orderBy("id").toPandas()
         return own, sum(weight[c] * rows[c].to_numpy(float) for c in varying), {k: weight[k] for k in LAGS}
 
+    def inputs(self, stations: DataFrame, weather: DataFrame, begin, steps: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """The trees' inputs that a simulation doesn't change: STATION by station_id, the others (but LAGS) by step from begin."""
+        spark = stations.sparkSession
+        known = stations.select("station_id", "zone_agg", "capacity").withColumns({c: F.lit(None).cast("double") for c in (*NUMERIC, *(f"{self.direction}_{v}" for v in LAGS.values())) if c != "capacity"} | {"hour_of_week": F.lit(0), "month": F.lit(0)})
+        ready = model_columns(known, self.direction, self.station, self.zone, self.overall, trees=True)
+        fixed = ready.select("station_id", *[F.col(f"in_{c}").cast("double").alias(c) for c in STATION]).toPandas().set_index("station_id")
+        at = _steps(weather, begin, steps).withColumns({"enc_mean": F.lit(0.0), "enc_station_enc": F.lit(0.0), "enc_zone_enc": F.lit(0.0), "capacity": F.lit(0)} | {f"{self.direction}_{v}": F.lit(0.0) for v in LAGS.values()})
+        varying = {c: x for c, x in _tree_inputs(self.direction).items() if c not in STATION and c not in LAGS}
+        return fixed, at.select("id", *[x.cast("double").alias(c) for c, x in varying.items()]).orderBy("id").toPandas().drop(columns="id")
+
+
+def _steps(weather: DataFrame, begin, steps: int) -> DataFrame:
+    """id (a step from begin) with its calendar and weather; weather has an hour a row, with its lags."""
+    from .panel import add_calendar, join_weather, us_federal_holidays
+
+    spark = weather.sparkSession
+    at = spark.range(steps).select("id", (F.lit(str(begin)).cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("id") * 15).cast("int"))).alias("interval_start"))
+    return join_weather(add_calendar(at, us_federal_holidays(spark, str(begin), str(begin + pd.Timedelta(minutes=15 * steps)))), weather)
+
 
 def load_fitted(spark, direction: str, path: str) -> FittedDirection:
     kind = BoostedTrees if "trees" in json.loads(spark.read.parquet(f"{path}/model").first()["model"]) else PoissonRegression

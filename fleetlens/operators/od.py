@@ -128,8 +128,15 @@ def sampler(probabilities: dict[str, DataFrame], tiers: DataFrame, stations: Dat
         keys = TIERS[tier]
         shares[tier] = {}
         grouped = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("end_station_id", "prob"))).alias("d"))
-        for r in grouped.toLocalIterator():
-            p = np.array([x.prob for x in r.d])
-            shares[tier][tuple(r[k] for k in keys)] = (np.array([x.end_station_id for x in r.d]), p / p.sum())
-    tier_of = {(r.station_id, r.hour_of_week): r.tier for r in tiers.collect()}
+        table = grouped.toArrow().combine_chunks()  # by columns: a station is read as a slice of arrays
+        if table.num_rows:
+            lists = table.column("d").combine_chunks()
+            lists = lists.chunk(0) if hasattr(lists, "num_chunks") else lists
+            at, ends, probs = lists.offsets.to_numpy(), lists.values.field("end_station_id").to_numpy(zero_copy_only=False), lists.values.field("prob").to_numpy()
+            named = zip(*(table.column(k).to_pylist() for k in keys), strict=True) if keys else [()] * table.num_rows  # the global tier has no key
+            for i, key in enumerate(named):
+                p = probs[at[i] : at[i + 1]]
+                shares[tier][key] = (ends[at[i] : at[i + 1]], p / p.sum())
+    levels = tiers.select("station_id", "hour_of_week", "tier").toArrow()
+    tier_of = dict(zip(zip(levels.column("station_id").to_pylist(), levels.column("hour_of_week").to_pylist(), strict=True), levels.column("tier").to_pylist(), strict=True))
     return OdSampler(shares, tier_of, {r.station_id: r.zone_agg for r in stations.collect()})

@@ -934,15 +934,51 @@ def q_sim_week_trend(c: Chain) -> DataFrame:
 @query()
 def q_sim_modes(c: Chain) -> DataFrame:
     """Trips and losses of the week in the three modes: drawn, real counts, real trips."""
+    cells = _modes(c)
+    total = [F.sum(x).alias(x) for x in (*simulate.COUNTS, "created", "destroyed")]
+    return rounded(cells.groupBy("mode").agg(F.sum("departures_actual").alias("trips"), *total))
+
+
+def _modes(c: Chain, modes: tuple[str, ...] = simulate.MODES) -> DataFrame:
     p = c.params.simulation
-    network, sampler = replicates.network_of(c), replicates.sampler_of(c)
-    real = simulate.true_trips(c.trips, network, p.week_start, p.steps)
-    rows = []
-    for mode in simulate.MODES:
-        cells, log = simulate.run_mode(network, sampler, mode, p.seed, real, p.steps)
-        sums = cells[simulate.COUNTS].sum()
-        rows.append((mode, len(log), *(int(sums[k]) for k in simulate.COUNTS), float(cells["created"].sum()), float(cells["destroyed"].sum())))
-    return rounded(c.spark.createDataFrame(rows, "mode string, trips bigint, " + ", ".join(f"{k} bigint" for k in simulate.COUNTS) + ", created double, destroyed double"))
+    network = replicates.network_of(c)
+    real = c.once("real trips", lambda: simulate.true_trips(c.trips, network, p.week_start, p.steps))
+    return simulate.run_modes(c.spark, network, replicates.sampler_of(c), real, p.seed, "bigint", p, modes)
+
+
+#: The replay of the week's real trips as a recursion over events: departures of a step, its arrivals, and what is added and removed at its end.
+REPLAY = {
+    "rp_net": """SELECT s.station_id, row_number() OVER (ORDER BY s.station_id) AS i, s.capacity::DOUBLE AS cap, coalesce(v.inventory, 0.5::DOUBLE * s.capacity) AS begin FROM stations s
+        LEFT JOIN (SELECT station_id, inventory FROM inv WHERE interval_start = TIMESTAMP '2024-01-08') v ON v.station_id = s.station_id WHERE s.station_id IN (SELECT station_id FROM inv)""",
+    "rp_near": """SELECT a.i, list(b.i ORDER BY n.hop) AS to_ FROM (SELECT station_id, neighbor_id, row_number() OVER (PARTITION BY station_id ORDER BY distance_m, neighbor_id) AS hop FROM dist WHERE distance_m <= 1000) n
+        JOIN rp_net a ON a.station_id = n.station_id JOIN rp_net b ON b.station_id = n.neighbor_id WHERE n.hop <= 3 GROUP BY a.i""",
+    "rp_trips": """SELECT step, a, b, row_number() OVER (ORDER BY step, a, b) AS t FROM (SELECT date_diff('second', TIMESTAMP '2024-01-08', t.started_at) // 900 AS step, a.i AS a, b.i AS b FROM trips t
+        JOIN rp_net a ON a.station_id = t.start_station_id JOIN rp_net b ON b.station_id = t.end_station_id WHERE t.started_at >= TIMESTAMP '2024-01-08' AND t.started_at < TIMESTAMP '2024-01-15')""",
+    "rp_moved": """SELECT date_diff('second', TIMESTAMP '2024-01-08', v.interval_start) // 900 AS step, map(list(n.i), list(v.nontrip_in - v.nontrip_out)) AS delta FROM inv v JOIN rp_net n ON n.station_id = v.station_id
+        WHERE v.interval_start >= TIMESTAMP '2024-01-08' AND v.interval_start < TIMESTAMP '2024-01-15' AND (v.nontrip_in > 0 OR v.nontrip_out > 0) GROUP BY 1""",
+    "rp_events": """MATERIALIZED SELECT e.*, row_number() OVER (ORDER BY step, kind, x, y, t) AS n FROM (SELECT step, 0 AS kind, a AS x, b AS y, t, a, b, NULL::BIGINT[] AS to_, NULL AS delta FROM rp_trips
+        UNION ALL SELECT step, 1, b, a, t, a, b, list_concat([b], coalesce(to_, [])), NULL FROM rp_trips LEFT JOIN rp_near ON i = b UNION ALL SELECT step, 2, 0, 0, 0, 0, 0, NULL, delta FROM rp_moved) e""",
+    "rp_caps": "MATERIALIZED SELECT list(cap ORDER BY i) AS caps, list(begin ORDER BY i) AS begin FROM rp_net",
+    "rp_run": """SELECT 0::BIGINT AS n, begin AS lvl, [0]::BIGINT[] AS served, NULL::BIGINT AS hit FROM rp_caps UNION ALL
+        SELECT r.n + 1, CASE WHEN r.kind = 0 THEN list_transform(lvl, lambda v, i: CASE WHEN i = a AND hit IS NOT NULL THEN v - 1 ELSE v END) WHEN r.kind = 1 THEN list_transform(lvl, lambda v, i: CASE WHEN i = hit THEN v + 1 ELSE v END)
+            ELSE list_transform(lvl, lambda v, i: greatest(0.0::DOUBLE, least(caps[i], v + coalesce(delta[i], 0.0::DOUBLE)))) END, CASE WHEN r.kind = 0 AND hit IS NOT NULL THEN list_append(served, t) ELSE served END, hit
+        FROM (SELECT p.n, p.lvl, CASE WHEN e.kind = 0 AND NOT list_contains(p.served, -e.step) THEN [-e.step] ELSE p.served END AS served, e.kind, e.a, e.t, e.delta, c.caps,
+            CASE WHEN e.kind = 0 THEN CASE WHEN p.lvl[e.a] >= 1 - 1e-9 THEN e.a END WHEN e.kind = 1 AND list_contains(p.served, e.t) THEN coalesce(list_filter(e.to_, lambda x: c.caps[x] - p.lvl[x] >= 1 - 1e-9)[1], -1) END AS hit
+            FROM rp_run p JOIN rp_events e ON e.n = p.n + 1, rp_caps c) r""",
+    "rp_log": "MATERIALIZED SELECT e.kind, e.a, e.b, r.hit, e.delta, p.lvl AS before FROM rp_run r JOIN rp_events e ON e.n = r.n LEFT JOIN (SELECT n + 1 AS n, lvl FROM rp_run) p ON p.n = r.n AND e.kind = 2",
+}
+
+
+@query("""SELECT n.station_id, coalesce(d.sampled, 0) AS departures_sampled, coalesce(d.gone, 0) AS departures_actual, coalesce(d.sampled - d.gone, 0) AS lost_no_bike, coalesce(h.direct, 0) AS direct_arrivals, coalesce(h.rerouted, 0) AS rerouted_arrivals,
+    coalesce(l.lost, 0) AS lost_past_cap_arrivals, round(coalesce(m.created, 0.0::DOUBLE), 6) AS created, round(coalesce(m.destroyed, 0.0::DOUBLE), 6) AS destroyed FROM rp_net n
+    LEFT JOIN (SELECT a, count(*) AS sampled, count(hit) AS gone FROM rp_log WHERE kind = 0 GROUP BY a) d ON d.a = n.i
+    LEFT JOIN (SELECT hit, count(*) FILTER (WHERE hit = b) AS direct, count(*) FILTER (WHERE hit <> b) AS rerouted FROM rp_log WHERE kind = 1 AND hit > 0 GROUP BY hit) h ON h.hit = n.i
+    LEFT JOIN (SELECT b, count(*) AS lost FROM rp_log WHERE kind = 1 AND hit = -1 GROUP BY b) l ON l.b = n.i
+    LEFT JOIN (SELECT i, sum(greatest(0.0::DOUBLE, -raw)) AS created, sum(greatest(0.0::DOUBLE, raw - cap)) AS destroyed FROM (SELECT x.i, x.cap, before[x.i] + coalesce(delta[x.i], 0.0::DOUBLE) AS raw FROM rp_log, rp_net x WHERE kind = 2) GROUP BY i) m ON m.i = n.i""", **REPLAY)
+def q_sim_replay(c: Chain) -> DataFrame:
+    """The mode sanity_true_dest by station: real trips, replayed by the simulator in a task and by a recursive query in SQL."""
+    cells = _modes(c, ("sanity_true_dest",))
+    return rounded(cells.groupBy("station_id").agg(*[F.sum(x).alias(x) for x in (*simulate.COUNTS, "created", "destroyed")]), 6)
 
 
 # Streaming

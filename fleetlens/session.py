@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -65,6 +66,19 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bucketed(df: DataFrame, path: str, key: str, order: str | None = None) -> DataFrame:
+    """df, written once as a table of as many buckets by key as there are shuffle partitions: windows and joins by key read it without a shuffle.
+
+    The table lies at path and is known to the session's catalog. Rows are dealt
+    to buckets before they are written, so a bucket is one file.
+    """
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"t_{uuid.uuid4().hex}"
+    writer = df.repartition(n, key).write.bucketBy(n, key).option("path", path).format("parquet")
+    (writer.sortBy(key, order) if order else writer).saveAsTable(name)
+    return spark.table(name)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder, in whatever store Spark reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

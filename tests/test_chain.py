@@ -389,3 +389,15 @@ def test_capacities_that_change_are_refused(spark):
     inventory.assert_constant_capacity(rows.filter("station_id = 1"))
     with pytest.raises(AssertionError, match="2 of 4 stations"):
         inventory.assert_constant_capacity(rows)
+
+
+def test_bucketed_tables_spare_shuffles_by_station(spark, tmp_path):
+    from fleetlens.session import bucketed
+
+    rows = spark.range(2000).select((F.col("id") % 7).alias("station_id"), F.timestamp_add("MINUTE", (F.floor(F.col("id") / 7) * 15).cast("int"), F.lit("2025-01-06 00:00:00").cast("timestamp_ntz")).alias("interval_start"), F.lit("z").alias("zone_agg"), (F.col("id") % 3).alias("departures"), (F.col("id") % 2).alias("arrivals"), (F.col("id") % 5 == 0).alias("is_bike_empty"), (F.col("id") % 4 == 0).alias("is_dock_full"))
+    weather = spark.sql("SELECT timestamp_ntz '2025-01-06 00:00:00' AS timestamp, 1.0D AS temp_c, 0.0D AS precip_mm, 1.0D AS wind_kph, 1.0D AS humidity_pct")
+    kept = bucketed(rows, str(tmp_path / "rows"), "station_id", "interval_start")
+    made, plain = features.build_features(kept, weather), features.build_features(rows, weather)
+    assert "hashpartitioning(station_id" not in made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(station_id" in plain._jdf.queryExecution().executedPlan().toString()
+    assert made.exceptAll(plain).count() == 0 and made.count() == 2000

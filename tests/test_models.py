@@ -149,3 +149,40 @@ def test_a_constant_and_no_rows_make_one_leaf(spark, counts):
     assert flat.transform(df).select("in_prediction").distinct().count() == 1
     none = boosting.fit_boosted(df.filter("in_u > 1e9"), ["u"], boosting.BoostParams(rounds=1, depth=1))
     assert none.transform(df).agg(F.max("in_prediction")).first()[0] < 1e-5
+
+
+def test_a_step_of_the_simulator_is_what_the_trees_predict(spark):
+    """TreeDemand with the lags of real rows gives the model's own predictions of those rows."""
+    import pandas as pd
+
+    from fleetlens.operators import demand, features, panel, simulate
+
+    rng = np.random.default_rng(8)
+    n, begin = 672 + 96, "2025-01-06 00:00:00"
+    rows = [(s, f"z{s % 2}", 5 + s, i, int(rng.poisson(0.5 + (i // 4 % 24 > 7) + 0.2 * s))) for s in range(4) for i in range(n)]
+    df = spark.createDataFrame(rows, "station_id bigint, zone_agg string, capacity int, i int, departures bigint")
+    df = df.withColumn("interval_start", F.timestamp_add("MINUTE", F.col("i") * 15, F.lit(begin).cast("timestamp_ntz"))).withColumns({"arrivals": F.col("departures"), "is_bike_empty": F.lit(False), "is_dock_full": F.lit(False)})
+    hours = spark.range(n // 4).select(F.timestamp_add("HOUR", F.col("id").cast("int"), F.lit(begin).cast("timestamp_ntz")).alias("timestamp"), *[(F.col("id") % k).cast("double").alias(c) for k, c in ((7, "temp_c"), (3, "precip_mm"), (5, "wind_kph"), (11, "humidity_pct"))])
+    holidays = panel.us_federal_holidays(spark, "2025-01-01", "2025-01-31")
+    ready = features.build_features(panel.add_calendar(df, holidays), hours)
+    fitted = demand.fit(ready, "dep", kind="boosted", boost=boosting.BoostParams(rounds=6, rate=0.3, depth=3, bins=32, min_leaf=5))
+    stations = df.select("station_id", "zone_agg", "capacity").distinct()
+    ids, week = [0, 1, 2, 3], pd.Timestamp(begin) + pd.Timedelta(days=7)
+    network = simulate.Network(ids, [f"z{s % 2}" for s in ids], np.array([5.0, 6, 7, 8]), np.zeros(4), [[]] * 4, np.zeros((4, 168)), np.zeros((4, 96)), np.zeros((4, 96)))
+    made = simulate.with_demand(network, fitted, df, stations, hours, str(week), 96).demand
+    real = np.array([r[4] for r in rows]).reshape(4, n)
+    want = fitted.predict(ready).filter("i >= 672").toPandas().pivot(index="station_id", columns="i", values="dep_D_hat")
+    for step in (0, 1, 50, 95):
+        got = made.rates(step, real[:, 672 + step - 4 : 672 + step].astype(float))
+        rows_now = want[672 + step].to_numpy()
+        near = ready.filter(f"i = {672 + step}").orderBy("station_id").select("dep_neighbor_demand").toPandas()["dep_neighbor_demand"].to_numpy()
+        before = np.array([real[s ^ 2, 672 + step - 1] for s in ids])  # the simulator knows the zone's last step, the features this one
+        x = made.fixed.copy()
+        x[:, made.varying] = made.step[step]
+        at = made.model.features.index
+        x[:, at("lag_1h")], x[:, at("lag_1week")], x[:, at("neighbor")] = real[:, 668 + step : 672 + step].mean(1), real[:, step], near
+        assert np.exp(made.model.base + made.model.scores(made.model.bins(x), made.model.trees)) == pytest.approx(rows_now)
+        x[:, at("neighbor")] = before
+        assert got == pytest.approx(np.exp(made.model.base + made.model.scores(made.model.bins(x), made.model.trees)))
+    far = made.rates(0, np.full((4, 4), 1e9))
+    assert np.isfinite(far).all() and far.max() < 100  # lags beyond the data change nothing
