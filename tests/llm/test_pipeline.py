@@ -87,5 +87,5 @@ def test_run_writes_and_rereads(spark, sf_dir):
     assert got.count() > 100 and "shard" in got.columns and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
-def test_ten_queries():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+def test_thirteen_queries():
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
