@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -121,3 +122,89 @@ def hex_cell(x: Column, y: Column, edge_m: float = 460.0) -> Column:
     fq = F.when((dq > dr) & (dq > ds), -rr - rs).otherwise(rq)
     fr = F.when((dq > dr) & (dq > ds), rr).when(dr > ds, -rq - rs).otherwise(rr)
     return F.concat_ws(":", fq.cast("long").cast("string"), fr.cast("long").cast("string"))
+
+
+#: Fixed values of the H3 grid: centre of its second icosahedron face and azimuth of that face's first axis
+#: (radians), length of a cell of resolution 0 on the face, turn of the odd resolutions.
+H3_FACE_LAT, H3_FACE_LNG, H3_AXIS = 1.054751253523952054, -1.347517358900396623, 0.780213654393430055
+H3_UNIT, H3_TURN = 0.38196601125010500003, 0.333473172251832115336
+#: Base cells of that face by their place on it: eastern and central North America.
+H3_BASE_CELLS = {(-1, -1): 21, (-1, 0): 19}
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def h3_plane(lat: Column, lng: Column, resolution: int) -> Column:
+    """Place (x, y) on the face in cells of a resolution (gnomonic projection, x along the first axis); null beyond the face."""
+    phi, turn = F.radians(lat), F.radians(lng) - H3_FACE_LNG
+    sin0, cos0 = math.sin(H3_FACE_LAT), math.cos(H3_FACE_LAT)
+    axis, scale = H3_AXIS - (H3_TURN if resolution % 2 else 0.0), 7 ** (resolution / 2)
+
+    def placed(v: Column) -> Column:
+        north, east = v["north"] / v["depth"] / H3_UNIT, v["east"] / v["depth"] / H3_UNIT
+        along = lambda azimuth: math.cos(azimuth) * north + math.sin(azimuth) * east
+        sides = [along(H3_AXIS + math.pi + k * 2 * math.pi / 3) for k in range(3)]  # a side is one unit from the centre, opposite to an axis
+        place = F.struct((scale * along(axis)).alias("x"), (scale * along(axis - math.pi / 2)).alias("y"))
+        return F.when((v["depth"] > 0) & (F.greatest(*sides) <= 1), place)
+
+    vector = F.struct(
+        (sin0 * F.sin(phi) + cos0 * F.cos(phi) * F.cos(turn)).alias("depth"),
+        (cos0 * F.sin(phi) - sin0 * F.cos(phi) * F.cos(turn)).alias("north"),
+        (F.cos(phi) * F.sin(turn)).alias("east"),
+    )
+    return bound(F.when(F.cos(phi) * F.cos(turn) * cos0 + sin0 * F.sin(phi) > 0, vector), placed)
+
+
+def h3_cell(lat: Column, lng: Column, resolution: int = 8) -> Column:
+    """H3 id of the cell that holds a point, as 15 hexadecimal digits.
+
+    Cells lie on two axes 120 degrees apart, i and j. The nearest cell is found by
+    cube rounding; then, from the resolution up, the parent's place is the
+    rounded inverse of the seven-fold grid, and a digit is the step from the
+    parent's middle child. Null for a null place and for places beyond the base
+    cells listed above, where ids would need the tables of the other faces.
+    """
+    if not 1 <= resolution <= 15:
+        raise ValueError(f"resolution {resolution} is not in 1..15")
+    at = lambda v: F.struct((v["x"] + v["y"] / 3**0.5).alias("i"), (v["y"] * (2 / 3**0.5)).alias("j"))
+    whole = lambda v: F.struct(v["i"].alias("i"), v["j"].alias("j"), F.rint(v["i"]).alias("a"), F.rint(v["j"] - v["i"]).alias("b"), F.rint(-v["j"]).alias("c"))
+
+    def nearest(v: Column) -> Column:
+        da, db, dc = F.abs(v["a"] - v["i"]), F.abs(v["b"] - (v["j"] - v["i"])), F.abs(v["c"] + v["j"])
+        of_a = (da > db) & (da > dc)
+        i = F.when(of_a, -v["b"] - v["c"]).otherwise(v["a"])
+        j = F.when(of_a | (db > dc), -v["c"]).otherwise(v["a"] + v["b"])
+        return F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(0).cast("long").alias("digits"))
+
+    def up(s: Column, r: Column) -> Column:
+        i, j, odd = s["i"], s["j"], r % 2 == 1
+        seventh = lambda n: F.floor((2 * n + 7) / 14)
+        parent = F.struct(
+            F.when(odd, seventh(3 * i - j)).otherwise(seventh(2 * i + j)).alias("i"),
+            F.when(odd, seventh(i + 2 * j)).otherwise(seventh(3 * j - i)).alias("j"),
+        )
+
+        def step(p: Column) -> Column:
+            di = i - F.when(odd, 2 * p["i"] + p["j"]).otherwise(3 * p["i"] - p["j"])
+            dj = j - F.when(odd, 3 * p["j"] - p["i"]).otherwise(p["i"] + 2 * p["j"])
+            least = F.least(di, dj, F.lit(0))  # the third axis takes what is negative
+            digit = 4 * (di - least) + 2 * (dj - least) - least
+            return F.struct(p["i"].alias("i"), p["j"].alias("j"), (s["digits"] + digit * F.element_at(places, r)).alias("digits"))
+
+        return bound(parent, step)
+
+    places = F.array(*[F.lit(8 ** (15 - r)).cast("long") for r in range(1, resolution + 1)])
+    first = bound(bound(bound(h3_plane(lat, lng, resolution), at), whole), nearest)
+    top = F.aggregate(F.array(*[F.lit(r) for r in range(resolution, 0, -1)]), first, up)
+    fixed = (1 << 59) + (resolution << 52) + 8 ** (15 - resolution) - 1
+
+    def named(t: Column) -> Column:
+        base = F.lit(None).cast("long")
+        for (bi, bj), number in H3_BASE_CELLS.items():
+            base = F.when((t["i"] == bi) & (t["j"] == bj), F.lit(number << 45).cast("long")).otherwise(base)
+        return F.lower(F.hex(F.lit(fixed) + base + t["digits"]))
+
+    return bound(top, named)

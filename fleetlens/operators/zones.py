@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.columns import EARTH_RADIUS_M, haversine_m, hex_cell, utm_metres
+from ..functions.columns import EARTH_RADIUS_M, h3_cell, haversine_m, hex_cell, utm_metres
 from ..session import cut, ship
 
 
@@ -19,6 +19,11 @@ def hex_zones(stations: DataFrame, edge_m: float = 460.0) -> DataFrame:
     return stations.select("station_id", hex_cell(east, north, edge_m).alias("zone_hex"))
 
 
+def h3_zones(stations: DataFrame, resolution: int = 8) -> DataFrame:
+    """station_id, zone_h3: the H3 cell of each station; see h3_cell for where there are ids."""
+    return stations.select("station_id", h3_cell(F.col("lat"), F.col("lng"), resolution).alias("zone_h3"))
+
+
 def complete_linkage(x: np.ndarray, y: np.ndarray, cut: float) -> np.ndarray:
     """Cluster numbers of complete linkage cut at a distance, by the nearest-neighbour chain.
 

@@ -177,6 +177,31 @@ def q_hex_zones(c: Chain) -> DataFrame:
     return zones.hex_zones(c.stations)
 
 
+#: The way up from resolution 8 as a recursive query; a digit weighs the steps along the three axes 4, 2 and 1.
+H3 = {
+    "globe": "SELECT station_id, radians(lat) AS p, radians(lng) + 1.347517358900396623::DOUBLE AS d, 1.054751253523952054::DOUBLE AS o, 0.780213654393430055::DOUBLE AS axis FROM stations",
+    "face": """SELECT station_id, axis, (cos(o) * sin(p) - sin(o) * cos(p) * cos(d)) / (sin(o) * sin(p) + cos(o) * cos(p) * cos(d)) AS north, cos(p) * sin(d) / (sin(o) * sin(p) + cos(o) * cos(p) * cos(d)) AS east FROM globe
+        WHERE sin(o) * sin(p) + cos(o) * cos(p) * cos(d) > 0""",
+    "polar": "SELECT station_id, axis, 7.0::DOUBLE ** 4 / 0.38196601125010500003::DOUBLE * sqrt(north * north + east * east) AS far, axis - atan2(east, north) AS angle FROM face",
+    "inside": "SELECT station_id, far * cos(angle) + far * sin(angle) / sqrt(3.0::DOUBLE) AS i, 2 * far * sin(angle) / sqrt(3.0::DOUBLE) AS j FROM polar WHERE greatest(-far * cos(angle), -far * cos(angle + 2 * pi() / 3), -far * cos(angle - 2 * pi() / 3)) <= 7.0::DOUBLE ** 4",
+    "near": "SELECT station_id, i, j, round(i) AS a, round(j - i) AS b, round(-j) AS s FROM inside",
+    "cells": """SELECT station_id, (CASE WHEN abs(a - i) > abs(b - j + i) AND abs(a - i) > abs(s + j) THEN -b - s ELSE a END)::BIGINT AS i,
+        (CASE WHEN abs(a - i) > abs(b - j + i) AND abs(a - i) > abs(s + j) OR abs(b - j + i) > abs(s + j) THEN -s ELSE a + b END)::BIGINT AS j FROM near""",
+}
+
+
+@query("""SELECT s.station_id, t.zone_h3 FROM stations s LEFT JOIN (
+    WITH RECURSIVE up AS (
+        SELECT station_id, 8 AS r, i, j, 0::BIGINT AS digits FROM cells
+        UNION ALL
+        SELECT station_id, r - 1, pi, pj, digits + (4 * (di - least(di, dj, 0)) + 2 * (dj - least(di, dj, 0)) - least(di, dj, 0)) * (8 ** (15 - r))::BIGINT FROM (
+            SELECT *, i - CASE WHEN r % 2 = 1 THEN 2 * pi + pj ELSE 3 * pi - pj END AS di, j - CASE WHEN r % 2 = 1 THEN 3 * pj - pi ELSE pi + 2 * pj END AS dj FROM (
+                SELECT *, CASE WHEN r % 2 = 1 THEN round((3 * i - j) / 7.0::DOUBLE) ELSE round((2 * i + j) / 7.0::DOUBLE) END::BIGINT AS pi, CASE WHEN r % 2 = 1 THEN round((i + 2 * j) / 7.0::DOUBLE) ELSE round((3 * j - i) / 7.0::DOUBLE) END::BIGINT AS pj FROM up WHERE r > 0)))
+    SELECT station_id, lower(to_hex((1::BIGINT << 59) + (8::BIGINT << 52) + ((CASE WHEN j = -1 THEN 21 ELSE 19 END)::BIGINT << 45) + digits + 2097151)) AS zone_h3 FROM up WHERE r = 0 AND i = -1 AND j IN (-1, 0)) t ON t.station_id = s.station_id""", **H3)
+def q_h3_zones(c: Chain) -> DataFrame:
+    return zones.h3_zones(c.stations)
+
+
 @query()
 def q_linkage_zones(c: Chain) -> DataFrame:
     return zones.linkage_zones(c.stations, c.params.space.linkage_m)

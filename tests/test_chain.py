@@ -222,6 +222,23 @@ def test_radius_pairs_and_zones(spark):
     assert h["A"] != h["C"]
 
 
+def test_h3_cells(spark):
+    """Published ids of known points; neighbours share a cell, far points don't; each child lies under its parent; no id beyond the listed base cells."""
+    rows = [("square", 40.735863, -73.991084), ("near", 40.735863 + 50 / 111_000, -73.991084), ("far", 40.735863 + 5_000 / 111_000, -73.991084), ("statue", 40.689167, -74.044444), ("paris", 48.86, 2.35), ("pole", -89.0, 10.0), ("nowhere", None, -74.0)]
+    s = spark.createDataFrame(rows, "station_id string, lat double, lng double")
+    at = {k: {r.station_id: r.zone_h3 for r in zones.h3_zones(s, k).collect()} for k in (7, 8, 10)}
+    assert at[8]["square"] == at[8]["near"] == "882a100d27fffff" != at[8]["far"] and at[10]["statue"] == "8a2a1072b59ffff" and at[8]["statue"] == "882a1072b5fffff"
+    assert int(at[7]["square"][2:8], 16) == int(at[8]["square"][2:8], 16) and at[7]["square"].endswith("2ffffff")
+    assert at[8]["paris"] is at[8]["pole"] is at[8]["nowhere"] is None
+    grid = spark.range(4000).selectExpr("id AS station_id", "36 + (id % 64) * 0.15 AS lat", "-92 + (id div 64) * 0.3 AS lng")
+    both = zones.h3_zones(grid, 9).withColumnRenamed("zone_h3", "child").join(zones.h3_zones(grid, 8), "station_id").filter("child IS NOT NULL AND zone_h3 IS NOT NULL").collect()
+    digits = lambda cell, n: (int(cell, 16) >> 3 * (15 - n)) & ((1 << 45 - 3 * (15 - n)) - 1)
+    assert len(both) > 3000 and len({r.zone_h3 for r in both}) > 3000
+    assert sum(digits(r.child, 7) == digits(r.zone_h3, 7) for r in both) > 0.85 * len(both)  # sevenths do not tile their parent exactly
+    with pytest.raises(ValueError):
+        zones.h3_zones(s, 0)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=1, max_size=12, unique=True))
 def test_complete_linkage_keeps_its_cut(points):
