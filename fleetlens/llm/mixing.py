@@ -107,14 +107,15 @@ def emit_copies(docs: DataFrame, max_repeat: int = MAX_REPEAT, salts: int = SALT
 
     Sizes, order and copies are those of mix_sources. A document of no words
     counts for nothing in a mix of words and is kept as it is. The copies of
-    rows with one doc_id, source and size are handed out among them.
+    rows with one doc_id, source and size are handed out among them in the
+    order of their whole rows, so that a stage run again deals them alike.
     """
     mixed = mix_sources(docs, max_repeat, salts).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), words.alias("words"))
     joined = packed.join(mixed, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("of").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size")))
     once = joined.filter("rows = 1").select("row", "words", "copies")
-    at = F.row_number().over(W.partitionBy("id", "of", "words").orderBy(F.lit(1)))
+    at = F.row_number().over(W.partitionBy("id", "of", "words").orderBy(F.to_json("row")))
     share = F.floor(F.col("copies") * F.col("at") / F.col("rows")) - F.floor(F.col("copies") * (F.col("at") - 1) / F.col("rows"))
     more = joined.filter("rows > 1").withColumn("at", at).select("row", "words", share.alias("copies"))
     every = once.unionByName(more).withColumn("copies", F.when(F.col("words") == 0, 1).otherwise(F.col("copies"))).filter("copies > 0")

@@ -19,9 +19,8 @@ from ..session import ship
 from . import kernels
 from .sampling import held_out, training_ids
 
-#: Most labelled texts that are fetched to learn from, and pairs drawn of them.
+#: Most labelled texts whose features are fetched to learn from; every pair of them counts.
 MAX_LABELLED = 8000
-MAX_PAIRS = 60_000
 CUT = 0.3
 
 _CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",", "!", "?", "*", "%", "$", "#", "&", "|", "@", "<>", "{}[]()\\=;", "\"'", "-_+/~^`:"]
@@ -102,9 +101,11 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = MAX_PAIRS, ridge: float = 1.0, seed: int = 11) -> QualityModel:
-    """Strengths from preference pairs (label 1 before label 0).
+def fit_bradley_terry(x: np.ndarray, y: np.ndarray, ridge: float = 1 / 60_000, block: int = 500) -> QualityModel:
+    """Strengths from all preference pairs (label 1 before label 0): Newton steps on their mean loss, with a ridge penalty.
 
+    Sums over pairs are taken in blocks of texts of label 1, as products of the
+    block's features, its table of probabilities and the features of label 0.
     With labels of one class only there are no pairs: every score is the same.
     """
     mean, scale = x.mean(0) if len(x) else np.zeros(len(FEATURES)), x.std(0) if len(x) else np.ones(len(FEATURES))
@@ -112,14 +113,20 @@ def fit_bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = MAX_PAIRS, ridg
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return QualityModel(mean, scale, np.zeros(len(mean)), 0.0 if len(bad) else -10.0, 1.0)
-    rng = np.random.default_rng(seed)
-    n = min(pairs, len(good) * len(bad))
     z = np.clip((x - mean) / scale, -8, 8)
-    d = z[rng.choice(good, n)] - z[rng.choice(bad, n)]
-    w = np.zeros(d.shape[1])
+    zg, zb = z[good], z[bad]
+    pairs, w = len(good) * len(bad), np.zeros(z.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        move = np.linalg.solve((d.T * (p * (1 - p))) @ d + ridge * np.eye(len(w)), d.T @ (p - 1) + ridge * w)
+        slope, bend = ridge * w, ridge * np.eye(len(w))
+        below = zb @ w
+        for at in range(0, len(zg), block):
+            own = zg[at : at + block]
+            p = 1 / (1 + np.exp(-np.clip((own @ w)[:, None] - below, -30, 30)))
+            v = p * (1 - p)
+            slope = slope + (own.T @ (p - 1).sum(1) - zb.T @ (p - 1).sum(0)) / pairs
+            mixed = own.T @ v @ zb
+            bend = bend + ((own.T * v.sum(1)) @ own + (zb.T * v.sum(0)) @ zb - mixed - mixed.T) / pairs
+        move = np.linalg.solve(bend, slope)
         w -= move
         if np.abs(move).max() < 1e-8:
             break

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def held_out(doc_id: Column) -> Column:
@@ -22,9 +22,26 @@ MAX_BYTES = 128 << 20
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = MAX_BYTES) -> list[tuple[str, int]]:
-    """(text, label) of the sample, in hash order as far as most_bytes go; the ids are broadcast, as `most` bounds them."""
+    """(text, label) of the sample: in hash order, each text that still fits into most_bytes.
+
+    A text that doesn't fit is left out by itself; those behind it are still
+    taken. Of the texts of a repeated id the one of least hash counts. Labels
+    whose texts are all too long raise ValueError: a classifier that has
+    learned nothing would keep everything. Sizes and ids pass the driver first
+    (at most `most` rows), then the texts chosen.
+    """
     ids = F.broadcast(training_ids(labels, label, most))
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").withColumn("n", F.octet_length("text"))
-    running = F.sum("n").over(W.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))  # at most `most` rows, but for repeated ids
-    kept = found.withColumn("running", running).filter(F.col("running") <= most_bytes).select("doc_id", "text", "label").collect()
-    return [(r.text, r.label) for r in sorted(kept, key=lambda r: (r.doc_id, r.text))]
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").withColumn("hash", F.xxhash64("text"))
+    of_id = found.groupBy("doc_id").agg(F.min(F.struct("hash", F.octet_length("text").alias("n"))).alias("one"))
+    sized = of_id.select("doc_id", "one.hash", "one.n", F.xxhash64("doc_id").alias("order"))
+    chosen, held = [], 0
+    rows = sorted(sized.collect(), key=lambda r: (r.order, r.doc_id))
+    for r in rows:
+        if held + r.n <= most_bytes:
+            held += r.n
+            chosen.append((r.doc_id, r.hash))
+    if rows and not chosen:
+        raise ValueError(f"none of {len(rows)} labelled texts has at most {most_bytes} bytes")
+    wanted = docs.sparkSession.createDataFrame(chosen, sized.select("doc_id", "hash").schema)
+    kept = found.join(F.broadcast(wanted), ["doc_id", "hash"]).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).collect()
+    return [(r.text, r.label) for r in sorted(kept, key=lambda r: r.doc_id)]

@@ -5,13 +5,14 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.llm import components, counting, decontam, fingerprints, kernels, lm_score, mixing, near_dedup, quality, sharding, suffix_dedup, toxicity, url_filter
+from fleetlens.llm import components, counting, decontam, fingerprints, kernels, lm_score, mixing, near_dedup, quality, sampling, sharding, suffix_dedup, toxicity, url_filter
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, key string, score double, shard string, bucket int, copies int"
 
@@ -148,6 +149,31 @@ def test_mixing(spark):
     assert {r.doc_id: r["count"] for r in copies} == {r.doc_id: r.copies if r.size else 1 for r in got if r.copies or not r.size}
 
 
+def test_ties_among_repeated_ids_are_dealt_alike(spark):
+    """Rows of one id, source and size get the same copies, and the same row stays, however the rows are dealt."""
+    rng = random.Random(5)
+    body = [words_of(rng, 30) for _ in range(6)]
+    rows = [(7, body[i % 6], "a", i) for i in range(90)] + [(i, words_of(rng, 30), "b", i) for i in range(100, 110)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, at int")
+    for f in (mixing.emit_copies, near_dedup.drop_near_duplicates):
+        seen = [sorted((r.doc_id, r.text, r.at) for r in f(docs.repartition(n, "at")).collect()) for n in (1, 5)]
+        assert seen[0] == seen[1] and seen[0]
+
+
+def test_an_outsized_text_is_left_out_of_the_sample_alone(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:50]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in ids], "doc_id bigint, quality int, toxic int")
+    order = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    rows = [(i, "x" * (5000 if i == order[0] else 100), "a") for i in ids]
+    assert sorted(sampling.labelled_sample(table(spark, rows), labels, "toxic", 1000, 4900)) == sorted(("x" * 100, i % 2) for i in ids if i != order[0])
+    some = sampling.labelled_sample(table(spark, rows), labels, "toxic", 1000, 1000)
+    assert some == [("x" * 100, i % 2) for i in sorted(order[1:11])]
+    assert len(sampling.labelled_sample(table(spark, rows + rows + [(order[1], "y", "b")]), labels, "toxic", 1000)) == 50
+    assert sampling.labelled_sample(table(spark, rows), labels.filter("doc_id < 0"), "toxic", 1000) == []
+    with pytest.raises(ValueError):
+        sampling.labelled_sample(table(spark, rows), labels, "toxic", 1000, 99)
+
+
 # 3
 
 
@@ -449,11 +475,22 @@ def test_quality_learns_a_ranking(spark):
     got = quality.quality_scores(table(spark, rows), labels).collect()
     held = [r for r in got if r.held_out]
     assert sum(r.predicted == int(r.doc_id % 3 > 0) for r in held) / len(held) > 0.95 and all(0 <= r.score <= 1 for r in got)
-    import zlib
-
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def test_pairs_are_all_of_them():
+    """The weights are where the gradient over every pair of the two labels is 0, at any block size."""
+    rng = np.random.default_rng(3)
+    y = (rng.random(60) < 0.6).astype(int)
+    x = rng.normal(size=(60, len(quality.FEATURES))) + y[:, None] * 0.3
+    models = [quality.fit_bradley_terry(x, y, 1e-2, block) for block in (7, 1000)]
+    assert np.allclose(models[0].weights, models[1].weights, atol=1e-7)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, x.shape[1])
+    p = 1 / (1 + np.exp(-d @ models[0].weights))
+    assert np.abs(d.T @ (p - 1) / len(d) + 1e-2 * models[0].weights).max() < 1e-7
+
+
 def test_automaton_is_the_edit_distance():
     rng = random.Random(14)
     terms = ["idiotic", "moron", "scum", "lowe*", "abcde*"]
