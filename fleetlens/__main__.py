@@ -1,14 +1,16 @@
-"""Command line: python -m fleetlens ingest|unmet|report ... ; paths are whatever Spark reads."""
+"""Command line: python -m fleetlens ingest|unmet|allocate|report ... ; paths are whatever Spark reads."""
 
 from __future__ import annotations
 
 import argparse
 import json
+from collections.abc import Callable
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .operators import compare, demand, features, inventory, panel
+from .operators import allocate, compare, demand, features, inventory, panel
 from .params import load_params
+from .plans import chain
 from .session import exists, get_session, resumed
 from .sources import feeds, trips
 
@@ -40,6 +42,27 @@ def unmet(args: argparse.Namespace) -> None:
     demand.impute_months(ready, models, bias, f"{args.out}/unmet", p.run_edges)
 
 
+def allocate_moves(args: argparse.Namespace) -> None:
+    """Trip files to candidate moves, their ranking, what the budget funds, and how ranks hold over the elasticity sweep; prints the counts."""
+    params, spark = load_params(args.params), get_session("allocate")
+    rows = trips.keep_valid(trips.read_trips(spark, args.trips), params.ingest)
+    c = chain.chain_over(spark, params, rows, spark.read.parquet(args.stations))
+    p, written = params.allocation, {}
+
+    def phase(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        path = f"{args.out}/{name}"
+        written[name] = spark.read.parquet(path) if exists(spark, f"{path}/_SUCCESS") else resumed(make(), path)
+        return written[name]
+
+    phase("moves", lambda: c.moves)
+    ranking = phase("ranking", lambda: c.ranked)
+    phase("funded", lambda: allocate.budget_cutoff(ranking, p.budget))
+    tops = phase("tops", lambda: c.tops)
+    phase("stability", lambda: allocate.spearman_stability(tops))
+    phase("core", lambda: allocate.stable_core(tops, p.sweep_a[2] * p.sweep_b[2]))
+    print(json.dumps({name: table.count() for name, table in written.items()}))
+
+
 def report(args: argparse.Namespace) -> None:
     """Written results of replicates to a Markdown report."""
     spark = get_session("report")
@@ -61,6 +84,12 @@ def main(argv: list[str] | None = None) -> None:
     one.add_argument("--params")
     one.add_argument("--kind", choices=("poisson", "boosted"), default="boosted")
     one.set_defaults(run=unmet)
+    more = commands.add_parser("allocate", help=allocate_moves.__doc__)
+    more.add_argument("--trips", nargs="+", required=True, help="CSV files of either layout")
+    for name in ("stations", "out"):
+        more.add_argument(f"--{name}", required=True)
+    more.add_argument("--params")
+    more.set_defaults(run=allocate_moves)
     two = commands.add_parser("report", help=report.__doc__)
     for name in ("results", "treated"):
         two.add_argument(f"--{name}", required=True)

@@ -11,10 +11,10 @@ from .quantiles import exact_quantiles, grouped_rank
 
 
 def shuffle_key(seed: int, *columns: Column) -> Column:
-    """A fixed pseudo-random order of integers that other SQL engines can repeat: modular multiplication."""
+    """A fixed pseudo-random order of integers that other SQL engines can repeat: modular multiplication. Text that is no integer counts by its crc32."""
     out = F.lit(seed + 1).cast("bigint")
     for c in columns:
-        out = (out * 48271 + c.cast("bigint") * 16807 + 11) % 2147483647
+        out = (out * 48271 + F.coalesce(c.try_cast("bigint"), F.crc32(c.cast("string").cast("binary"))) * 16807 + 11) % 2147483647
     return out
 
 
@@ -24,7 +24,7 @@ def synthetic_runs(free: DataFrame, target: str, lengths: Sequence[int], runs_ea
     For every length L, up to runs_each stations with more than L rows are
     chosen in shuffled order; a run of L neighbouring rows of each, from a
     shuffled start, is capped at the station's quantile. free holds uncensored
-    rows, so a run may bridge a censored stretch. station_id is an integer.
+    rows, so a run may bridge a censored stretch.
     """
     rows = free.select("station_id", "interval_start", F.col(target).alias("true_D"))
     rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("station_id").orderBy("interval_start")) - 1)

@@ -178,6 +178,13 @@ class Chain:
         return allocate.elasticity_sweep(self.moves, self.cumulative, allocate.payout_grid(self.spark, p), allocate.elasticity_grid(self.spark, p), p)
 
 
+def chain_over(spark: SparkSession, params: Params, trips: DataFrame, stations: DataFrame) -> Chain:
+    """The chain over valid trips and a station table (station_id, capacity, lat, lng, zone_agg) of one's own; it has no weather."""
+    chain = Chain(spark, "", params)
+    chain.trips, chain.stations = trips, stations
+    return chain
+
+
 _chains: dict[tuple, Chain] = {}
 
 

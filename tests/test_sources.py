@@ -122,3 +122,25 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     (tmp_path / "trips.csv").write_text(lines[0])  # what is written isn't made again
     cli.main(arguments)
     assert spark.read.parquet(str(tmp_path / "out/unmet/2025-01")).count() == got.count()
+
+
+def test_allocate_command(spark, tmp_path, monkeypatch, capsys):
+    """Trips of one's own, with ids that are text, up to funded moves; a second run makes nothing again."""
+    import json
+
+    from fleetlens import __main__ as cli
+
+    lines = ["ride_id,rideable_type,started_at,ended_at,start_station_name,start_station_id,end_station_name,end_station_id,start_lat,start_lng,end_lat,end_lng,member_casual"]
+    lines += [f"r{i},b,2025-01-{6 + i % 21:02d} {(i * 7) % 24:02d}:{i % 4 * 15:02d}:00,2025-01-{6 + i % 21:02d} {(i * 7) % 24:02d}:{i % 4 * 15 + 10:02d}:00,A,{'s0' if i % 3 else 's1'},B,{'s1' if i % 5 else 's2'},1,1,1,1,member" for i in range(900)]
+    (tmp_path / "trips.csv").write_text("\n".join(lines))
+    spark.createDataFrame([(f"s{i}", 3, 40.7, -74.0 + i / 1000, "z") for i in range(3)], "station_id string, capacity int, lat double, lng double, zone_agg string").write.parquet(str(tmp_path / "stations"))
+    (tmp_path / "params.yaml").write_text("demand:\n  holdout_start: '2025-01-20'\n  runs_each: 3\n  min_bias_n: 2\nvalue:\n  min_weeks: 2\n  low_inventory: 1.0\nallocation:\n  budget: 5.0\n  origin_max_low: 0.5\n")
+    monkeypatch.setattr(cli, "get_session", lambda *_: spark)
+    arguments = ["allocate", "--trips", str(tmp_path / "trips.csv"), "--stations", str(tmp_path / "stations"), "--out", str(tmp_path / "out"), "--params", str(tmp_path / "params.yaml")]
+    cli.main(arguments)
+    counts = json.loads(capsys.readouterr().out)
+    print(counts)
+    assert set(counts) == {"moves", "ranking", "funded", "tops", "stability", "core"} and counts["funded"] <= counts["ranking"] <= counts["moves"]
+    (tmp_path / "trips.csv").write_text(lines[0])
+    cli.main(arguments)
+    assert json.loads(capsys.readouterr().out.splitlines()[-1]) == counts
