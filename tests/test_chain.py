@@ -418,3 +418,23 @@ def test_bucketed_tables_spare_shuffles_by_station(spark, tmp_path):
     assert "hashpartitioning(station_id" not in made._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(station_id" in plain._jdf.queryExecution().executedPlan().toString()
     assert made.exceptAll(plain).count() == 0 and made.count() == 2000
+
+
+def test_dense_panel_is_not_broadcast(spark):
+    """A filter that takes zeros out must not turn the dense rows into the small side of a join; tasks are not merged by the size of the sparse rows."""
+    at = F.lit("2025-01-06 00:00:00").cast("timestamp_ntz")
+    ends = spark.range(400).select((F.col("id") % 40).alias("start_station_id"), F.timestamp_add("HOUR", (F.col("id") * 7 % 700).cast("int"), at).alias("started_at"), ((F.col("id") + 1) % 40).alias("end_station_id"), F.timestamp_add("HOUR", (F.col("id") * 7 % 700).cast("int") + 1, at).alias("ended_at"))
+    s = spark.range(40).selectExpr("id AS station_id", "cast(id % 5 AS int) AS capacity", "40.7D AS lat", "-74.0D AS lng", "'z' AS zone_agg")
+    dense = panel.build_counts(ends, s)
+    usable = inventory.usable_panel(dense)
+    seen = {(r.station_id, r.interval_start): (r.departures, r.arrivals) for r in panel.combine_observed(ends).collect()}
+    rows = dense.collect()
+    assert {(r.station_id, r.interval_start): (r.departures, r.arrivals) for r in rows if r.departures + r.arrivals} == seen
+    per = {i: [r.interval_start for r in rows if r.station_id == i] for i in range(40)}
+    assert all(len(set(x)) == len(x) == (max(x) - min(x)).total_seconds() / 900 + 1 for x in per.values()) and len(rows) > 50 * len(seen)
+    assert dense.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    moved = usable.filter("net_flow != 0").select("station_id", "interval_start")
+    moved.collect()
+    plan = moved._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    sides = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert not any("interval_start" in line for line in sides)
