@@ -438,3 +438,17 @@ def test_dense_panel_is_not_broadcast(spark):
     plan = moved._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     sides = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert not any("interval_start" in line for line in sides)
+
+
+def test_linkage_in_tiles_is_linkage_of_all(spark, monkeypatch):
+    """One component over many squares, with exact ties: rounds of tiles give what the whole matrix gives, and no task makes that matrix."""
+    rng = np.random.default_rng(11)
+    rows = [(int(i), 40.5 + float(a), -74.0 + float(b)) for i, a, b in zip(rng.permutation(900), rng.uniform(0, 0.4, 900), rng.uniform(0, 0.1, 900), strict=True)]
+    rows += [(1000 + i, rows[i][1], rows[i][2]) for i in range(30)]
+    stations = spark.createDataFrame(rows, "station_id bigint, lat double, lng double")
+    east, north = C.utm_metres(F.col("lat"), F.col("lng"))
+    placed = stations.select("station_id", east.alias("x"), north.alias("y")).toPandas().sort_values("station_id").reset_index(drop=True)
+    root = zones.complete_linkage(placed["x"].to_numpy(), placed["y"].to_numpy(), 700.0)
+    monkeypatch.setattr(zones, "complete_linkage", None)
+    got = {r.station_id: r.zone_link for r in zones.linkage_zones(stations, 700.0, tile_stations=40).collect()}
+    assert got == {s: f"c{placed['station_id'][root == r].min()}" for s, r in zip(placed["station_id"], root, strict=True)}
