@@ -420,6 +420,19 @@ def test_bucketed_tables_spare_shuffles_by_station(spark, tmp_path):
     assert made.exceptAll(plain).count() == 0 and made.count() == 2000
 
 
+def test_stored_rows_are_joined_by_their_real_size(spark, tmp_path):
+    """Rows whose files are small since their values repeat must not be taken for a table to broadcast; a small table still is."""
+    from fleetlens.session import bucketed, tabled
+
+    rows = spark.range(800_000).select((F.col("id") % 3).alias("station_id"), F.lit(1.5).alias("x"), F.lit("z1").alias("zone_agg"))
+    few = spark.range(3).select(F.col("id").alias("station_id"), F.lit(2).alias("capacity"))
+    for name, kept in (("a", tabled(rows, str(tmp_path / "a"))), ("b", bucketed(rows, str(tmp_path / "b"), "station_id"))):
+        assert sum(f.stat().st_size for f in (tmp_path / name).iterdir()) < 1 << 20 and kept.count() == 800_000
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan(kept.withColumnRenamed("x", "own").join(kept.select("station_id", "x"), "station_id"))
+        assert "BroadcastHashJoin" in plan(kept.join(tabled(few, str(tmp_path / f"few_{name}")), "station_id"))
+
+
 def test_dense_panel_is_not_broadcast(spark):
     """A filter that takes zeros out must not turn the dense rows into the small side of a join; tasks are not merged by the size of the sparse rows."""
     at = F.lit("2025-01-06 00:00:00").cast("timestamp_ntz")
