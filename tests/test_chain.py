@@ -433,6 +433,13 @@ def test_stored_rows_are_joined_by_their_real_size(spark, tmp_path):
         assert "BroadcastHashJoin" in plan(kept.join(tabled(few, str(tmp_path / f"few_{name}")), "station_id"))
 
 
+def test_cubes_of_the_radius_join_are_not_broadcast(spark):
+    stations = spark.range(60).selectExpr("id AS station_id", "40.7D + 0.002D * floor(id / 12) AS lat", "-74.0D + 0.002D * (id % 12) AS lng")
+    pairs = zones.radius_pairs(stations, 400.0)
+    assert pairs.count() == pairs.select("station_id", "neighbor_id").distinct().count() > 60
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dense_panel_is_not_broadcast(spark):
     """A filter that takes zeros out must not turn the dense rows into the small side of a join; tasks are not merged by the size of the sparse rows."""
     at = F.lit("2025-01-06 00:00:00").cast("timestamp_ntz")
