@@ -43,7 +43,8 @@ def powers(n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i < n, of the first or the second base."""
     base = int(_SECOND if second else _BASE)
     if base not in _powers or len(_powers[base][0]) < n:
-        m = max(n, 2 * len(_powers[base][0]) if base in _powers else 0, (SLICE_BYTES >> 2 * second) + 4096)
+        whole = (SLICE_BYTES >> 2 * second) + 4096
+        m = whole >> 2 if n <= whole >> 2 else whole if n <= whole else max(n, 2 * len(_powers[base][0]) if base in _powers else 0)
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(m, b, np.uint64)

@@ -37,13 +37,17 @@ SMALL_BUCKET = 8
 PEERS = 32
 #: Cells by which texts that are in no pair are kept out of shuffles (the most rows of that broadcast).
 CELLS = 1 << 20
+#: Bytes of text that a worker shingles at once.
+SLICE_BYTES = 1 << 19
+#: Pairs of texts that are verified at once.
+PAIRS = 32
 #: Bytes of text that a block of a large bucket holds.
 BLOCK_BYTES = 4 << 20
 
 
 def _peers(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Row, hash (distinct) and number of rows for runs of at least PEERS rows, or all."""
-    runs, rows, hashes, held = list(kernels.slices(texts)), [], [], 0
+    runs, rows, hashes, held = list(kernels.slices(texts, SLICE_BYTES)), [], [], 0
     for i, (at, end, data, offsets) in enumerate(runs):
         r, h, _ = kernels.counted(*kernels.shingles(data, offsets))
         rows.append(r + held)
@@ -78,7 +82,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         def tally(batches: Iterator[pa.RecordBatch], wanted: np.ndarray = wanted) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(wanted), np.int64)
             for batch in batches:
-                for _, _, data, offsets in kernels.slices(batch.column("text")):
+                for _, _, data, offsets in kernels.slices(batch.column("text"), SLICE_BYTES):
                     _, h, _ = kernels.counted(*kernels.shingles(data, offsets))
                     at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
                     total += np.bincount(at[wanted[at] == h], minlength=len(wanted))
@@ -146,7 +150,7 @@ def signature_rows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> Da
     """doc_id, key (hash of the text), bands array<long> (empty for a text without words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, data, offsets in kernels.slices(batch.column("text")):
+            for at, end, data, offsets in kernels.slices(batch.column("text"), SLICE_BYTES):
                 sig = signatures(data, offsets, common)
                 bands = np.zeros((len(sig), BINS // BAND), np.uint64)
                 for j in range(BAND):
@@ -255,7 +259,7 @@ def open_links(docs: DataFrame, opened: DataFrame, common: tuple[np.ndarray, np.
 def laid_out(texts: pa.ChunkedArray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, number of the shingle (equal ones have equal numbers) and weight of the distinct shingles of all texts, in order of rows, and each text's total."""
     rows, hashes, counts = [], [], []
-    for at, _, data, offsets in kernels.slices(texts):
+    for at, _, data, offsets in kernels.slices(texts, SLICE_BYTES):
         r, h, tf = kernels.counted(*kernels.shingles(data, offsets))
         rows.append(r + at)
         hashes.append(h)
@@ -291,8 +295,8 @@ def verified_pairs(docs: DataFrame, texts: DataFrame, pairs: DataFrame, common:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                own = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, PAIRS):
+                own = batch.slice(at, PAIRS)
                 s = pair_similarity(own.column("a_text"), own.column("b_text"), common)
                 yield pa.RecordBatch.from_arrays([own.column("a"), own.column("b"), pa.array(s)], ["u", "v", "similarity"])
 

@@ -251,6 +251,20 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({root(i) for i in bags}) and kept.columns == table(spark, rows).columns
 
 
+def test_shingling_takes_little_memory_at_once():
+    """What a worker holds follows the slice, not the batch; the hashes are those of the texts one by one."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 500)) for _ in range(2000)]
+    kernels._powers.clear()
+    tracemalloc.start()
+    held = sum(len(h) for _, h, _ in near_dedup._peers(pa.array(texts)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and held == sum(len(h) for t in texts for _, h, _ in near_dedup._peers(pa.array([t])))
+
+
 def test_near_copies_in_a_template_family_are_found(spark):
     rng = random.Random(16)
     template = words_of(rng, 150).split()
