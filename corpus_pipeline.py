@@ -8,6 +8,7 @@ documents, and the shard).
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -38,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Null and empty texts are one class; rows with a null id come last.
     """
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, most_idf=math.inf)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

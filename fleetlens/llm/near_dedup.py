@@ -1,11 +1,13 @@
 """MinHash near-dedup by improved consistent weighted sampling (ICWS).
 
 A text is the weighted set of its five-word shingles, weight = tf * idf. idf is
-log2((N + 1) / df), cut off at 1: a shingle in at most half of the texts weighs
-its tf, one in more weighs less, so that what (nearly) all documents share does
-not link them, while a group of copies with a third of all rows does not thin
-out its own shingles. Shingles in over half of the texts are found exactly, and
-there are fewer than twice the mean number of shingles in a text.
+log2((N + 1) / df), where df, the number of texts that hold the shingle, is
+counted exactly for every shingle of the corpus (see counting: shingles travel
+once a chunk of texts, in blocks, and the counts come back to the chunk). A
+text's counts stay with its signature, so that whatever weighs its shingles
+later needs no further count. most_idf cuts the idf off; at 1, the default of
+near_duplicates, a shingle in at most half of the texts weighs its tf and one in
+more weighs less. The queries cut nothing off.
 
 Every shingle falls into one of BINS bins and gets its ICWS draw there, so a
 signature costs one draw a shingle; empty bins borrow from the nearest full
@@ -18,15 +20,19 @@ open_links). So the classes are those of all similar pairs that share a band.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import ship
-from . import kernels
+from . import counting, kernels
 from .components import connected_components
+from .lm_score import hash_mask
 from .storage import cut
 
 BINS, BAND = 64, 4
@@ -63,6 +69,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     Such a shingle is in over half of the texts of some run, so every run of
     texts names its own, and those named are then counted over all texts.
+    near_duplicates counts every shingle instead.
     """
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,13 +103,20 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h, np.maximum(np.log2((n + 1) / np.array([x for _, x in found], float)), 1e-3)
 
 
-def weights(h: np.ndarray, tf: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """tf * idf of shingles."""
-    w = tf.astype(float)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
-        w = np.where(common[0][at] == h, w * common[1][at], w)
-    return w
+@dataclass(frozen=True)
+class Idf:
+    """log2((n + 1) / df) of shingles in df of n texts, most at most."""
+
+    n: int
+    most: float = math.inf
+
+    def __call__(self, df: np.ndarray) -> np.ndarray:
+        return np.clip(np.log2((self.n + 1) / df), 1e-3, self.most)
+
+
+def _held(dfs: list[bytes]) -> np.ndarray:
+    """The counts of texts' shingles, one text behind the other."""
+    return np.concatenate([np.zeros(0, np.uint64), *(counting.unplanes(b, 5) for b in dfs)]).astype(float)
 
 
 def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
@@ -118,14 +132,12 @@ def icws(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.log(c) - r * (t - beta) - r, kernels.mix(h ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
 
 
-def signatures(data: np.ndarray, offsets: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """BINS values a text, as uint64; a text without words has zeros."""
-    rows = len(offsets) - 1
-    row, h, tf = kernels.counted(*kernels.shingles(data, offsets))
+def signatures(rows: int, row: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """BINS values a text, as uint64, from the row, hash and weight of the distinct shingles; a text without words has zeros."""
     out = np.zeros(rows * BINS, np.uint64)
     if not len(h):
         return out.reshape(rows, BINS)
-    ln_a, name = icws(h, weights(h, tf, common))
+    ln_a, name = icws(h, w)
     cell = row * BINS + (kernels.mix(h + np.uint64(77)) % np.uint64(BINS)).astype(np.int64)
     order = np.lexsort((name, ln_a, cell))
     cell, name = cell[order], name[order]
@@ -146,21 +158,85 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def signature_rows(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, key (hash of the text), bands array<long> (empty for a text without words)."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """chunk, packed: runs of rows (doc_id, key, text) of up to CHUNK_BYTES of text, compressed and named by their content."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, data, offsets in kernels.slices(batch.column("text"), SLICE_BYTES):
-                sig = signatures(data, offsets, common)
-                bands = np.zeros((len(sig), BINS // BAND), np.uint64)
-                for j in range(BAND):
-                    bands = kernels.mix(bands + sig[:, j::BAND])
-                some = sig.any(1)
-                size = np.concatenate(([0], np.cumsum(np.where(some, bands.shape[1], 0)))).astype(np.int32)
-                own = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("key"), pa.ListArray.from_arrays(pa.array(size), pa.array(bands[some].ravel().view(np.int64)))], ["doc_id", "key", "bands"])
+            for at, end, _, _ in kernels.slices(batch.column("text"), counting.CHUNK_BYTES):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch.slice(at, end - at))
+                packed = sink.getvalue().to_pybytes()
+                name = int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little", signed=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([packed], pa.binary())], ["chunk", "packed"])
+
+    rows = docs.select("doc_id", text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "chunk bigint, packed binary")
+
 
-    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, "doc_id bigint, key bigint, bands array<bigint>")
+def _unpacked(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in table.column("packed").to_pylist()])
+
+
+def _shingled(texts: pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First and end row of a slice; row (in the slice), hash and tf of its texts' distinct shingles."""
+    for at, end, data, offsets in kernels.slices(texts, SLICE_BYTES):
+        yield at, end, *kernels.counted(*kernels.shingles(data, offsets))
+
+
+def signature_rows(docs: DataFrame, size: int, idf: Idf) -> DataFrame:
+    """doc_id, key (hash of the text), bands array<long> (empty for a text without words), dfs (in how many texts each of its shingles is, by order of hash).
+
+    size: bytes of all texts. Hashes are first asked for by so few leading bits
+    that one in 32 meets another by chance; a shingle that meets none is in one
+    text, and only the others are asked for by all their bits.
+    """
+    mask = hash_mask(size)
+    short = mask & np.uint64((1 << 64) - (1 << (64 - min(48, max(size, 64).bit_length() + 3))))
+    chunks = _packed(docs)
+
+    def often(hashes: np.ndarray, totals: counting.Totals) -> np.ndarray:
+        """Whether each hash is asked for by all its bits."""
+        _, where = np.unique(hashes & short, return_inverse=True)
+        return totals["short"][where] > 1 if len(where) else np.zeros(0, bool)
+
+    def held(table: pa.Table) -> np.ndarray:
+        return np.concatenate([h for *_, h, _ in _shingled(_unpacked(table).column("text"))])
+
+    def first(table: pa.Table, _: counting.Totals) -> counting.Keys:
+        return {"short": counting.tally([held(table) & short])[0]}
+
+    def then(table: pa.Table, totals: counting.Totals) -> counting.Keys:
+        hashes = held(table)
+        return {"df": counting.tally([hashes[often(hashes, totals)] & mask])[0]}
+
+    def result(table: pa.Table, totals: counting.Totals) -> pa.Table:
+        table = _unpacked(table)
+        slices = list(_shingled(table.column("text")))
+        hashes = np.concatenate([h for *_, h, _ in slices])
+        asked = often(hashes, totals)
+        counts = np.ones(len(hashes), np.int64)
+        _, where = np.unique(hashes[asked] & mask, return_inverse=True)
+        if len(where):
+            counts[asked] = totals["df"][where]
+        bands, sizes, dfs, done = [], [], [], 0
+        for at, end, row, h, tf in slices:
+            df, done = counts[done : done + len(h)], done + len(h)
+            sig = signatures(end - at, row, h, tf * idf(df))
+            some = sig.any(1)
+            band = np.zeros((end - at, BINS // BAND), np.uint64)
+            for j in range(BAND):
+                band = kernels.mix(band + sig[:, j::BAND])
+            bands.append(band[some].ravel().view(np.int64))
+            sizes.append(np.where(some, BINS // BAND, 0))
+            dfs += [counting.planes(own, 5) for own in np.split(df, np.searchsorted(row, np.arange(1, end - at)))]
+        ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands)))
+        return pa.table({"doc_id": table.column("doc_id"), "key": table.column("key"), "bands": listed, "dfs": pa.array(dfs, pa.binary())})
+
+    answers = counting.ask(chunks, first, ["short"], size)
+    answers = answers.unionByName(counting.ask(chunks, then, ["df"], size, answers, ("short",)), allowMissingColumns=True)
+    return counting.tell(chunks, answers, ["short", "df"], result, "doc_id bigint, key bigint, bands array<bigint>, dfs binary")
 
 
 def candidate_pairs(texts: DataFrame) -> DataFrame:
@@ -204,15 +280,15 @@ def fetched(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def open_buckets(texts: DataFrame, of: DataFrame) -> DataFrame:
-    """key, id, component, bands, open (the bands in which the text is in a large bucket of several components)."""
-    named = texts.join(of, F.col("key") == F.col("node"), "left").select("key", F.col("first_id").alias("id"), F.coalesce("component", "key").alias("component"), "bands")
+    """key, id, component, bands, dfs, open (the bands in which the text is in a large bucket of several components)."""
+    named = texts.join(of, F.col("key") == F.col("node"), "left").select("key", F.col("first_id").alias("id"), F.coalesce("component", "key").alias("component"), "bands", "dfs")
     bands = named.select("key", "component", F.posexplode("bands").alias("i", "band"))
     mixed = bands.groupBy("i", "band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter((F.col("n") > SMALL_BUCKET) & (F.col("low") < F.col("high")))
     opened = bands.join(mixed.select("i", "band"), ["i", "band"]).groupBy("key").agg(F.collect_list("i").alias("open"))
     return named.join(opened, "key")
 
 
-def open_links(docs: DataFrame, opened: DataFrame, common: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+def open_links(docs: DataFrame, opened: DataFrame, idf: Idf, threshold: float) -> DataFrame:
     """u, v: components that a similar pair of some open bucket links.
 
     The members of a bucket are dealt to blocks of BLOCK_BYTES by a hash, and
@@ -222,17 +298,17 @@ def open_links(docs: DataFrame, opened: DataFrame, common: tuple[np.ndarray, np.
     is taken in the first of them. Only linked components leave the task.
     """
     held = cut(fetched(docs, opened).distinct().withColumn("n_bytes", F.octet_length("text")))
-    member = held.select("key", "component", "bands", "text", "n_bytes", F.explode("open").alias("i")).withColumn("band", F.element_at("bands", F.col("i") + 1))
+    member = held.select("key", "component", "bands", "dfs", "text", "n_bytes", F.explode("open").alias("i")).withColumn("band", F.element_at("bands", F.col("i") + 1))
     sizes = held.select("bands", "n_bytes", F.explode("open").alias("i")).groupBy("i", F.element_at("bands", F.col("i") + 1).alias("band")).agg(F.ceil(F.sum("n_bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
     dealt = member.join(sizes, ["i", "band"]).withColumn("own", F.pmod(F.xxhash64("key"), F.greatest("blocks", F.lit(1))).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)).alias("other"))
-    dealt = dealt.select("i", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("second"), "component", "bands", "text")
+    dealt = dealt.select("i", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("second"), "component", "bands", "dfs", "text")
 
     def run(table: pa.Table) -> pa.Table:
         i, p, q = (table.column(c)[0].as_py() for c in ("i", "p", "q"))
         second, component = table.column("second").to_numpy(), table.column("component").to_numpy()
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
-        row, ids, w, total = laid_out(table.column("text"), common)
+        row, ids, w, total = laid_out(table.column("text"), table.column("dfs").to_pylist(), idf)
         begin = np.searchsorted(row, np.arange(len(table) + 1))
         weight = np.zeros(int(ids.max()) + 1 if len(ids) else 1)
         left, right = (np.arange(len(table)),) * 2 if p == q else (np.flatnonzero(~second), np.flatnonzero(second))
@@ -256,7 +332,7 @@ def open_links(docs: DataFrame, opened: DataFrame, common: tuple[np.ndarray, np.
     return dealt.groupBy("i", "band", "p", "q").applyInArrow(run, "u bigint, v bigint").distinct()
 
 
-def laid_out(texts: pa.ChunkedArray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def laid_out(texts: pa.ChunkedArray, dfs: list[bytes], idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, number of the shingle (equal ones have equal numbers) and weight of the distinct shingles of all texts, in order of rows, and each text's total."""
     rows, hashes, counts = [], [], []
     for at, _, data, offsets in kernels.slices(texts, SLICE_BYTES):
@@ -265,18 +341,19 @@ def laid_out(texts: pa.ChunkedArray, common: tuple[np.ndarray, np.ndarray]) -> t
         hashes.append(h)
         counts.append(tf)
     row, h, tf = (np.concatenate(x) for x in (rows, hashes, counts))
-    w = weights(h, tf, common)
+    w = tf * idf(_held(dfs))
     _, ids = np.unique(h, return_inverse=True)
     return row, ids, w, np.bincount(row, w, minlength=len(texts))
 
 
-def pair_similarity(a: pa.Array, b: pa.Array, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def pair_similarity(a: pa.Array, b: pa.Array, a_dfs: pa.Array, b_dfs: pa.Array, idf: Idf) -> np.ndarray:
     """Exact weighted Jaccard similarity of a[i] and b[i]; 0 where neither has a word."""
     both = pa.array([x for pair in zip(a.to_pylist(), b.to_pylist(), strict=True) for x in pair], pa.large_utf8())
+    dfs = [x for pair in zip(a_dfs.to_pylist(), b_dfs.to_pylist(), strict=True) for x in pair]
     low, total = np.zeros(len(a)), np.zeros(len(a))
     for at, end, data, offsets in kernels.slices(both, 1 << 40):
         row, h, tf = kernels.counted(*kernels.shingles(data, offsets))
-        w = weights(h, tf, common)
+        w = tf * idf(_held(dfs[at:end]))
         pair = (row + at) >> 1
         total += np.bincount(pair, w, minlength=len(a))
         order = np.lexsort((h, pair))
@@ -286,41 +363,43 @@ def pair_similarity(a: pa.Array, b: pa.Array, common: tuple[np.ndarray, np.ndarr
     return np.divide(low, total - low, out=np.zeros(len(a)), where=total > low)
 
 
-def verified_pairs(docs: DataFrame, texts: DataFrame, pairs: DataFrame, common: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+def verified_pairs(docs: DataFrame, texts: DataFrame, pairs: DataFrame, idf: Idf, threshold: float) -> DataFrame:
     """u, v, similarity of the pairs (a, b) that reach the threshold. A text is fetched from its row with the least doc_id."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", F.col("first_id").alias("id")), "key")
-    held = cut(fetched(docs, wanted).select("key", "text").distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", F.col("first_id").alias("id"), "dfs"), "key")
+    held = cut(fetched(docs, wanted).select("key", "text", "dfs").distinct())
     for s in ("a", "b"):
-        pairs = pairs.join(held.select(F.col("key").alias(s), F.col("text").alias(f"{s}_text")), s)
+        pairs = pairs.join(held.select(F.col("key").alias(s), F.col("text").alias(f"{s}_text"), F.col("dfs").alias(f"{s}_dfs")), s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, PAIRS):
                 own = batch.slice(at, PAIRS)
-                s = pair_similarity(own.column("a_text"), own.column("b_text"), common)
+                s = pair_similarity(*(own.column(c) for c in ("a_text", "b_text", "a_dfs", "b_dfs")), idf)
                 yield pa.RecordBatch.from_arrays([own.column("a"), own.column("b"), pa.array(s)], ["u", "v", "similarity"])
 
-    return pairs.select("a", "b", "a_text", "b_text").mapInArrow(run, "u bigint, v bigint, similarity double").filter(F.col("similarity") >= threshold)
+    return pairs.select("a", "b", "a_text", "b_text", "a_dfs", "b_dfs").mapInArrow(run, "u bigint, v bigint, similarity double").filter(F.col("similarity") >= threshold)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, most_idf: float = 1.0) -> DataFrame:
     """doc_id, text_key, class_id, kept.
 
     class_id is the least doc_id of the class (null if it has null ids only),
     kept marks the row (of repeated rows: all) with the class's id and, of its
     texts with that id, the one with the least key. doc_id is a bigint. Null text counts as empty; equal texts, empty ones among them, are
     one class. A text with words but fewer than five is one shingle. An empty
-    table gives no rows. Other columns are ignored.
+    table gives no rows. Other columns are ignored. most_idf cuts the idf off
+    (math.inf: nowhere).
     """
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    common = common_shingles(docs)
-    rows = cut(signature_rows(docs, common))
-    texts = cut(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
-    of = connected_components(verified_pairs(docs, texts, cut(candidate_pairs(texts)), common, threshold).select("u", "v"))
+    size, n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    idf = Idf(n, most_idf)
+    rows = cut(signature_rows(docs, size, idf))
+    texts = cut(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("dfs").alias("dfs")))
+    of = connected_components(verified_pairs(docs, texts, cut(candidate_pairs(texts)), idf, threshold).select("u", "v"))
     opened = cut(open_buckets(texts, of))
     if not opened.isEmpty():
-        joined = connected_components(open_links(docs, opened, common, threshold)).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        joined = connected_components(open_links(docs, opened, idf, threshold)).select(F.col("node").alias("component"), F.col("component").alias("joined"))
         of = of.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component")).unionByName(joined.select(F.col("component").alias("node"), F.col("joined").alias("component")))
         of = of.distinct()
     keyed = texts.select("key", "first_id").join(of, F.col("key") == F.col("node"), "left").select("key", "first_id", F.coalesce("component", "key").alias("component"))
@@ -330,9 +409,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.select("doc_id", "text_key", "class_id", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, most_idf: float = 1.0) -> DataFrame:
     """docs with one row of each class, all columns kept; of rows with the kept id and text, the one whose JSON text comes first."""
-    kept = near_duplicates(docs, threshold).filter("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"))
+    kept = near_duplicates(docs, threshold, most_idf).filter("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"))
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text_key().alias("key"))
     joined = packed.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")))
     once = joined.filter("copies = 1").select("row")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from pathlib import Path
 
@@ -27,7 +28,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), most_idf=math.inf).drop("text_key")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,6 +303,39 @@ def test_common_shingles_are_found(spark):
     assert len(h) == 6 and np.allclose(idf, np.log2(401 / 240))
 
 
+def test_queries_weigh_by_the_whole_idf(spark, tmp_path):
+    """op4 and the pipeline's stage against brute force: a shingle's weight follows its df below half of the texts too."""
+    import corpus_pipeline
+    from fleetlens.llm import queries
+
+    rng = random.Random(26)
+    shared, rows = [words_of(rng, 45).split() for _ in range(4)], []
+    for i in range(60):
+        own = words_of(rng, 20).split()
+        rows.append((3 * i, " ".join(shared[i % 4] + own), "a"))
+        rows.append((3 * i + 1, " ".join(shared[i % 4] + own[: 20 - i % 7] + words_of(rng, i % 7).split()), "a"))
+        rows.append((3 * i + 2, words_of(rng, 60), "a"))
+    rows += [(1000, "", "a"), (1001, None, "a"), (1002, "one", "a")]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    bags = {i: bag(t or "") for i, t, _ in rows}
+    df = collections.Counter(s for b in bags.values() for s in b)
+
+    def classes(weight):
+        of = {i: i for i in bags}
+        for i, j in ((i, j) for i in bags for j in bags if j < i and (bags[i] & bags[j] or not bags[i] + bags[j])):
+            low = sum(weight(s) * c for s, c in (bags[i] & bags[j]).items())
+            if low >= 0.8 * sum(weight(s) * c for s, c in (bags[i] | bags[j]).items()):
+                a, b = sorted((of[i], of[j]))
+                of = {k: a if c == b else c for k, c in of.items()}
+        return of
+
+    want, flat = classes(lambda s: math.log2((len(rows) + 1) / df[s])), classes(lambda s: 1.0)
+    assert want != flat and len(set(want.values())) < len(rows)
+    assert {r.doc_id: r.class_id for r in queries.QUERIES["op4_near_dedup"](spark, str(tmp_path)).collect()} == want
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
