@@ -17,18 +17,18 @@ def training_ids(labels: DataFrame, label: str, most: int) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-#: Most bytes of labelled texts that are fetched.
+#: Most bytes of labelled texts that are learned from.
 MAX_BYTES = 128 << 20
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = MAX_BYTES) -> list[tuple[str, int]]:
-    """(text, label) of the sample: in hash order, each text that still fits into most_bytes.
+def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = MAX_BYTES) -> DataFrame:
+    """doc_id, text, label of the sample: in hash order, each text that still fits into most_bytes.
 
     A text that doesn't fit is left out by itself; those behind it are still
     taken. Of the texts of a repeated id the one of least hash counts. Labels
     whose texts are all too long raise ValueError: a classifier that has
-    learned nothing would keep everything. Sizes and ids pass the driver first
-    (at most `most` rows), then the texts chosen.
+    learned nothing would keep everything. Sizes and ids pass the driver (at
+    most `most` rows), the texts don't.
     """
     ids = F.broadcast(training_ids(labels, label, most))
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").withColumn("hash", F.xxhash64("text"))
@@ -43,5 +43,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, m
     if rows and not chosen:
         raise ValueError(f"none of {len(rows)} labelled texts has at most {most_bytes} bytes")
     wanted = docs.sparkSession.createDataFrame(chosen, sized.select("doc_id", "hash").schema)
-    kept = found.join(F.broadcast(wanted), ["doc_id", "hash"]).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).collect()
+    return found.join(F.broadcast(wanted), ["doc_id", "hash"]).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = MAX_BYTES) -> list[tuple[str, int]]:
+    """(text, label) of sampled_texts by doc_id, fetched to the driver."""
+    kept = sampled_texts(docs, labels, label, most, most_bytes).collect()
     return [(r.text, r.label) for r in sorted(kept, key=lambda r: r.doc_id)]

@@ -27,10 +27,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import ship
 from . import kernels
-from .sampling import held_out, labelled_sample
+from .sampling import held_out, sampled_texts
 from .storage import free_name
 
-#: Most labelled texts that are fetched to learn from.
+#: Most labelled texts that are learned from.
 MAX_LABELLED = 8000
 #: Code points on either side of a hit that are looked at for quotation, reporting and context.
 WINDOW = 48
@@ -347,15 +347,14 @@ class ToxicityModel:
     def to_json(self) -> str:
         return json.dumps({"lexicon": self.lexicon, "weights": self.weights.tolist(), "bias": self.bias, "context": self.context})
 
+    @classmethod
+    def from_json(cls, text: str) -> ToxicityModel:
+        read = json.loads(text)
+        return cls(read["lexicon"], np.array(read["weights"]), read["bias"], read["context"])
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
-    """A model from at most max_labelled texts whose crc32(doc_id) mod 5 isn't 0 (hash order).
 
-    Where no label is at hand, or only one class, or no term marks the toxic
-    texts, nothing is toxic.
-    """
-    rows = labelled_sample(docs, labels, "toxic", max_labelled)
-    texts, toxic = [r[0] for r in rows], np.array([r[1] for r in rows], float)
+def learn(texts: list[str], toxic: np.ndarray) -> ToxicityModel:
+    """A model from labelled texts; if they have only one class, or no term marks the toxic ones, nothing is toxic."""
     nothing = ToxicityModel([], np.zeros(len(FEATURES)), -4.0)
     if not 0 < toxic.sum() < len(toxic):
         return nothing
@@ -374,6 +373,23 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     return ToxicityModel(lexicon, weights, bias, learn_context(build_automaton(lexicon), texts, toxic))
 
 
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
+    """A model from at most max_labelled texts whose crc32(doc_id) mod 5 isn't 0 (hash order).
+
+    Where no label is at hand, nothing is toxic. One task learns from the sample,
+    which sampled_texts bounds; only the model comes to the driver.
+    """
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "label")), strict=True)), key=lambda r: r[0])
+        model = learn([t for _, t, _ in rows], np.array([y for *_, y in rows], float))
+        yield pa.RecordBatch.from_arrays([pa.array([model.to_json()])], names=["model"])
+
+    told = sampled_texts(docs, labels, "toxic", max_labelled).coalesce(1).mapInArrow(run, "model string").collect()
+    return ToxicityModel.from_json(told[0].model) if told else learn([], np.zeros(0))
+
+
 def scored(model: ToxicityModel, text: Column) -> Column:
     """struct<score double, hits long> of each text; only the text goes to Python, the row's other columns don't."""
     automaton, weights, bias, context = build_automaton(model.lexicon), model.weights, model.bias, model.context

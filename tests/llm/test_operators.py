@@ -568,6 +568,20 @@ def test_automaton_is_the_edit_distance():
     assert toxicity.find(a, data, start, end).tolist() == [want(t) for t in tests]
 
 
+def test_toxicity_is_learned_without_fetching_texts(spark, monkeypatch):
+    rng = random.Random(16)
+    rows = [(i, words_of(rng, 20) + (" grumbold snarfle" if i % 4 == 1 else ""), "a") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 1)) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    docs = table(spark, rows)
+    sample = sampling.labelled_sample(docs, labels, "toxic", 300)
+    fetched, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: fetched.append(self.columns) or collect(self))
+    model = toxicity.train(docs, labels, 300)
+    assert not [c for c in fetched if "text" in c]
+    assert model.lexicon and model.to_json() == toxicity.learn([t for t, _ in sample], np.array([y for _, y in sample], float)).to_json()
+    assert toxicity.train(docs, labels.filter("doc_id < 0")).lexicon == [] == toxicity.train(docs.filter("doc_id < 0"), labels).lexicon
+
+
 def test_toxicity_learns_terms_and_context(spark):
     rng = random.Random(15)
     bad = ["grumbold", "snarfle", "wozzik"]
