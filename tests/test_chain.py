@@ -472,3 +472,27 @@ def test_linkage_in_tiles_is_linkage_of_all(spark, monkeypatch):
     monkeypatch.setattr(zones, "complete_linkage", None)
     got = {r.station_id: r.zone_link for r in zones.linkage_zones(stations, 700.0, tile_stations=40).collect()}
     assert got == {s: f"c{placed['station_id'][root == r].min()}" for s, r in zip(placed["station_id"], root, strict=True)}
+
+
+def moved_rows(spark):
+    """Rows that the stages of the session so far have shuffled."""
+    jvm, none = spark._jvm, spark._jvm.java.util.ArrayList
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_only_observed_rows_are_shuffled(spark):
+    from fleetlens.plans.chain import Chain
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        c = Chain(spark, "/root/testdata/sf0.001")
+        before = moved_rows(spark)
+        net = c.net
+        moved = moved_rows(spark) - before
+        c.weekly  # stored rows that lie by station are summed where they lie
+        later = moved_rows(spark) - before - moved
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert moved < net.count() and later < c.weekly.count()
