@@ -282,3 +282,20 @@ def test_validation(spark):
     assert {r.weeks: r.wmape for r in validate.pooled_trend(weeks).collect()} == {1: 0, 2: 0, 4: 0, 6: 0}
     gate = validate.gate_report(spark.sql("SELECT 0.03D AS pct_error"), spark.sql("SELECT 0.2D AS zone_wmape")).first()
     assert gate.passed is False
+
+
+def test_sweep_of_all_destinations(spark, market):
+    """No destination is cut off before the ranking, and a bar from some of the moves changes no top."""
+    from fleetlens.plans import queries
+
+    tiers, origins, cum, every = market
+    zones = spark.createDataFrame([(i, "a") for i in range(1, 7)], "station_id bigint, zone_agg string")
+    flows = spark.createDataFrame([], "start_station_id bigint, hour_of_week int, end_station_id bigint, prob double")
+    made = {n: allocate.candidate_moves(tiers, cum, origins, zones, flows, n).count() for n in (1, None)}
+    assert made == {1: 1, None: 4}
+    p = AllocationParams(top_n=1)
+    grid = allocate.payout_grid(spark, p), allocate.elasticity_grid(spark, p), p
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for some in (every.filter("station_id = 1"), every.filter("station_id = 3"), every.limit(0)):
+        assert rows(allocate.elasticity_sweep(every, cum, *grid, some)) == rows(allocate.elasticity_sweep(every, cum, *grid))
+    assert "LIMIT 3000" not in queries.ORACLE_SQL["q_elasticity_sweep"] and "LIMIT 3000" in queries.ORACLE_SQL["q_candidate_moves"]
