@@ -186,3 +186,12 @@ def test_a_step_of_the_simulator_is_what_the_trees_predict(spark):
         assert got == pytest.approx(np.exp(made.model.base + made.model.scores(made.model.bins(x), made.model.trees)))
     far = made.rates(0, np.full((4, 4), 1e9))
     assert np.isfinite(far).all() and far.max() < 100  # lags beyond the data change nothing
+
+
+def test_leaves_take_no_pass_of_their_own(counts, monkeypatch):
+    passes, own = [], boosting.histograms
+    monkeypatch.setattr(boosting, "histograms", lambda *a: passes.append(a[4]) or own(*a))
+    model = boosting.fit_boosted(counts[1], ["u", "w"], boosting.BoostParams(rounds=2, depth=2, bins=8, min_leaf=5))
+    assert passes == [0, 1, 0, 1]
+    leaves = [v for t in model.trees for f, v in zip(t.feature, t.value, strict=True) if f < 0 and v != 0.0]
+    assert len(leaves) >= 4
